@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch; long texts make larger batches costly.
 BATCH_ROWS = 1000
@@ -23,16 +25,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, start: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType, start: Callable | None = None) -> DataFrame:
     """``mapInArrow`` of a function from a batch to columns.
 
     ``start``, if given, is called once for each task and its result is the function's second argument.
     """
     bounded_batches(df.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
@@ -46,6 +45,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, fn: Callable[..., dict[str, list]], new: str, start: Callable | None = None) -> DataFrame:
+    """``df`` with the columns that a function of a batch returns; they replace columns of the same names."""
+    names = StructType.fromDDL(new).fieldNames()
+    taken = {x.lower() for x in names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken]
+    schema = StructType(kept + StructType.fromDDL(new).fields)
+
+    def run(batch, *state):
+        return {f.name: batch.column(f.name) for f in kept} | fn(batch, *state)
+
+    return map_batches(df, run, schema, start)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; a null is an empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
