@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sillon.sources.tables import table
 
-from . import bpe_codec, decontaminate, langid, media, sstable, token_counts, toxicity
+from . import bpe_codec, decontaminate, langid, media, minhash, sstable, token_counts, toxicity
 from .common import fold
 
 
@@ -40,6 +40,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_media_columns, op4_toxicity, op5_token_counts, op6_token_shards, op9_bpe_round_trip, op10_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_media_columns, op4_toxicity, op5_token_counts, op6_token_shards, op8_minhash_near_dedup, op9_bpe_round_trip, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {}
