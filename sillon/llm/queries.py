@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sillon.sources.tables import table
 
-from . import bpe_codec, decontaminate, langid, media, minhash, sstable, token_counts, toxicity
+from . import bpe_codec, decontaminate, hosts, html_text, langid, media, minhash, sstable, token_counts, toxicity
 from .common import fold
 
 
@@ -25,6 +25,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -40,6 +44,65 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages whose document (the number that ends the path) is labelled; bad if toxic or of low quality."""
+    number = F.regexp_extract(F.col("url"), r"(?s)^.*?://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})(?:\.html)?/?(?:[?#].*)?$", 1)
+    pages = table(spark, sf_dir, "pages").select(hosts.host_of(F.col("url")).alias("host"), F.try_to_number(F.nullif(number, F.lit("")), F.lit("9" * 18)).cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
+    return pages.filter("doc_id is not null").join(labels, "doc_id").select("host", "bad")
+
+
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), _page_outcomes(spark, sf_dir))
+
+
+OP7_SQL = r"""
+WITH read AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+    try_cast(regexp_extract(url, '^.*?://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})(?:\.html)?/?(?:[?#].*)?$', 1, 's') AS BIGINT) AS doc_id
+  FROM pages),
+placed AS (SELECT *, array_to_string(list_reverse(string_split(host, '.'))[1:2].list_reverse(), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM read),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM placed),
+marks AS (SELECT doc_id, max(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad FROM ruled JOIN marks USING (doc_id) WHERE bad IS NOT NULL GROUP BY host),
+d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+t AS (SELECT sum(n) AS n, sum(bad) AS bad FROM s HAVING sum(n) > 0),
+sm AS (SELECT suffix, s.n, s.bad, t.bad / t.n AS m FROM s, t),
+sw AS (SELECT count(*) AS k, sum(n) AS nn1, sum(n * n) AS nn2, sum(bad * bad / n) AS s2, sum(bad) AS s1, any_value(m) AS m FROM sm),
+sv AS (SELECT (s2 - 2 * m * s1 + m * m * nn1 - (k - 1) * m * (1 - m)) / nullif((nn1 - nn2 / nn1) * m * (1 - m), 0) AS share FROM sw),
+sp AS (SELECT suffix, m * w + bad AS a, (1 - m) * w + n - bad AS b FROM sm, (SELECT CASE WHEN share > 0 THEN least(1000, greatest(1, 1 / share - 1)) ELSE 1000 END AS w FROM sv)),
+dm AS (SELECT d.*, a / (a + b) AS m FROM d JOIN sp USING (suffix)),
+dw AS (SELECT suffix, count(*) AS k, sum(n) AS nn1, sum(n * n) AS nn2, sum(bad * bad / n) AS s2, sum(bad) AS s1, any_value(m) AS m FROM dm GROUP BY suffix),
+dv AS (SELECT suffix, (s2 - 2 * m * s1 + m * m * nn1 - (k - 1) * m * (1 - m)) / nullif((nn1 - nn2 / nn1) * m * (1 - m), 0) AS share FROM dw),
+dp AS (SELECT domain, m * w + bad AS a, (1 - m) * w + n - bad AS b FROM dm JOIN (SELECT suffix, CASE WHEN share > 0 THEN least(1000, greatest(1, 1 / share - 1)) ELSE 1000 END AS w FROM dv) USING (suffix)),
+hm AS (SELECT h.*, a / (a + b) AS m FROM h JOIN dp USING (domain)),
+hw AS (SELECT domain, count(*) AS k, sum(n) AS nn1, sum(n * n) AS nn2, sum(bad * bad / n) AS s2, sum(bad) AS s1, any_value(m) AS m FROM hm GROUP BY domain),
+hv AS (SELECT domain, (s2 - 2 * m * s1 + m * m * nn1 - (k - 1) * m * (1 - m)) / nullif((nn1 - nn2 / nn1) * m * (1 - m), 0) AS share FROM hw),
+hp AS (SELECT host, m * w + bad AS a, (1 - m) * w + n - bad AS b FROM hm JOIN (SELECT domain, CASE WHEN share > 0 THEN least(1000, greatest(1, 1 / share - 1)) ELSE 1000 END AS w FROM hv) USING (domain)),
+low AS (
+  SELECT 'h' AS level, host AS unit, a, b FROM hp UNION ALL SELECT 'd', domain, a, b FROM dp UNION ALL SELECT 's', suffix, a, b FROM sp UNION ALL SELECT 't', '', bad, n - bad FROM t),
+blocked AS (SELECT level, unit, a / (a + b) - 1.0 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > 0.4 AS blocked FROM low)
+SELECT page_id, ruled.host, path, rule, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN coalesce(bh.blocked, bd.blocked, bs.blocked, bt.blocked, false) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+LEFT JOIN blocked bh ON bh.level = 'h' AND bh.unit = host
+LEFT JOIN blocked bd ON bd.level = 'd' AND bd.unit = domain
+LEFT JOIN blocked bs ON bs.level = 's' AND bs.unit = suffix
+LEFT JOIN blocked bt ON bt.level = 't'
+"""
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -53,7 +116,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_media_columns, op4_toxicity, op5_token_counts, op6_token_shards, op8_minhash_near_dedup, op9_bpe_round_trip, op10_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_media_columns, op3_html_text, op4_toxicity, op5_token_counts, op6_token_shards, op7_host_reputation, op8_minhash_near_dedup, op9_bpe_round_trip, op10_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_host_reputation": OP7_SQL}
