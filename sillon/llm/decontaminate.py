@@ -25,7 +25,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import add_columns, map_batches, texts_of
 
 WINDOW = 10
 #: Normalised bytes of one automaton's windows; a byte takes some 60 bytes of memory.
@@ -120,6 +120,27 @@ def _broadcasts(sc: SparkContext, slices: Iterator[dict[bytes, list]]) -> list:
     return [sc.broadcast(s) for s in slices]
 
 
+def _matches(texts: list[str], automata: _Automata) -> tuple[list[list[bytes]], list[list[tuple[int, int, list]]]]:
+    """The words of each text and the matches in them."""
+    words = [words_of(x) for x in texts]
+    found: list[list[tuple[int, int, list]]] = [[] for _ in texts]
+    for automaton in automata:
+        for hits, w in zip(found, words, strict=True):
+            if w:
+                hits += scan(automaton, w)
+    return words, found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", item: str = "item_id", limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any benchmark window, with all their columns."""
+    automata = _Automata(_broadcasts(docs.sparkSession.sparkContext, _slices(benchmark, text, item, size, limit)))
+
+    def run(batch):
+        return {"sillon_hit": [bool(hits) for hits in _matches(texts_of(batch, text), automata)[1]]}
+
+    return add_columns(docs, run, "sillon_hit boolean").filter(~F.col("sillon_hit")).select(*docs.columns)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id", limit: int = SLICE_BYTES, spans: bool = False) -> DataFrame:
     """Words, words inside benchmark windows, and items found, of each document; with ``spans`` also their original character ranges and the items' identifiers."""
     automata = _Automata(_broadcasts(docs.sparkSession.sparkContext, _slices(benchmark, text, item, size, limit)))
@@ -128,12 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, tex
 
     def run(batch):
         texts = texts_of(batch, text)
-        words = [words_of(x) for x in texts]
-        found: list[list[tuple[int, int, list]]] = [[] for _ in texts]
-        for automaton in automata:
-            for hits, w in zip(found, words, strict=True):
-                if w:
-                    hits += scan(automaton, w)
+        words, found = _matches(texts, automata)
         out = {name: [] for name in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(("items", "spans") if spans else ()))}
         for x, w, hits in zip(texts, words, found, strict=True):
             hit = bytearray(len(w))

@@ -36,6 +36,8 @@ SEGMENT = 512
 UNDETERMINED = "und"
 #: Letters a phrase on the average, below which no learned language explains a text.
 LEAST_PHRASE = 2.0
+#: Shorter texts are never rejected for their phrases.
+LEAST_LETTERS = 40
 
 _SEPARATOR, _UNKNOWN = 0, 1
 
@@ -183,8 +185,8 @@ class Parser:
         np.add.at(counts.T, np.array(owner)[order], begun.T)
         return counts, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and letters a phrase of each text."""
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float], list[int]]:
+        """Language, score, letters a phrase and letters of each text."""
         counts, letters = self.phrases(texts)
         names, scores, lengths = [], [], []
         weights = self.model.bits / self.model.bits.max() if len(self.model.bits) else self.model.bits
@@ -199,7 +201,7 @@ class Parser:
             names.append(self.model.languages[best])
             scores.append(float(1 / np.exp2(np.maximum(need[best] - need, -60)).sum()))
             lengths.append(n / float(counts[best, i]))
-        return names, scores, lengths
+        return names, scores, lengths, letters.tolist()
 
 
 def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
@@ -222,17 +224,17 @@ def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, c
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with columns lang_pred, score and phrase_letters, by names that begin with ``prefix``; they replace clashing ones."""
+    """``docs`` with columns lang_pred, score, phrase_letters and letters, by names that begin with ``prefix``; they replace clashing ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start() -> Parser:
         return _parser(shared)
 
     def run(batch, parser):
-        names, scores, lengths = parser.predict(texts_of(batch, text))
-        return {f"{prefix}lang_pred": names, f"{prefix}score": scores, f"{prefix}phrase_letters": lengths}
+        names, scores, lengths, letters = parser.predict(texts_of(batch, text))
+        return {f"{prefix}lang_pred": names, f"{prefix}score": scores, f"{prefix}phrase_letters": lengths, f"{prefix}letters": letters}
 
-    return add_columns(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}phrase_letters double", start)
+    return add_columns(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}phrase_letters double, {prefix}letters long", start)
 
 
 _kept: list = []
@@ -245,6 +247,10 @@ def _parser(shared) -> Parser:
     return _kept[1]
 
 
-def rejected(lang_pred: Column, phrase_letters: Column) -> Column:
-    """Whether no learned language explains a text."""
-    return (lang_pred == UNDETERMINED) | (phrase_letters < LEAST_PHRASE)
+def rejected(model: Model, lang_pred: Column, phrase_letters: Column, letters: Column) -> Column:
+    """Whether no learned language explains a text: it has no letters, or enough of them and only short phrases.
+
+    Matches grow with the logarithm of the sample, and so does the least length asked for.
+    """
+    least = LEAST_PHRASE * (float(model.bits.min()) if len(model.bits) else 0.0) / math.log2(SAMPLE_SYMBOLS)
+    return (lang_pred == UNDETERMINED) & (letters == 0) | (letters >= LEAST_LETTERS) & (phrase_letters < least)

@@ -252,3 +252,17 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         found = materialize(old.unionByName(new), "components")
     sets_of = sets.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sketched.join(sets_of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all its columns: that of the least ``key``.
+
+    Rows that repeat a key are one document, of which the row with the least hash of the text stays. Rows without a key
+    can't be told apart and all stay.
+    """
+    kept = materialize(classes(docs, text, key, threshold).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sillon_rows")), "kept")
+    ids = kept.select(F.col("doc_id").alias("sillon_key"), "sillon_rows")
+    found = docs.join(small_or_plain(ids), F.col(key).cast("long") == F.col("sillon_key"))
+    once = found.filter("sillon_rows = 1").select(*docs.columns)
+    several = found.filter("sillon_rows > 1").groupBy("sillon_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row")).select("row.*")
+    return once.unionByName(several).unionByName(docs.filter(F.col(key).isNull()))
