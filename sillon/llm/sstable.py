@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir
-from .pretokens import CACHE_CHARS, CACHE_ENTRIES, quiet_collector
+from .pretokens import CACHE_CHARS, CACHE_ENTRIES, Cache, quiet_collector
+from .token_counts import byte_letters
 
 MAGIC = b"SILSST01"
 FOOTER = struct.Struct("<QIQIQI8s")
@@ -46,6 +49,8 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BITS_PER_KEY, PROBES = 10, 7
 END_ID = 1
+#: Array codes of unsigned integers by their bytes.
+_CODES = {2: "H", 4: "I"}
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -233,34 +238,62 @@ class Shard:
         return out
 
 
+#: Characters whose lower case, normal form and kind are the same by any version of Unicode, and so in Python and in the
+#: library: printable ASCII, Latin-1 letters and Latin Extended-A without the dotted capital I.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: The tokenizer's split pattern on such characters in lower case.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u017f]+").findall
+#: Settings of a tokenizer file for which ``_SPLIT`` stands.
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file whose patterns never match white space.
 
     The library then encodes each run between white space alike wherever it stands, so each distinct run is encoded
-    once. Texts with a special token's string, or with separators that only Python takes for white space, go to the
-    library whole.
+    once. Runs of plain characters are lower-cased and split here and only their distinct words go through the
+    library's model; other runs go through the library's normalizer and splitter as well. Texts with a special token's
+    string, or with separators that only Python takes for white space, go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = _PLAIN_PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
+        self.letters = str.maketrans({chr(b): letter for letter, b in byte_letters().items()})
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [chr(c) for c in range(0x1C, 0x20)]
         self.runs: dict[str, bytes] = {}
+        self.words = Cache(self._word)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a plain word, from the library's model."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array(_CODES[self.width], [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(_CODES[self.width], e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
         cut = [[] if i in whole else x.split() for i, x in enumerate(texts)]
         if len(self.runs) > CACHE_ENTRIES:
             self.runs.clear()
-        known = self.runs
-        new = list(set(filterfalse(known.__contains__, chain.from_iterable(cut))))
-        known.update(zip(new, self._library(new), strict=True))
+        known, words = self.runs, self.words
+        other = []
+        new = set(filterfalse(known.__contains__, chain.from_iterable(cut)))
+        for x in new:
+            if self.plain and _PLAIN(x):
+                known[x] = b"".join([words[w] for w in _SPLIT(x.lower())])
+            else:
+                other.append(x)
+        known.update(zip(other, self._library(other), strict=True))
         out = [b"".join(map(known.__getitem__, x)) + self.end for x in cut]
         for i in whole:
             out[i] = self._library([texts[i]])[0] + self.end

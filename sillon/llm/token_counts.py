@@ -26,7 +26,7 @@ from .pretokens import Cache, pretokens, quiet_collector, unit_text, units
 LIMIT = 1024
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies: printable Latin-1 bytes stand for themselves, others follow from code point 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in plain]
@@ -39,7 +39,7 @@ class Merger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.first = [0] * 256
         for letter, b in letters.items():
