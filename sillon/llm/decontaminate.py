@@ -31,7 +31,8 @@ WINDOW = 10
 #: Normalised bytes of one automaton's windows; a byte takes some 60 bytes of memory.
 SLICE_BYTES = 4 << 20
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of an original text, whose A-Z aren't lower-cased yet.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of words stand for themselves, A-Z in lower case; others become spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 

@@ -227,6 +227,10 @@ TABLE = """
 1 plain 0 0 12 0.0   3 0.0  20 0.0
 1 plain 0 0 11 0.0   0 0.0  13 0.0
 1 plain 0 0 80 0.3  60 0.0   4 1.0
+1 plain 0 0 13 0.0  15 0.0   1 1.0
+1 plain 0 0 10 0.0  40 0.0   2 1.0
+1 plain 0 0  9 0.0  30 0.0   4 0.0
+1 plain 0 0 12 0.0  20 0.0   0 0.0
 1 plain 1 0  6 0.0   3 1.0  50 0.0
 1 plain 1 0  4 0.0   0 0.0  30 0.0
 1 plain 1 0  5 0.0  45 0.0  38 0.0

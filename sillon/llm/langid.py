@@ -84,6 +84,7 @@ class Model:
     languages: list[str]
     letters: dict[str, int]
     table: np.ndarray
+    #: The place of each language's row in which a text begins.
     roots: np.ndarray
     bits: np.ndarray
 
@@ -129,7 +130,9 @@ def train(samples: dict[str, list[str]]) -> Model:
                 break
         line = line[:SAMPLE_SYMBOLS]
         trans = suffix_automaton([s for s in line if s != _UNKNOWN])
-        root = np.zeros(width, dtype=np.int64)
+        fresh = len(trans)  # a last row, in which any symbol begins a phrase
+        trans.append({})
+        root = np.full(width, fresh, dtype=np.int64)  # a symbol that the sample lacks is a phrase of its own
         for s, to in trans[0].items():
             root[s] = to
         dense = np.tile((at + root * width) * 2 + 1, (len(trans), 1))
@@ -137,7 +140,7 @@ def train(samples: dict[str, list[str]]) -> Model:
             for s, to in row.items():
                 dense[state, s] = (at + to * width) * 2
         tables.append(dense.ravel())
-        roots.append(at)
+        roots.append(at + fresh * width)
         bits.append(math.log2(max(2, len(line))))
         at += dense.size
     model.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
@@ -175,7 +178,7 @@ class Parser:
             grid[k, : len(parts[i])] = parts[i]
         columns = np.ascontiguousarray(grid.T)
         state = np.repeat(m.roots[:, None], len(parts), axis=1)
-        begun = np.ones((len(m.languages), len(parts)), dtype=np.int32)
+        begun = np.zeros((len(m.languages), len(parts)), dtype=np.int32)
         live = np.searchsorted(-lengths[order], -np.arange(columns.shape[0]), side="left")
         for t in range(columns.shape[0]):
             k = live[t]

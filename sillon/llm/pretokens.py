@@ -7,6 +7,7 @@ alike wherever it stands. So a text is cut at its spaces into units first, and e
 from __future__ import annotations
 
 import gc
+import re
 
 import regex
 
@@ -29,14 +30,18 @@ def pretokens(text: str) -> list[str]:
 #: A lone space between visible characters; cutting before it splits no run of white space.
 _cut = regex.compile(r"(?<=\S) (?=\S)")
 
+#: A space inside a run of white space.
+_inside = re.compile(r"\s \s").search
+
 
 def units(text: str) -> list[str]:
     """Keys of pieces of ``text`` that, split one by one, give the same pretokens as the whole; see ``unit_text``.
 
-    Where a text has longer runs of spaces or some at an end, only lone spaces between visible characters are cut at.
+    A cut inside a run of white space may split it otherwise. Where a text has such spaces, or some at an end, only lone
+    spaces between visible characters are cut at.
     """
     pieces = text.split(" ")
-    if "" in pieces:
+    if "" in pieces or _inside(text):
         cuts = [m.start() for m in _cut.finditer(text)]
         pieces = [text[a:b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(text)], strict=True)]
     pieces[0] = " " + pieces[0]
