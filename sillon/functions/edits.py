@@ -1,23 +1,26 @@
-"""Token-level edit distance without Python: each distinct token of a pair becomes one character."""
+"""Token-level edit distance without Python: tokens that both sides share become one character each."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: First code point that stands for a token; from here some 35,000 precede the surrogates.
+#: First code point that stands for a shared token; from here some 35,000 precede the surrogates.
 _FIRST = 0x4E00
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """The Levenshtein distance of two arrays of tokens, for at most 35,000 distinct ones."""
-    vocabulary = F.array_distinct(F.concat(a, b))
+    """The Levenshtein distance of two arrays of tokens, for at most 35,000 distinct shared ones.
 
-    def mapped(tokens: Column) -> Column:
-        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(_FIRST - 1) + F.array_position(vocabulary, t)), 4, "0")), "UTF-16BE")
-        return F.concat_ws("", F.transform(tokens, letter))
+    A token of one side alone matches nothing, so all of these are one character, another for each side.
+    """
+    shared = F.array_intersect(a, b)
 
-    return F.levenshtein(mapped(a), mapped(b)).cast("long")
+    def mapped(tokens: Column, alone: str) -> Column:
+        letter = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.lit(_FIRST - 1) + F.array_position(shared, t)), 4, "0")), "UTF-16BE")
+        return F.concat_ws("", F.transform(tokens, lambda t: F.when(F.array_contains(shared, t), letter(t)).otherwise(alone)))
+
+    return F.levenshtein(mapped(a, "a"), mapped(b, "b")).cast("long")
 
 
 def tokens(text: Column) -> Column:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from sillon.sources.tables import table
 
 RATE = 150
-#: Words of a turn that an utterance has at most.
-UTTERANCE_WORDS = 60
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +70,9 @@ INJECTED = "evaluation AS (SELECT sha256(text) AS sha256, 'bench:' || item_id AS
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a user's turn and the next turn of ``conversations``."""
     c = table(spark, sf_dir, "conversations")
-    cut = lambda t: F.array_join(F.slice(F.split(F.trim(F.regexp_replace(t, r"[\t-\r ]+", " ")), " "), 1, UTTERANCE_WORDS), " ")
-    a = c.filter("role = 'user'").select("conv_id", "turn", cut(F.col("text")).alias("reference"))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), cut(F.col("text")).alias("hypothesis"), F.col("role").alias("code_switch"))
+    plain = lambda t: F.trim(F.regexp_replace(t, r"[\t-\r ]+", " "))
+    a = c.filter("role = 'user'").select("conv_id", "turn", plain(F.col("text")).alias("reference"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), plain(F.col("text")).alias("hypothesis"), F.col("role").alias("code_switch"))
     return a.join(b, ["conv_id", "turn"]).select(
         "conv_id", "turn", "reference", "hypothesis", F.concat(F.lit("s"), F.pmod("conv_id", F.lit(7)).cast("string")).alias("speaker"),
         F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("d"), (F.col("turn") % 3).cast("string"))).alias("dialect"),
@@ -82,28 +80,28 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CUT = r"array_to_string(string_split(trim(regexp_replace(text, '[\t-\r ]+', ' ', 'g')), ' ')[1:60], ' ')"
+_PLAIN = r"trim(regexp_replace(text, '[\t-\r ]+', ' ', 'g'))"
 _NORMAL = "trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\\x{{09}}-\\x{{0d}}\\x{{1c}}-\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
 
 
-def _mapped(tokens: str, vocabulary: str) -> str:
-    """Tokens as single-byte characters, as DuckDB's levenshtein counts bytes."""
-    return f"array_to_string(list_transform({tokens}, lambda x: chr(CAST(list_position({vocabulary}, x) AS INTEGER))), '')"
+def mapped(tokens: str, shared: str, alone: int) -> str:
+    """Tokens as single bytes, as DuckDB's levenshtein counts bytes: shared ones by their numbers (below 126), others all alike."""
+    return f"array_to_string(list_transform({tokens}, lambda x: CASE WHEN list_contains({shared}, x) THEN chr(CAST(list_position({shared}, x) AS INTEGER)) ELSE chr({alone}) END), '')"
 
 
 UTTERANCES = f"""utterances AS (
   SELECT a.conv_id, a.turn, a.t AS reference, b.t AS hypothesis, 's' || (a.conv_id % 7) AS speaker, CASE WHEN a.turn % 3 = 0 THEN '' ELSE 'd' || (a.turn % 3) END AS dialect,
     CASE WHEN a.conv_id % 2 = 0 THEN 'quiet' END AS noise, b.role AS code_switch
-  FROM (SELECT conv_id, turn, {_CUT} AS t FROM conversations WHERE role = 'user') a
-  JOIN (SELECT conv_id, turn - 1 AS turn, role, {_CUT} AS t FROM conversations) b ON a.conv_id = b.conv_id AND a.turn = b.turn),
+  FROM (SELECT conv_id, turn, {_PLAIN} AS t FROM conversations WHERE role = 'user') a
+  JOIN (SELECT conv_id, turn - 1 AS turn, role, {_PLAIN} AS t FROM conversations) b ON a.conv_id = b.conv_id AND a.turn = b.turn),
 lists AS (
   SELECT *, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw,
     list_filter(string_split(replace(r, ' ', ''), ''), lambda x: x <> '') AS rc, list_filter(string_split(replace(h, ' ', ''), ''), lambda x: x <> '') AS hc
   FROM (SELECT *, {_NORMAL.format('reference')} AS r, {_NORMAL.format('hypothesis')} AS h FROM utterances)),
 counted AS (
-  SELECT * EXCLUDE (wv, cv), CAST(levenshtein({_mapped('rw', 'wv')}, {_mapped('hw', 'wv')}) AS BIGINT) AS word_errors, CAST(len(rw) AS BIGINT) AS reference_words,
-    CAST(levenshtein({_mapped('rc', 'cv')}, {_mapped('hc', 'cv')}) AS BIGINT) AS char_errors, CAST(len(rc) AS BIGINT) AS reference_chars
-  FROM (SELECT *, list_distinct(list_concat(rw, hw)) AS wv, list_distinct(list_concat(rc, hc)) AS cv FROM lists))"""
+  SELECT * EXCLUDE (wv, cv), CAST(levenshtein({mapped('rw', 'wv', 126)}, {mapped('hw', 'wv', 127)}) AS BIGINT) AS word_errors, CAST(len(rw) AS BIGINT) AS reference_words,
+    CAST(levenshtein({mapped('rc', 'cv', 126)}, {mapped('hc', 'cv', 127)}) AS BIGINT) AS char_errors, CAST(len(rc) AS BIGINT) AS reference_chars
+  FROM (SELECT *, list_intersect(rw, hw) AS wv, list_intersect(rc, hc) AS cv FROM lists))"""
 
 
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:

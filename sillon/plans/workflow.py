@@ -8,7 +8,7 @@ from sillon.functions.text import assignment_bucket, hash32, orthography
 from sillon.operators import governance, review, signal, speech, turns
 from sillon.sources.tables import table
 
-from .views import LATENCIES, UTTERANCES, latencies, manifest, review_events, turn_frames, utterances
+from .views import LATENCIES, UTTERANCES, latencies, manifest, mapped, review_events, turn_frames, utterances
 
 #: A small catalogue and plan.
 CATALOG = [
@@ -223,14 +223,12 @@ g AS (SELECT *, fine AND rn = min(rn) FILTER (fine) OVER (PARTITION BY speaker,
 r AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY speaker ORDER BY rn) AS k FROM g),
 a AS (SELECT rn, speaker, CASE WHEN good THEN 'imported' ELSE 'skipped' END AS outcome FROM r WHERE k < 25 OR (k = 25 AND good))"""
 _POINTERS = "p AS (SELECT event_type AS task, (user_id % 5)::BIGINT AS stage, 'm' || event_id AS model_id, event_id AS updated FROM events)"
-_W = "array_to_string(list_transform({0}, lambda x: chr(CAST(list_position(v, x) AS INTEGER))), '')"
-_KIND = "CASE event_type WHEN 'signup' THEN 'draft' ELSE event_type END"
 
 ORACLES = {
     "error_rate_rows": f"WITH {UTTERANCES} SELECT conv_id, turn, word_errors, reference_words, char_errors, reference_chars FROM counted",
     "wer_global": f"WITH {UTTERANCES} SELECT {_SUMS} FROM counted",
     "wer_slices": f"WITH {UTTERANCES}, s AS ({' UNION ALL '.join(_SLICE.format(a) for a in speech.SLICES)}) SELECT attribute, value, {_SUMS} FROM s GROUP BY attribute, value",
-    "wer_by_dialect": f"WITH {UTTERANCES}, w AS (SELECT coalesce(nullif(dialect, ''), 'unlabeled') AS value, string_split(reference, ' ') AS a, string_split(hypothesis, ' ') AS b FROM utterances), e AS (SELECT value, len(a) AS n, levenshtein({_W.format('a')}, {_W.format('b')}) AS d FROM (SELECT *, list_distinct(list_concat(a, b)) AS v FROM w)) SELECT value, count(*) AS utterances, sum(d)::BIGINT AS word_errors, sum(n)::BIGINT AS reference_words, sum(d)::DOUBLE / sum(n) AS wer FROM e GROUP BY value",
+    "wer_by_dialect": f"WITH {UTTERANCES}, w AS (SELECT coalesce(nullif(dialect, ''), 'unlabeled') AS value, string_split(reference, ' ') AS a, string_split(hypothesis, ' ') AS b FROM utterances), e AS (SELECT value, len(a) AS n, levenshtein({mapped('a', 'v', 126)}, {mapped('b', 'v', 127)}) AS d FROM (SELECT *, list_intersect(a, b) AS v FROM w)) SELECT value, count(*) AS utterances, sum(d)::BIGINT AS word_errors, sum(n)::BIGINT AS reference_words, sum(d)::DOUBLE / sum(n) AS wer FROM e GROUP BY value",
     "latency_percentiles": f"WITH {LATENCIES} SELECT {_LATENCY} FROM latencies",
     "latency_slices": f"WITH {LATENCIES} SELECT dialect, {_LATENCY} FROM latencies GROUP BY dialect",
     "rtf": f"WITH {LATENCIES} SELECT {_RTF} FROM latencies",
