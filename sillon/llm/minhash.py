@@ -8,8 +8,10 @@ estimated from equal registers, less the share that would agree by chance at ten
 
 Documents with equal sets form one class, found by a digest, and are never paired. In each band bucket every class is
 compared with the bucket's least class, a star of as many pairs as members, never all pairs. Linked classes become
-components; buckets that still hold several components get further stars around other members, and what then remains
-apart is compared exactly. So a pair of classes that shares a bucket is either compared or already connected.
+components; buckets that still hold several components get further stars around other members. Members that then remain
+outside their bucket's main component are compared with its other members on full sets, block by block of at most
+about ``BLOCK`` members, and each block gives at most one link between a member and a component. So a pair of classes
+that shares a bucket is either compared or already connected, and what is handed on grows with members, not with pairs.
 
 With 40 bands of 5 registers a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, small_or_plain, texts_of
@@ -37,8 +39,10 @@ SHINGLE = 2
 THRESHOLD = 80
 #: Candidates whose estimate is lower than the threshold by more than this (six standard deviations) are dropped.
 MARGIN = 0.18
-#: Further stars before what remains is compared exactly.
+#: Further stars before what remains is compared block by block.
 STARS = 3
+#: Members of a bucket that are held together to be compared.
+BLOCK = 128
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 1 << 20
 #: Shingles that meet the bucket hashes together; their values stay in the processor's cache.
@@ -207,6 +211,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _vectors(texts: DataFrame) -> DataFrame:
+    """Columns node and vector (sorted shingle hashes as bytes)."""
+    return map_batches(texts.select("node", "text"), lambda batch: {"node": batch.column("node"), "vector": [s.tobytes() for s in shingle_hashes(texts_of(batch))]}, "node long, vector binary")
+
+
+def block_links(xs: list[dict], ys: list[dict], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """Links between members (node, component, vector) of two blocks and of different components, one for each member of ``xs`` and component."""
+    vectors = [np.frombuffer(m["vector"], dtype=np.uint64) for m in [*xs, *ys]]
+    sizes = np.array([len(v) for v in vectors])
+    _, column, count = np.unique(np.concatenate(vectors), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    shared = count[column] > 1
+    row, column = row[shared], column[shared]
+    common = np.zeros((len(xs), len(ys)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = 1 << 14
+    for first in range(0, len(count), width):
+        a, b = np.searchsorted(column, (first, first + width))
+        if a < b:
+            _, dense = np.unique(column[a:b], return_inverse=True)
+            part = np.zeros((len(vectors), int(dense.max()) + 1), dtype=np.float32)
+            part[row[a:b], dense] = 1
+            common += part[: len(xs)] @ part[len(xs) :].T
+    union = sizes[: len(xs), None] + sizes[None, len(xs) :] - common
+    apart = np.array([m["component"] for m in xs])[:, None] != np.array([m["component"] for m in ys])[None, :]
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(apart & (common > 0) & (100 * common >= threshold * union)), strict=True):
+        out.setdefault((xs[i]["node"], ys[j]["component"]), (xs[i]["node"], ys[j]["node"]))
+    return list(out.values())
+
+
+def _rest(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) among bucket members (key, node, component) of different components; the main component's members aren't compared with each other."""
+    spread = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = spread.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    among = small_or_plain(members.select("node").distinct())
+    item = F.struct("node", "component", "vector")
+    held = members.join(main, "key").join(_vectors(texts.join(among, "node", "left_semi")), "node")
+
+    def block(size: Column) -> Column:
+        return F.pmod(F.xxhash64("node"), F.ceil(size / F.lit(BLOCK))).alias("block")
+
+    left = held.filter("component <> main").groupBy("key", block(F.col("members") - F.col("most"))).agg(F.collect_list(item).alias("xs"))
+    right = held.groupBy("key", block(F.col("members"))).agg(F.collect_list(item).alias("ys"))
+
+    def run(batch):
+        found = {p for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True) for p in block_links(xs, ys, threshold)}
+        return {"a": [min(p) for p in found], "b": [max(p) for p in found]}
+
+    return map_batches(left.drop("block").join(right.drop("block"), "key").select("xs", "ys"), run, "a long, b long")
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (least doc_id of all that links reach), kept: one row for each row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -233,11 +290,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         open_ = placed.drop("low", "high").join(mixed.select("key", "centre"), "key")
         if star < STARS:
             pairs = open_.filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
-        else:  # hubs have met all members of their buckets
-            rest = materialize(open_.filter("node <> hub").select("key", "node", "n", "component"), "rest")
-            other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component")))
-            close = (F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")) & (100 * F.least("n", "other_n") >= threshold * F.greatest("n", "other_n"))
-            pairs = rest.join(other, "key").filter(close).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+        else:
+            pairs = materialize(_rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold), "pairs")
         links = links_of(pairs)
         if links.isEmpty():
             if star < STARS:
