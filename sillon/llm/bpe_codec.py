@@ -14,13 +14,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts_of
+from .common import kept, map_batches, texts_of
 from .pretokens import CACHE_CHARS, CACHE_ENTRIES, pretokens, quiet_collector, unit_text, units
 
 
@@ -143,12 +142,15 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """The codec of a file, kept while the worker lives."""
-    made = Codec(path)
-    quiet_collector()
-    return made
+    """The codec of a file, kept while the worker needs it."""
+
+    def build() -> Codec:
+        made = Codec(path)
+        quiet_collector()
+        return made
+
+    return kept(("codec", path), build)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

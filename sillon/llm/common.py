@@ -58,6 +58,23 @@ def add_columns(df: DataFrame, fn: Callable[..., dict[str, list]], new: str, sta
     return map_batches(df, run, schema, start)
 
 
+_state: list = []
+
+
+def kept(key: tuple, build: Callable):
+    """What ``build`` makes, kept while this worker asks for the same ``key``.
+
+    A worker keeps one such state: the next operator's takes the place of the last one's, which gives up its tables if
+    it has a method ``release``. So the caches of several operators in a row don't add up.
+    """
+    if not _state or _state[0] != key:
+        if _state and hasattr(_state[1], "release"):
+            _state[1].release()
+        _state.clear()
+        _state[:] = [key, build()]
+    return _state[1]
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; a null is an empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
@@ -70,7 +87,7 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="sillon-")
         spark.sparkContext.setCheckpointDir(base)

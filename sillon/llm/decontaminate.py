@@ -25,7 +25,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_batches, texts_of
+from .common import add_columns, kept, map_batches, texts_of
 
 WINDOW = 10
 #: Normalised bytes of one automaton's windows; a byte takes some 60 bytes of memory.
@@ -102,19 +102,14 @@ def _slices(benchmark: DataFrame, text: str, key: str, size: int, limit: int) ->
 
 
 class _Automata:
-    """The broadcast slices; a worker keeps the automaton if there is only one."""
-
-    kept: tuple[str, ahocorasick.Automaton] | None = None
+    """The automata of broadcast slices; a worker keeps the last one built, which is the only one in the common case."""
 
     def __init__(self, broadcasts: list):
         self.broadcasts = [(uuid.uuid4().hex, b) for b in broadcasts]
 
     def __iter__(self) -> Iterator[ahocorasick.Automaton]:
         for name, b in self.broadcasts:
-            if _Automata.kept is None or _Automata.kept[0] != name:
-                _Automata.kept = None
-                _Automata.kept = (name, build(b.value))
-            yield _Automata.kept[1]
+            yield kept(("automaton", name), lambda b=b: build(b.value))
 
 
 def _broadcasts(sc: SparkContext, slices: Iterator[dict[bytes, list]]) -> list:

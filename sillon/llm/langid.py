@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, texts_of
+from .common import add_columns, kept, texts_of
 
 #: The sample of a language: documents, characters of each, symbols in all.
 SAMPLE_DOCS = 128
@@ -228,10 +229,10 @@ def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, c
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with columns lang_pred, score, phrase_letters and letters, by names that begin with ``prefix``; they replace clashing ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def start() -> Parser:
-        return _parser(shared)
+        return kept(("langid", name), lambda: Parser(shared.value))
 
     def run(batch, parser):
         names, scores, lengths, letters = parser.predict(texts_of(batch, text))
@@ -240,16 +241,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
     return add_columns(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}phrase_letters double, {prefix}letters long", start)
 
 
-_kept: list = []
-
-
-def _parser(shared) -> Parser:
-    """The parser of a broadcast model, kept while the worker meets the same one."""
-    if not _kept or _kept[0] is not shared.value:
-        _kept[:] = [shared.value, Parser(shared.value)]
-    return _kept[1]
-
-
 def rejected(model: Model, lang_pred: Column, phrase_letters: Column, letters: Column) -> Column:
     """Whether no learned language explains a text: it has no letters, or enough of them and only short phrases.
 

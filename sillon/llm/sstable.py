@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import re
 import struct
 import uuid
@@ -27,7 +28,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir
+from .common import bounded_batches, kept, shared_dir
 from .pretokens import CACHE_CHARS, CACHE_ENTRIES, Cache, quiet_collector
 from .token_counts import byte_letters
 
@@ -271,6 +271,11 @@ class Encoder:
         self.runs: dict[str, bytes] = {}
         self.words = Cache(self._word)
 
+    def release(self) -> None:
+        """Gives up the caches, whose functions hold on to the encoder."""
+        self.words.clear()
+        self.runs.clear()
+
     def _word(self, word: str) -> bytes:
         """The ids of a plain word, from the library's model."""
         if not word.isascii():
@@ -303,14 +308,16 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end_id: int) -> Encoder:
-    import os
+    """The encoder of a file, kept while the worker needs it; it uses one thread, as its task does."""
+
+    def build() -> Encoder:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        made = Encoder(path, end_id)
+        quiet_collector()
+        return made
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    made = Encoder(path, end_id)
-    quiet_collector()
-    return made
+    return kept(("encoder", path, end_id), build)
 
 
 @dataclass(frozen=True)

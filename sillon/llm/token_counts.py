@@ -14,12 +14,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import kept, map_batches, texts_of
 from .pretokens import Cache, pretokens, quiet_collector, unit_text, units
 
 #: A text of more tokens than this is over the limit.
@@ -51,6 +50,11 @@ class Merger:
         self.words = Cache(self.count_pretoken)
         self.units = Cache(self.count_unit)
 
+    def release(self) -> None:
+        """Gives up the caches, whose functions hold on to the merger."""
+        self.words.clear()
+        self.units.clear()
+
     def count_pretoken(self, pretoken: str) -> int:
         """Symbols minus merges of one pretoken."""
         symbols: list[int] = [self.first[b] for b in pretoken.encode("utf-8", "surrogatepass")]
@@ -92,12 +96,15 @@ class Merger:
         return sum(map(self.units.__getitem__, units(text))) if text else 0
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> Merger:
-    """The merger of a file, kept while the worker lives."""
-    made = Merger(path)
-    quiet_collector()
-    return made
+    """The merger of a file, kept while the worker needs it."""
+
+    def build() -> Merger:
+        made = Merger(path)
+        quiet_collector()
+        return made
+
+    return kept(("merger", path), build)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:
