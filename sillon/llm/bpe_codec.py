@@ -26,7 +26,8 @@ from .pretokens import CACHE_CHARS, CACHE_ENTRIES, pretokens, quiet_collector, u
 class Codec:
     """Encoder and decoder of a file of ranks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
@@ -121,9 +122,9 @@ class Codec:
     def encode_block(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text of a block."""
         cut = [units(x) if x else [] for x in texts]
-        if len(self.units) > CACHE_ENTRIES:
+        if len(self.units) > self.entries:
             self.units.clear()
-        if len(self.words) > CACHE_ENTRIES:
+        if len(self.words) > self.entries:
             self.words.clear()
         new_units = {u: pretokens(unit_text(u)) for u in set(filterfalse(self.units.__contains__, chain.from_iterable(cut)))}
         new_words = list(set(chain.from_iterable(new_units.values())).difference(self.words))
@@ -142,15 +143,15 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def codec(path: str) -> Codec:
-    """The codec of a file, kept while the worker needs it."""
+def codec(path: str, entries: int = CACHE_ENTRIES) -> Codec:
+    """The codec of a file, with caches of about so many entries, kept while the worker needs it."""
 
     def build() -> Codec:
-        made = Codec(path)
+        made = Codec(path, entries)
         quiet_collector()
         return made
 
-    return kept(("codec", path), build)
+    return kept(("codec", path, entries), build)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -171,7 +172,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id")
     return map_batches(encoded.select(key, ids), run, f"{key} {dict(encoded.dtypes)[key]}, bytes binary", lambda: codec(path))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", entries: int = CACHE_ENTRIES) -> DataFrame:
     """Encodes each text, decodes the ids, and returns number of ids and digests of both."""
     schema = f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -185,4 +186,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
             "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in encoded],
         }
 
-    return map_batches(docs.select(key, text), run, schema, lambda: codec(path))
+    return map_batches(docs.select(key, text), run, schema, lambda: codec(path, entries))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -34,6 +35,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not start:
+            give_up()  # an operator without a state follows one that had one
         state = start() if start else None
         for batch in batches:
             if not batch.num_rows:
@@ -68,13 +71,21 @@ def kept(key: tuple, build: Callable):
     it has a method ``release``. So the caches of several operators in a row don't add up.
     """
     if not _state or _state[0] != key:
-        if _state and hasattr(_state[1], "release"):
-            _state[1].release()
-        _state.clear()
+        give_up()
         _state[:] = [key, build()]
     return _state[1]
 
 
+def give_up() -> None:
+    """Drops the state that this worker keeps, if any, and returns unused memory."""
+    if _state:
+        if hasattr(_state[1], "release"):
+            _state[1].release()
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts; a null is an empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
