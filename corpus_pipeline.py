@@ -13,6 +13,10 @@ from sillon.llm.common import fold, materialize
 from sillon.sources.tables import table
 
 
+#: Entries of the codec's caches: executors still hold what the stages before have grown.
+CODEC_ENTRIES = 100_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that a learned language explains; those without letters or in no such language go."""
     model = langid.train(langid.sample(docs, "text", "lang"))
@@ -39,7 +43,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded bytes of each document."""
-    return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), entries=CODEC_ENTRIES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
