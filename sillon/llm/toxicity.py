@@ -11,8 +11,9 @@ the same difference of its strongest expressions, and by its length. A logistic
 that the counts leave out, turns these into a score.
 
 Corpus counts cover all labelled training rows: words are counted by class where they are read, and only sums are
-shuffled. What workers receive is bounded: at most ``MAX_NGRAMS`` n-grams, the most frequent ones. The calibration uses
-at most about ``CALIBRATION_DOCS`` rows of each class.
+shuffled. The model keeps every n-gram, however rare, so what workers receive grows with the distinct n-grams of the
+labelled text. Workers hold them as sorted arrays of 64-bit hashes, some 60 bytes each, and score the distinct words
+of a block of texts together. The calibration uses at most about ``CALIBRATION_DOCS`` rows of each class.
 
 Cases: a null or empty text has no words and gets the score of an empty text, which the calibration gives; without
 training rows of both classes every score is 0; rows without a label are scored but not learned from; repeated rows get
@@ -33,19 +34,19 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, bounded_batches, kept, materialize, small_or_plain, texts_of
+from .common import add_columns, bounded_batches, kept, small_or_plain, texts_of
 from .pretokens import Cache
 
 ORDER = 6
 DISCOUNT = 0.75
-#: N-grams of the model; the least frequent are left to the shared backoff.
-MAX_NGRAMS = 300_000
 #: Labelled rows of each class, at most a quarter of all, that calibrate the score and are left out of the counts.
 CALIBRATION_DOCS = 3000
 #: Distinct entries that a counting task holds before it hands them on.
 FLUSH = 200_000
-#: Entries of each of a scorer's caches.
+#: Entries of a scorer's cache of words.
 CACHED = 300_000
+#: Characters of texts, and words of them, that are scored together.
+CHUNK_CHARS, CHUNK_WORDS = 1 << 20, 20_000
 #: Longest word that is modelled as one; longer ones are cut into such pieces.
 WORD_CHARS = 40
 BORDER = "\x00"
@@ -109,19 +110,6 @@ def ngram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "g string, ordinary long, toxic long").groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def bounded_ngrams(counts: DataFrame, limit: int = MAX_NGRAMS) -> pa.Table:
-    """The most frequent n-grams, as many as stay within ``limit``, collected."""
-    counts = materialize(counts, "ngrams")
-    size = F.floor(F.log2((F.col("ordinary") + F.col("toxic")).cast("double")) * 16).cast("int")
-    steps = counts.groupBy(size.alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()  # a few hundred rows
-    least, held = 1 << 30, 0
-    for r in steps:
-        if held + r.m > limit:
-            break
-        least, held = r.n, held + r.m
-    return counts.filter(size >= least).toArrow()
-
-
 @dataclass
 class Counts:
     """N-grams by class as plain arrays, of which workers make a ``Scorer``."""
@@ -144,80 +132,166 @@ class Model:
     name: str = ""
 
 
+#: Multipliers of an n-gram's hash by a character's place from the end.
+_PLACES = np.random.RandomState(20240301).randint(0, 1 << 63, ORDER, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hash(chars: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams of one length, given as rows of code points from the last to the first."""
+    out = np.zeros(len(chars), dtype=np.uint64)
+    for k in range(chars.shape[1]):
+        out += (chars[:, k].astype(np.uint64) + np.uint64(1)) * _PLACES[k]
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Level:
+    """N-grams of one length, sorted by hash: occurrences by class and the shared probability of the last character;
+    and their contexts: sums and different characters after them, by class and shared."""
+
+    def __init__(self, chars: np.ndarray, shared: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray, below: Level | None, lowest: float):
+        keys = _hash(chars)
+        order = np.argsort(keys)
+        self.keys, chars, shared, self.ordinary, self.toxic = (v[order] for v in (keys, chars, shared, ordinary, toxic))
+        self.contexts, of = np.unique(_hash(chars[:, 1:]), return_inverse=True)
+        sums = [self.ordinary, self.ordinary > 0, self.toxic, self.toxic > 0, shared, np.ones(len(of))]
+        self.stats = [np.bincount(of, weights=v, minlength=len(self.contexts)) for v in sums]
+        lower = below.probability[_find(below.keys, _hash(chars[:, :-1]))[0]] if below else lowest
+        self.probability = (np.maximum(shared - DISCOUNT, 0) + DISCOUNT * self.stats[5][of] * lower) / self.stats[4][of]
+
+
 class Scorer:
     """Counts ready to score texts."""
 
     def __init__(self, counts: Counts):
-        grams = counts.grams.split("\n") if counts.grams else []
-        #: Occurrences in ordinary and toxic text.
-        self.counts = dict(zip(grams, zip(counts.ordinary.tolist(), counts.toxic.tolist(), strict=True), strict=True))
+        points = _points(counts.grams + "\n") if counts.grams else np.zeros(0, dtype=np.uint32)
+        ends = np.flatnonzero(points == 10)
+        lengths = np.diff(ends, prepend=-1) - 1
         # what has nothing before it, words' beginnings and the longest n-grams, counts as often as it occurs; others
         # count by the different characters before them
-        self.shared = {g: x + y for g, (x, y) in self.counts.items()}
-        kinds = list(grams)
-        for n in range(ORDER, 1, -1):
-            continued = Counter(g[1:] for g in kinds if len(g) == n)
-            self.shared.update(continued)
-            kinds = [g for g in kinds if len(g) < n] + list(continued)
-        #: For each context: by class and shared, (sum, different characters after it).
-        self.contexts: dict[str, list[int]] = {}
-        for g, (x, y) in self.counts.items():
-            c = self.contexts.setdefault(g[:-1], [0] * 6)
-            c[0] += x
-            c[1] += x > 0
-            c[2] += y
-            c[3] += y > 0
-        for g, n in self.shared.items():
-            c = self.contexts.setdefault(g[:-1], [0] * 6)
-            c[4] += n
-            c[5] += 1
-        self.letters = sum(len(g) == 1 for g in self.shared)
-        self.words = Cache(self.difference, entries=CACHED)
-        self._grams = Cache(self._gram_difference, entries=CACHED)
-        self._shared = Cache(self._shared_probability, entries=CACHED)
+        parts = []
+        above = np.zeros((0, ORDER + 1), dtype=np.uint32)
+        for n in range(ORDER, 0, -1):
+            own = np.flatnonzero(lengths == n)
+            chars = points[ends[own][:, None] - 1 - np.arange(n)]
+            x, y = (np.asarray(v, dtype=np.int64)[own] for v in (counts.ordinary, counts.toxic))
+            _, first, continued = np.unique(_hash(above[:, :-1]), return_index=True, return_counts=True)
+            none = np.zeros(len(first), dtype=np.int64)
+            above = np.concatenate((chars, above[first, :-1]))
+            parts.append((above, np.concatenate((x + y, continued)), np.concatenate((x, none)), np.concatenate((y, none))))
+        self.lowest = 1 / (len(above) + 1)
+        #: N-grams by length, from 1.
+        self.levels: list[Level] = []
+        for part in reversed(parts):
+            self.levels.append(Level(*part, self.levels[-1] if self.levels else None, self.lowest))
+        self.words: dict[str, float] = {}
+        self._shared = Cache(lambda gram: float(self._probabilities(_points(gram)[::-1][None, :])[0]), entries=CACHED)
 
     def release(self) -> None:
-        """Gives up the tables. The caches' functions hold on to the scorer, so it wouldn't go by itself."""
-        for table in (self.words, self._grams, self._shared, self.counts, self.shared, self.contexts):
+        """Gives up the tables. The cache's function holds on to the scorer, so it wouldn't go by itself."""
+        for table in (self.words, self._shared, self.levels):
             table.clear()
 
-    def _shared_probability(self, gram: str) -> float:
-        """Kneser-Ney probability of the last character after the others, from shared counts."""
-        lower = self._shared[gram[1:]] if len(gram) > 1 else 1 / (self.letters + 1)
-        context = self.contexts.get(gram[:-1])
-        if context is None:
-            return lower
-        total, kinds = context[4], context[5]
-        return (max(self.shared.get(gram, 0) - DISCOUNT, 0) + DISCOUNT * kinds * lower) / total
-
-    def _gram_difference(self, gram: str) -> float:
-        """Toxic minus ordinary log-likelihood of an n-gram's last character after the others."""
-        context = self.contexts.get(gram[:-1])
-        if context is None:
-            return 0.0
-        n0, k0, n1, k1, _, _ = context
-        shared = self._shared[gram]
-        c0, c1 = self.counts.get(gram, (0, 0))
-        p0 = (max(c0 - DISCOUNT, 0) + DISCOUNT * k0 * shared) / n0 if n0 else shared
-        p1 = (max(c1 - DISCOUNT, 0) + DISCOUNT * k1 * shared) / n1 if n1 else shared
-        return math.log(p1 / p0)
+    def _probabilities(self, chars: np.ndarray) -> np.ndarray:
+        """Kneser-Ney probabilities of n-grams' last characters after the others, from shared counts."""
+        if not chars.shape[1]:
+            return np.full(len(chars), self.lowest)
+        level = self.levels[chars.shape[1] - 1]
+        at, known = _find(level.keys, _hash(chars))
+        out = level.probability[at] if len(level.keys) else np.zeros(len(chars))
+        new = np.flatnonzero(~known)
+        if len(new):
+            lower = self._probabilities(chars[new, :-1])
+            at, known = _find(level.contexts, _hash(chars[new, 1:]))
+            if len(level.contexts):
+                lower = np.where(known, DISCOUNT * level.stats[5][at] * lower / level.stats[4][at], lower)
+            out[new] = lower
+        return out
+
+    def _gram_differences(self, chars: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-likelihoods of n-grams' last characters after the others; 0 after an unknown context."""
+        level = self.levels[chars.shape[1] - 1]
+        out = np.zeros(len(chars))
+        context, known = _find(level.contexts, _hash(chars[:, 1:]))
+        rows = np.flatnonzero(known)
+        if not len(rows):
+            return out
+        chars, context = chars[rows], context[rows]
+        n0, k0, n1, k1 = (v[context] for v in level.stats[:4])
+        at, known = _find(level.keys, _hash(chars))
+        shared = self._probabilities(chars)
+        logs = []
+        for counts, n, k in ((level.ordinary, n0, k0), (level.toxic, n1, k1)):
+            c = np.where(known, counts[at], 0)
+            logs.append(np.log(np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * k * shared) / np.maximum(n, 1), shared)))
+        out[rows] = logs[1] - logs[0]
+        return out
+
+    def differences(self, words: list[str]) -> list[float]:
+        """Toxic minus ordinary log-likelihood of each word; every distinct n-gram is looked up once."""
+        points = _points(BORDER + BORDER.join(words) + BORDER)  # neighbours share a border
+        borders = np.flatnonzero(points == 0)
+        lengths = np.diff(borders)
+        place = np.arange(1, len(points)) - np.repeat(borders[:-1], lengths)
+        values = np.zeros(len(points) - 1)
+        for n in range(2, ORDER + 1):
+            here = np.flatnonzero(place == n - 1) if n < ORDER else np.flatnonzero(place >= n - 1)
+            chars = points[here[:, None] + 1 - np.arange(n)]
+            _, first, of = np.unique(_hash(chars), return_index=True, return_inverse=True)
+            values[here] = self._gram_differences(chars[first])[of]
+        return np.add.reduceat(values, borders[:-1]).tolist()
 
     def difference(self, word: str) -> float:
         """Toxic minus ordinary log-likelihood of a word."""
-        return sum(map(self._grams.__getitem__, ngrams(word)))
-
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Strongest expression, mean of the three strongest, difference a character, log of the number of words."""
-        words = _words(text.lower())
+        return self.differences([word])[0]
+
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Works out what ``words`` lacks of some lists of words."""
+        held = self.words
+        new = {w for words in lists for w in words if w not in held}
+        if len(held) + len(new) > CACHED:
+            held.clear()
+            new = {w for words in lists for w in words}
+        new = list(new)
+        for i in range(0, len(new), CHUNK_WORDS):
+            part = new[i : i + CHUNK_WORDS]
+            held.update(zip(part, self.differences(part), strict=True))
+
+    def features(self, texts: list[str]) -> list[tuple[float, float, float, float]]:
+        """For each text: strongest expression, mean of the three strongest, difference a character, log of the number of words."""
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (not size or size + len(texts[to]) <= CHUNK_CHARS):
+                size += len(texts[to])
+                to += 1
+            lists = [_words(x.lower()) for x in texts[at:to]]
+            self._learn(lists)
+            out += map(self._features, lists)
+            at = to
+        return out
+
+    def _features(self, words: list[str]) -> tuple[float, float, float, float]:
         if not words:
             return 0.0, 0.0, 0.0, 0.0
         d = list(map(self.words.__getitem__, words))
         top = sorted(set(zip(d, words, strict=True)), reverse=True)[:3] if max(d) > 0 else [(max(d), "")]
         return min(top[0][0], 30.0), min(sum(x for x, _ in top) / 3, 30.0), max(-5.0, min(5.0, sum(d) / (sum(map(len, words)) + len(words)))), math.log1p(len(words))
 
-    def score(self, text: str, weights: tuple[float, ...]) -> float:
-        z = weights[0] + sum(a * b for a, b in zip(weights[1:], self.features(text), strict=True))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+    def scores(self, texts: list[str], weights: tuple[float, ...]) -> list[float]:
+        z = [weights[0] + sum(a * b for a, b in zip(weights[1:], f, strict=True)) for f in self.features(texts)]
+        return [1 / (1 + math.exp(-max(-50.0, min(50.0, v)))) for v in z]
 
 
 def _scorer(shared: Broadcast, name: str) -> Scorer:
@@ -249,11 +323,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     share = F.create_map(*[F.lit(v) for t, n in sizes.items() for v in (t, min(0.25, CALIBRATION_DOCS / n))])
     marks = marks.withColumn("held", F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / F.lit(1 << 20) < share[F.col("t")])
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(small_or_plain(marks), "k")
-    counts = Counts.of(bounded_ngrams(ngram_counts(word_counts(known.filter(~F.col("held")), "x", "t"))))
+    counts = Counts.of(ngram_counts(word_counts(known.filter(~F.col("held")), "x", "t")).toArrow())
     shared, name = spark.sparkContext.broadcast(counts), uuid.uuid4().hex
 
     def run(batch, scorer):
-        return {"f": [list(scorer.features(x)) for x in texts_of(batch, "x")]}
+        return {"f": list(map(list, scorer.features(texts_of(batch, "x"))))}
 
     rows = add_columns(known.filter("held").select("x", "t"), run, "f array<double>", lambda: _scorer(shared, name)).select("f", "t").collect()
     if len({r.t for r in rows}) < 2:  # too few rows for a fit: an expression e^6 times likelier in toxic text decides
@@ -266,7 +340,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -
     shared, weights, name = model.counts, model.weights, model.name
 
     def run(batch, scorer):
-        scores = [scorer.score(x, weights) if scorer else 0.0 for x in texts_of(batch, text)]
+        texts = texts_of(batch, text)
+        scores = scorer.scores(texts, weights) if scorer else [0.0] * len(texts)
         return {f"{prefix}score": scores, f"{prefix}predicted": [int(s >= 0.5) for s in scores]}
 
     return add_columns(docs, run, f"{prefix}score double, {prefix}predicted int", lambda: _scorer(shared, name) if shared else None)

@@ -115,6 +115,58 @@ def test_shared_backoff():
     assert 0.5 < total <= 1.0001
 
 
+def brute_difference(counts, word):
+    """The difference of a word by plain dictionaries of all n-grams."""
+    shared, kinds = {g: x + y for g, (x, y) in counts.items()}, set(counts)
+    for n in range(toxicity.ORDER, 1, -1):
+        for g in [g for g in kinds if len(g) == n]:
+            shared[g[1:]] = shared.get(g[1:], 0) + 1
+            kinds.add(g[1:])
+    after = {}
+    for g in shared:
+        after.setdefault(g[:-1], []).append(g)
+    letters, cut = sum(len(g) == 1 for g in shared), toxicity.DISCOUNT
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (letters + 1)
+        a = after.get(g[:-1])
+        return (max(shared.get(g, 0) - cut, 0) + cut * len(a) * lower) / sum(map(shared.get, a)) if a else lower
+
+    total = 0.0
+    for g in toxicity.ngrams(word):
+        seen, q = [counts[h] for h in after.get(g[:-1], []) if h in counts], []
+        for k in (0, 1):
+            n, different, c = sum(v[k] for v in seen), sum(v[k] > 0 for v in seen), counts.get(g, (0, 0))[k]
+            q.append((max(c - cut, 0) + cut * different * p(g)) / n if n else p(g))
+        total += np.log(q[1] / q[0]) if g[:-1] in after else 0.0
+    return total
+
+
+def test_differences_equal_plain_dictionaries():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcé\U0001d4d0", k=rng.randint(1, 9))) for _ in range(150)]
+    counts = {}
+    for w in words[:80]:
+        x, y = rng.choice([(3, 0), (0, 2), (4, 1)])
+        for g in toxicity.ngrams(w):
+            a = counts.get(g, (0, 0))
+            counts[g] = (a[0] + x, a[1] + y)
+    s = toxicity.Scorer(toxicity.Counts("\n".join(counts), *(np.array([v[k] for v in counts.values()]) for k in (0, 1))))
+    assert np.allclose(s.differences([*words, "zq"]), [brute_difference(counts, w) for w in [*words, "zq"]])
+    empty = toxicity.Scorer(toxicity.Counts("", np.zeros(0), np.zeros(0)))
+    assert empty.differences(["ab", "c"]) == [0, 0] and empty.features(["", "ab"])[0] == (0, 0, 0, 0)
+
+
+def test_rare_toxic_ngrams_are_kept(spark):
+    rng = random.Random(9)
+    common = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(60_000)]
+    rows = [(i, f"{' '.join(common)} n{'x' * i}", 0) for i in range(16)] + [(100 + i, f"{common[0]} grolk {'y' * i}", 1) for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"), F.lit(True))
+    held = set(model.counts.value.grams.split("\n"))
+    assert len(held) > 300_000 and set(toxicity.ngrams("grolk")) <= held and all(held.issuperset(toxicity.ngrams(w)) for w in common)
+
+
 def test_registers_estimate():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(2000)]
