@@ -35,7 +35,8 @@ from .components import components
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
-SHINGLE = 2
+#: Words of a shingle, where a caller asks for no other number.
+SHINGLE = 5
 THRESHOLD = 80
 #: Candidates whose estimate is lower than the threshold by more than this (six standard deviations) are dropped.
 MARGIN = 0.18
@@ -154,7 +155,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.maximum(0.0, (equal - chance) / (1 - chance))
 
 
-def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """Columns doc_id, n_shingles, digest (of the set, null if empty) and registers (big-endian, null if empty)."""
 
     def run(batch):
@@ -166,7 +167,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             while to < len(texts) and (not size or size + len(texts[to]) <= CHUNK_BYTES):
                 size += len(texts[to])
                 to += 1
-            sets = shingle_hashes(texts[at:to])
+            sets = shingle_hashes(texts[at:to], shingle)
             rows = iter(registers([s for s in sets if len(s)]))
             for s in sets:
                 out["n_shingles"].append(len(s))
@@ -193,7 +194,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     return map_batches(sized.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batch):
@@ -201,8 +202,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
         last: tuple[str, frozenset] = ("", frozenset())
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
             if last[0] != x:
-                last = (x, shingles_of(x))
-            if linked(last[1], shingles_of(y), threshold):
+                last = (x, shingles_of(x, shingle))
+            if linked(last[1], shingles_of(y, shingle), threshold):
                 out["a"].append(a)
                 out["b"].append(b)
         return out
@@ -211,9 +212,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def _vectors(texts: DataFrame) -> DataFrame:
+def _vectors(texts: DataFrame, shingle: int) -> DataFrame:
     """Columns node and vector (sorted shingle hashes as bytes)."""
-    return map_batches(texts.select("node", "text"), lambda batch: {"node": batch.column("node"), "vector": [s.tobytes() for s in shingle_hashes(texts_of(batch))]}, "node long, vector binary")
+    return map_batches(texts.select("node", "text"), lambda batch: {"node": batch.column("node"), "vector": [s.tobytes() for s in shingle_hashes(texts_of(batch), shingle)]}, "node long, vector binary")
 
 
 def block_links(xs: list[dict], ys: list[dict], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -243,13 +244,13 @@ def block_links(xs: list[dict], ys: list[dict], threshold: int = THRESHOLD) -> l
     return list(out.values())
 
 
-def _rest(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _rest(members: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """Links (a, b) among bucket members (key, node, component) of different components; the main component's members aren't compared with each other."""
     spread = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = spread.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
     among = small_or_plain(members.select("node").distinct())
     item = F.struct("node", "component", "vector")
-    held = members.join(main, "key").join(_vectors(texts.join(among, "node", "left_semi")), "node")
+    held = members.join(main, "key").join(_vectors(texts.join(among, "node", "left_semi"), shingle), "node")
 
     def block(size: Column) -> Column:
         return F.pmod(F.xxhash64("node"), F.ceil(size / F.lit(BLOCK))).alias("block")
@@ -264,10 +265,10 @@ def _rest(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return map_batches(left.drop("block").join(right.drop("block"), "key").select("xs", "ys"), run, "a long, b long")
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (least doc_id of all that links reach), kept: one row for each row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = materialize(signatures(docs), "sketches")
+    sketched = materialize(signatures(docs, shingle=shingle), "sketches")
     grouped = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     sets = materialize(grouped, "sets")
     nodes = sets.filter("node is not null")
@@ -280,7 +281,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     texts = materialize(docs.filter("text is not null").withColumnRenamed("doc_id", "node").join(among, "node", "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(_near(pairs.distinct(), sketches, threshold), texts, threshold), "links")
+        return materialize(_confirmed(_near(pairs.distinct(), sketches, threshold), texts, threshold, shingle), "links")
 
     found = components(links_of(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     for star in range(STARS + 1):
@@ -291,7 +292,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         if star < STARS:
             pairs = open_.filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         else:
-            pairs = materialize(_rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold), "pairs")
+            pairs = materialize(_rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold, shingle), "pairs")
         links = links_of(pairs)
         if links.isEmpty():
             if star < STARS:
@@ -308,13 +309,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     return sketched.join(sets_of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, with all its columns: that of the least ``key``.
 
     Rows that repeat a key are one document, of which the row with the least hash of the text stays. Rows without a key
     can't be told apart and all stay.
     """
-    kept = materialize(classes(docs, text, key, threshold).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sillon_rows")), "kept")
+    kept = materialize(classes(docs, text, key, threshold, shingle).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sillon_rows")), "kept")
     ids = kept.select(F.col("doc_id").alias("sillon_key"), "sillon_rows")
     found = docs.join(small_or_plain(ids), F.col(key).cast("long") == F.col("sillon_key"))
     once = found.filter("sillon_rows = 1").select(*docs.columns)

@@ -103,8 +103,12 @@ LEFT JOIN blocked bt ON bt.level = 't'
 """
 
 
+#: Fixed value: words of a shingle of the registered query.
+OP8_SHINGLE = 2
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.classes(table(spark, sf_dir, "documents"))
+    return minhash.classes(table(spark, sf_dir, "documents"), shingle=OP8_SHINGLE)
 
 
 OP8_SQL = r"""

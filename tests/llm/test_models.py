@@ -234,6 +234,29 @@ def test_near_duplicates(spark, near_rows):
     assert minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_stage_takes_five_words(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    rows = []
+    for base in range(12):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((100 * base, " ".join(t)))
+        for i, places in enumerate(([50], [10, 30, 50, 70, 90], range(45, 50)), 1):
+            u = list(t)
+            for p in places:
+                u[p] = f"z{base}x{i}x{p}"
+            rows.append((100 * base + i, " ".join(u)))
+    assert minhash.SHINGLE == 5
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted({c for _, c in want.values()})
+    assert {c % 100 for _, c in want.values()} == {0, 2}  # five scattered words part five-word sets, not two-word ones
+    monkeypatch.setattr(minhash, "shingles_of", lambda t, size=2, of=minhash.shingles_of: of(t, size))
+    two = brute_components(rows)
+    assert {c % 100 for _, c in two.values()} == {0} and {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(docs, shingle=2).collect()} == two
+
+
 def test_blocks_link_what_brute_force_links(near_rows):
     rows = [(d, t) for d, t in near_rows if t and t.strip()]
     vectors = minhash.shingle_hashes([t for _, t in rows])
