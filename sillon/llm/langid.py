@@ -21,7 +21,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import add_columns, kept, texts_of
@@ -30,8 +30,7 @@ from .common import add_columns, kept, texts_of
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2048
 SAMPLE_SYMBOLS = 40_000
-#: Languages and letters that may be told apart; further letters count as one unknown.
-MAX_LANGUAGES = 200
+#: Letters that may be told apart; further letters count as one unknown.
 MAX_LETTERS = 250
 SEGMENT = 512
 UNDETERMINED = "und"
@@ -209,22 +208,20 @@ class Parser:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """A stretch of each of at most ``docs`` documents for each language, chosen by a hash of the text."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("x"))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 2.0 * docs / n))])
+    """A stretch of each of ``docs`` distinct texts with letters for each language, or of all where they are fewer.
+
+    Those with the least hashes are taken, so copies, however many, and texts without letters crowd out nothing.
+    """
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"[\p{L}\p{M}]")).select(F.col(lang).alias("l"), F.col(text).alias("x"))
     tie = F.xxhash64("x")
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "tie"))  # Spark keeps the first of each task before it shuffles
+    least = rows.select("l", F.xxhash64("x", F.lit(1)).alias("h"), tie.alias("tie")).distinct().withColumn("place", place).filter(F.col("place") <= docs).select("l", "tie")
     start = F.pmod(tie, F.greatest(F.lit(1), F.length("x") - chars)) + 1
-    # a second hash decides, so that where copies are many they are chosen or left together
-    drawn = rows.filter((F.pmod(F.xxhash64("x", F.lit(1)), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col("l")]).groupBy("l", tie.alias("tie")).agg(F.first(F.substring("x", start, F.lit(chars))).alias("x"))
-    found: dict[str, list[tuple[int, str]]] = {k: [] for k in sizes}
+    drawn = rows.withColumn("tie", tie).join(F.broadcast(least), ["l", "tie"]).groupBy("l", "tie").agg(F.first(F.substring("x", start, F.lit(chars))).alias("x"))
+    found: dict[str, list[tuple[int, str]]] = {}
     for r in drawn.collect():
-        found[r.l].append((r.tie, r.x))
-    return {k: [x for _, x in sorted(v)[:docs]] for k, v in found.items() if v}
+        found.setdefault(r.l, []).append((r.tie, r.x))
+    return {k: [x for _, x in sorted(v)] for k, v in found.items()}
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:

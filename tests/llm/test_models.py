@@ -76,6 +76,16 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_copies_leave_a_sample_of_each_language(spark):
+    rng = random.Random(11)
+    few = spark.createDataFrame([(prose(rng, "xx", 20), "xx") for _ in range(300)] + [(prose(rng, "yy", 20), "yy") for _ in range(5)], "text string, lang string")
+    copies = spark.range(400_000).select(F.when(F.col("id") % 4 > 0, F.lit(prose(rng, "yy", 20))).otherwise("").alias("text"), F.when(F.col("id") % 2 == 0, "yy").otherwise("xx").alias("lang"))
+    got = langid.sample(few.unionByName(copies), "text", "lang")
+    assert {k: len(set(v)) for k, v in got.items()} == {"xx": 128, "yy": 6}
+    many = spark.range(450).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.col("id").cast("string").alias("lang"))
+    assert len(langid.sample(many, "text", "lang")) == 450
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["grolk", "vosnik", "grolkung"]
