@@ -30,11 +30,10 @@ from .common import add_columns, kept, texts_of
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2048
 SAMPLE_SYMBOLS = 40_000
-#: Letters that may be told apart; further letters count as one unknown.
-MAX_LETTERS = 250
 SEGMENT = 512
 UNDETERMINED = "und"
-#: Letters a phrase on the average, below which no learned language explains a text.
+#: Letters a phrase on the average, below which no learned language explains a text; less in languages whose own texts
+#: fall short, see ``least_phrases``.
 LEAST_PHRASE = 2.0
 #: Shorter texts are never rejected for their phrases.
 LEAST_LETTERS = 40
@@ -73,24 +72,63 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return trans
 
 
+#: Spreads keys over the slots of a table.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Transitions:
+    """All automata's transitions in one open hash table, from state and symbol; probes end at an empty slot."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        size = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - size), (1 << size) - 1
+        self.keys, self.to = np.full(1 << size, -1, dtype=np.int64), np.zeros(1 << size, dtype=np.int32)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            _, first = np.unique(slots, return_index=True)
+            first = first[self.keys[slots[first]] < 0]
+            self.keys[slots[first]], self.to[slots[first]] = keys[left[first]], to[left[first]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, slots = left[rest], (slots[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The states that keys lead to, -1 where there is no transition."""
+        slots = self._slots(keys)
+        seen = self.keys.take(slots)
+        out = np.where(seen == keys, self.to.take(slots), np.int32(-1))
+        left = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(left):
+            slots_left = (slots[left] + 1) & self.mask
+            slots[left] = slots_left
+            seen, wanted = self.keys.take(slots_left), keys[left]
+            hit = seen == wanted
+            out[left[hit]] = self.to[slots_left[hit]]
+            left = left[~hit & (seen >= 0)]
+        return out
+
+
 @dataclass
 class Model:
-    """Languages, symbols of letters, and one table of all automata.
-
-    An entry holds, for a row (state) and a symbol, twice the place of the next state's row, plus 1 if the match ends
-    and a new phrase begins.
-    """
+    """Languages, symbols of letters, and the transitions of all automata."""
 
     languages: list[str]
     letters: dict[str, int]
-    table: np.ndarray
-    #: The place of each language's row in which a text begins.
-    roots: np.ndarray
+    transitions: Transitions
+    #: For each language and symbol: the state in which a phrase that begins with the symbol goes on.
+    begins: np.ndarray
+    #: Each language's state in which a text begins and any symbol begins a phrase.
+    fresh: np.ndarray
     bits: np.ndarray
+    #: Letters a phrase below which a language doesn't explain a text.
+    least: np.ndarray
 
     def symbol_table(self) -> np.ndarray:
         """The symbol of each code point."""
-        out = np.full(0x110000, _SEPARATOR, dtype=np.uint8)
+        out = np.full(0x110000, _SEPARATOR, dtype=np.int32)
         for cp in range(0x110000):
             if 0xD800 <= cp < 0xE000:
                 continue
@@ -114,39 +152,54 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def train(samples: dict[str, list[str]]) -> Model:
-    """The model of some texts by language."""
+def _model(samples: dict[str, list[str]]) -> Model:
     counts = Counter(c for texts in samples.values() for x in texts for c in x.lower() if unicodedata.category(c)[0] in "LM")
-    letters = {c: 2 + i for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS])}
+    letters = {c: 2 + i for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
     width = 2 + len(letters)
-    model = Model(sorted(samples), letters, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    symbol = {ord(c): s for c, s in letters.items()}
-    tables, roots, bits, at = [], [], [], 0
-    for language in model.languages:
+    languages = sorted(samples)
+    begins, fresh, bits, at = np.zeros((len(languages), width), dtype=np.int32), [], [], 0
+    keys, to = [], []
+    for begin, language in zip(begins, languages, strict=True):
         line: list[int] = [_SEPARATOR]
         for x in samples[language]:
-            line += _squeezed(np.array([symbol.get(ord(c), _UNKNOWN if unicodedata.category(c)[0] in "LM" else _SEPARATOR) for c in x.lower() + " "], dtype=np.uint8)).tolist()
+            line += _squeezed(np.array([letters.get(c, _SEPARATOR) for c in x.lower() + " "], dtype=np.int32)).tolist()
             if len(line) >= SAMPLE_SYMBOLS:
                 break
         line = line[:SAMPLE_SYMBOLS]
-        trans = suffix_automaton([s for s in line if s != _UNKNOWN])
-        fresh = len(trans)  # a last row, in which any symbol begins a phrase
-        trans.append({})
-        root = np.full(width, fresh, dtype=np.int64)  # a symbol that the sample lacks is a phrase of its own
-        for s, to in trans[0].items():
-            root[s] = to
-        dense = np.tile((at + root * width) * 2 + 1, (len(trans), 1))
+        trans = suffix_automaton(line)
+        fresh.append(at + len(trans))  # a last state without transitions, in which any symbol begins a phrase
+        begin[:] = fresh[-1]  # a symbol that the sample lacks is a phrase of its own
+        for s, state in trans[0].items():
+            begin[s] = at + state
         for state, row in enumerate(trans):
-            for s, to in row.items():
-                dense[state, s] = (at + to * width) * 2
-        tables.append(dense.ravel())
-        roots.append(at + fresh * width)
+            keys += [(at + state) * width + s for s in row]
+            to += [at + state for state in row.values()]
         bits.append(math.log2(max(2, len(line))))
-        at += dense.size
-    model.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-    if at * 2 + 1 < 2**31:
-        model.table = model.table.astype(np.int32)
-    model.roots, model.bits = np.array(roots, dtype=model.table.dtype), np.array(bits)
+        at += len(trans) + 1
+    transitions = Transitions(np.array(keys, dtype=np.int64), np.array(to, dtype=np.int32))
+    return Model(languages, letters, transitions, begins, np.array(fresh, dtype=np.int32), np.array(bits), np.zeros(len(languages)))
+
+
+def least_phrases(samples: dict[str, list[str]], bits: np.ndarray) -> np.ndarray:
+    """Letters a phrase that each language asks for: ``LEAST_PHRASE``, or less where its own texts reach little more.
+
+    Every second text of a sample is parsed by the others. A text that nothing explains has one letter a phrase; half
+    the way from there to what the held-out texts reach is enough. Matches grow with the logarithm of the sample, and so
+    does the least length asked for.
+    """
+    parser = Parser(_model({k: v[::2] for k, v in samples.items()}))
+    out = np.full(len(samples), LEAST_PHRASE * (float(bits.min()) if len(bits) else 0.0) / math.log2(SAMPLE_SYMBOLS))
+    for i, language in enumerate(sorted(samples)):
+        counts, letters = parser.phrases(samples[language][1::2])
+        if counts[i].sum():
+            out[i] = min(out[i], 1 + (letters.sum() / counts[i].sum() - 1) / 2)
+    return out
+
+
+def train(samples: dict[str, list[str]]) -> Model:
+    """The model of some texts by language."""
+    model = _model(samples)
+    model.least = least_phrases(samples, model.bits)
     return model
 
 
@@ -173,18 +226,21 @@ class Parser:
             return counts, letters
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
-        grid = np.zeros((len(parts), int(lengths.max())), dtype=np.uint8)
+        grid = np.zeros((len(parts), int(lengths.max())), dtype=np.int32)
         for k, i in enumerate(order):
             grid[k, : len(parts[i])] = parts[i]
         columns = np.ascontiguousarray(grid.T)
-        state = np.repeat(m.roots[:, None], len(parts), axis=1)
+        width = m.begins.shape[1]
+        state = np.repeat(m.fresh[:, None], len(parts), axis=1)
         begun = np.zeros((len(m.languages), len(parts)), dtype=np.int32)
         live = np.searchsorted(-lengths[order], -np.arange(columns.shape[0]), side="left")
         for t in range(columns.shape[0]):
             k = live[t]
-            to = m.table.take(state[:, :k] + columns[t, :k])
-            begun[:, :k] += to & 1
-            state[:, :k] = to >> 1
+            column = columns[t, :k]
+            to = m.transitions.find((state[:, :k].astype(np.int64) * width + column).ravel()).reshape(len(m.languages), k)
+            ends = to < 0
+            begun[:, :k] += ends
+            state[:, :k] = np.where(ends, m.begins[:, column], to)
         np.add.at(counts.T, np.array(owner)[order], begun.T)
         return counts, letters
 
@@ -241,7 +297,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
 def rejected(model: Model, lang_pred: Column, phrase_letters: Column, letters: Column) -> Column:
     """Whether no learned language explains a text: it has no letters, or enough of them and only short phrases.
 
-    Matches grow with the logarithm of the sample, and so does the least length asked for.
+    How short depends on the predicted language, see ``least_phrases``.
     """
-    least = LEAST_PHRASE * (float(model.bits.min()) if len(model.bits) else 0.0) / math.log2(SAMPLE_SYMBOLS)
-    return (lang_pred == UNDETERMINED) & (letters == 0) | (letters >= LEAST_LETTERS) & (phrase_letters < least)
+    least = F.create_map(*[F.lit(v) for k, n in zip(model.languages, model.least.tolist(), strict=True) for v in (k, n)])[lang_pred] if model.languages else F.lit(0.0)
+    return (lang_pred == UNDETERMINED) & (letters == 0) | (letters >= LEAST_LETTERS) & (phrase_letters < F.coalesce(least, F.lit(0.0)))

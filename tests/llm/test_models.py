@@ -76,6 +76,28 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_languages_of_many_letters(spark):
+    rng = random.Random(12)
+    signs = {"zz": [chr(0x4E00 + i) for i in range(1500)], "ww": [chr(0xAC00 + i) for i in range(1500)]}
+    words = {k: ["".join(rng.choices(v, k=2)) for _ in range(3000)] for k, v in signs.items()}
+    texts = {k: ["".join(rng.choices(v, k=150)) for _ in range(80)] for k, v in words.items()}
+    samples = {k: v[:60] for k, v in texts.items()} | {"xx": [prose(rng, "xx", 200) for _ in range(60)]}
+    model = langid.train(samples)
+    parser = langid.Parser(model)
+    assert len(model.letters) > 2900
+    line = texts["zz"][70]
+    at = n = 0
+    while at < len(line):
+        at += max(1, longest(line, at, " " + " ".join(samples["zz"]) + " "))
+        n += 1
+    assert parser.phrases([line])[0][model.languages.index("zz"), 0] == n
+    rows = [(t, k) for k, v in texts.items() for t in v[60:]] + [(prose(rng, "xx", 40), "xx") for _ in range(20)]
+    rows += [("".join(rng.choices([chr(0x3400 + i) for i in range(500)], k=200)), None) for _ in range(20)]
+    found = langid.identify(spark.createDataFrame(rows, "text string, lang string"), model)
+    got = found.select("lang", "lang_pred", langid.rejected(model, F.col("lang_pred"), F.col("phrase_letters"), F.col("letters")).alias("gone")).collect()
+    assert all(r.gone if r.lang is None else r.lang_pred == r.lang and not r.gone for r in got)
+
+
 def test_copies_leave_a_sample_of_each_language(spark):
     rng = random.Random(11)
     few = spark.createDataFrame([(prose(rng, "xx", 20), "xx") for _ in range(300)] + [(prose(rng, "yy", 20), "yy") for _ in range(5)], "text string, lang string")
