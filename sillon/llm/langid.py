@@ -7,7 +7,7 @@ the sample, is the text's description length. The language that needs fewest nor
 Texts are lower-cased; letters map to symbols, runs of anything else to one separator. Long texts are parsed in segments
 of ``SEGMENT`` symbols whose phrase counts add up, so that thousands of segments advance together.
 
-Cases: a null or empty text, or one without a letter, is ``und`` with score 0; so is every text where there is no
+Cases: a null or empty text, or one without a letter (marks alone are none), is ``und`` with score 0; so is every text where there is no
 labelled row to learn from; ties go to the language first in alphabetical order; repeated rows get equal results; an
 empty table gives an empty result.
 """
@@ -209,12 +209,15 @@ class Parser:
     def __init__(self, model: Model):
         self.model = model
         self.symbols = model.symbol_table()
+        #: Whether a code point is a letter; marks have symbols, but a text of marks alone has no letter.
+        self.is_letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), dtype=bool, count=0x110000)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language, and its letters."""
         m = self.model
-        rows = [_squeezed(self.symbols[_points(x)]) for x in texts]
-        letters = np.array([int(np.count_nonzero(r)) for r in rows], dtype=np.int64)
+        points = [_points(x) for x in texts]
+        rows = [_squeezed(self.symbols[p]) for p in points]
+        letters = np.array([int(np.count_nonzero(r)) if self.is_letter[p].any() else 0 for r, p in zip(rows, points, strict=True)], dtype=np.int64)
         owner, parts = [], []
         for i, r in enumerate(rows):
             if letters[i]:
@@ -268,7 +271,7 @@ def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, c
 
     Those with the least hashes are taken, so copies, however many, and texts without letters crowd out nothing.
     """
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"[\p{L}\p{M}]")).select(F.col(lang).alias("l"), F.col(text).alias("x"))
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("x"))
     tie = F.xxhash64("x")
     place = F.row_number().over(Window.partitionBy("l").orderBy("h", "tie"))  # Spark keeps the first of each task before it shuffles
     least = rows.select("l", F.xxhash64("x", F.lit(1)).alias("h"), tie.alias("tie")).distinct().withColumn("place", place).filter(F.col("place") <= docs).select("l", "tie")
