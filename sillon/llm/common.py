@@ -120,6 +120,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def fresh(columns: list[str], prefix: str = "sillon_") -> str:
+    """A prefix with which no column's name begins."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 #: Rows up to which a narrow side may be broadcast; some 50 bytes each in an executor's hash table.
 BROADCAST_ROWS = 2_000_000
 
@@ -127,3 +134,25 @@ BROADCAST_ROWS = 2_000_000
 def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+#: Rows of one key that a task should meet; the rows of keys with more are dealt over several tasks.
+HOT_ROWS = 1000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+    """``many`` joined with ``one``, which has at most one row a key, where a few keys may hold most rows of ``many``.
+
+    ``sizes`` (key, n) says how many rows of ``many`` each key has; it should be cheap to read. Rows of keys with more
+    than ``HOT_ROWS`` are dealt by ``by`` over parts, and the row of ``one`` goes to each part.
+    """
+    hot = sizes.filter(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).alias("sillon_parts"))
+    n = hot.count()
+    if not n:
+        return many.join(one, key)
+    if n <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    parts = F.coalesce("sillon_parts", F.lit(1))
+    dealt = many.join(hot, key, "left").withColumn("sillon_part", F.pmod(F.xxhash64(by), parts)).drop("sillon_parts")
+    copied = one.join(hot, key, "left").withColumn("sillon_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("sillon_parts")
+    return dealt.join(copied, [key, "sillon_part"]).drop("sillon_part")

@@ -25,7 +25,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, kept, map_batches, texts_of
+from .common import add_columns, fresh, kept, map_batches, texts_of
 
 WINDOW = 10
 #: Normalised bytes of one automaton's windows; a byte takes some 60 bytes of memory.
@@ -132,9 +132,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str =
     automata = _Automata(_broadcasts(docs.sparkSession.sparkContext, _slices(benchmark, text, item, size, limit)))
 
     def run(batch):
-        return {"sillon_hit": [bool(hits) for hits in _matches(texts_of(batch, text), automata)[1]]}
+        return {hit: [bool(hits) for hits in _matches(texts_of(batch, text), automata)[1]]}
 
-    return add_columns(docs, run, "sillon_hit boolean").filter(~F.col("sillon_hit")).select(*docs.columns)
+    hit = f"{fresh(docs.columns)}hit"
+    return add_columns(docs, run, f"{hit} boolean").filter(~F.col(hit)).select(*docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id", limit: int = SLICE_BYTES, spans: bool = False) -> DataFrame:

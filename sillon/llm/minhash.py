@@ -9,8 +9,9 @@ estimated from equal registers, less the share that would agree by chance at ten
 Documents with equal sets form one class, found by a digest, and are never paired. In each band bucket every class is
 compared with the bucket's least class, a star of as many pairs as members, never all pairs. Linked classes become
 components; buckets that still hold several components get further stars around other members. Members that then remain
-outside their bucket's main component are compared with its other members on full sets, block by block of at most
-about ``BLOCK`` members, and each block gives at most one link between a member and a component. So a pair of classes
+outside their bucket's main component are compared with its other members on full sets, block by block of about
+``BLOCK_BYTES`` of shingle hashes (a longer text is a block of its own), and each block gives at most one link between a
+member and a component. So a pair of classes
 that shares a bucket is either compared or already connected, and what is handed on grows with members, not with pairs.
 
 With 40 bands of 5 registers a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, small_or_plain, texts_of
+from .common import dealt_join, fresh, map_batches, materialize, small_or_plain, texts_of
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -42,8 +43,10 @@ THRESHOLD = 80
 MARGIN = 0.18
 #: Further stars before what remains is compared block by block.
 STARS = 3
-#: Members of a bucket that are held together to be compared.
-BLOCK = 128
+#: Bytes of shingle hashes of a bucket's members that are held together to be compared.
+BLOCK_BYTES = 1 << 20
+#: Cells of the table of members and shingles that are multiplied at once.
+CELLS = 2 << 20
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 1 << 20
 #: Shingles that meet the bucket hashes together; their values stay in the processor's cache.
@@ -179,8 +182,12 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("x")), run, "doc_id long, n_shingles long, digest binary, registers binary")
 
 
+def _sizes(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _near(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is near the threshold or above."""
+    """The pairs (a, b) whose estimated similarity is near the threshold or above. Many may have the same ``a``."""
 
     def run(batch):
         n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "m"))
@@ -190,12 +197,12 @@ def _near(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
 
     a = sketches.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("registers").alias("x"))
     b = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("registers").alias("y"))
-    sized = pairs.join(a, "a").join(b, "b").filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    sized = dealt_join(pairs, a, "a", "b", _sizes(pairs, "a")).join(b, "b").filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
     return map_batches(sized.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. Many may have the same ``a``."""
 
     def run(batch):
         out: dict[str, list] = {"a": [], "b": []}
@@ -209,7 +216,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int)
         return out
 
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y"), run, "a long, b long")
+    met = dealt_join(pairs.join(b, "b"), a, "a", "b", _sizes(pairs, "a"))
+    return map_batches(met.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _vectors(texts: DataFrame, shingle: int) -> DataFrame:
@@ -228,7 +236,7 @@ def block_links(xs: list[dict], ys: list[dict], threshold: int = THRESHOLD) -> l
     common = np.zeros((len(xs), len(ys)))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = 1 << 14
+    width = max(1, CELLS // len(vectors))
     for first in range(0, len(count), width):
         a, b = np.searchsorted(column, (first, first + width))
         if a < b:
@@ -246,23 +254,28 @@ def block_links(xs: list[dict], ys: list[dict], threshold: int = THRESHOLD) -> l
 
 def _rest(members: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """Links (a, b) among bucket members (key, node, component) of different components; the main component's members aren't compared with each other."""
-    spread = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = spread.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
     among = small_or_plain(members.select("node").distinct())
-    item = F.struct("node", "component", "vector")
-    held = members.join(main, "key").join(_vectors(texts.join(among, "node", "left_semi"), shingle), "node")
-
-    def block(size: Column) -> Column:
-        return F.pmod(F.xxhash64("node"), F.ceil(size / F.lit(BLOCK))).alias("block")
-
-    left = held.filter("component <> main").groupBy("key", block(F.col("members") - F.col("most"))).agg(F.collect_list(item).alias("xs"))
-    right = held.groupBy("key", block(F.col("members"))).agg(F.collect_list(item).alias("ys"))
+    # written first, so that no task runs two Python workers
+    vectors = materialize(_vectors(texts.join(among, "node", "left_semi"), shingle), "vectors")
+    sized = materialize(members.join(vectors.select("node", F.length("vector").cast("long").alias("bytes")), "node"), "sized")
+    spread = sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES))
+    by_key = spread.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "bytes"), F.struct("n", "component")).alias("main"))
+    plan = materialize(by_key.select("key", F.col("main.component").alias("main"), blocks(F.col("bytes")).alias("blocks"), blocks(F.col("bytes") - F.col("main.bytes")).alias("others")), "plan")
+    rows = materialize(dealt_join(sized.drop("bytes"), plan, "key", "node", _sizes(sized, "key")), "rows")
+
+    def gathered(part: DataFrame, number: str, name: str) -> DataFrame:
+        dealt = part.withColumn("block", F.pmod(F.xxhash64("node"), number)).join(vectors, "node")
+        return dealt.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "vector")).alias(name))
+
+    left = gathered(rows.filter("component <> main"), "others", "xs").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = left.join(gathered(rows, "blocks", "ys"), ["key", "block"])
 
     def run(batch):
-        found = {p for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True) for p in block_links(xs, ys, threshold)}
+        found = {p for xs, ys in zip(batch.column("xs"), batch.column("ys"), strict=True) for p in block_links(xs.as_py(), ys.as_py(), threshold)}
         return {"a": [min(p) for p in found], "b": [max(p) for p in found]}
 
-    return map_batches(left.drop("block").join(right.drop("block"), "key").select("xs", "ys"), run, "a long, b long")
+    return map_batches(met.select("xs", "ys"), run, "a long, b long")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -274,25 +287,28 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     nodes = sets.filter("node is not null")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
     bands = nodes.select("node", "n", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1")
-    buckets = materialize(bands.join(shared, "key"), "buckets")
+    shared = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1"), "shared")
+    held = shared.select("key", F.col("members").alias("n"))
+    buckets = materialize(dealt_join(bands, shared, "key", "node", held), "buckets")
     among = small_or_plain(buckets.select("node").distinct())
     sketches = materialize(nodes.join(among, "node", "left_semi"), "candidates")
     texts = materialize(docs.filter("text is not null").withColumnRenamed("doc_id", "node").join(among, "node", "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(_near(pairs.distinct(), sketches, threshold), texts, threshold, shingle), "links")
+        # written one by one, so that no task runs two Python workers
+        near = materialize(_near(materialize(pairs.distinct(), "pairs"), sketches, threshold), "near")
+        return materialize(_confirmed(near, texts, threshold, shingle), "links")
 
     found = components(links_of(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     for star in range(STARS + 1):
         # members of buckets that hold several components
-        placed = buckets.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = buckets.filter("members > 2").select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), F.xxhash64("key", "node", F.lit(star))).alias("centre")).filter("low <> high")
-        open_ = placed.drop("low", "high").join(mixed.select("key", "centre"), "key")
+        open_ = dealt_join(placed, mixed.select("key", "centre"), "key", "node", held)
         if star < STARS:
             pairs = open_.filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         else:
-            pairs = materialize(_rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold, shingle), "pairs")
+            pairs = _rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold, shingle)
         links = links_of(pairs)
         if links.isEmpty():
             if star < STARS:
@@ -315,9 +331,10 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     Rows that repeat a key are one document, of which the row with the least hash of the text stays. Rows without a key
     can't be told apart and all stay.
     """
-    kept = materialize(classes(docs, text, key, threshold, shingle).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("sillon_rows")), "kept")
-    ids = kept.select(F.col("doc_id").alias("sillon_key"), "sillon_rows")
-    found = docs.join(small_or_plain(ids), F.col(key).cast("long") == F.col("sillon_key"))
-    once = found.filter("sillon_rows = 1").select(*docs.columns)
-    several = found.filter("sillon_rows > 1").groupBy("sillon_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row")).select("row.*")
+    own = fresh(docs.columns)
+    kept = materialize(classes(docs, text, key, threshold, shingle).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    ids = kept.select(F.col("doc_id").alias(f"{own}key"), F.col("n").alias(f"{own}rows"))
+    found = docs.join(small_or_plain(ids), F.col(key).cast("long") == F.col(f"{own}key"))
+    once = found.filter(F.col(f"{own}rows") == 1).select(*docs.columns)
+    several = found.filter(F.col(f"{own}rows") > 1).groupBy(f"{own}key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row")).select("row.*")
     return once.unionByName(several).unionByName(docs.filter(F.col(key).isNull()))
