@@ -1,4 +1,11 @@
-"""A corpus pipeline over ``documents``: each stage works on all that the stage before it kept."""
+"""A corpus pipeline over ``documents``: each stage works on all that the stage before it kept.
+
+Cases: a null or empty text has no letter and goes in the first stage; rows without lang are judged, but not learned
+from; without labels of both classes nothing is toxic; rows that repeat a doc_id are one document to the third stage;
+rows without a doc_id stay through all stages; texts of any length are worked on whole; ties between languages go to the
+first by name, and of near-duplicates the least doc_id stays; empty tables give an empty result; further columns of any
+name go along up to the last stage, which returns its own four.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillon.llm import bpe_codec, decontaminate, langid, minhash, toxicity
-from sillon.llm.common import fold, materialize
+from sillon.llm.common import fold, fresh, materialize
 from sillon.sources.tables import table
 
 
@@ -20,15 +27,17 @@ CODEC_ENTRIES = 100_000
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that a learned language explains; those without letters or in no such language go."""
     model = langid.train(langid.sample(docs, "text", "lang"))
-    found = langid.identify(docs, model, prefix="sillon_")
-    gone = langid.rejected(model, F.col("sillon_lang_pred"), F.col("sillon_phrase_letters"), F.col("sillon_letters"))
+    own = fresh(docs.columns)
+    found = langid.identify(docs, model, prefix=own)
+    gone = langid.rejected(model, F.col(f"{own}lang_pred"), F.col(f"{own}phrase_letters"), F.col(f"{own}letters"))
     return found.filter(~gone).select(*docs.columns)
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that aren't predicted to be toxic, by what the labels of four folds of five teach."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model, prefix="sillon_").filter("sillon_predicted = 0").select(*docs.columns)
+    own = fresh(docs.columns)
+    return toxicity.score(docs, model, prefix=own).filter(F.col(f"{own}predicted") == 0).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
