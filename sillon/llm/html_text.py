@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 The markup is read once into a flat sequence of text blocks; block-level tags part them, inline tags don't. A block is
-described by its words and link density, those of its neighbours before and after, and where it stands: in the article,
-in page furniture (by tag, role, class or id), or elsewhere. A small decision tree, trained at start on the labelled
-table below, keeps or drops each block. Kept blocks are joined in page order.
+described by its words and link density, those of its neighbours before and after, and where it stands: in an article
+element, in page furniture (by tag, role, class or id), in an element whose name may mean either, or elsewhere. A small
+decision tree, trained at start on the labelled table below, keeps or drops each block. Kept blocks are joined in page
+order. Reading takes time in proportion to the page, whatever tags it leaves open.
 
 Cases: null, empty or text-free html gives an empty text; unclosed tags, quotes, comments and scripts end where the
 page ends; character references are decoded once, after tags are taken out; white space of any kind inside a block
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,9 +31,11 @@ SKIPPED = frozenset("script style noscript template svg iframe textarea select b
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status note".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Words in class and id names that mark furniture, by their beginnings or whole.
-FURNITURE_STEMS = ("advert", "comment", "sponsor", "promo", "cookie", "breadcrumb", "recommend", "newsletter", "subscri", "disclaim", "consent", "sidebar", "navigation", "navbar", "pagination", "masthead", "discuss", "disqus", "notice", "notif")
-FURNITURE_WORDS = frozenset("ad ads adv banner menu nav footer header aside side social share sharing related popup modal overlay alert gdpr widget widgets toolbar pager login signup search reply replies respond responses hidden form forms skip topbar bottombar".split())
+#: Words in class and id names that mark furniture, by their beginnings or whole; words that may also name a part of an
+#: article, for which the tree decides; words that name articles.
+FURNITURE_STEMS = ("advert", "comment", "sponsor", "promo", "cookie", "breadcrumb", "recommend", "newsletter", "subscri", "disclaim", "consent", "sidebar", "navigation", "navbar", "pagination", "masthead", "disqus", "notice", "notif")
+FURNITURE_WORDS = frozenset("ad ads adv banner menu nav footer aside share sharing popup modal overlay alert gdpr widget widgets toolbar pager login signup respond hidden skip topbar bottombar".split())
+SUSPECT_WORDS = frozenset("discussion discuss header side social related search reply replies responses form forms".split())
 ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
 #: Elements that an opening tag of the same kind closes.
 SELF_CLOSING = frozenset("p li dt dd td th tr option".split())
@@ -41,9 +45,16 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_HEADING = re.compile("h[1-6]").fullmatch
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-ARTICLE, PLAIN, OUTSIDE, FURNITURE = "article", "plain", "outside", "furniture"
+#: Where a block stands. ``NAMED`` (in an element that bears an article's name) becomes one of the others once a page is read.
+ARTICLE, PLAIN, OUTSIDE, FURNITURE, SUSPECT, NAMED = "article", "plain", "outside", "furniture", "suspect", "named"
+
+
+@lru_cache(maxsize=len(SKIPPED))
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I)
 
 
 @dataclass
@@ -60,6 +71,9 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+_NONE = Block("", 0, 0, PLAIN, False, False)
+
+
 def _place(tag: str, rest: str, outer: str) -> str:
     """Where the text of an element stands, from its tag, its attributes and where the element stands."""
     if outer == FURNITURE:
@@ -72,19 +86,37 @@ def _place(tag: str, rest: str, outer: str) -> str:
     role = marks.get("role", "").strip().lower()
     if "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", marks.get("style", ""), re.I):
         return FURNITURE
+    marked = names & FURNITURE_WORDS or any(n.startswith(FURNITURE_STEMS) for n in names)
     if role == "main" or tag in ARTICLE_TAGS:
-        return FURNITURE if any(n.startswith(FURNITURE_STEMS) for n in names) else ARTICLE
+        return FURNITURE if marked else ARTICLE
     if tag == "header" and outer == ARTICLE:
         return ARTICLE
     if tag in FURNITURE_TAGS or role in FURNITURE_ROLES:
         return FURNITURE
-    if tag not in ("body", "html") and (names & FURNITURE_WORDS or any(n.startswith(FURNITURE_STEMS) for n in names)):
-        return FURNITURE if not (outer == ARTICLE and names & {"header", "body", "content"} and not names - ARTICLE_WORDS - {"header"}) else ARTICLE
-    if tag not in ("body", "html", "p", "li", "td", "th", "tr") and names & ARTICLE_WORDS:
-        return ARTICLE
+    if tag in ("body", "html") or _HEADING(tag):  # a heading's id names its section, a body's class the page
+        return outer
+    if marked:
+        return FURNITURE
+    if names & SUSPECT_WORDS and not names & ARTICLE_WORDS:
+        return SUSPECT
+    if outer == PLAIN and tag not in ("p", "li", "td", "th", "tr") and names & ARTICLE_WORDS:
+        return NAMED
     return outer
 
 
+def _settled(blocks: list[Block]) -> list[Block]:
+    """The blocks of a page, places by name decided: an element with an article's name is the article if it holds most of the text."""
+    words = dict.fromkeys((ARTICLE, PLAIN, OUTSIDE, FURNITURE, SUSPECT, NAMED), 0)
+    for b in blocks:
+        words[b.place] += b.words
+    by_name = words[NAMED] > max(words[ARTICLE], words[PLAIN])
+    plain = OUTSIDE if words[ARTICLE] or by_name else PLAIN
+    places = {PLAIN: plain, NAMED: ARTICLE if by_name else plain}
+    for b in blocks:
+        b.place = places.get(b.place, b.place)
+    return blocks
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page."""
     out: list[Block] = []
@@ -93,14 +125,15 @@ def blocks_of(page: str) -> list[Block]:
     linked: list[str] = []
     anchors = 0
     skip_to = ""
-    saw_article = False
+    opened: Counter[str] = Counter()  # how often each tag is in the stack
+    unclosed: set[str] = set()  # skipped elements that no end tag follows
 
     def end_block() -> None:
         if parts:
             words = "".join(parts).split()
             if words:
                 tags = [t for t, _ in stack[-3:]]
-                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), stack[-1][1] if stack else PLAIN, any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags), "li" in tags))
+                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), stack[-1][1] if stack else PLAIN, any(map(_HEADING, tags)), "li" in tags))
             parts.clear()
             linked.clear()
 
@@ -130,7 +163,9 @@ def blocks_of(page: str) -> list[Block]:
         ends = bool(m["end"])
         if tag in SKIPPED:
             if not ends and not m["rest"].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, stop)
+                close = None if tag in unclosed else _close(tag).search(page, stop)
+                if close is None:
+                    unclosed.add(tag)
                 if tag in ("script", "style", "textarea", "title", "iframe"):  # text, whatever it looks like
                     if close is None:
                         at = len(page)
@@ -154,107 +189,77 @@ def blocks_of(page: str) -> list[Block]:
             end_block()
             anchors = 0
             if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while opened[tag]:  # an end tag that nothing has opened closes nothing
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == tag:
                         break
             elif tag not in VOID:
                 if stack and (tag in SELF_CLOSING and stack[-1][0] == tag or stack[-1][0] == "p"):
-                    stack.pop()
-                place = _place(tag, m["rest"], stack[-1][1] if stack else PLAIN)
-                saw_article |= place == ARTICLE
-                stack.append((tag, place))
+                    opened[stack.pop()[0]] -= 1
+                stack.append((tag, _place(tag, m["rest"], stack[-1][1] if stack else PLAIN)))
+                opened[tag] += 1
     if at < len(page) and not skip_to:
         text(page[at:])
     end_block()
-    if saw_article:
-        for b in out:
-            if b.place == PLAIN:
-                b.place = OUTSIDE
-    return out
+    return _settled(out)
 
 
-#: The labelled table. Columns: keep (1) or drop (0); place; heading; list item; words and link density of the block, of
-#: the one before it and of the one after it (0 words: none).
+#: The labelled table: blocks of pages, in page order, so that neighbours are the blocks beside. A block is its place (A in
+#: an article, P plain, O outside of a page's article, F furniture, S in an element whose name may mean furniture), its
+#: words, h for a heading or i for a list item, l and its link density in tenths, and + to keep or - to drop it.
 TABLE = """
-1 article 1 0  8 0.0   6 1.0  60 0.0
-1 article 1 0  2 0.0   0 0.0   3 0.0
-1 article 0 0 90 0.0   8 0.0  70 0.0
-1 article 0 0  1 0.0  80 0.0  55 0.0
-1 article 0 0  3 0.0   2 0.0   9 1.0
-1 article 0 0 40 0.1  30 0.0  12 0.2
-1 article 0 0 25 0.4  90 0.0   5 0.0
-1 article 0 0 12 0.6  40 0.0  35 0.0
-1 article 0 0  6 0.5  10 0.0  12 0.0
-1 article 0 1 10 0.0  45 0.0   9 0.0
-1 article 0 1  4 0.0   5 0.0   6 0.0
-1 article 0 1 12 0.3  20 0.1  15 0.0
-1 article 0 1 15 0.5  30 0.0  18 0.2
-1 article 0 0 18 0.0  70 0.0   3 1.0
-0 article 0 1  3 1.0   4 1.0   2 1.0
-0 article 0 1  2 1.0  60 0.0   3 1.0
-0 article 0 1  5 1.0   3 1.0   0 0.0
-0 article 0 0  2 1.0  50 0.0   2 1.0
-0 article 0 0  6 1.0   5 1.0   7 1.0
-1 article 1 0  7 1.0   4 1.0  80 0.0
-1 article 1 0  4 0.0  80 0.0   3 1.0
-0 outside 0 0  9 0.0   6 1.0   8 0.0
-0 outside 0 0 60 0.0   5 1.0  12 0.0
-0 outside 0 0  4 0.0  90 0.0   0 0.0
-0 outside 1 0  5 0.0   9 0.0  40 0.0
-0 outside 0 1  2 1.0   2 1.0   2 1.0
-0 outside 0 0 30 0.0  80 0.0   6 0.2
-0 outside 0 1 12 0.0  10 0.0  11 0.0
-0 furniture 0 1  1 1.0   0 0.0   1 1.0
-0 furniture 0 1  2 1.0   1 1.0   1 1.0
-0 furniture 0 1  3 1.0   2 1.0   9 0.0
-0 furniture 0 0 25 0.0  60 0.0   4 0.0
-0 furniture 0 0 45 0.0   3 0.0  50 0.0
-0 furniture 0 0 80 0.0  40 0.0  70 0.0
-0 furniture 1 0  3 0.0   2 1.0  10 0.0
-0 furniture 1 0  2 0.0  60 0.0  30 0.0
-0 furniture 0 0  9 0.1  70 0.0   0 0.0
-0 furniture 0 0  5 0.0   2 0.0   3 0.0
-0 furniture 0 1 20 0.2  15 0.0  25 0.0
-0 furniture 0 0 12 0.6   4 0.0   9 0.0
-1 plain 0 0 60 0.0   5 0.0  45 0.0
-1 plain 0 0 35 0.1   3 1.0  50 0.0
-1 plain 0 0 22 0.0  30 0.0  28 0.1
-1 plain 0 0 14 0.0  40 0.0  33 0.0
-1 plain 0 0  6 0.0  50 0.0  41 0.0
-1 plain 0 0 16 0.2  25 0.0   5 0.0
-1 plain 0 0 18 0.0   0 0.0   0 0.0
-1 plain 0 0 12 0.0   3 0.0  20 0.0
-1 plain 0 0 11 0.0   0 0.0  13 0.0
-1 plain 0 0 80 0.3  60 0.0   4 1.0
-1 plain 0 0 13 0.0  15 0.0   1 1.0
-1 plain 0 0 10 0.0  40 0.0   2 1.0
-1 plain 0 0  9 0.0  30 0.0   4 0.0
-1 plain 0 0 12 0.0  20 0.0   0 0.0
-1 plain 1 0  6 0.0   3 1.0  50 0.0
-1 plain 1 0  4 0.0   0 0.0  30 0.0
-1 plain 1 0  5 0.0  45 0.0  38 0.0
-1 plain 0 1 12 0.0  30 0.0  14 0.0
-1 plain 0 1 15 0.1  12 0.0  40 0.0
-0 plain 0 0  2 0.0   3 1.0   2 1.0
-0 plain 0 0  4 0.0   0 0.0   3 1.0
-0 plain 0 0  3 0.0  40 0.0   0 0.0
-0 plain 0 0  7 0.0   6 0.0   5 0.0
-0 plain 0 0 20 0.8   5 1.0   9 0.9
-0 plain 0 0 12 0.7  30 0.0   8 1.0
-0 plain 0 1  2 1.0   3 1.0   2 1.0
-0 plain 0 1  4 1.0  50 0.0   3 1.0
-0 plain 0 1  8 0.9   6 1.0   7 1.0
-0 plain 0 1  3 0.0   2 1.0   4 0.5
-0 plain 1 0  3 0.0  30 0.0   4 1.0
-0 plain 1 0  2 1.0   2 1.0   3 1.0
+F1il10- F2il10- F1il10- F12- A9h+ A60+ A45+ A80+ F8-
+F2l10- A60+ A7+ A90+ F5- F60-
+F1il10- A70+ A30l10+ A55+ A1+ F3l10-
+F4h- F70- F30- A5h+ A3+ A4+ A2+ F40-
+A3+ A4l10+ A3+
+A12+ A10l10+ A9l10+ A60+
+A6h+ A40l2+ A20l5+ A15l8+ A35+ A2l10+
+A8h+ A4l10+ A50+ A6il4+ A5i+ A12i+ A3il10+ A25+
+A90+ A4h+ A3il10- A2il10- A4il10- A2il10- F9-
+A50+ A1l10+ A2l10- A1l10- A3l10- A2l10+
+A20i+ A12il3+ A15il10+ A9i+ A3h+ A60l1+
+O4- O30- A60+ A20+ O60- O9h- O45-
+O8h- O70- F3il10- A4h+ A45+ O2il10- O3il10- O5-
+O40l2- O6i- A12+ O1- A7l10+ O80- O50i-
+F60- F55- F2h- F90- O60- O70l1-
+F8l3- A80+ F12i- F9i- F3h- F2il10- F80l2- F1l10-
+F20- P60+ F5- P45+ F60- F3h- F70-
+P1h+ P7+ P2h+ P30+
+P3h+ P60+ P45+ P8+ P70+
+P2il10- P3il10- P1il10- P6h+ P60+ P50l1+ P4+ P3il10- P2il10-
+P3l10- P4l10- P9h+ P25+ P30+ P3- P2l10- P3l10-
+P12+ P11+ P10l2+ P9+
+P18+
+P40+ P15l10+ P35+ P9l10+ P50+ P2h- P4l10- P3l10-
+P6l10- P8l9- P4h- P9il9- P7l10- P60+
+P30+ P6+ P5+ P4+ P28+
+P5i+ P8i+ P12i+ P4h+ P16il2+ P9i+
+P2- P3l10- P1- P2l10- P60+ P3il10- P2il10-
+P50+ P4l10- P3l10-
+P20l8- P9l10- P30l4+ P60l3+ P12l8-
+S40+ S60+ S8l10- S3-
+S4h+ S45+ S3h- S2il10- S5il10-
+S6- S9- A60+ S10- S4l10- S50+
+S12l7- S30l6- S28+ S20l1+ S3h+ S70+ S2-
+S22l9- S40l8- A20+
 """
-_PLACES = (ARTICLE, OUTSIDE, FURNITURE, PLAIN)
+_PLACES = {"A": ARTICLE, "P": PLAIN, "O": OUTSIDE, "F": FURNITURE, "S": SUSPECT}
+_CELL = re.compile(r"([APOFS])([0-9]+)(h?)(i?)(?:l([0-9]+))?([+-])")
+
+
+def features(blocks: list[Block], at: int) -> list[float]:
+    """A block's features: its place, one by one; heading; list item; words and link density of it, of the block before it and of the one after it (0 words: none)."""
+    b = blocks[at]
+    beside = [blocks[k] if 0 <= k < len(blocks) else _NONE for k in (at - 1, at + 1)]
+    return [*(float(b.place == p) for p in _PLACES.values()), float(b.heading), float(b.item), *(float(v) for x in (b, *beside) for v in (x.words, x.link_density))]
 
 
-def features(place: str, heading: int, item: int, *numbers: float) -> list[float]:
-    """A block's features: place, one by one; heading; list item; words and link density of it and its neighbours."""
-    return [*(float(place == p) for p in _PLACES), float(heading), float(item), *map(float, numbers)]
+def labelled(line: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page of the table, and whether to keep each."""
+    cells = [_CELL.fullmatch(c).groups() for c in line.split()]
+    return [Block("", int(w), round(int(w) * int(d or 0) / 10), _PLACES[p], bool(h), bool(i)) for p, w, h, i, d, _ in cells], [int(c[-1] == "+") for c in cells]
 
 
 class Tree:
@@ -290,22 +295,18 @@ class Tree:
 @lru_cache(maxsize=1)
 def tree() -> Tree:
     """The tree of the labelled table."""
-    rows = [r.split() for r in TABLE.strip().splitlines()]
-    x = np.array([features(p, int(h), int(i), *map(float, n)) for _, p, h, i, *n in rows])
-    return Tree(x, np.array([float(r[0]) for r in rows]))
+    x, y = [], []
+    for line in TABLE.strip().splitlines():
+        blocks, keep = labelled(line)
+        x += [features(blocks, i) for i in range(len(blocks))]
+        y += keep
+    return Tree(np.array(x), np.array(y, dtype=float))
 
 
 def main_blocks(page: str) -> list[str]:
     """The texts of the blocks that the tree keeps."""
-    found = blocks_of(page)
-    none = Block("", 0, 0, PLAIN, False, False)
-    out = []
-    for i, b in enumerate(found):
-        before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-        row = features(b.place, b.heading, b.item, b.words, b.link_density, before.words, before.link_density, after.words, after.link_density)
-        if tree().predict(row) >= 0.5:
-            out.append(b.text)
-    return out
+    found, grown = blocks_of(page), tree()
+    return [b.text for i, b in enumerate(found) if grown.predict(features(found, i)) >= 0.5]
 
 
 def main_text(page: str) -> str:

@@ -2,12 +2,17 @@
 
 import base64
 import hashlib
+import html
+import itertools
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +215,89 @@ def test_html_query(spark):
 
 
 def test_tree_fits_its_table():
-    for r in html_text.TABLE.strip().splitlines():
-        keep, place, heading, item, *numbers = r.split()
-        assert html_text.tree().predict(html_text.features(place, int(heading), int(item), *map(float, numbers))) == float(keep)
+    for line in html_text.TABLE.strip().splitlines():
+        blocks, keep = html_text.labelled(line)
+        assert [int(html_text.tree().predict(html_text.features(blocks, i))) for i in range(len(blocks))] == keep
+
+
+def test_furniture_never_passes():
+    """Whatever stands beside it."""
+    block = lambda place, words, density, heading=False, item=False: html_text.Block("", words, round(words * density), place, heading, item)
+    for place, words, density, heading, item in itertools.product((html_text.FURNITURE, html_text.OUTSIDE), (1, 6, 90), (0, 0.5, 1), (False, True), (False, True)):
+        for before, after in itertools.product([block(html_text.ARTICLE, w, d) for w in (1, 50) for d in (0, 1)], repeat=2):
+            assert html_text.tree().predict(html_text.features([before, block(place, words, density, heading, item), after], 1)) == 0
+
+
+def random_page(rng):
+    """A page and the text of its article, which is known since the page is made of it."""
+    words = lambda a, b: " ".join("".join(rng.choices("aeiourstln", k=rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    link = lambda: f"<a href='/{rng.randint(0, 99)}'>{words(1, 3)}</a>"
+    menu = lambda: f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(rng.randint(1, 6)))}</ul></nav>"
+    inside, want = [], []
+
+    def keep(open_, text, close):
+        inside.append(open_ + text.replace(" ", rng.choice([" ", "  ", "\n", "&nbsp;"])) + close)
+        want.append(text)
+
+    def drop():
+        return rng.choice([menu(), f"<div class='ad'>{words(1, 40)}</div>", f"<!-- {words(1, 9)} -->", f"<script>{words(1, 9)}</script>", f"<aside><p>{words(5, 50)}</p></aside>", f"<div id='comments'><h3>{words(1, 2)}</h3><p>{words(5, 60)}</p></div>", f"<form><label>{words(1, 3)}</label></form>", f"<p class='cookie-notice'>{words(3, 30)}</p>"])
+
+    keep("<h1>", words(1, 9), "</h1>")
+    for _ in range(rng.randint(1, 12)):
+        kind = rng.randrange(8)
+        if kind == 0:
+            keep("<h2 id='related-work'>", words(1, 5), "</h2>")
+        elif kind == 1:
+            keep("<ul><li>", words(1, 12), "</li></ul>")
+        elif kind == 2:
+            keep("<p><b>", words(1, 60), "</b></p>")
+        elif kind == 3:
+            keep("<p>", words(1, 9), "</p>")
+        elif kind == 4:
+            keep("<p><a href=x>", words(4, 15), "</a></p>")
+            keep("<p>", words(8, 30), "</p>")
+        elif kind == 5:
+            inside.append(drop())
+        else:
+            keep("<p>", words(20, 120), "</p>")
+    tag = rng.choice(["article", "main"])
+    around = [menu(), f"<header><p>{words(1, 20)}</p></header>", *(drop() for _ in range(rng.randint(0, 3)))]
+    page = f"<html><head><title>{words(2, 5)}</title></head><body>{''.join(around)}<{tag}>{''.join(inside)}</{tag}>{drop()}<footer>&copy; {words(1, 30)}</footer></body></html>"
+    return page, "\n".join(want)
+
+
+def test_made_pages_give_their_articles():
+    rng = random.Random(21)
+    for _ in range(400):
+        page, want = random_page(rng)
+        assert html_text.main_text(page) == want
+
+
+def test_odd_articles():
+    long = " ".join(["word"] * 60)
+    assert html_text.main_blocks(f"<nav><a href=/>Home</a></nav><article><p>{long}</p></article>") == [long]
+    assert html_text.main_blocks("<article><p>Intro words here.</p><p><a href=x>A whole paragraph in a link</a></p><p>End words.</p></article>") == ["Intro words here.", "A whole paragraph in a link", "End words."]
+    assert html_text.main_blocks("<body><h1>Title</h1><p>Only seven words are in this one.</p></body>") == ["Title", "Only seven words are in this one."]
+    assert html_text.main_blocks(f"<div class='text-center'>Hi</div><p>{long}</p><p>short one.</p>")[1:] == [long, "short one."]
+    assert html_text.main_blocks(f"<div class=content><p>{long}</p></div><p>outside of it</p>") == [long]
+    assert html_text.main_blocks(f"<article><section id='discussion'><p>{long}</p></section></article>") == [long]
+    menu = "".join(f"<li><a href=/{i}>go there</a></li>" for i in range(5))
+    assert html_text.main_blocks(f"<ul>{menu}</ul><h1>On words</h1><p>{long}</p><p>{long}</p><ul>{menu}</ul>") == ["On words", long, long]
+
+
+def test_odd_markup_takes_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" * 50_000 + "</p>" * 50_000, "<svg>" * 50_000, "<button>x" * 50_000, "<div>" * 50_000 + "</div>" * 50_000, "<p><a " * 50_000):
+        html_text.main_blocks(page)
+    assert time.perf_counter() - began < 15
+
+
+def test_pages_of_the_tables():
+    """All that an article element holds, by regular expressions alone, on the given pages."""
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    for page in pq.read_table(path, columns=["html"]).column(0).to_pylist():
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<br>|</?[a-z]+[^>]*>", lambda m: "\n" if m[0] == "<br>" else "", b)).split()) for b in re.split(r"</?(?:h1|p)\b[^>]*>", article)]
+        assert html_text.main_blocks(page) == [b for b in blocks if b]
