@@ -26,19 +26,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType, start: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str | StructType, start: Callable | None = None, gather: Callable | None = None) -> DataFrame:
     """``mapInArrow`` of a function from a batch to columns.
 
-    ``start``, if given, is called once for each task and its result is the function's second argument.
+    ``start``, if given, is called once for each task and its result is the function's second argument; ``gather``, if
+    given, makes other batches of a task's batches.
     """
     bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not start:
+        if not start and not gather:
             give_up()  # an operator without a state follows one that had one
         state = start() if start else None
-        for batch in batches:
+        for batch in gather(batches) if gather else batches:
             if not batch.num_rows:
                 continue
             out = fn(batch, state) if start else fn(batch)
@@ -48,7 +49,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def add_columns(df: DataFrame, fn: Callable[..., dict[str, list]], new: str, start: Callable | None = None) -> DataFrame:
+def add_columns(df: DataFrame, fn: Callable[..., dict[str, list]], new: str, start: Callable | None = None, gather: Callable | None = None) -> DataFrame:
     """``df`` with the columns that a function of a batch returns; they replace columns of the same names."""
     names = StructType.fromDDL(new).fieldNames()
     taken = {x.lower() for x in names}
@@ -58,7 +59,7 @@ def add_columns(df: DataFrame, fn: Callable[..., dict[str, list]], new: str, sta
     def run(batch, *state):
         return {f.name: batch.column(f.name) for f in kept} | fn(batch, *state)
 
-    return map_batches(df, run, schema, start)
+    return map_batches(df, run, schema, start, gather)
 
 
 _state: list = []

@@ -132,10 +132,18 @@ win AS (SELECT DISTINCT id AS item_id, n, array_to_string(ws[p:p + n - 1], ' ')
 d AS (SELECT id AS doc_id, ws FROM w WHERE kind = 'd'),
 spot AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
 hit AS (SELECT doc_id, item_id, p, spot.n FROM spot JOIN win ON win.n = spot.n AND win.x = array_to_string(ws[p:p + spot.n - 1], ' ')),
-h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
-k AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+q AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hit),
+h AS (SELECT doc_id, count(*) AS n_hit FROM q GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id),
+parts AS (SELECT doc_id, string_split(regexp_replace(text, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g'), ' ') AS ps FROM documents JOIN h USING (doc_id)),
+part AS (SELECT doc_id, unnest(ps) AS x, unnest(range(1, len(ps) + 1)) AS i FROM parts),
+placed AS (SELECT doc_id, i, len(x) AS n, CAST(sum(len(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(x) - 1 AS BIGINT) AS pos FROM part),
+numbered AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM placed WHERE n > 0),
+runs AS (SELECT doc_id, pos, n, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS run FROM numbered JOIN q USING (doc_id, q)),
+r AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM (SELECT doc_id, min(pos) AS a, max(pos + n) AS b FROM runs GROUP BY doc_id, run) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  coalesce(items, '') AS items, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
 
@@ -144,7 +152,8 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=True)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("items", "spans")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -172,8 +172,9 @@ def brute_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.SLICE_BYTES, 1])
-def test_contamination(spark, limit):
+@pytest.mark.parametrize(("limit", "spool"), [(decontaminate.SLICE_BYTES, 0), (900, 0), (900, 1 << 20)])
+def test_contamination(spark, monkeypatch, limit, spool):
+    monkeypatch.setattr(decontaminate, "SPOOL_BYTES", spool)
     rng = random.Random(4)
     letters = ["a", "B", "é", "ÉX", "7", "dog", "the"]
     text = lambda n: "".join(rng.choice(letters) + rng.choice([" ", ", ", "\n", "-", "  "]) for _ in range(n))
@@ -184,7 +185,7 @@ def test_contamination(spark, limit):
     for i, t in docs:
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(t, items)
-        words = sum(len(decontaminate.words_of(t[s.begin : s.end])) for s in r.spans)
+        words = sum(len(decontaminate.words_of(t[slice(*map(int, s.split("-")))])) for s in r.spans)
         assert words == r.n_hit
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == sorted(i for i, t in docs if not got[i].contaminated)
     assert decontaminate.contamination(d, b.limit(0)).filter("contaminated").count() == 0
