@@ -1,9 +1,10 @@
 """Media columns: documents as sound in Ogg containers, written and read back.
 
 A payload becomes unsigned 8-bit mono samples in the OggPCM mapping; a second logical stream, interleaved with it,
-carries one text note for each block of samples. The reader checks every page's checksum and sequence number,
+carries one text note for every few packets. Packets of samples run on over page borders. The reader checks every page's checksum and sequence number,
 reassembles packets from lacing values over page borders, separates the logical streams by serial number, and derives
-times from granule positions.
+times from granule positions: a page gives that of the last packet that ends on it, lengths of packets give the others,
+and every page's must agree with them.
 
 Cases: a null or empty text is 64 zero samples; texts of any length are stored whole; equal texts give equal files;
 an empty table gives an empty result; further columns of the input are ignored.
@@ -15,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -31,7 +33,7 @@ PCM_MAGIC, PCM_U8 = b"PCM     ", 1
 
 SAMPLE_RATE = 8000
 PACKET_SAMPLES = 4096
-PAGE_PACKETS = 12
+NOTE_PACKETS = 12
 UNIT = 64
 PCM_SERIAL, NOTE_SERIAL = 1, 2
 
@@ -82,9 +84,10 @@ def write_ogg(payload: bytes, rate: int = SAMPLE_RATE) -> bytes:
     head = PCM_HEADER.pack(PCM_MAGIC, 0, 0, PCM_U8, rate, 8, 1, PACKET_SAMPLES, 0)
     blocks = [payload[i : i + PACKET_SAMPLES] for i in range(0, len(payload), PACKET_SAMPLES)]
     ends = [min(len(payload), (i + 1) * PACKET_SAMPLES) for i in range(len(blocks))]
-    sound = [[(head, 0)]] + [list(zip(blocks[i : i + PAGE_PACKETS], ends[i : i + PAGE_PACKETS], strict=True)) for i in range(0, len(blocks), PAGE_PACKETS)]
-    notes = [[(b"NOTE\0" + str(rate).encode(), 0)]] + [[(b"samples %d crc %08x" % (group[-1][1], zlib.crc32(b"".join(x for x, _ in group))), group[-1][1])] for group in sound[1:]]
-    a, b = pages_of(PCM_SERIAL, sound), pages_of(NOTE_SERIAL, notes)
+    timed = list(zip(blocks, ends, strict=True))
+    noted = [timed[i : i + NOTE_PACKETS] for i in range(0, len(timed), NOTE_PACKETS)]
+    notes = [[(b"NOTE\0" + str(rate).encode(), 0)]] + [[(b"samples %d crc %08x" % (group[-1][1], zlib.crc32(b"".join(x for x, _ in group))), group[-1][1])] for group in noted]
+    a, b = pages_of(PCM_SERIAL, [[(head, 0)], timed]), pages_of(NOTE_SERIAL, notes)
     out, rest = [a[0], b[0]], b[1:]
     for k, page in enumerate(a[1:]):
         out.append(page)
@@ -107,9 +110,18 @@ class LogicalStream:
     ended: bool = False
     _part: bytes | None = None
 
-    def seconds(self, rate: int) -> list[float | None]:
+    def ends(self, lengths: list[int]) -> list[int]:
+        """The position at which each packet ends, from the pages' positions and the packets' lengths. Raises OggError where they disagree."""
+        ends = list(accumulate(lengths))
+        known = [(g, e) for g, e in zip(self.granules, ends, strict=True) if g is not None]
+        shift = known[0][0] - known[0][1] if known else 0
+        if any(g - e != shift for g, e in known):
+            raise OggError(f"granule positions of stream {self.serial} disagree with its packets")
+        return [e + shift for e in ends]
+
+    def seconds(self, lengths: list[int], rate: int) -> list[float]:
         """The time at which each packet ends."""
-        return [None if g is None else g / rate for g in self.granules]
+        return [e / rate for e in self.ends(lengths)]
 
 
 def read_ogg(data: bytes) -> dict[int, LogicalStream]:
@@ -175,10 +187,11 @@ def read_payload(data: bytes) -> tuple[bytes, str]:
     if (kind, bits, channels) != (PCM_U8, 8, 1):
         raise OggError("other samples than unsigned 8-bit mono")
     samples = b"".join(sound.packets[1:])
-    if sound.granules[-1] != len(samples):
-        raise OggError("last granule position differs from the number of samples")
+    times = sound.seconds([0, *map(len, sound.packets[1:])], rate)
+    if sound.granules[0] != 0 or sound.granules[-1] != len(samples):
+        raise OggError("granule positions differ from the number of samples")
     notes = sum(len(s.packets) - 1 for s in streams.values() if s is not sound)
-    last = next(t for t in reversed(sound.seconds(rate)) if t is not None)
+    last = times[-1]
     used = set(samples)
     feature = f"samples={len(samples)};rate={rate};seconds={last:.6f};packets={len(sound.packets) - 1};pages={sound.pages};streams={len(streams)};notes={notes};low={min(used)};high={max(used)}"
     return samples, feature
