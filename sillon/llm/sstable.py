@@ -243,17 +243,30 @@ class Shard:
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 #: The tokenizer's split pattern on such characters in lower case.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u017f]+").findall
-#: Settings of a tokenizer file for which ``_SPLIT`` stands.
-_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normalizer and splitter of a tokenizer file for which ``_SPLIT`` and cutting at white space stand.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file whose patterns never match white space.
+    """Ids of whole texts by a tokenizer file.
 
-    The library then encodes each run between white space alike wherever it stands, so each distinct run is encoded
-    once. Runs of plain characters are lower-cased and split here and only their distinct words go through the
-    library's model; other runs go through the library's normalizer and splitter as well. Texts with a special token's
-    string, or with separators that only Python takes for white space, go to the library whole.
+    A file with exactly the settings ``_KNOWN`` drops white space and never looks across it, so the library encodes each
+    run between white space alike wherever it stands, and each distinct run is encoded once. Runs of plain characters
+    are lower-cased and split here and only their distinct words go through the library's model; other runs go through
+    the library's normalizer and splitter as well. Texts with a special token's string, or with separators that only
+    Python takes for white space, go to the library whole, as all texts do with any other file.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -263,7 +276,7 @@ class Encoder:
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.plain = _PLAIN_PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\")
+        self.plain = all(spec.get(k) == v for k, v in _KNOWN.items())
         self.letters = str.maketrans({chr(b): letter for letter, b in byte_letters().items()})
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
@@ -286,6 +299,8 @@ class Encoder:
         return [array(_CODES[self.width], e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return [ids + self.end for ids in self._library(texts)]
         whole = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
         cut = [[] if i in whole else x.split() for i, x in enumerate(texts)]
         if len(self.runs) > CACHE_ENTRIES:
@@ -294,7 +309,7 @@ class Encoder:
         other = []
         new = set(filterfalse(known.__contains__, chain.from_iterable(cut)))
         for x in new:
-            if self.plain and _PLAIN(x):
+            if _PLAIN(x):
                 known[x] = b"".join([words[w] for w in _SPLIT(x.lower())])
             else:
                 other.append(x)

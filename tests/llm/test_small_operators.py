@@ -65,7 +65,27 @@ def test_ogg_checksum_and_packets():
     stream = media.read_ogg(b"".join(media.pages_of(9, groups)))[9]
     assert stream.packets == packets and stream.granules == [10 * (i + 1) for i in range(len(packets))]
     one = media.read_ogg(b"".join(media.pages_of(9, [[(p, i) for i, p in enumerate(packets)]])))[9]
-    assert one.packets == packets and stream.seconds(10)[0] == 1.0
+    assert one.packets == packets
+    lengths = list(map(len, packets))
+    timed = media.read_ogg(b"".join(media.pages_of(9, [list(zip(packets, itertools.accumulate(lengths), strict=True))])))[9]
+    assert None in timed.granules and timed.ends(lengths) == list(itertools.accumulate(lengths)) and timed.seconds(lengths, 10)[-1] == sum(lengths) / 10
+    with pytest.raises(media.OggError):
+        stream.ends(lengths)
+
+
+def test_packets_cross_pages_and_every_position_is_checked():
+    payload = bytes(range(256)) * 1000
+    whole = media.write_ogg(payload)
+    sound = media.read_ogg(whole)[media.PCM_SERIAL]
+    assert media.read_payload(whole)[0] == payload and sound.pages < len(sound.packets) and None in sound.granules
+    at = whole.index(media.CAPTURE, whole.index(b"samples "))  # a later page of samples: a wrong position with a right checksum
+    end = whole.index(media.CAPTURE, at + 4)
+    page = bytearray(whole[at:end])
+    page[6:14] = (int.from_bytes(page[6:14], "little") + 1).to_bytes(8, "little")
+    page[22:26] = bytes(4)
+    page[22:26] = media.page_crc(bytes(page)).to_bytes(4, "little")
+    with pytest.raises(media.OggError):
+        media.read_payload(whole[:at] + bytes(page) + whole[end:])
 
 
 def test_ogg_damage():
@@ -133,6 +153,9 @@ def test_token_shards(spark, docs, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert sstable.token_shards(docs.limit(0), path).count() == 0
+    other = P.path("byte_bpe_50k.json")  # keeps white space: nothing but the library may cut its texts
+    texts = ["a  b", " a\n\nb ", "", "Hello World"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in sstable.Encoder(other, 1).encode(texts)] == [Tokenizer.from_file(other).encode(x, add_special_tokens=False).ids + [1] for x in texts]
     again = spark.createDataFrame([(5, "b"), (5, "a"), (5, "b"), (-3, "c"), (9, "d")], "doc_id long, text string")
     shards = sstable.write_shards(again, path, f"file://{tmp_path}/shards")
     found = {k: [x.tolist() for s in shards for x in sstable.Shard(s.uri).get(k)] for k in (5, -3, 9, 6)}
