@@ -63,7 +63,13 @@ WITH read AS (
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
     try_cast(regexp_extract(url, '^.*?://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})(?:\.html)?/?(?:[?#].*)?$', 1, 's') AS BIGINT) AS doc_id
   FROM pages),
-placed AS (SELECT *, array_to_string(list_reverse(string_split(host, '.'))[1:2].list_reverse(), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM read),
+named AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\.+$', '') AS name FROM read),
+cut AS (SELECT *, string_split(name, '.') AS ps, regexp_matches(name, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$') AS address FROM named),
+counted AS (SELECT *, CASE WHEN array_to_string(ps[greatest(1, len(ps) - 1):], '.') IN (SUFFIXES) THEN 2 ELSE 1 END AS labels FROM cut),
+placed AS (
+  SELECT page_id, host, path, doc_id, CASE WHEN address THEN name ELSE array_to_string(ps[greatest(1, len(ps) - labels):], '.') END AS domain,
+    CASE WHEN address THEN name ELSE array_to_string(ps[greatest(1, len(ps) - labels + 1):], '.') END AS suffix
+  FROM counted),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
@@ -100,7 +106,7 @@ LEFT JOIN blocked bh ON bh.level = 'h' AND bh.unit = host
 LEFT JOIN blocked bd ON bd.level = 'd' AND bd.unit = domain
 LEFT JOIN blocked bs ON bs.level = 's' AND bs.unit = suffix
 LEFT JOIN blocked bt ON bt.level = 't'
-"""
+""".replace("SUFFIXES", ", ".join(f"'{x}'" for x in hosts.PUBLIC_SUFFIXES))
 
 
 #: Fixed value: words of a shingle of the registered query.

@@ -329,6 +329,29 @@ def test_reputation_shrinks(spark):
     assert 0.4 < mean["one.x.org"] < mean["bad.x.org"] and mean["good.x.org"] < 0.1
 
 
+def test_levels_of_hosts(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com:8080": ("x.com", "com"), "me@www.x.com": ("x.com", "com"), "a.com.": ("a.com", "com"), "com": ("com", "com"), "": ("", ""),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "1.2.3": ("2.3", "3"), "d.e.f.net": ("f.net", "net"), "..": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", *hosts.levels_of(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == want
+    given = spark.createDataFrame([("x.y.z.w",)], "host string").select(*hosts.levels_of(F.col("host"), ("z.w", "y.z.w"))).first()
+    assert tuple(given) == ("x.y.z.w", "y.z.w")
+
+
+def test_frequent_hosts_and_domains(spark, monkeypatch):
+    from sillon.llm import common
+
+    rng = random.Random(13)
+    names = ["hot.x.org"] * 60 + [f"h{i}.x.org" for i in range(30)] + [f"h{i}.d{i % 5}.com" for i in range(30)]
+    rows = [(h, int(rng.random() < (0.9 if h == "hot.x.org" else 0.2))) for h in names]
+    outcomes, pages = spark.createDataFrame(rows, "host string, bad int"), spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(names)] + [(None, "http://hot.x.org/")], "page_id long, url string")
+    plain = sorted(map(str, hosts.judge(pages, outcomes).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    assert sorted(map(str, hosts.judge(pages, outcomes).collect())) == plain and len(plain) == 121
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
