@@ -40,6 +40,11 @@ def truth(text: Column) -> Column:
     return F.coalesce(F.lower(squeezed(text)).isin("1", "true", "yes", "y"), F.lit(False))
 
 
+def visible(text: Column) -> Column:
+    """Whether a text has anything but white space; the search ends at the first such character."""
+    return text.rlike(f"[^{WHITE}]")
+
+
 def present(text: Column) -> Column:
     """The trimmed text, null where nothing is left."""
     return F.nullif(squeezed(text), F.lit(""))
@@ -114,6 +119,21 @@ def code_point(char: Column) -> Column:
     return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
+#: Normalizers by name; languages without rules of their own that were reviewed keep their orthography.
+NORMALIZERS = {"transcript": transcript, "generic": generic, "orthography": orthography}
+
+
+def normalized(text: Column, name: Column, names: dict[str, str]) -> Column:
+    """A text by the normalizer that ``names`` gives for its language or configured name, else by the generic one."""
+    by_normalizer: dict[str, list[str]] = {}
+    for key, normalizer in names.items():
+        by_normalizer.setdefault(normalizer, []).append(key)
+    out = generic(text)
+    for normalizer, keys in sorted(by_normalizer.items()):
+        out = F.when(name.isin(keys), NORMALIZERS[normalizer](text)).otherwise(out)
+    return out
+
+
 def is_revision(text: Column) -> Column:
     """Whether a text is a 40-digit hexadecimal revision."""
     return F.coalesce(text.rlike("^[0-9a-fA-F]{40}$"), F.lit(False))

@@ -1,7 +1,8 @@
 """The corpus compiler: ordered acceptance rules that keep every reason, first-wins deduplication, splits, fingerprint.
 
 Input rows have columns rn (their order), text, speaker, dialect, source_id, sha256, duration, channels, the flags
-consent_attested, transcript_reviewed, governance_approved, upstream_validated, training_only, and has_audio.
+consent_attested, transcript_reviewed, governance_approved, upstream_validated, training_only, and has_audio. If they also
+have rms, clipped and offset these count as well, and so does audio_error, why the sound can't be read.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillon.functions.text import assign_split, present
+from sillon.functions.text import assign_split, present, visible
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def suspicious(duration: Column, rms: Column | None = None, clipped: Column | No
 
 def first_stage(policy: Policy) -> Column:
     """Reasons that need no look at the sound."""
-    rules: list[tuple[Column, str | Column]] = [(~F.col("has_audio"), "missing_audio"), (F.coalesce(present(F.col("text")), F.lit("")) == "", "empty_text")]
+    rules: list[tuple[Column, str | Column]] = [(~F.col("has_audio"), "missing_audio"), (~F.coalesce(visible(F.col("text")), F.lit(False)), "empty_text")]
     if policy.split_by_speaker and policy.fixed_split is None:
         rules.append((present(F.col("speaker")).isNull() & ~F.col("training_only"), "missing_speaker"))
     if policy.require_consent:
@@ -60,8 +61,9 @@ def first_stage(policy: Policy) -> Column:
     return reasons(rules)
 
 
-def second_stage(policy: Policy) -> Column:
-    """Reasons that the sound gives, without duplicates."""
+def second_stage(policy: Policy, columns: list[str] = ()) -> Column:
+    """Reasons that the sound gives, without duplicates. A sound that can't be read has no other."""
+    figures = [F.col(c) if c in columns else None for c in ("rms", "clipped", "offset")]
     rules: list[tuple[Column, str | Column]] = []
     if policy.require_mono:
         rules.append((F.col("channels") != 1, "multichannel_audio"))
@@ -69,8 +71,11 @@ def second_stage(policy: Policy) -> Column:
         rules.append((F.col("sample_rate") != policy.sample_rate, F.concat(F.lit("sample_rate:"), F.col("sample_rate").cast("string"))))
     rules += [(F.col("duration") < policy.min_seconds, "too_short"), (F.col("duration") > policy.max_seconds, "too_long")]
     if not policy.allow_suspicious:
-        rules.append((suspicious(F.col("duration")), "quality_flag"))
-    return reasons(rules)
+        rules.append((suspicious(F.col("duration"), *figures), "quality_flag"))
+    found = reasons([(F.coalesce(c, F.lit(False)), r) for c, r in rules])
+    if "audio_error" in columns:
+        found = F.when(F.col("audio_error").isNotNull(), F.array(F.concat(F.lit("audio_error:"), "audio_error"))).otherwise(found)
+    return found
 
 
 def judged(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -80,14 +85,19 @@ def judged(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     first acceptable row of each digest comes from a grouped minimum, which combines before the shuffle, and a join that
     adaptive execution splits where one digest is frequent; a window would sort a digest's rows in one task.
     """
-    staged = rows.withColumn("one", first_stage(policy)).withColumn("two", F.when(F.size("one") == 0, second_stage(policy)).otherwise(F.array().cast("array<string>")))
+    staged = rows.withColumn("one", first_stage(policy)).withColumn("two", F.when(F.size("one") == 0, second_stage(policy, rows.columns)).otherwise(F.array().cast("array<string>")))
     fine = (F.size("one") == 0) & (F.size("two") == 0)
     first = staged.filter(fine).groupBy("sha256").agg(F.min("rn").alias("first_rn"))
-    met = staged.join(first, "sha256", "left")
-    again = F.when((F.size("one") == 0) & (F.col("rn") > F.col("first_rn")), F.array(F.lit("duplicate_audio"))).otherwise(F.array().cast("array<string>"))
+    # only the narrow part of a row goes through the join by digest; duplicates then find their rows by rn
+    again_rn = staged.filter(F.size("one") == 0).select("rn", "sha256").join(first, "sha256").filter(F.col("rn") > F.col("first_rn")).select("rn", F.lit(True).alias("again"))
+    met = staged.join(again_rn, "rn", "left")
+    seen = F.col("again").isNotNull()
+    if "audio_error" in rows.columns:
+        seen = seen & F.col("audio_error").isNull()
+    again = F.when(seen, F.array(F.lit("duplicate_audio"))).otherwise(F.array().cast("array<string>"))
     out = met.withColumn("reasons", F.concat("one", again, "two"))
     key = F.col("speaker") if policy.split_by_speaker else F.col("sha256")
-    return out.withColumn("split", F.when(F.size("reasons") == 0, assign_split(key, F.col("training_only"), policy.fixed_split))).drop("one", "two", "first_rn")
+    return out.withColumn("split", F.when(F.size("reasons") == 0, assign_split(key, F.col("training_only"), policy.fixed_split))).drop("one", "two", "again")
 
 
 def accepted(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillon.functions.text import present
+from sillon.functions.text import WHITE, present, visible
 
 #: Fixed value: uses from the freest to the narrowest.
 USAGE_RANK = {"production": 0, "evaluation": 1, "research": 2}
@@ -38,20 +38,34 @@ def resolved(plan: DataFrame, catalog: DataFrame) -> DataFrame:
     return met.filter(F.coalesce("known", F.raise_error(F.concat(F.lit("unknown source: "), "source_id")).cast("boolean"))).drop("known")
 
 
+def _stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def first_present(names: list[str], columns: list[str], needed: bool = True) -> Column:
-    """The first of the named columns that isn't empty; an error, or null, where all are."""
-    found = [present(F.col(n).cast("string")) for n in names if n in columns]
+    """The first of the named columns with anything but white space, as it is; an error, or null, where none has."""
+    found = [F.when(visible(F.col(n).cast("string")), F.col(n).cast("string")) for n in names if n in columns]
     last = F.raise_error(F.lit(f"none of {names} is given")).cast("string") if needed else F.lit(None).cast("string")
     return F.coalesce(*found, last)
 
 
 def adapt(rows: DataFrame, prefix: str, audio: list[str], text: list[str], ids: list[str], speaker: list[str] | None = None, speaker_needed: bool = False, dialect: str | None = None) -> DataFrame:
-    """A provider's rows as audio, text, speaker, dialect, source_id, training_only; rows without speaker are for training only."""
+    """A provider's rows as audio, text, speaker, dialect, source_id, training_only; rows without speaker are for training only.
+
+    Values stay as the provider gives them; dialects, and speakers that aren't needed, lose white space at their ends. An
+    id counts if it isn't empty, even if blank.
+    """
     c = rows.columns
-    who = first_present(speaker, c, speaker_needed) if speaker else F.lit(None).cast("string")
+    if not speaker:
+        who = F.lit(None).cast("string")
+    elif speaker_needed:
+        who = first_present(speaker, c)
+    else:
+        who = F.coalesce(*[_stripped(F.nullif(F.col(n).cast("string"), F.lit(""))) for n in speaker if n in c], F.lit(None).cast("string"))
     sound = first_present(audio, c)
-    own = F.coalesce(first_present(ids, c, False), sound)
-    where = present(F.col(dialect)) if dialect in c else F.lit(None).cast("string")
+    own = F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in ids if n in c], sound)
+    where = _stripped(F.nullif(F.col(dialect), F.lit(""))) if dialect in c else F.lit(None).cast("string")
     return rows.select(sound.alias("audio"), first_present(text, c).alias("text"), who.alias("speaker"), where.alias("dialect"), F.concat(F.lit(f"{prefix}:"), own).alias("source_id"), who.isNull().alias("training_only"))
 
 

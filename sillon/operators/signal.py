@@ -7,9 +7,10 @@ import wave
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StringType, StructField, StructType
 
 from sillon.operators.compiler import suspicious
 
@@ -42,12 +43,134 @@ def pcm_seconds(n_bytes: Column, rate: Column, channels: int = 1) -> Column:
     return n_bytes / (rate * channels * 2)
 
 
+def downmixed(samples: Column, channels: Column) -> Column:
+    """Interleaved samples of several channels as the mean of the channels."""
+    frames = F.floor(F.size(samples) / channels).cast("int")
+    mean = lambda i: F.aggregate(F.slice(samples, i * channels + 1, channels), F.lit(0.0), lambda s, x: s + x) / channels
+    return F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), mean)).otherwise(F.array().cast("array<double>"))
+
+
+def resampled_column(samples: Column, rate: Column, target: int) -> Column:
+    """``resampled`` as a column expression."""
+    n = F.size(samples)
+    m = F.greatest(F.lit(1), F.rint(n * F.lit(float(target)) / rate).cast("int"))
+    at = lambda i: F.element_at(samples, (F.least(i, n - 1) + 1).cast("int")).cast("double")
+
+    def value(j: Column) -> Column:
+        x = j * n.cast("double") / m
+        i = F.floor(x)
+        return at(i) + (at(i + 1) - at(i)) * (x - i)
+
+    return F.when(n == 0, samples.cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), m - 1), value))
+
+
 def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation to another rate; at least one sample."""
+    """Linear interpolation to another rate; at least one sample.
+
+    Sample k of n stands at k / n of the recording in either rate, and what lies beyond the last sample has its value.
+    """
     if rate == target or not len(samples):
         return samples
     n = max(1, round(len(samples) * target / rate))
-    return np.interp(np.linspace(0, len(samples) - 1, n), np.arange(len(samples)), samples).astype(np.float32)
+    return np.interp(np.arange(n) * (len(samples) / n), np.arange(len(samples)), samples).astype(np.float32)
+
+
+class SoundError(ValueError):
+    """A sound that can't be used."""
+
+
+def decode(content: bytes) -> tuple[np.ndarray, int, int]:
+    """Interleaved samples from -1 to 1, rate and channels of a PCM WAV file of 8, 16, 24 or 32 bits."""
+    if not content:
+        raise SoundError("audio is empty")
+    try:
+        with wave.open(io.BytesIO(content)) as w:
+            width, rate, channels, raw = w.getsampwidth(), w.getframerate(), w.getnchannels(), w.readframes(w.getnframes())
+    except (wave.Error, EOFError) as e:
+        raise SoundError(f"audio can't be read: {e}") from e
+    if width == 1:
+        samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8)[: len(raw) // 3 * 3].reshape(-1, 3)
+        samples = (wide.view("<i4").ravel() / 2**31).astype(np.float32)
+    else:
+        samples = (np.frombuffer(raw, f"<i{width}") / 2 ** (8 * width - 1)).astype(np.float32)
+    return samples, rate, channels
+
+
+def mono(samples: np.ndarray, channels: int) -> np.ndarray:
+    """The mean of the channels of interleaved samples."""
+    return samples if channels == 1 else samples[: len(samples) // channels * channels].reshape(-1, channels).mean(axis=1).astype(np.float32)
+
+
+#: Seconds by which a sound may be longer than its cap.
+SLACK = 0.05
+
+
+def clip(content: bytes, target: int, most: float) -> np.ndarray:
+    """The samples of a sound file, as one channel at the target rate; a longer sound than ``most`` seconds is an error."""
+    samples, rate, channels = decode(content)
+    samples = mono(samples, channels)
+    if len(samples) / rate > most + SLACK:
+        raise SoundError(f"recording exceeds maximum duration of {most:g}s")
+    return resampled(samples, rate, target)
+
+
+def _decoded(content: pa.Array) -> pa.Array:
+    out = []
+    for x in content.to_pylist():
+        try:
+            samples, rate, channels = decode(x or b"")
+            out.append({"samples": samples, "rate": rate, "channels": channels, "error": None})
+        except SoundError as e:
+            out.append({"samples": None, "rate": None, "channels": None, "error": str(e)})
+    return pa.array(out, pa.struct([("samples", pa.list_(pa.float32())), ("rate", pa.int32()), ("channels", pa.int32()), ("error", pa.string())]))
+
+
+#: Samples, rate and channels of sound files, or why they can't be read.
+decoded = F.arrow_udf(_decoded, StructType([StructField("samples", ArrayType(FloatType())), StructField("rate", IntegerType()), StructField("channels", IntegerType()), StructField("error", StringType())]))
+
+
+def normalized_clips(files: DataFrame, target: int = 16000, most: float = 120.0, key: str = "path", content: str = "content") -> DataFrame:
+    """Columns ``key``, wav, seconds and error of single utterances: one channel, the target rate, no segmentation."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k, x in zip(pdf[key], pdf[content], strict=True):
+                try:
+                    samples = clip(x or b"", target, most)
+                    rows.append((k, wav(samples, target), len(samples) / target, None))
+                except SoundError as e:
+                    rows.append((k, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=[key, "wav", "seconds", "error"])
+
+    return files.select(key, content).mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, wav binary, seconds double, error string")
+
+
+def payload(given: Column, stored: Column) -> Column:
+    """The bytes of a sound given as bytes, as a path whose content was joined as ``stored``, or as samples and a rate.
+
+    ``given`` is a struct of bytes, path, array and sampling_rate, of which the first that is there counts; nothing is an error.
+    """
+    made = wav_of_samples(given["array"].cast("array<float>"), given["sampling_rate"])
+    neither = F.raise_error(F.concat(F.lit("no content for "), F.coalesce(given["path"], F.lit("an empty sound")))).cast("binary")
+    return F.coalesce(given["bytes"], F.when(given["path"].isNotNull(), stored), F.when(given["array"].isNotNull() & (given["sampling_rate"] > 0), made), neither)
+
+
+def leveled(samples: np.ndarray) -> np.ndarray:
+    """Finite samples, brought down to a peak of 1 where they exceed it; anything else is an error."""
+    flat = np.squeeze(np.asarray(samples, dtype=np.float32))
+    if flat.ndim > 1 or not flat.size or not np.isfinite(flat).all():
+        raise SoundError("samples must be finite and of one channel")
+    peak = float(np.abs(flat).max())
+    return np.atleast_1d(flat / peak if peak > 1 else flat)
+
+
+def reference_fault(seconds: Column, channels: Column, least: float = 1.0, most: float = 30.0) -> Column:
+    """Why a clip can't serve as a voice's reference, null if it can."""
+    return F.when(channels != 1, "not mono").when(seconds < least, "too short").when(seconds > most, "too long")
 
 
 def wav(samples: np.ndarray, rate: int) -> bytes:
@@ -57,10 +180,23 @@ def wav(samples: np.ndarray, rate: int) -> bytes:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes((np.clip(samples, -1.0, 1.0) * 32767).astype("<i2").tobytes())
+        w.writeframes((np.clip(samples, -1.0, 1.0) * np.float32(32767)).astype("<i2").tobytes())
     return out.getvalue()
 
 
+def _wavs(samples: pa.Array, rate: pa.Array) -> pa.Array:
+    return pa.array([None if s is None or r is None else wav(np.asarray(s, dtype=np.float32), r) for s, r in zip(samples.to_pylist(), rate.to_pylist(), strict=True)], pa.binary())
+
+
+def _leveled_wavs(samples: pa.Array, rate: pa.Array) -> pa.Array:
+    return pa.array([wav(leveled(s), r) for s, r in zip(samples.to_pylist(), rate.to_pylist(), strict=True)], pa.binary())
+
+
+#: WAV files of samples, clipped at 1; and of samples brought down to 1 first.
+wav_of_samples = F.arrow_udf(_wavs, BinaryType())
+wav_of_leveled = F.arrow_udf(_leveled_wavs, BinaryType())
+
+
 @F.pandas_udf(BinaryType())
 def wav_of_pcm(pcm: pd.Series, rate: pd.Series) -> pd.Series:
     """WAV files of 16-bit PCM bytes; odd lengths and rates outside 8 to 48 kHz are errors."""
@@ -79,11 +215,12 @@ def regions(samples: np.ndarray, rate: int) -> list[tuple[int, int]]:
     n = -(-len(samples) // frame)
     if not n:
         return []
-    padded = np.zeros(n * frame)
-    padded[: len(samples)] = np.asarray(samples, dtype=np.float64) ** 2
-    sizes = np.full(n, frame)
+    flat = np.zeros(n * frame, dtype=np.float32)
+    flat[: len(samples)] = samples
+    sums = (flat * flat).reshape(n, frame).sum(axis=1)
+    sizes = np.full(n, frame, dtype=np.float32)
     sizes[-1] = len(samples) - (n - 1) * frame
-    energy = np.sqrt(padded.reshape(n, frame).sum(axis=1) / sizes + 1e-12).astype(np.float32)
+    energy = np.sqrt((sums / sizes).astype(np.float64) + 1e-12).astype(np.float32)
     voiced = np.flatnonzero(energy >= max(0.003, 2.5 * float(np.percentile(energy, 20)), 0.08 * float(np.percentile(energy, 95))))
     quiet, most, least = (max(1, round(s / FRAME)) for s in (SILENCE, LONGEST, SHORTEST))
     out: list[tuple[int, int]] = []
@@ -117,14 +254,16 @@ def regions(samples: np.ndarray, rate: int) -> list[tuple[int, int]]:
     return out
 
 
-def segments(recordings: DataFrame, key: str = "recording", samples: str = "samples", rate: str = "rate") -> DataFrame:
-    """Rows (key, segment, start, end in seconds, wav) of the voiced regions of each recording, padded; one recording at a time."""
+def segments(recordings: DataFrame, key: str = "recording", samples: str = "samples", rate: str = "rate", target: int | None = None) -> DataFrame:
+    """Rows (key, segment, start, end in seconds, wav) of the voiced regions of each recording, padded; one recording at a time, at the target rate if one is given."""
 
     def run(frames):
         for pdf in frames:
             rows = []
             for k, s, r in zip(pdf[key], pdf[samples], pdf[rate], strict=True):
                 s = np.asarray(s, dtype=np.float32)
+                if target and target != r:
+                    s, r = resampled(s, r, target), target
                 frame, pad = max(1, round(FRAME * r)), round(PAD * r)
                 for i, (a, b) in enumerate(regions(s, r)):
                     a, b = max(0, a * frame - pad), min(len(s), b * frame + pad)

@@ -11,6 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sillon.functions.text import nfc_casefold, squeezed
 from sillon.operators.compiler import Policy
 from sillon.operators.governance import CATALOG_SCHEMA, PLAN_SCHEMA, USAGE_RANK
 
@@ -138,6 +139,10 @@ def aliases(spark: SparkSession, found: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), "alias string, code string")
 
 
-def canonical(rows: DataFrame, known: DataFrame, column: str = "language") -> DataFrame:
-    """``rows`` with column code, null where the alias is unknown. The dimension has a few rows a language."""
-    return rows.withColumn("alias", F.lower(F.trim(column))).join(F.broadcast(known), "alias", "left").drop("alias")
+def canonical(rows: DataFrame, known: DataFrame, column: str = "language", needed: bool = True, most: int = 100_000) -> DataFrame:
+    """``rows`` with column code; an unknown alias is an error, or null where none is needed. Up to ``most`` aliases are broadcast."""
+    few = F.broadcast(known) if known.count() <= most else known
+    met = rows.withColumn("alias", nfc_casefold(squeezed(F.col(column)))).join(few, "alias", "left")
+    if needed:
+        met = met.withColumn("code", F.coalesce("code", F.raise_error(F.concat(F.lit("unknown language: "), F.coalesce(column, F.lit("none")))).cast("string")))
+    return met.drop("alias")

@@ -34,7 +34,11 @@ def test_profiles(spark, tmp_path):
     policy = config.policy(found["aa"], min_seconds=1.0)
     assert (policy.min_seconds, policy.max_seconds, policy.required, policy.split_by_speaker) == (1.0, 12.0, frozenset({"dialect"}), True)
     rows = spark.createDataFrame([(" AY ",), ("zz",)], "language string")
-    assert [r.code for r in config.canonical(rows, config.aliases(spark, found)).orderBy("language").collect()] == ["aa", None]
+    known = config.aliases(spark, found).unionByName(spark.createDataFrame([("strasse", "ss")], "alias string, code string"))
+    assert [r.code for r in config.canonical(rows, known, needed=False).orderBy("language").collect()] == ["aa", None]
+    assert config.canonical(spark.createDataFrame([("Stra\u00dfe",)], "language string"), known).first().code == "ss"
+    with pytest.raises(Exception, match="unknown language"):
+        config.canonical(rows, known).collect()
     (tmp_path / "b.yaml").write_text(PROFILE.replace("code: aa", "code: bb"))
     with pytest.raises(ValueError, match="several profiles have aaa, ay"):
         config.profiles(str(tmp_path))

@@ -1,4 +1,6 @@
 import hashlib
+import io
+import wave
 
 import numpy as np
 import pytest
@@ -90,6 +92,19 @@ def test_listening(spark):
         speech.listening_scores(spark.createDataFrame([("m", 5.5, 5.0, 3.0, 1.0)], schema)).collect()
 
 
+def test_unreadable_and_bad_sounds(spark):
+    rows = [(*row(1, "a"), 0.1, 0.0, 0.0, None), (*row(2, "b"), 0.0, 0.0, 0.0, None), (*row(3, "c"), 0.1, 0.01, 0.0, None), (*row(4, "d"), 0.1, 0.0, -0.06, None), (*row(5, "a", duration=None, channels=None), None, None, None, "cut file"), (*row(6, "a"), 0.1, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, ROWS + ", rms double, clipped double, offset double, audio_error string")
+    assert {r.rn: r.reasons for r in compiler.judged(df).collect()} == {1: [], 2: ["quality_flag"], 3: ["quality_flag"], 4: ["quality_flag"], 5: ["audio_error:cut file"], 6: ["duplicate_audio"]}
+
+
+def test_providers_values_stay_as_they_are(spark):
+    rows = spark.createDataFrame([(" a  b.wav ", "x   y ", "  s  p ", " ", None)], "audio string, text string, speaker string, id string, dialect string")
+    r = governance.adapt(rows, "p", ["audio"], ["text"], ["id"], ["speaker"], True, "dialect").first()
+    assert tuple(r) == (" a  b.wav ", "x   y ", "  s  p ", None, "p: ", False)
+    assert governance.adapt(rows, "p", ["audio"], ["text"], ["id"], ["speaker"], False, "dialect").first().speaker == "s  p"
+
+
 def test_governance(spark):
     uses = spark.createDataFrame([("production", "research"), ("research", "production")], "a string, b string")
     assert [r.x for r in uses.select(governance.allows(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False]
@@ -114,48 +129,105 @@ def test_pointers(spark):
     assert governance.latest_checkpoint(paths).first().path == "o/checkpoint-10"
 
 
-def plain_regions(samples, rate):
-    """Frame by frame, as the rules say."""
-    frame = max(1, round(0.02 * rate))
-    blocks = [samples[i : i + frame] for i in range(0, len(samples), frame)]
-    e = np.array([np.sqrt(np.mean(np.asarray(b, dtype=np.float64) ** 2) + 1e-12) for b in blocks], dtype=np.float32)
-    if not len(e):
-        return []
-    limit = max(0.003, 2.5 * float(np.percentile(e, 20)), 0.08 * float(np.percentile(e, 95)))
-    quiet, most, least = max(1, round(0.45 / 0.02)), round(20 / 0.02), round(0.6 / 0.02)
-    out, begin, run = [], None, 0
-    for i, x in enumerate(e >= limit):
-        if x:
-            begin, run = i if begin is None else begin, 0
-        elif begin is not None:
-            run += 1
-            if run >= quiet:
-                if i - run + 1 - begin >= least:
-                    out.append((begin, i - run + 1))
-                begin = None
-        if begin is not None and i - begin + 1 >= most:
-            out.append((begin, i + 1))
-            begin, run = None, 0
-    if begin is not None and len(e) - begin >= least:
-        out.append((begin, len(e)))
-    return out
-
-
-def test_regions():
+def runs(*lengths):
+    """Frames of one sample at 50 a second: voiced, silent, voiced and so on."""
+    return np.concatenate([np.full(n, 0.3 * (k % 2 == 0), np.float32) for k, n in enumerate(lengths)])
+
+
+@pytest.mark.parametrize(
+    ("lengths", "want"),
+    [
+        ((0, 100), []),
+        ((0, 40, 60, 100), [(40, 100)]),
+        ((30, 200), [(0, 30)]),
+        ((29, 200), []),  # too short
+        ((40, 21, 40, 200), [(0, 101)]),  # silence too short to end it
+        ((40, 22, 40, 200), [(0, 40), (62, 102)]),
+        ((0, 300, 20, 5), []),  # runs to the end, but is too short
+        ((0, 300, 40, 5), [(300, 345)]),  # the end of the recording ends it, silence and all
+        ((0, 900, 1500, 900), [(900, 1900), (1900, 2400)]),  # cut for length
+        ((0, 900, 1010, 900), [(900, 1900)]),  # what a cut leaves is too short
+        ((0, 900, 990, 10, 40, 900), [(900, 1900), (1900, 1940)]),  # cut in the middle of a silence
+    ],
+)
+def test_regions_by_hand(lengths, want):
+    assert signal.regions(runs(*lengths), 50) == want
+
+
+def test_regions_hold_their_rules():
     rng = np.random.RandomState(0)
-    for _ in range(40):
-        rate = 200
-        parts = [rng.choice([0.0, 0.3]) * rng.randn(rng.randint(1, rng.choice([100, 600, 6000]))) for _ in range(rng.randint(1, 9))]
-        s = np.concatenate(parts).astype(np.float32)
-        assert signal.regions(s, rate) == plain_regions(s, rate)
+    quiet, most, least = 22, 1000, 30
+    for _ in range(200):
+        s = runs(0, *(rng.randint(1, rng.choice([30, 300, 1500])) for _ in range(rng.randint(2, 30))), rng.randint(1, 3000))
+        voiced = np.flatnonzero(s)
+        found = signal.regions(s, 50)
+        if not len(voiced) or len(voiced) > 0.75 * len(s):  # the threshold rises with the floor
+            continue
+        ends = [0, *(b for _, b in found)]
+        assert all(a >= e and s[a] and b - a <= most for (a, b), e in zip(found, ends, strict=False))
+        for a, b in found:
+            inside = np.concatenate((voiced[(voiced >= a) & (voiced < b)], [b] if b - a == most or b == len(s) else []))
+            assert b - a == most or b == len(s) or s[b - 1]
+            assert b - a >= least and (np.diff(inside) <= quiet + (b in inside)).all()
+        left = np.setdiff1d(voiced, np.concatenate([np.arange(a, b) for a, b in found] or [np.zeros(0, int)]))
+        for part in np.split(left, np.flatnonzero(np.diff(left) > quiet) + 1):
+            assert not len(part) or part[-1] + 1 - part[0] < least or len(s) - part[0] < least
     assert signal.regions(np.zeros(16000, np.float32), 16000) == [] == signal.regions(np.zeros(0, np.float32), 16000)
 
 
+def test_resampling():
+    s = np.sin(np.arange(100) / 7).astype(np.float32)
+    up = signal.resampled(s, 8000, 16000)
+    assert np.allclose(up[::2], s) and np.allclose(up[1:-1:2], (s[:-1] + s[1:]) / 2, atol=1e-6) and up[-1] == s[-1]
+    assert np.allclose(signal.resampled(s, 16000, 8000), s[::2])
+    assert len(signal.resampled(s[:1], 16000, 8000)) == 1
+
+
+def wav_file(samples, rate, channels=1, width=2):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes(samples)
+    return out.getvalue()
+
+
+def test_sound_files(spark):
+    wide = (np.array([0, 2**30, -(2**31)], "<i4")).tobytes()
+    files = {
+        "a": wav_file(np.array([0, 16384, -32768, 0], "<i2").tobytes(), 8000, 2), "b": wav_file(bytes([128, 192, 0]), 8000, 1, 1), "c": wav_file(wide, 8000, 1, 4),
+        "d": wav_file(b"".join(wide[i + 1 : i + 4] for i in range(0, 12, 4)), 8000, 1, 3), "e": b"", "f": b"no sound", "g": wav_file(bytes(2 * 8000), 8000),
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, content binary")
+    got = {r.path: r.d for r in df.select("path", signal.decoded("content").alias("d")).collect()}
+    assert got["a"].samples == [0.0, 0.5, -1.0, 0.0] and got["a"].channels == 2 and all(got[k].samples == [0.0, 0.5, -1.0] for k in "bcd")
+    assert got["e"].error == "audio is empty" and got["f"].error.startswith("audio can't be read")
+    clips = {r.path: r for r in signal.normalized_clips(df, 16000, 0.9).collect()}
+    assert clips["g"].error == "recording exceeds maximum duration of 0.9s" and clips["a"].seconds == 4 / 16000 and clips["a"].wav[:4] == b"RIFF"
+    assert np.frombuffer(clips["a"].wav[44:], "<i2").tolist() == [8191, -4095, -16383, -16383]
+    with pytest.raises(signal.SoundError):
+        signal.leveled(np.array([1.0, np.nan]))
+    assert signal.leveled(np.array([[0.5, -2.0]])).tolist() == [0.25, -1.0] and signal.leveled(np.array([0.5])).tolist() == [0.5]
+    given = spark.createDataFrame([(bytearray(b"x"), None, None, None, None), (None, "p", None, None, bytearray(b"y")), (None, None, [0.5], 8000, None)], "bytes binary, path string, array array<double>, sampling_rate int, stored binary")
+    load = signal.payload(F.struct("bytes", "path", "array", "sampling_rate"), F.col("stored"))
+    assert [bytes(r[0])[:4] for r in given.select(load).collect()] == [b"x", b"y", b"RIFF"]
+
+
+def test_column_forms_equal_the_helpers(spark):
+    rows = [([0.1, -0.5, 0.25, 1.0, 0.0], 5), ([0.3], 7), ([], 5), ([float(i % 7) / 7 for i in range(31)], 11)]
+    df = spark.createDataFrame(rows, "s array<float>, r int")
+    for target in (3, 8, 11):
+        got = [r.x for r in df.select(signal.resampled_column(F.col("s"), F.col("r"), target).alias("x")).collect()]
+        assert all(np.allclose(g, signal.resampled(np.array(s, np.float32), r, target), atol=1e-6) for g, (s, r) in zip(got, rows, strict=True))
+    two = df.select(signal.downmixed(F.col("s"), F.lit(2)).alias("x")).collect()
+    assert all(np.allclose(r.x, signal.mono(np.array(s, np.float32), 2)) for r, (s, _) in zip(two, rows, strict=True))
+
+
 def test_waveforms(spark):
     df = spark.createDataFrame([([0.1] * 160, 16), ([1.0, -1.0] * 80, 16), ([], 16)], "samples array<float>, rate int")
     a, b, c = signal.inspected(df).collect()
     assert abs(a.offset - 0.1) < 1e-6 and a.suspicious and b.clipped == 1.0 and b.peak == 1.0 and c.rms is None
-    assert len(signal.resampled(np.ones(100, np.float32), 8000, 16000)) == 200
     got = spark.createDataFrame([(bytes(200), 8000)], "pcm binary, rate int").select(signal.wav_of_pcm("pcm", "rate").alias("w")).first().w
     assert bytes(got[:4]) == b"RIFF" and len(got) == 244
 
