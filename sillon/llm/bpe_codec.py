@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pretokens of a block of documents are laid end to end as one symbol sequence. An inverted index leads from
-each mergeable pair (named by the token it merges to) to the positions where it stands. Merges are applied to all
-positions in rank order; each touches only its two neighbours, whose new pairs enter the index. Where two positions of
-one merge overlap, the left one goes first, as in merging word by word.
+The distinct pretokens of a block of documents (``BLOCK_BYTES`` of text, or a longer document) that a worker hasn't met
+before are laid end to end as one symbol sequence. An inverted index leads from each pair of adjacent tokens that merges
+to the positions where it stands. Merges are applied in rank order, each to all its positions at once; each touches only
+its two neighbours, whose new pairs enter the index. Where two positions of one merge overlap, the left one goes first,
+as in merging word by word.
 
 Cases: a null or empty text has no ids and decodes to no bytes; texts of any length are encoded whole; repeated rows
 are encoded each; an empty table gives an empty result; further columns of the input are ignored.
@@ -14,14 +15,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterable, Iterator
 from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import kept, map_batches, texts_of
 from .pretokens import CACHE_CHARS, CACHE_ENTRIES, pretokens, quiet_collector, unit_text, units
 
+#: Bytes of text whose new pretokens are replayed together.
+BLOCK_BYTES = 4 << 20
+
 
 class Codec:
     """Encoder and decoder of a file of ranks."""
@@ -43,11 +49,11 @@ class Codec:
         self.words: dict[str, tuple[int, ...]] = {}
         self.units: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The tokens that pairs merge to, -1 where none."""
+    def pairs_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places in ``pair_keys`` of pairs, -1 where they don't merge."""
         key = a * self.size + b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_to[at], -1)
+        return np.where(self.pair_keys[at] == key, at, -1)
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word, by one replay of the merges over all of them."""
@@ -60,34 +66,34 @@ class Codec:
         border = ends[(ends > 0) & (ends < n)]
         after[border - 1] = n  # neighbours end at a word's border
         before[border] = -1
-        to_of = np.full(n, -1)  # what the pair that begins at a position merges to
-        left = np.flatnonzero(after < n)
-        to_of[left] = self.merged(symbols[left], symbols[left + 1])
-        places: dict[int, list[np.ndarray]] = {}
-        queue: list[int] = []
-
-        def enter(where: np.ndarray, to: np.ndarray) -> None:
-            """Puts positions into the index under the tokens that their pairs merge to."""
-            order = np.argsort(to, kind="stable")
-            where, to = where[order], to[order]
-            cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
-            begins = [0, *cuts.tolist()]
-            for k, token in enumerate(to[begins].tolist()):
-                part = where[begins[k] : begins[k + 1] if k + 1 < len(begins) else None]
-                if token in places:
-                    places[token].append(part)
+        pair_of = np.full(n, -1)  # the place in ``pair_keys`` of the pair that begins at a position
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[tuple[int, int]] = []
+
+        def enter(where: np.ndarray) -> None:
+            """Puts positions into the index under the pairs that begin there."""
+            pairs = self.pairs_of(symbols[where], symbols[after[where]])
+            pair_of[where] = pairs
+            where, pairs = where[pairs >= 0], pairs[pairs >= 0]
+            if not len(where):
+                return
+            order = np.argsort(pairs, kind="stable")
+            where, pairs = where[order], pairs[order]
+            begins = [0, *(np.flatnonzero(pairs[1:] != pairs[:-1]) + 1).tolist(), len(pairs)]
+            for a, b in zip(begins, begins[1:]):  # noqa: B905
+                pair = int(pairs[a])
+                if pair in index:
+                    index[pair].append(where[a:b])
                 else:
-                    places[token] = [part]
-                    heapq.heappush(queue, token)
+                    index[pair] = [where[a:b]]
+                    heapq.heappush(queue, (int(self.pair_to[pair]), pair))
 
-        left = left[to_of[left] >= 0]
-        if len(left):
-            enter(left, to_of[left])
+        enter(np.flatnonzero(after < n))
         while queue:
-            token = heapq.heappop(queue)
-            parts = places.pop(token)
-            i = parts[0] if len(parts) == 1 else np.concatenate(parts)
-            i = np.unique(i[to_of[i] == token])
+            token, pair = heapq.heappop(queue)  # ranks are ids of what pairs merge to
+            parts = index.pop(pair)
+            i = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+            i = i[pair_of[i] == pair]
             if not len(i):
                 continue
             j = after[i]
@@ -100,28 +106,20 @@ class Codec:
                 i = np.array(keep)
                 j = after[i]
             k = after[j]
-            symbols[i], symbols[j], to_of[j], after[i] = token, -1, -1, k
+            symbols[i], symbols[j], pair_of[j], after[i] = token, -1, -1, k
             has = k < n
             before[k[has]] = i[has]
-            to_of[i] = -1
-            r = i[has]
-            to_of[r] = self.merged(symbols[r], symbols[k[has]])
+            pair_of[i] = -1
             h = before[i]
-            l = h[h >= 0]
-            to_of[l] = self.merged(symbols[l], symbols[after[l]])
-            touched = np.concatenate((l, r))
-            touched = touched[to_of[touched] >= 0]
-            if len(touched):
-                enter(touched, to_of[touched])
+            enter(np.concatenate((h[h >= 0], i[has])))
         alive = symbols >= 0
         ids = symbols[alive].tolist()
         stops = np.cumsum(alive)
         stops = np.where(ends > 0, stops[ends - 1], 0).tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def encode_block(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text of a block."""
-        cut = [units(x) if x else [] for x in texts]
+    def _learn(self, cut: list[list[str]]) -> list[str]:
+        """Encodes the units of a block that are new, by one replay of the merges over their new pretokens; returns those too long to keep."""
         if len(self.units) > self.entries:
             self.units.clear()
         if len(self.words) > self.entries:
@@ -130,15 +128,26 @@ class Codec:
         new_words = list(set(chain.from_iterable(new_units.values())).difference(self.words))
         words = self.words
         words.update(zip(new_words, self.replay([w.encode("utf-8", "surrogatepass") for w in new_words]), strict=True))
-        known = self.units
-        known.update((u, tuple(chain.from_iterable(map(words.__getitem__, p)))) for u, p in new_units.items())
-        out = [list(chain.from_iterable(map(known.__getitem__, u))) for u in cut]
-        for cache, keys in ((known, new_units), (words, new_words)):
-            for k in keys:
-                if len(k) > CACHE_CHARS:
-                    del cache[k]
+        self.units.update((u, tuple(chain.from_iterable(map(words.__getitem__, p)))) for u, p in new_units.items())
+        for w in new_words:
+            if len(w) > CACHE_CHARS:
+                del words[w]
+        return [u for u in new_units if len(u) > CACHE_CHARS]
+
+    def encode_block(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text of a block."""
+        cut = [units(x) if x else [] for x in texts]
+        long = self._learn(cut)
+        out = [list(chain.from_iterable(map(self.units.__getitem__, u))) for u in cut]
+        for u in long:
+            del self.units[u]
         return out
 
+    def release(self) -> None:
+        """Gives up the caches."""
+        self.words.clear()
+        self.units.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -154,13 +163,25 @@ def codec(path: str, entries: int = CACHE_ENTRIES) -> Codec:
     return kept(("codec", path, entries), build)
 
 
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``BLOCK_BYTES``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Columns ``key`` and ``ids`` (array of int) of each text."""
 
     def run(batch, c):
         return {key: batch.column(key), "ids": c.encode_block(texts_of(batch, text))}
 
-    return map_batches(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>", lambda: codec(path))
+    return map_batches(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, ids array<int>", lambda: codec(path), blocks)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -186,4 +207,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
             "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in encoded],
         }
 
-    return map_batches(docs.select(key, text), run, schema, lambda: codec(path, entries))
+    return map_batches(docs.select(key, text), run, schema, lambda: codec(path, entries), blocks)
