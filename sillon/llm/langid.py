@@ -30,6 +30,8 @@ from .common import add_columns, kept, texts_of
 SAMPLE_DOCS = 128
 SAMPLE_CHARS = 2048
 SAMPLE_SYMBOLS = 40_000
+#: Parts of a language's texts of which the least are found first.
+SAMPLE_PARTS = 16
 SEGMENT = 512
 UNDETERMINED = "und"
 #: Letters a phrase on the average, below which no learned language explains a text; less in languages whose own texts
@@ -273,8 +275,11 @@ def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, c
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("x"))
     tie = F.xxhash64("x")
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "tie"))  # Spark keeps the first of each task before it shuffles
-    least = rows.select("l", F.xxhash64("x", F.lit(1)).alias("h"), tie.alias("tie")).distinct().withColumn("place", place).filter(F.col("place") <= docs).select("l", "tie")
+    least = rows.select("l", F.xxhash64("x", F.lit(1)).alias("h"), tie.alias("tie")).distinct().withColumn("part", F.pmod("tie", F.lit(SAMPLE_PARTS)))
+    for by in (("l", "part"), ("l",)):  # the least of each part first, so that a language's rows needn't meet in one task
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "tie"))
+        least = least.withColumn("place", place).filter(F.col("place") <= docs)
+    least = least.select("l", "tie")
     start = F.pmod(tie, F.greatest(F.lit(1), F.length("x") - chars)) + 1
     drawn = rows.withColumn("tie", tie).join(F.broadcast(least), ["l", "tie"]).groupBy("l", "tie").agg(F.first(F.substring("x", start, F.lit(chars))).alias("x"))
     found: dict[str, list[tuple[int, str]]] = {}
