@@ -111,12 +111,19 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(first, key).withColumn("repeats", F.col(order) > F.col("first_of_key")).drop("first_of_key")
 
 
+#: Characters of all fields of all rows up to which a fingerprint is taken from one row.
+FINGERPRINT_CHARS = 64 << 20
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
     """One row: fingerprint (SHA-256 over the sorted, joined fields of all rows) and n.
 
-    A digest over all rows in order needs them in one place: ``collect_list`` puts them into one row, of up to 2 GB. For
-    more, ``fingerprint_of_large`` streams a global sort through the driver and gives the same digest.
+    A digest over all rows in order needs them one after the other. A small manifest is put into one row; a larger one
+    is sorted across the cluster and streamed through the driver, one partition at a time, by ``fingerprint_of_large``.
     """
+    size = rows.select(_identity().alias("r")).agg(F.sum(F.length(F.concat_ws("", *[F.col("r")[c] for c in _IDENTITY]))).alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    if (size.chars or 0) > FINGERPRINT_CHARS:
+        return rows.sparkSession.createDataFrame([(fingerprint_of_large(rows), size.n)], "fingerprint string, n long")
     return rows.agg(F.sort_array(F.collect_list(_identity())).alias("all"), F.count(F.lit(1)).alias("n")).select(
         F.sha2(F.concat_ws("", F.transform("all", lambda r: F.concat(F.concat_ws("\x1f", *[r[c] for c in _IDENTITY]), F.lit("\n")))), 256).alias("fingerprint"), "n"
     )

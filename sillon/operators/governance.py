@@ -74,6 +74,59 @@ def upstream_id(row_id: Column, index: Column) -> Column:
     return F.coalesce(present(row_id), F.format_string("row-%09d", index))
 
 
+def provenance(rows: DataFrame, source: dict, revision: str, sample_rate: int) -> DataFrame:
+    """Acquired rows (audio, text, speaker, dialect, id, index) of a catalogue source as metadata with its licence basis.
+
+    Rows are for training only if their source is, or if they have no speaker; a missing dialect is ``unknown``.
+    """
+    who = F.coalesce(_stripped(F.col("speaker").cast("string")), F.lit(""))
+    where = F.coalesce(F.nullif(_stripped(F.col("dialect").cast("string")), F.lit("")), F.lit("unknown"))
+    flag = lambda x: F.lit(bool(x)).cast("string")
+    return rows.select(
+        "audio", "text", who.alias("speaker"), where.alias("dialect"), F.concat(F.lit(source["source_id"] + ":"), upstream_id(F.col("id"), F.col("index"))).alias("source_id"),
+        flag(False).alias("consent_attested"), flag(False).alias("transcript_reviewed"), flag(source["governance_approved"]).alias("governance_approved"), flag(source["upstream_validated"]).alias("upstream_validated"),
+        (F.lit(bool(source["training_only"])) | (who == "")).cast("string").alias("training_only"), F.lit(source["license"]).alias("source_license"), F.lit(revision).alias("source_revision"),
+        F.lit(f"licensed-external:{source['license']}").alias("governance_basis"), F.lit(source.get("repo_id") or "").alias("source_dataset"), F.lit(source.get("config") or "default").alias("source_config"),
+        F.lit(source["split"]).alias("source_split"), F.lit(sample_rate).alias("sample_rate"),
+    )
+
+
+def reuse(requests: DataFrame, receipts: DataFrame, metadata: DataFrame, listing: DataFrame) -> DataFrame:
+    """``requests`` (source_id, revision, sample_rate, max_samples) with column reusable: whether a finished acquisition may stand in.
+
+    Its receipt (resolved_revision, sample_rate, requested_max_samples, metadata_sha256) must be of the same request, its
+    metadata (source_id, audio, metadata_sha256) untouched and with a sound for each row that the listing (path) has.
+    """
+    lacking = metadata.join(listing.select(F.col("path").alias("audio")).distinct(), "audio", "left_anti").select("source_id").distinct().withColumn("lacking", F.lit(True))
+    digests = metadata.groupBy("source_id").agg(F.max("metadata_sha256").alias("now"))
+    r = receipts.select("source_id", "resolved_revision", F.col("sample_rate").alias("rate"), "requested_max_samples", "metadata_sha256")
+    met = requests.join(r, "source_id", "left").join(digests, "source_id", "left").join(lacking, "source_id", "left")
+    same = (F.col("resolved_revision") == F.col("revision")) & (F.col("rate") == F.col("sample_rate")) & F.col("requested_max_samples").eqNullSafe(F.col("max_samples")) & (F.col("now") == F.col("metadata_sha256"))
+    return met.withColumn("reusable", F.coalesce(same & F.col("lacking").isNull(), F.lit(False))).select(*requests.columns, "reusable")
+
+
+def lineage_differs(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``key`` and the fields in which two lineages of it differ, nulls being alike."""
+    met = a.alias("a").join(b.alias("b"), key)
+    return met.select(key, F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields])).alias("fields"))
+
+
+def deployed(pointers: DataFrame, cards: DataFrame, keys: list[str], model: str = "model_id") -> DataFrame:
+    """Pointers with their models' cards; a model without a card is an error."""
+    met = pointers.join(cards.withColumn("known", F.lit(True)), [*keys, model], "left")
+    return met.filter(F.coalesce("known", F.raise_error(F.concat(F.lit("not registered: "), model)).cast("boolean"))).drop("known")
+
+
+def evaluated(rows: DataFrame, split: str) -> DataFrame:
+    """Rows of an evaluation split, and those that name none."""
+    return rows.filter(F.coalesce(F.nullif(F.col("split"), F.lit("")), F.lit(split)) == split)
+
+
+def upload_outcome(size: Column, several_speakers: Column, limit: int) -> Column:
+    """Why an upload is refused, or accepted."""
+    return F.when(several_speakers, "reject:multi_speaker").when(size > limit, "reject:too_large").when(F.coalesce(size, F.lit(0)) == 0, "reject:empty").otherwise("accepted")
+
+
 def united(parts: list[DataFrame], columns: list[str]) -> DataFrame:
     """All rows of all parts with the given columns; what a part lacks is empty. Nothing is deduplicated."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns).na.fill("")
@@ -128,17 +181,32 @@ def latest_checkpoint(paths: DataFrame, path: str = "path") -> DataFrame:
 
 def readiness(report: DataFrame, frontend: str, tokenizer_reviewed: bool, g2p_reviewed: bool, reviewed_graphemes: int) -> DataFrame:
     """The codes of what blocks a language, from one row of accepted_rows, train_rows, validation_rows, leaking_speakers, outside_reviewed."""
+    given = {"language": "", "frontend": frontend, "tokenizer_reviewed": tokenizer_reviewed, "g2p_reviewed": g2p_reviewed, "reviewed_graphemes": reviewed_graphemes}
+    return blockers_by_language(report.withColumns({k: F.lit(v) for k, v in given.items()})).select(F.posexplode("codes").alias("position", "code"))
+
+
+def blockers_by_language(reports: DataFrame) -> DataFrame:
+    """The codes of what blocks each language, from its report and what was reviewed: columns language, codes and blocked.
+
+    Besides the counts of ``readiness`` a row has frontend, tokenizer_reviewed, g2p_reviewed and reviewed_graphemes.
+    """
     rules = [
         ((F.col("accepted_rows") < 1) | (F.col("train_rows") < 1), "empty_training_corpus"),
         (F.col("leaking_speakers") > 0, "speaker_leakage"),
-        (F.lit(frontend == "experiment"), "frontend_unselected"),
-        (F.lit(not tokenizer_reviewed), "tokenizer_unreviewed"),
-        (F.lit(not reviewed_graphemes), "graphemes_unreviewed"),
-        (F.lit(frontend == "phoneme" and not g2p_reviewed), "g2p_unreviewed"),
+        (F.col("frontend") == "experiment", "frontend_unselected"),
+        (~F.col("tokenizer_reviewed"), "tokenizer_unreviewed"),
+        (F.col("reviewed_graphemes") == 0, "graphemes_unreviewed"),
+        ((F.col("frontend") == "phoneme") & ~F.col("g2p_reviewed"), "g2p_unreviewed"),
         (F.col("validation_rows") < 1, "no_internal_validation"),
-        (F.lit(bool(tokenizer_reviewed and reviewed_graphemes)) & (F.col("outside_reviewed") > 0), "observed_outside_reviewed_inventory"),
+        (F.col("tokenizer_reviewed") & (F.col("reviewed_graphemes") > 0) & (F.col("outside_reviewed") > 0), "observed_outside_reviewed_inventory"),
     ]
-    return report.select(F.posexplode(F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in rules]))).alias("position", "code"))
+    codes = F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in rules]))
+    return reports.select("language", codes.alias("codes")).withColumn("blocked", F.size("codes") > 0)
+
+
+def readiness_status(blockers: DataFrame) -> DataFrame:
+    """One row: whether every language is unblocked, and how many are not."""
+    return blockers.agg(F.coalesce(F.bool_and(~F.col("blocked")), F.lit(False)).alias("ready"), F.count_if("blocked").alias("blocked"))
 
 
 def reconciled(declared: DataFrame, observed: DataFrame) -> DataFrame:

@@ -5,10 +5,14 @@ Durations are given as whole frames and a frame rate, so that sums are exact wha
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from sillon.functions.text import characters, code_point, family
+from sillon.functions.text import characters, code_point, family, visible
 
 
 def hours(frames: str = "frames", rate: str = "rate") -> Column:
@@ -67,3 +71,24 @@ def provenance(rows: DataFrame) -> DataFrame:
     """The distinct licences and revisions, one a row."""
     pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.nullif(F.col(c), F.lit("")).alias("value")) for k, c in (("license", "source_license"), ("revision", "source_revision"))])).alias("x"))
     return pairs.select("x.*").filter("value is not null").distinct()
+
+
+@F.arrow_udf(StringType())
+def _names(chars: pa.Array) -> pa.Array:
+    return pa.array([None if c is None else unicodedata.name(c, "UNNAMED") for c in chars.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _categories(chars: pa.Array) -> pa.Array:
+    return pa.array([None if c is None else unicodedata.category(c) for c in chars.to_pylist()], pa.string())
+
+
+def described(chars: DataFrame) -> DataFrame:
+    """Characters with code point, name, category and whether they are white space."""
+    c = F.col("char")
+    return chars.withColumns({"codepoint": code_point(c), "name": _names(c), "category": _categories(c), "is_whitespace": ~visible(c)})
+
+
+def rounded(report: DataFrame) -> DataFrame:
+    """A report as it is written: hours to four places."""
+    return report.withColumn("hours", F.round("hours", 4))

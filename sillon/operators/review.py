@@ -7,6 +7,7 @@ was accepted, why not, and the item's state after it. Reviewers are compared wit
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def step(state: dict | None, event: dict) -> tuple[dict, dict]:
     now, error = item["state"], None
     if action == "draft":
         if not text:
-            error = "machine transcript cannot be empty"
+            error = "empty draft"
         elif now != DRAFT:
             error = "draft after review"
         else:
@@ -35,25 +36,25 @@ def step(state: dict | None, event: dict) -> tuple[dict, dict]:
         if second and item["first"] == actor and actor:
             error = "same reviewer"
         elif not actor or not text:
-            error = "reviewer and text are required"
+            error = "review needs actor and text"
         elif now != (FIRST if second else DRAFT):
-            error = f"cannot review from {now}"
+            error = f"no review in state {now}"
         elif second:
             item.update(state=SECOND, second_text=text)
         else:
             item.update(state=FIRST, first=actor, first_text=text)
     elif action == "approve":
         if not actor:
-            error = "approver is required"
+            error = "approval needs actor"
         elif now != SECOND:
-            error = f"cannot approve from {now}"
+            error = f"no approval in state {now}"
         else:
             item.update(state=APPROVED, label=item["second_text"])
     elif action == "reject":
         if not actor or not reason:
-            error = "actor and reason are required"
+            error = "rejection needs actor and reason"
         elif now in (APPROVED, REJECTED):
-            error = f"cannot reject from {now}"
+            error = f"no rejection in state {now}"
         else:
             item["state"] = REJECTED
     else:
@@ -100,3 +101,50 @@ def admitted(new: DataFrame, stored: DataFrame, order: str = "seq", digest: str
     fresh = new.join(stored.select(digest).distinct(), digest, "left_anti")
     first = fresh.groupBy(digest).agg(F.min(order).alias(order))
     return fresh.join(first, [digest, order], "left_semi")
+
+
+def item(items: DataFrame, key: str, value: str) -> DataFrame:
+    """The row with an identifier; none is an error."""
+    found = items.filter(F.col(key) == value)
+    if found.isEmpty():
+        raise LookupError(f"no item {value}")
+    return found
+
+
+def history(log: DataFrame, item_id: str) -> DataFrame:
+    """The audit rows of an item in order."""
+    return log.filter(F.col("item_id") == item_id).orderBy("seq")
+
+
+def logged(events: DataFrame, path: str) -> DataFrame:
+    """Appends events to an audit log and returns the log. Payloads are kept as JSON."""
+    payload = F.to_json(F.struct("text", "reason")).alias("payload")
+    events.select("item_id", "seq", "action", "actor", payload).write.mode("append").parquet(path)
+    return events.sparkSession.read.schema("item_id string, seq long, action string, actor string, payload string").parquet(path)
+
+
+def insert(new: DataFrame, path: str, order: str = "seq", digest: str = "sha256") -> DataFrame:
+    """Appends what ``admitted`` lets in to a store and returns the store. One writer at a time; a failed write leaves nothing."""
+    spark = new.sparkSession
+    stored = spark.read.schema(new.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], new.schema)
+    admitted(new, stored, order, digest).write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
+
+
+def _exists(spark, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
+def pending_drafts(items: DataFrame, limit: int = 500, created: str = "created_at") -> DataFrame:
+    """The newest items that wait for a draft, at most ``limit``."""
+    return queue(items, limit, created, state=DRAFT)
+
+
+def draft_totals(drafts: DataFrame) -> DataFrame:
+    """One row: examined, drafted and failed, from the texts (or errors) of a batch of drafts."""
+    fine = F.col("error").isNull() & F.coalesce(F.trim("text") != "", F.lit(False))
+    return drafts.agg(F.count(F.lit(1)).alias("examined"), F.count_if(fine).alias("drafted"), F.count_if(~fine).alias("failures"))

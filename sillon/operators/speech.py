@@ -39,12 +39,47 @@ def slices(counts: DataFrame, attributes: tuple[str, ...] = SLICES, default: str
     return counts.select("*", F.explode(pairs).alias("slice")).groupBy(F.col("slice.attribute").alias("attribute"), F.col("slice.value").alias("value")).agg(*summary())
 
 
+#: Rows up to which a group's percentiles come from one sorted list of values.
+DIRECT_ROWS = 100_000
+#: Share of a group's rows on either side of a percentile among which larger groups look for it; the bounds err by half of it at most.
+AROUND = 2e-4
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``by`` and p, the exact interpolated percentiles of each group.
+
+    Large groups are narrowed first: approximate percentiles bound where each exact one lies, what is below is counted,
+    and only the values between the bounds are sorted. So no task holds all values of a group.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") > DIRECT_ROWS)
+    few = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes
+    met = known.join(few, by)
+    direct = met.filter(F.col("n") <= DIRECT_ROWS).groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p"))
+    if large.isEmpty():
+        return direct
+    bounds = met.filter(F.col("n") > DIRECT_ROWS).groupBy(*by).agg(F.percentile_approx("v", [q for s in shares for q in (max(0.0, s - AROUND), min(1.0, s + AROUND))], F.lit(int(2 / AROUND))).alias("b"), F.first("n").alias("n"))
+    few = F.broadcast(bounds) if bounds.count() <= 1_000_000 else bounds
+    near = known.join(few, by)
+    within = lambda k: (F.col("v") >= F.col("b")[2 * k]) & (F.col("v") <= F.col("b")[2 * k + 1])
+    counted = near.groupBy(*by).agg(F.first("n").alias("n"), *[c for k in range(len(shares)) for c in (F.count_if(F.col("v") < F.col("b")[2 * k]).alias(f"below{k}"), F.sort_array(F.collect_list(F.when(within(k), F.col("v")))).alias(f"v{k}"))])
+
+    def exact(k: int) -> Column:
+        at = (F.col("n") - 1) * F.lit(shares[k])
+        pick = lambda i: F.element_at(f"v{k}", (i - F.col(f"below{k}") + 1).cast("int"))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        return low + (high - low) * (at - F.floor(at))
+
+    return direct.unionByName(counted.select(*by, F.array(*[exact(k) for k in range(len(shares))]).alias("p")))
+
+
 def latency(rows: DataFrame, by: list[str] | None = None, value: str = "latency_seconds") -> DataFrame:
     """Mean and interpolated median and 95th percentile, exact. Means sum decimals, so that order is of no account."""
-    spread = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(F.col(value).cast("decimal(18,6)")).cast("double") / F.count(value)).alias("mean"), spread.alias("p")
-    )
+    keys = by or ["all"]
+    given = rows if by else rows.withColumn("all", F.lit(0))
+    means = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(value).cast("decimal(18,6)")).cast("double") / F.count(value)).alias("mean"))
+    out = means.join(percentiles(given, keys, value, [0.5, 0.95]), keys, "left")
     return out.select(*(by or []), "n", "mean", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"))
 
 
@@ -54,6 +89,11 @@ def real_time_factor(rows: DataFrame) -> DataFrame:
     return rows.agg(ratio(total("latency_seconds"), total("audio_seconds")).alias("rtf"))
 
 
+def histogram(rows: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
+    """How many values of each group fall into each bucket of a width."""
+    return rows.groupBy(*by, F.floor(F.col(value) / F.lit(float(width))).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def gates(report: DataFrame, limits: dict[str, float]) -> DataFrame:
     """Whether each figure of a one-row report is within its limit."""
     return report.select(F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), F.col(k).cast("double").alias("value"), F.lit(v).alias("most"), F.coalesce(F.col(k) <= v, F.lit(False)).alias("passed")) for k, v in limits.items()])).alias("g")).select("g.*")

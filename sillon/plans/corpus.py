@@ -193,7 +193,7 @@ ORACLES = {
     "source_summary": f"WITH {JUDGED} SELECT split_part(source_id, ':', 1) AS source, source_license AS license, source_revision AS revision, count(*) AS rows, {_HOURS}, count(DISTINCT speaker) AS speakers FROM accepted GROUP BY 1, 2, 3",
     "provenance_sets": f"WITH {JUDGED} SELECT DISTINCT 'license' AS kind, source_license AS value FROM accepted UNION SELECT DISTINCT 'revision', source_revision FROM accepted",
     "dataset_fingerprint": f"WITH {JUDGED} " + _FINGERPRINT.format(t=_TRANSCRIPT.replace("{", "{{").replace("}", "}}"), where="").replace("{{", "{").replace("}}", "}"),
-    "dataset_version": f"WITH {JUDGED} SELECT 'en-' || left(fingerprint, 16) AS dataset_id, n AS accepted FROM (" + _FINGERPRINT.format(t=_TRANSCRIPT.replace("{", "{{").replace("}", "}}"), where="WHERE dialect = 'en'").replace("{{", "{").replace("}}", "}") + ")",
+    "dataset_version": f"WITH {JUDGED} SELECT 'en-' || left(fingerprint, 16) AS dataset_id, n AS accepted FROM (" + _FINGERPRINT.format(t=_TRANSCRIPT.replace("{", "{{").replace("}", "}}"), where="WHERE language = 'en'").replace("{{", "{").replace("}}", "}") + ")",
     "exact_leakage": f"WITH {MANIFEST}, {INJECTED}, {_SIDES} SELECT sha256, train_rows, eval_rows, train_sources, eval_sources FROM a JOIN b USING (sha256)",
     "leakage_examples": f"WITH {MANIFEST}, {INJECTED}, {_SIDES} SELECT sha256, train_rows, eval_rows FROM a JOIN b USING (sha256) ORDER BY sha256 LIMIT 100",
     "leakage_totals": f"WITH {MANIFEST}, {EVAL}, {_SIDES} SELECT (SELECT count(*) FROM manifest) AS training_rows, (SELECT count(*) FROM evaluation) AS evaluation_rows, count(*) AS overlap_count, count(*) = 0 AS passed FROM a JOIN b USING (sha256)",
@@ -207,5 +207,5 @@ ORACLES = {
   (SELECT count(*) FROM (SELECT speaker FROM accepted GROUP BY speaker HAVING count(DISTINCT split) > 1)) AS l, (SELECT count(*) FROM chars WHERE NOT contains({_IN_ALPHABET}, char)) AS o),
  c AS (SELECT list_filter([CASE WHEN n < 1 OR t < 1 THEN 'empty_training_corpus' END, CASE WHEN l > 0 THEN 'speaker_leakage' END, 'g2p_unreviewed', CASE WHEN v < 1 THEN 'no_internal_validation' END, CASE WHEN o > 0 THEN 'observed_outside_reviewed_inventory' END], lambda x: x IS NOT NULL) AS codes FROM r)
  SELECT CAST(i - 1 AS BIGINT) AS position, codes[i] AS code FROM (SELECT codes, unnest(range(1, len(codes) + 1)) AS i FROM c)""",
-    "row_reconciliation": f"WITH {JUDGED} SELECT (SELECT count(*) FROM accepted) AS declared, (SELECT count(*) FROM accepted) AS observed, true AS matches",
+    "row_reconciliation": f"WITH {JUDGED} SELECT *, declared = observed AS matches FROM (SELECT (SELECT count(*) FILTER (len(reasons) = 0) FROM judged) AS declared, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT split, count(*) AS n FROM accepted GROUP BY split)) AS observed)",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, workflow
+from . import artifacts, corpus, workflow
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **workflow.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **workflow.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **workflow.QUERIES, **artifacts.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **workflow.ORACLES, **artifacts.ORACLES}

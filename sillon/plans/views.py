@@ -14,14 +14,19 @@ RATE = 150
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compiler input of ``documents`` and ``labels``: speaker is the source, dialect the language."""
+    """Compiler input of ``documents`` and ``labels``: speaker is the source, dialect the language.
+
+    Every fault that a row can have occurs, dealt by the row's number.
+    """
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     joined = d.join(l, "doc_id", "left")
     unlabelled = F.col("quality").isNull() & F.col("toxic").isNull()
+    each = lambda n: F.pmod("doc_id", F.lit(n)) == 0
     return joined.select(
-        F.col("doc_id").alias("rn"), F.lit(True).alias("has_audio"), "text", F.col("source").alias("speaker"), F.col("lang").alias("dialect"), F.col("lang").alias("language"),
-        F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).alias("source_id"), F.sha2("text", 256).alias("sha256"),
-        F.col("n_chars").alias("frames"), F.lit(RATE).alias("rate"), (F.col("n_chars") / F.lit(float(RATE))).alias("duration"), F.lit(1).alias("channels"),
+        F.col("doc_id").alias("rn"), (~each(29)).alias("has_audio"), "text", F.col("source").alias("provider"), F.when(~each(31), F.col("source")).alias("speaker"), F.when(~each(37), F.col("lang")).alias("dialect"), F.col("lang").alias("language"),
+        F.when(~each(41), F.concat("source", F.lit(":"), F.col("doc_id").cast("string"))).alias("source_id"), F.sha2("text", 256).alias("sha256"),
+        F.col("n_chars").alias("frames"), F.lit(RATE).alias("rate"), (F.col("n_chars") / F.lit(float(RATE))).alias("duration"), F.when(each(43), 2).otherwise(1).alias("channels"),
+        F.when(each(47), 0.0).otherwise(0.1).alias("rms"), F.when(each(53), 0.01).otherwise(0.0).alias("clipped"), F.when(each(59), -0.1).otherwise(0.0).alias("offset"),
         F.lit(False).alias("consent_attested"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("transcript_reviewed"),
         (F.coalesce("toxic", F.lit(0)) == 0).alias("governance_approved"), unlabelled.alias("upstream_validated"), unlabelled.alias("training_only"),
         F.concat(F.lit("lic-"), "lang").alias("source_license"), F.concat(F.lit("rev-"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("source_revision"),
@@ -29,12 +34,19 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MANIFEST = """manifest AS (
-  SELECT d.doc_id AS rn, d.text, d.source AS speaker, d.lang AS dialect, d.source || ':' || d.doc_id AS source_id, sha256(d.text) AS sha256,
-    d.n_chars AS frames, d.n_chars / 150.0::DOUBLE AS duration, coalesce(l.quality = 1, false) AS transcript_reviewed, coalesce(l.toxic, 0) = 0 AS governance_approved,
+  SELECT d.doc_id AS rn, d.doc_id % 29 <> 0 AS has_audio, d.text, d.source AS provider, CASE WHEN d.doc_id % 31 <> 0 THEN d.source END AS speaker, CASE WHEN d.doc_id % 37 <> 0 THEN d.lang END AS dialect, d.lang AS language,
+    CASE WHEN d.doc_id % 41 <> 0 THEN d.source || ':' || d.doc_id END AS source_id, sha256(d.text) AS sha256,
+    d.n_chars AS frames, d.n_chars / 150.0::DOUBLE AS duration, d.doc_id % 43 = 0 AS stereo, d.doc_id % 47 = 0 OR d.doc_id % 53 = 0 OR d.doc_id % 59 = 0 AS bad,
+    coalesce(l.quality = 1, false) AS transcript_reviewed, coalesce(l.toxic, 0) = 0 AS governance_approved,
     l.quality IS NULL AND l.toxic IS NULL AS upstream_validated, l.quality IS NULL AND l.toxic IS NULL AS training_only,
     'lic-' || d.lang AS source_license, 'rev-' || (d.doc_id % 3) AS source_revision
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
+#: The rules that need no look at the sound.
+FIRST_RULES = """[CASE WHEN NOT has_audio THEN 'missing_audio' END, CASE WHEN coalesce(trim(text), '') = '' THEN 'empty_text' END, CASE WHEN speaker IS NULL AND NOT training_only THEN 'missing_speaker' END,
+      CASE WHEN NOT governance_approved THEN 'governance_not_approved' END, CASE WHEN NOT (transcript_reviewed OR upstream_validated) THEN 'transcript_not_validated' END,
+      CASE WHEN dialect IS NULL THEN 'missing_dialect' END, CASE WHEN source_id IS NULL THEN 'missing_source_id' END]"""
+
 _SHARE = "CAST('0x' || substr(sha256({0}), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE"
 
 
@@ -44,9 +56,8 @@ def split_sql(key: str) -> str:
 
 
 JUDGED = f"""{MANIFEST}, staged AS (
-  SELECT *, list_filter([CASE WHEN trim(text) = '' THEN 'empty_text' END, CASE WHEN NOT governance_approved THEN 'governance_not_approved' END,
-      CASE WHEN NOT (transcript_reviewed OR upstream_validated) THEN 'transcript_not_validated' END], lambda x: x IS NOT NULL) AS one,
-    list_filter([CASE WHEN duration < 0.5 THEN 'too_short' END, CASE WHEN duration > 20.0 THEN 'too_long' END, CASE WHEN duration < 0.35 OR duration > 30.0 THEN 'quality_flag' END], lambda x: x IS NOT NULL) AS late
+  SELECT *, list_filter({FIRST_RULES}, lambda x: x IS NOT NULL) AS one,
+    list_filter([CASE WHEN stereo THEN 'multichannel_audio' END, CASE WHEN duration < 0.5 THEN 'too_short' END, CASE WHEN duration > 20.0 THEN 'too_long' END, CASE WHEN duration < 0.35 OR duration > 30.0 OR bad THEN 'quality_flag' END], lambda x: x IS NOT NULL) AS late
   FROM manifest),
 firsts AS (SELECT sha256, min(rn) AS first_rn FROM staged WHERE len(one) = 0 AND len(late) = 0 GROUP BY sha256),
 judged AS (
@@ -56,15 +67,15 @@ accepted AS (SELECT *, CASE WHEN training_only THEN 'train' ELSE {split_sql('spe
 
 
 def eval_manifest(spark: SparkSession, sf_dir: str, injected: bool = False) -> DataFrame:
-    """Held-out rows of ``benchmark``; ``injected`` adds every fiftieth document, an overlap by construction."""
+    """Held-out rows of ``benchmark``; ``injected`` adds all documents in Spanish, an overlap by construction."""
     out = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("bench:"), F.col("item_id").cast("string")).alias("source_id"))
     if injected:
-        out = out.unionByName(table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("held:"), F.col("doc_id").cast("string")).alias("source_id")))
+        out = out.unionByName(table(spark, sf_dir, "documents").filter("lang = 'es'").select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("held:"), F.col("doc_id").cast("string")).alias("source_id")))
     return out
 
 
 EVAL = "evaluation AS (SELECT sha256(text) AS sha256, 'bench:' || item_id AS source_id FROM benchmark)"
-INJECTED = "evaluation AS (SELECT sha256(text) AS sha256, 'bench:' || item_id AS source_id FROM benchmark UNION ALL SELECT sha256(text), 'held:' || doc_id FROM documents WHERE doc_id % 50 = 0)"
+INJECTED = "evaluation AS (SELECT sha256(text) AS sha256, 'bench:' || item_id AS source_id FROM benchmark UNION ALL SELECT sha256(text), 'held:' || doc_id FROM documents WHERE lang = 'es')"
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:

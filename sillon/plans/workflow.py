@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sillon.functions.text import assignment_bucket, hash32, orthography
+from sillon.functions.text import assignment_bucket, hash32, normalized
 from sillon.operators import governance, review, signal, speech, turns
 from sillon.sources.tables import table
 
+from . import corpus
 from .views import LATENCIES, UTTERANCES, latencies, manifest, mapped, review_events, turn_frames, utterances
 
 #: A small catalogue and plan.
@@ -63,8 +67,7 @@ def benchmark_gates(spark, sf_dir):
 
 def latency_histogram(spark, sf_dir):
     """Stage timings by type in buckets of 50 seconds."""
-    bucket = F.floor(F.col("latency_seconds") / 50.0).cast("long")
-    return latencies(spark, sf_dir).groupBy("dialect", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return speech.histogram(latencies(spark, sf_dir), ["dialect"], "latency_seconds", 50.0)
 
 
 def source_plan(spark, sf_dir):
@@ -77,27 +80,30 @@ def usage_matrix(spark, sf_dir):
 
 
 def catalog_plan(spark, sf_dir):
-    return governance.planned(_catalog(spark), "aa", "asr", "evaluation").select("source_id", "usage")
+    """The sources that each language of the documents may use for recognition, by use."""
+    langs = table(spark, sf_dir, "documents").select("lang").distinct().withColumn("language", F.when(F.col("lang") == "en", "aa").when(F.col("lang") == "de", "bb").otherwise("cc"))
+    found = [governance.planned(_catalog(spark), language, "asr", use).select(F.lit(language).alias("language"), F.lit(use).alias("requested"), "source_id", "usage") for language in ("aa", "bb", "cc") for use in governance.USAGE_RANK]
+    return langs.join(reduce(DataFrame.unionByName, found), "language").select("lang", "requested", "source_id", "usage")
 
 
 def adapters_union(spark, sf_dir):
     """Documents as three providers' rows, adapted and united."""
     d = table(spark, sf_dir, "documents").withColumn("third", F.pmod("doc_id", F.lit(3)))
-    path = F.concat(F.lit("a/"), F.col("doc_id").cast("string"))
-    a = d.filter("third = 0").select(path.alias("path"), F.col("text").alias("sentence"), F.col("source").alias("speaker_id"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dialect"))
-    b = d.filter("third = 1").select(path.alias("audio_filepath"), F.col("text").alias("transcription"), F.lit(" ").alias("id"), F.col("doc_id").cast("string").alias("utt_id"))
+    path = F.concat(F.lit("a/ "), F.col("doc_id").cast("string"), F.lit("  x"))
+    a = d.filter("third = 0").select(path.alias("path"), F.col("text").alias("sentence"), F.concat(F.lit(" "), "source").alias("speaker_id"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dialect"))
+    b = d.filter("third = 1").select(path.alias("audio_filepath"), F.col("text").alias("transcription"), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit(" ")).alias("id"), F.col("doc_id").cast("string").alias("utt_id"))
     c = d.filter("third = 2").select(path.alias("path"), F.col("text").alias("sentence"), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("source")).alias("client_id"), F.col("lang").alias("accent"))
     parts = [
         governance.adapt(a, "aware", ["audio", "path", "audio_filepath"], ["text", "transcription", "sentence"], ["id", "utt_id"], ["speaker_id", "speaker", "client_id"], True, "dialect"),
         governance.adapt(b, "plain", ["audio", "path", "audio_filepath"], ["text", "sentence", "transcription"], ["id", "utt_id"]),
         governance.adapt(c, "client", ["audio", "path"], ["sentence", "text"], ["id", "path"], ["client_id"], False, "accent"),
     ]
-    return governance.united(parts, ["audio", "speaker", "dialect", "source_id", "training_only"])
+    return governance.united(parts, ["audio", "text", "speaker", "dialect", "source_id", "training_only"]).withColumn("text", F.sha2("text", 256))
 
 
 def _acquisition(spark, sf_dir):
     m = manifest(spark, sf_dir)
-    return governance.capped(m.select("rn", "speaker", "sha256", "duration"), "speaker", "rn", "sha256", F.col("duration") <= 20.0, 25)
+    return governance.capped(m.select("rn", F.col("provider").alias("speaker"), "sha256", "duration"), "speaker", "rn", "sha256", F.col("duration") <= 20.0, 25)
 
 
 def acquire_capped(spark, sf_dir):
@@ -161,14 +167,18 @@ def gap_segments(spark, sf_dir):
     return signal.gap_segments(e, "user_id", "micros", 3_600_000_000)
 
 
+#: Normalizers by language; others have the generic one.
+NORMALIZERS = {"en": "orthography", "fr": "orthography", "de": "transcript"}
+
+
 def segment_recording(spark, sf_dir):
-    """Made recordings: silence, bursts 0.3 s and 0.6 s apart, and a tone of 45 s after silence, for each language."""
-    tone = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.lit(0.2) * F.sin(i * 0.3)).cast("float"))
-    quiet = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
-    made = {"silence": quiet(1000), "near": F.concat(quiet(700), tone(1000), quiet(300), tone(1000)), "far": F.concat(tone(1000), quiet(600), tone(1000)), "long": F.concat(quiet(15_000), tone(45_000))}
-    langs = table(spark, sf_dir, "documents").select("lang").distinct()
-    rows = langs.select(F.explode(F.array(*[F.struct(F.concat("lang", F.lit(f"-{k}")).alias("recording"), v.alias("samples")) for k, v in made.items()])).alias("r")).select("r.*", F.lit(1000).alias("rate"))
-    return signal.segments(rows).select("recording", "segment", "start", "end", F.sha2("wav", 256).alias("wav_sha256"))
+    """Voiced regions of documents as recordings: 50 samples a second, one for each character, by blocks of 30 either voiced or silent."""
+    d = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.split("text", "").alias("chars"))
+    block = lambda i: F.floor(i / 30).cast("int")
+    voiced = lambda i: F.pmod(F.ascii(F.element_at("chars", block(i) * 30 + 1)) + block(i), F.lit(3)) > 0
+    samples = F.transform(F.sequence(F.lit(0), F.size("chars") - 1), lambda i: F.when(voiced(i), 0.2 + F.pmod(i, F.lit(5)) * 0.01).otherwise(0.0).cast("float"))
+    found = signal.segments(d.select("doc_id", samples.alias("samples"), F.lit(50).alias("rate")), key="doc_id")
+    return found.select("doc_id", "segment", "start", "end", F.octet_length("wav").cast("long").alias("bytes"))
 
 
 def review_audit(spark, sf_dir):
@@ -195,8 +205,8 @@ def turn_buffers(spark, sf_dir):
 
 
 def voice_normalizers(spark, sf_dir):
-    """The spoken-language normalizer over replies: languages have the orthography-preserving one, others the generic one."""
-    return table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.length(orthography(F.col("text"))).alias("n"))
+    """Each document by the normalizer of its language."""
+    return table(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text"), F.col("lang"), NORMALIZERS).alias("text"))
 
 
 def experiment_ids(spark, sf_dir):
@@ -216,7 +226,7 @@ _SUMS = "count(*) AS utterances, sum(word_errors)::BIGINT AS word_errors, sum(re
 _SLICE = "SELECT '{0}' AS attribute, coalesce(nullif({0}, ''), 'unknown') AS value, * EXCLUDE (reference, hypothesis) FROM counted"
 _LATENCY = "count(*) AS n, sum(latency_seconds::DECIMAL(18,6))::DOUBLE / count(latency_seconds) AS mean, round(quantile_cont(latency_seconds, 0.5), 6) AS p50, round(quantile_cont(latency_seconds, 0.95), 6) AS p95"
 _RTF = "sum(greatest(latency_seconds, 0)::DECIMAL(18,6))::DOUBLE / nullif(sum(greatest(audio_seconds, 0)::DECIMAL(18,6))::DOUBLE, 0) AS rtf"
-_CATALOG = "catalog(source_id, license, usage) AS (VALUES " + ", ".join(f"('{c[0]}', '{c[5]}', '{c[4]}')" for c in CATALOG) + ")"
+_CATALOG = "catalog(source_id, license, usage, languages, tasks) AS (VALUES " + ", ".join(f"('{c[0]}', '{c[5]}', '{c[4]}', {c[2]}, {c[3]})" for c in CATALOG) + ")"
 _RANK = "CASE {0} WHEN 'production' THEN 0 WHEN 'evaluation' THEN 1 ELSE 2 END"
 _ACQUIRED = """m AS (SELECT doc_id AS rn, source AS speaker, sha256(text) AS sha256, n_chars / 150.0::DOUBLE <= 20.0 AS fine FROM documents),
 g AS (SELECT *, fine AND rn = min(rn) FILTER (fine) OVER (PARTITION BY speaker, sha256) AS good FROM m),
@@ -224,7 +234,54 @@ r AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY speaker
 a AS (SELECT rn, speaker, CASE WHEN good THEN 'imported' ELSE 'skipped' END AS outcome FROM r WHERE k < 25 OR (k = 25 AND good))"""
 _POINTERS = "p AS (SELECT event_type AS task, (user_id % 5)::BIGINT AS stage, 'm' || event_id AS model_id, event_id AS updated FROM events)"
 
+_REVIEW = """e AS (SELECT CAST(user_id AS VARCHAR) AS item_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'review_1' WHEN 'click' THEN 'review_2' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'draft' END AS action,
+    'r' || (event_id % 3) AS actor, 'text ' || event_id AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (
+  SELECT DISTINCT item_id, 0::BIGINT AS k, 0::BIGINT AS seq, '' AS action, '' AS actor, NULL::VARCHAR AS error, 'machine_draft' AS state, NULL::VARCHAR AS first, NULL::VARCHAR AS second, NULL::VARCHAR AS label FROM e
+  UNION ALL
+  SELECT item_id, k, seq, action, actor, error, CASE WHEN error IS NOT NULL THEN state ELSE CASE action WHEN 'review_1' THEN 'reviewer_1_complete' WHEN 'review_2' THEN 'reviewer_2_complete' WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE state END END,
+    CASE WHEN error IS NULL AND action = 'review_1' THEN actor ELSE first END, CASE WHEN error IS NULL AND action = 'review_2' THEN text ELSE second END, CASE WHEN error IS NULL AND action = 'approve' THEN second ELSE label END
+  FROM (SELECT e.item_id, e.k, e.seq, e.action, e.actor, e.text, f.state, f.first, f.second, f.label, CASE e.action
+      WHEN 'draft' THEN CASE WHEN state <> 'machine_draft' THEN 'draft after review' END
+      WHEN 'review_1' THEN CASE WHEN state <> 'machine_draft' THEN 'no review in state ' || state END
+      WHEN 'review_2' THEN CASE WHEN first = e.actor THEN 'same reviewer' WHEN state <> 'reviewer_1_complete' THEN 'no review in state ' || state END
+      WHEN 'approve' THEN CASE WHEN state <> 'reviewer_2_complete' THEN 'no approval in state ' || state END
+      ELSE CASE WHEN state IN ('approved', 'rejected') THEN 'no rejection in state ' || state END END AS error
+    FROM f JOIN e ON e.item_id = f.item_id AND e.k = f.k + 1))"""
+_TURNS = """e AS (SELECT CAST(user_id AS VARCHAR) AS conn_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'audio' WHEN 'click' THEN 'audio' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'cancel' ELSE 'start' END AS kind,
+    CAST(floor(value * 1000) AS BIGINT) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (
+  SELECT DISTINCT conn_id, 0::BIGINT AS k, 0::BIGINT AS seq, '' AS outcome, NULL::BIGINT AS n_bytes, NULL::BIGINT AS held, 0 AS chunks FROM e
+  UNION ALL
+  SELECT e.conn_id, e.k, e.seq, CASE kind
+      WHEN 'start' THEN 'started' WHEN 'cancel' THEN 'cancelled'
+      WHEN 'audio' THEN CASE WHEN held IS NULL THEN 'error:no_turn' WHEN (held + n) / 32000.0 > 10 THEN 'error:too_long' ELSE 'buffered' END
+      ELSE CASE WHEN held IS NULL THEN 'error:no_turn' WHEN chunks = 0 THEN 'error:empty_turn' ELSE 'committed' END END,
+    CASE WHEN kind = 'audio' AND (held + n) / 32000.0 <= 10 THEN held + n WHEN kind = 'commit' AND chunks > 0 THEN held END,
+    CASE WHEN kind = 'start' THEN 0 WHEN kind = 'audio' AND (held + n) / 32000.0 <= 10 THEN held + n END, CASE WHEN kind = 'audio' AND (held + n) / 32000.0 <= 10 THEN chunks + 1 ELSE 0 END
+  FROM f JOIN e ON e.conn_id = f.conn_id AND e.k = f.k + 1)"""
+# a region ends with the last voiced frame before 22 silent ones, after 1000 frames, or with the recording
+_REGIONS = """c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, len(cs) AS n, i, CASE WHEN (unicode(cs[(i // 30) * 30 + 1]) + i // 30) % 3 > 0 THEN 0.2 + (i % 5) * 0.01 ELSE 0 END AS x FROM (SELECT doc_id, cs, unnest(range(0, len(cs))) AS i FROM c)),
+e AS (SELECT doc_id, n, i, sqrt(x * x + 1e-12) AS e FROM s),
+t AS (SELECT doc_id, greatest(0.003, 2.5 * quantile_cont(e, 0.2), 0.08 * quantile_cont(e, 0.95)) AS most FROM e GROUP BY doc_id),
+v AS (SELECT doc_id, n, i FROM e JOIN t USING (doc_id) WHERE e >= most),
+g AS (SELECT *, coalesce(lead(i) OVER w - i > 22, true) AS ends FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, n, i, min(CASE WHEN ends THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM g),
+firsts AS (SELECT doc_id, min(i) AS a FROM h GROUP BY doc_id),
+r AS (
+  SELECT doc_id, a, CASE WHEN closed THEN last + 1 WHEN cut THEN a + 1000 ELSE n END AS b, cut AND NOT closed AS whole, CASE WHEN closed THEN last + 22 WHEN cut THEN a + 1000 END AS onward
+    FROM (SELECT h.doc_id, a, last, n, last + 22 <= least(n - 1, a + 999) AS closed, a + 999 <= n - 1 AS cut FROM firsts JOIN h ON h.doc_id = firsts.doc_id AND h.i = a)
+  UNION ALL
+  SELECT doc_id, a, CASE WHEN closed THEN last + 1 WHEN cut THEN a + 1000 ELSE n END, cut AND NOT closed, CASE WHEN closed THEN last + 22 WHEN cut THEN a + 1000 END
+    FROM (SELECT doc_id, a, last, n, last + 22 <= least(n - 1, a + 999) AS closed, a + 999 <= n - 1 AS cut FROM (SELECT h.doc_id, min(h.i) AS a, arg_min(h.last, h.i) AS last, any_value(h.n) AS n FROM r JOIN h ON h.doc_id = r.doc_id AND h.i >= r.onward GROUP BY h.doc_id)))"""
+
 ORACLES = {
+    "segment_recording": f"WITH RECURSIVE {_REGIONS}, k AS (SELECT r.doc_id, a, b, row_number() OVER (PARTITION BY r.doc_id ORDER BY a) - 1 AS p, len(cs) AS n FROM r JOIN c USING (doc_id) WHERE whole OR b - a >= 30) SELECT doc_id, doc_id || '#segment-' || lpad(CAST(p AS VARCHAR), 4, '0') AS segment, greatest(0, a - 4) / 50.0::DOUBLE AS start, least(n, b + 4) / 50.0::DOUBLE AS \"end\", 44 + 2 * (least(n, b + 4) - greatest(0, a - 4)) AS bytes FROM k",
+    "review_audit": f"WITH RECURSIVE {_REVIEW} SELECT item_id, seq, action, actor, error IS NULL AS accepted, error, state FROM f WHERE k > 0",
+    "review_final_state": f"WITH RECURSIVE {_REVIEW} SELECT item_id, arg_max(state, seq) AS state, max(label) AS text, count(*) FILTER (error IS NULL) AS accepted, count(*) FILTER (error IS NOT NULL) AS refused FROM f WHERE k > 0 GROUP BY item_id",
+    "turn_buffers": f"WITH RECURSIVE {_TURNS} SELECT conn_id, seq, outcome, n_bytes, CASE WHEN outcome = 'committed' THEN n_bytes / 32000.0::DOUBLE END AS seconds FROM f WHERE k > 0",
+    "voice_normalizers": "SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN o.text WHEN lang = 'de' THEN t.text ELSE g.text END AS text FROM documents d JOIN (" + ") o USING (doc_id) JOIN (".join(corpus.ORACLES[f"normalize_{k}"] for k in ("orthography", "transcript")) + ") t USING (doc_id) JOIN (" + corpus.ORACLES["normalize_generic"] + ") g USING (doc_id)",
     "error_rate_rows": f"WITH {UTTERANCES} SELECT conv_id, turn, word_errors, reference_words, char_errors, reference_chars FROM counted",
     "wer_global": f"WITH {UTTERANCES} SELECT {_SUMS} FROM counted",
     "wer_slices": f"WITH {UTTERANCES}, s AS ({' UNION ALL '.join(_SLICE.format(a) for a in speech.SLICES)}) SELECT attribute, value, {_SUMS} FROM s GROUP BY attribute, value",
@@ -236,8 +293,8 @@ ORACLES = {
     "latency_histogram": f"WITH {LATENCIES} SELECT dialect, CAST(floor(latency_seconds / 50.0::DOUBLE) AS BIGINT) AS bucket, count(*) AS n FROM latencies GROUP BY 1, 2",
     "source_plan": f"WITH {_CATALOG}, plan(language, task, role, position, source_id) AS (VALUES {', '.join(str(p) for p in PLAN)}) SELECT language, task, role, CAST(position AS BIGINT) AS position, source_id, license, usage FROM plan JOIN catalog USING (source_id)",
     "usage_matrix": f"WITH {_CATALOG}, u(requested) AS (VALUES ('production'), ('evaluation'), ('research')) SELECT source_id, requested, {_RANK.format('requested')} >= {_RANK.format('usage')} AS allowed FROM catalog, u",
-    "catalog_plan": "SELECT * FROM (VALUES ('alpha', 'production')) t(source_id, usage)",
-    "adapters_union": "SELECT 'a/' || doc_id AS audio, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN source ELSE '' END AS speaker, CASE WHEN doc_id % 3 = 1 THEN '' ELSE lang END AS dialect, CASE doc_id % 3 WHEN 0 THEN 'aware:' || doc_id WHEN 1 THEN 'plain:' || doc_id ELSE 'client:a/' || doc_id END AS source_id, NOT (doc_id % 3 = 0 OR (doc_id % 3 = 2 AND doc_id % 2 = 0)) AS training_only FROM documents",
+    "catalog_plan": f"WITH {_CATALOG}, d AS (SELECT DISTINCT lang FROM documents) SELECT lang, requested, source_id, usage FROM catalog, d, (VALUES ('production'), ('evaluation'), ('research')) u(requested) WHERE list_contains(languages, CASE lang WHEN 'en' THEN 'aa' WHEN 'de' THEN 'bb' ELSE 'cc' END) AND list_contains(tasks, 'asr') AND {_RANK.format('requested')} >= {_RANK.format('usage')}",
+    "adapters_union": "SELECT 'a/ ' || doc_id || '  x' AS audio, sha256(text) AS text, CASE WHEN doc_id % 3 = 0 THEN ' ' || source WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN source ELSE '' END AS speaker, CASE WHEN doc_id % 3 = 1 THEN '' ELSE lang END AS dialect, CASE doc_id % 3 WHEN 0 THEN 'aware:' || doc_id WHEN 1 THEN 'plain:' || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE CAST(doc_id AS VARCHAR) END ELSE 'client:a/ ' || doc_id || '  x' END AS source_id, NOT (doc_id % 3 = 0 OR (doc_id % 3 = 2 AND doc_id % 2 = 0)) AS training_only FROM documents",
     "acquire_capped": f"WITH {_ACQUIRED} SELECT rn, speaker, outcome FROM a",
     "acquire_totals": f"WITH {_ACQUIRED} SELECT speaker, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'skipped') AS skipped FROM a GROUP BY speaker",
     "importer_outcomes": "SELECT CASE WHEN NOT (coalesce(quality = 1, false) OR (quality IS NULL AND toxic IS NULL)) THEN 'reject:consent' WHEN d.doc_id % 11 = 0 THEN 'reject:missing_file' WHEN d.doc_id % 7 = 0 THEN 'quarantine:multi_speaker' ELSE 'import' END AS outcome, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1",

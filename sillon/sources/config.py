@@ -19,10 +19,14 @@ TASKS, ROLES = ("asr", "tts"), ("train", "eval")
 
 
 def _yaml(path: str) -> dict:
+    """The mapping of a file on the driver, or of a text of several lines."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f)
+    if "\n" in path:
+        found, path = yaml.safe_load(path), "text"
+    else:
+        with open(path, encoding="utf-8") as f:
+            found = yaml.safe_load(f)
     if found is None:
         return {}
     if not isinstance(found, dict):
@@ -120,9 +124,9 @@ def policy(found: dict | None, min_seconds: float | None = None, max_seconds: fl
     )
 
 
-def profiles(folder: str) -> dict[str, dict]:
-    """The profiles of a folder by code; a code or alias, in any case, that two share is an error."""
-    found = [profile(p) for p in sorted(glob.glob(os.path.join(folder, "*.yaml")))]
+def profiles(folder: str | list[str]) -> dict[str, dict]:
+    """The profiles of a folder, or of some texts, by code; a code or alias, in any case, that two share is an error."""
+    found = [profile(p) for p in (sorted(glob.glob(os.path.join(folder, "*.yaml"))) if isinstance(folder, str) else folder)]
     owners: dict[str, set[int]] = {}
     for i, p in enumerate(found):
         for name in (p["language"]["code"], *p["language"]["aliases"]):

@@ -2,34 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Columns of acquisition metadata, corpus base files, inventories of recordings and ratings.
+#: Columns of acquisition metadata, corpus base files, inventories and ratings, and fields of manifest and utterance lines.
 METADATA_COLUMNS = ["audio", "text", "speaker", "dialect", "source_id", "consent_attested", "transcript_reviewed", "governance_approved", "upstream_validated", "training_only", "source_license", "source_revision", "governance_basis", "source_dataset", "source_config", "source_split", "sample_rate"]
 CORPUS_COLUMNS = ["audio", "text", "speaker", "dialect", "source_id", "consent_attested", "transcript_reviewed"]
+INVENTORY_COLUMNS = ["path", "source_id", "speaker", "language", "multi_speaker", "consent_attested"]
+RATING_COLUMNS = ["model_id", "naturalness", "pronunciation", "intelligibility", "speaker_similarity"]
 MANIFEST_SCHEMA = "audio_filepath string, text string, duration double, speaker string, language string, sha256 string, dialect string, source_id string, consent_attested boolean, transcript_reviewed boolean, governance_approved boolean, upstream_validated boolean, training_only boolean, source_license string, source_revision string, governance_basis string, split string"
 UTTERANCE_SCHEMA = "reference string, hypothesis string, audio_seconds double, latency_seconds double, speaker string, dialect string, noise string, code_switch string"
 
 
-def csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A CSV file with a header, all columns as text; a byte order mark and line breaks in quotes are understood. A missing column is an error."""
+def csv(spark: SparkSession, path: str, required: list[str], ordinal: str | None = None) -> DataFrame:
+    """A CSV file with a header, all columns as text; a byte order mark and line breaks in quotes are understood. A missing column is an error.
+
+    ``ordinal`` names a column for the rows' numbers in their file, which begin with 2, after the header: a file with
+    line breaks in quotes is read by one task, so rows keep their order. It holds for one file, not for a folder.
+    """
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
     missing = sorted(set(required) - set(read.columns))
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    return read
+    return read.withColumn(ordinal, F.monotonically_increasing_id() + 2) if ordinal else read
+
+
+def ratings(spark: SparkSession, path: str) -> DataFrame:
+    """Listening ratings: a model and four figures."""
+    read = csv(spark, path, RATING_COLUMNS)
+    return read.select("model_id", *[F.nullif(F.trim(c), F.lit("")).cast("double").alias(c) for c in RATING_COLUMNS[1:]])
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, required: list[str] = ()) -> DataFrame:
     """JSON lines; blank lines are skipped, anything but an object, or a lacking required field, is an error."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", StructType.fromDDL(schema).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    parsed = lines.select("value", "file", F.from_json("value", StructType.fromDDL(schema).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.ltrim("value").startswith("{")
     for c in required:
         bad = bad | F.col(f"r.{c}").isNull()
-    checked = parsed.select(F.when(~bad, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid line: "), F.left("value", F.lit(200))))).alias("r"))
+    checked = parsed.select(F.when(~bad, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid line in "), "file", F.lit(": "), F.left("value", F.lit(200))))).alias("r"))
     return checked.select("r.*").drop("_bad")
 
 
@@ -39,13 +53,39 @@ def utterances(spark: SparkSession, path: str) -> DataFrame:
     return read.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("speaker", "dialect", "noise", "code_switch")})
 
 
-def projected_parquet(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
-    """The physical columns that a mapping names, by their semantic names; a lacking column is an error. Only these are read."""
+def projected_parquet(spark: SparkSession, path: str, fields: dict[str, str], semantics: list[str] | None = None) -> DataFrame:
+    """The physical columns that a mapping names, by their semantic names; a lacking column is an error. Only these are read.
+
+    ``path`` may be a pattern; a shard without a column counts as lacking it. Of ``semantics``, if given, those that the
+    mapping leaves out are null.
+    """
     read = spark.read.parquet(path)
     missing = sorted(set(fields.values()) - set(read.columns))
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    return read.select(*[F.col(physical).alias(semantic) for semantic, physical in fields.items()])
+    return read.select(*[F.col(fields[s]).alias(s) if s in fields else F.lit(None).cast("string").alias(s) for s in semantics or fields])
+
+
+#: A reader of a provider's rows, from a session and a source of the catalogue.
+Reader = Callable[[SparkSession, dict], DataFrame]
+
+
+def source_rows(spark: SparkSession, source: dict, root: str, providers: dict[str, Reader], semantics: list[str]) -> DataFrame:
+    """The rows of a catalogue source: from the Parquet files below ``root`` that its pattern names, at its revision, else from its provider's reader."""
+    fields = {s: p for s, p in source["fields"].items() if s in semantics}
+    if source.get("data_files_glob"):
+        return projected_parquet(spark, "/".join(x for x in (root, source.get("revision"), source["data_files_glob"]) if x), fields, semantics)
+    if source["provider"] not in providers:
+        raise ValueError(f"no reader for provider {source['provider']}")
+    rows = providers[source["provider"]](spark, source)
+    return rows.select(*[F.col(fields[s]).alias(s) if fields.get(s) in rows.columns else F.lit(None).cast("string").alias(s) for s in semantics])
+
+
+def public_voices(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Voice profiles of a folder, newest first: the fields of ``schema`` (with created_at); damaged profiles and those that lack one are left out."""
+    names = StructType.fromDDL(schema).fieldNames()
+    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).na.drop("any", subset=names)
+    return read.orderBy(F.desc("created_at"))
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:

@@ -6,10 +6,10 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import METADATA_COLUMNS
+from .files import CORPUS_COLUMNS, METADATA_COLUMNS
 
 SPLITS = ("train", "validation", "test")
 
@@ -45,6 +45,14 @@ def labels_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def corpus_workspace(spark: SparkSession, found: dict, path: str) -> None:
+    """A folder for a new corpus: a CSV header, left alone if it is there, and the collection policy of a language profile."""
+    spark.createDataFrame([], ", ".join(f"{c} string" for c in CORPUS_COLUMNS)).coalesce(1).write.mode("ignore").option("header", True).csv(f"{path}/metadata")
+    corpus, language = found["corpus"], found["language"]
+    policy = {k: language[k] for k in ("code", "name", "iso639_3", "script")} | {k: corpus[k] for k in ("required_metadata", "require_consent", "require_reviewed_transcript", "split_unit", "min_seconds", "max_seconds")}
+    spark.createDataFrame([(json.dumps(policy, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/policy")
+
+
 def json_report(report: dict, path: str) -> None:
     """A small report on the driver's disk, replaced as a whole."""
     folder = os.path.dirname(os.path.abspath(path))

@@ -83,6 +83,17 @@ def test_speech(spark):
     assert (p.p50, p.p95) == (0.5, 0.5)
 
 
+def test_percentiles_of_large_groups(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    parts = {"a": rng.randn(30_000), "b": np.repeat(rng.randint(0, 5, 200), 100).astype(float), "c": rng.rand(7), "d": np.arange(25_000.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in parts.items() for x in v] + [("a", None), ("e", None)], "k string, x double")
+    monkeypatch.setattr(speech, "DIRECT_ROWS", 10_000)
+    got = {r.k: r for r in speech.latency(df, ["k"], "x").collect()}
+    for k, v in parts.items():
+        assert (got[k].p50, got[k].p95) == (pytest.approx(np.percentile(v, 50), abs=2e-6), pytest.approx(np.percentile(v, 95), abs=2e-6))
+    assert got["e"].p50 is None and got["a"].n == 30_001
+
+
 def test_listening(spark):
     schema = "model_id string, naturalness double, pronunciation double, intelligibility double, speaker_similarity double"
     df = spark.createDataFrame([("m", 4.0, 5.0, 3.0, 1.0), ("m", 5.0, 5.0, 4.0, 2.0), (" ", 9.0, 9.0, 9.0, 9.0)], schema)
