@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, filterfalse
 
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from .common import kept, map_batches, texts_of
 from .pretokens import CACHE_CHARS, CACHE_ENTRIES, pretokens, quiet_collector, unit_text, units
 
+#: Letters by any version of Unicode.
+_LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Bytes of text whose new pretokens are replayed together.
 BLOCK_BYTES = 4 << 20
 
@@ -124,15 +127,20 @@ class Codec:
             self.units.clear()
         if len(self.words) > self.entries:
             self.words.clear()
-        new_units = {u: pretokens(unit_text(u)) for u in set(filterfalse(self.units.__contains__, chain.from_iterable(cut)))}
-        new_words = list(set(chain.from_iterable(new_units.values())).difference(self.words))
-        words = self.words
-        words.update(zip(new_words, self.replay([w.encode("utf-8", "surrogatepass") for w in new_words]), strict=True))
-        self.units.update((u, tuple(chain.from_iterable(map(words.__getitem__, p)))) for u, p in new_units.items())
+        known, words = self.units, self.words
+        new = set(filterfalse(known.__contains__, chain.from_iterable(cut)))
+        # a unit of plain letters is one pretoken, and that of no other unit
+        single = list(filter(_LETTERS, new))
+        several = {u: pretokens(unit_text(u)) for u in new.difference(single)}
+        new_words = list(set(chain.from_iterable(several.values())).difference(words))
+        ids = self.replay([w.encode("utf-8", "surrogatepass") for w in chain(map(unit_text, single), new_words)])
+        known.update(zip(single, ids))  # noqa: B905
+        words.update(zip(new_words, ids[len(single) :], strict=True))
+        known.update((u, tuple(chain.from_iterable(map(words.__getitem__, p)))) for u, p in several.items())
         for w in new_words:
             if len(w) > CACHE_CHARS:
                 del words[w]
-        return [u for u in new_units if len(u) > CACHE_CHARS]
+        return [u for u in new if len(u) > CACHE_CHARS]
 
     def encode_block(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text of a block."""
