@@ -6,7 +6,7 @@ A step takes the key's state (None at first) and an event and returns the new st
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +15,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 Step = Callable[[dict | None, dict], tuple[dict | None, dict]]
 
 
-def _plain(row: dict) -> dict:
-    return {k: None if v is None or v is pd.NaT or isinstance(v, float) and v != v else v for k, v in row.items()}
+def _rows(pdf: pd.DataFrame) -> Iterator[dict]:
+    """The rows, column by column as plain values; what is missing is None."""
+    columns = {}
+    for name, values in pdf.items():
+        held = values.tolist()
+        if values.isna().any():
+            held = [None if gone else x for x, gone in zip(held, values.isna().tolist(), strict=True)]
+        columns[name] = held
+    names = list(columns)
+    return (dict(zip(names, row, strict=True)) for row in zip(*columns.values(), strict=True))
 
 
 def fold(events: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
@@ -27,8 +35,7 @@ def fold(events: DataFrame, key: str, order: list[str], step: Step, schema: str)
         now, state = object(), None
         for pdf in frames:
             out = []
-            for row in pdf.to_dict("records"):
-                row = _plain(row)
+            for row in _rows(pdf):
                 if row[key] != now:
                     now, state = row[key], None
                 state, made = step(state, row)
@@ -46,8 +53,8 @@ def fold_stream(events: DataFrame, key: str, order: list[str], step: Step, schem
         state = json.loads(held.get[0]) if held.exists else None
         rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
         out = []
-        for row in rows.to_dict("records"):
-            state, made = step(state, _plain(row))
+        for row in _rows(rows):
+            state, made = step(state, row)
             out.append([made.get(n) for n in names])
         held.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=names).astype(object)
