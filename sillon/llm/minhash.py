@@ -60,7 +60,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 #: The bytes that part words: \\x20 and \\x09-\\x0D.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, dtype=np.uint64)
+_powers = np.full(1, _P, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -218,6 +218,12 @@ def test_shingle_hashes_of_odd_texts():
     assert (got[2] == got[3]).all() and (got[4] == got[5]).all() and not set(got[2].tolist()) & set(got[4].tolist())
 
 
+def test_short_words_hash_alike_in_any_company(monkeypatch):
+    monkeypatch.setattr(minhash, "_powers", minhash._powers[:1])
+    alone = minhash.shingle_hashes(["x y z u v w"])[0]
+    assert (minhash.shingle_hashes(["a longer word", "x y z u v w"])[1] == alone).all()
+
+
 def brute_components(rows):
     sets = [minhash.shingles_of(t or "") for _, t in rows]
     root = list(range(len(rows)))
