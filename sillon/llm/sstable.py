@@ -28,7 +28,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, kept, shared_dir
-from .pretokens import CACHE_CHARS, CACHE_ENTRIES, Cache, quiet_collector
+from .pretokens import Cache, quiet_collector
 from .token_counts import byte_letters
 
 MAGIC = b"SILSST01"
@@ -241,6 +240,8 @@ class Shard:
 #: Characters whose lower case, normal form and kind are the same by any version of Unicode, and so in Python and in the
 #: library: printable ASCII, Latin-1 letters and Latin Extended-A without the dotted capital I.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: The letters among them: a run of letters is one word.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 #: The tokenizer's split pattern on such characters in lower case.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^0-9a-z\u00df-\u00f6\u00f8-\u017f]+").findall
 #: The normalizer and splitter of a tokenizer file for which ``_SPLIT`` and cutting at white space stand.
@@ -281,8 +282,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = np.array([end_id], f"<u{self.width}").tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [chr(c) for c in range(0x1C, 0x20)]
-        self.runs: dict[str, bytes] = {}
         self.words = Cache(self._word)
+        self.runs = Cache(self._run)
 
     def release(self) -> None:
         """Gives up the caches, whose functions hold on to the encoder."""
@@ -295,32 +296,22 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return array(_CODES[self.width], [t.id for t in self.model.tokenize(word)]).tobytes()
 
+    def _run(self, run: str) -> bytes:
+        """The ids of a run between white space."""
+        if _LETTERS(run):
+            return self.words[run.lower()]
+        if _PLAIN(run):
+            return b"".join([self.words[w] for w in _SPLIT(run.lower())])
+        return self._library([run])[0]
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(_CODES[self.width], e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return [ids + self.end for ids in self._library(texts)]
-        whole = {i for i, x in enumerate(texts) if any(s in x for s in self.special)}
-        cut = [[] if i in whole else x.split() for i, x in enumerate(texts)]
-        if len(self.runs) > CACHE_ENTRIES:
-            self.runs.clear()
-        known, words = self.runs, self.words
-        other = []
-        new = set(filterfalse(known.__contains__, chain.from_iterable(cut)))
-        for x in new:
-            if _PLAIN(x):
-                known[x] = b"".join([words[w] for w in _SPLIT(x.lower())])
-            else:
-                other.append(x)
-        known.update(zip(other, self._library(other), strict=True))
-        out = [b"".join(map(known.__getitem__, x)) + self.end for x in cut]
-        for i in whole:
-            out[i] = self._library([texts[i]])[0] + self.end
-        for x in new:
-            if len(x) > CACHE_CHARS:
-                del known[x]
-        return out
+        ids, special = self.runs.__getitem__, self.special
+        return [self._library([x])[0] + self.end if any(s in x for s in special) else b"".join(map(ids, x.split())) + self.end for x in texts]
 
 
 def encoder(path: str, end_id: int) -> Encoder:
