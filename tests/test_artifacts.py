@@ -65,7 +65,7 @@ def test_store(spark, tmp_path):
 def test_uploads_and_evaluation(spark):
     df = spark.createDataFrame([(5, False, "test"), (0, False, ""), (11, False, "train"), (11, True, None), (None, False, "test")], "n long, several boolean, split string")
     assert [r[0] for r in df.select(governance.upload_outcome(F.col("n"), F.col("several"), 10)).collect()] == ["accepted", "reject:empty", "reject:too_large", "reject:multi_speaker", "reject:empty"]
-    assert sorted(r.split or "-" for r in governance.evaluated(df, "test").collect()) == ["", "-", "test", "test"]
+    assert sorted(r.split or "-" for r in governance.evaluated(df, "test").collect()) == ["-", "-", "test", "test"]
 
 
 def test_receipts_and_lineage(spark):
@@ -92,7 +92,7 @@ def test_readiness_of_all(spark):
 
 
 def test_characters_are_described(spark):
-    got = quality.described(spark.createDataFrame([("ɛ",), (" ",), ("\x07",)], "char string")).collect()
+    got = quality.described(spark.createDataFrame([("ɛ",), ("\u00a0",), ("\x07",)], "char string")).collect()
     assert [(r.codepoint, r.name, r.category, r.is_whitespace) for r in got] == [("U+025B", "LATIN SMALL LETTER OPEN E", "Ll", False), ("U+00A0", "NO-BREAK SPACE", "Zs", True), ("U+0007", "UNNAMED", "Cc", False)]
 
 
