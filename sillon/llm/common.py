@@ -141,14 +141,21 @@ def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 HOT_ROWS = 1000
 
 
-def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str, sizes: DataFrame) -> DataFrame:
+def hot_of(sizes: DataFrame) -> DataFrame | None:
+    """The rows of ``sizes`` (a key and n) with more than ``HOT_ROWS``, written once; None where there are none."""
+    hot = sizes.filter(F.col("n") > HOT_ROWS)
+    return None if hot.isEmpty() else materialize(hot, "hot")
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str, sizes: DataFrame | None) -> DataFrame:
     """``many`` joined with ``one``, which has at most one row a key, where a few keys may hold most rows of ``many``.
 
-    ``sizes`` (key, n) says how many rows of ``many`` each key has; it should be cheap to read. Rows of keys with more
-    than ``HOT_ROWS`` are dealt by ``by`` over parts, and the row of ``one`` goes to each part.
+    ``sizes`` (key, n) says how many rows of ``many`` each key has at most, for frequent keys at least, and None that no
+    key is frequent; it should be cheap to read. Rows of keys with more than ``HOT_ROWS`` are dealt by ``by`` over parts,
+    and the row of ``one`` goes to each part.
     """
-    hot = sizes.filter(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).alias("sillon_parts"))
-    n = hot.count()
+    hot = sizes.filter(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).alias("sillon_parts")) if sizes is not None else None
+    n = hot.count() if hot is not None else 0
     if not n:
         return many.join(one, key)
     if n <= BROADCAST_ROWS:

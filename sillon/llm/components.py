@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _side(least: DataFrame, edges: int) -> DataFrame:
+    """Least neighbours, at most two for each of so many edges: broadcast where they are few."""
+    return F.broadcast(least) if edges <= BROADCAST_ROWS // 8 else least
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(_side(least, n), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours move to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(_side(least, n), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,4 +41,4 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or not now.n:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = now
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = materialize(_small_star(_large_star(edges, now.n), now.n), "edges")

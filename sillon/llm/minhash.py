@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, fresh, map_batches, materialize, small_or_plain, texts_of
+from .common import dealt_join, fresh, hot_of, map_batches, materialize, small_or_plain, texts_of
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -186,8 +186,8 @@ def _sizes(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is near the threshold or above. Many may have the same ``a``."""
+def _near(pairs: DataFrame, sketches: DataFrame, threshold: int, hot: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is near the threshold or above. ``hot`` has each ``a`` of many pairs."""
 
     def run(batch):
         n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "m"))
@@ -197,12 +197,12 @@ def _near(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
 
     a = sketches.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("registers").alias("x"))
     b = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("registers").alias("y"))
-    sized = dealt_join(pairs, a, "a", "b", _sizes(pairs, "a")).join(b, "b").filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    sized = dealt_join(pairs, a, "a", "b", hot).join(b, "b").filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
     return map_batches(sized.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Many may have the same ``a``."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int, hot: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. ``hot`` has each ``a`` of many pairs."""
 
     def run(batch):
         out: dict[str, list] = {"a": [], "b": []}
@@ -216,7 +216,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int)
         return out
 
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    met = dealt_join(pairs.join(b, "b"), a, "a", "b", _sizes(pairs, "a"))
+    met = dealt_join(pairs.join(b, "b"), a, "a", "b", hot)
     return map_batches(met.select("a", "b", "x", "y"), run, "a long, b long")
 
 
@@ -262,7 +262,7 @@ def _rest(members: DataFrame, texts: DataFrame, threshold: int, shingle: int) ->
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES))
     by_key = spread.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "bytes"), F.struct("n", "component")).alias("main"))
     plan = materialize(by_key.select("key", F.col("main.component").alias("main"), blocks(F.col("bytes")).alias("blocks"), blocks(F.col("bytes") - F.col("main.bytes")).alias("others")), "plan")
-    rows = materialize(dealt_join(sized.drop("bytes"), plan, "key", "node", _sizes(sized, "key")), "rows")
+    rows = materialize(dealt_join(sized.drop("bytes"), plan, "key", "node", hot_of(_sizes(sized, "key"))), "rows")
 
     def gathered(part: DataFrame, number: str, name: str) -> DataFrame:
         dealt = part.withColumn("block", F.pmod(F.xxhash64("node"), number)).join(vectors, "node")
@@ -288,18 +288,23 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
     bands = nodes.select("node", "n", F.explode(keys).alias("key"))
     shared = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1"), "shared")
-    held = shared.select("key", F.col("members").alias("n"))
+    held = hot_of(shared.select("key", F.col("members").alias("n")))
     buckets = materialize(dealt_join(bands, shared, "key", "node", held), "buckets")
     among = small_or_plain(buckets.select("node").distinct())
     sketches = materialize(nodes.join(among, "node", "left_semi"), "candidates")
     texts = materialize(docs.filter("text is not null").withColumnRenamed("doc_id", "node").join(among, "node", "left_semi"), "texts")
 
-    def links_of(pairs: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame) -> DataFrame | None:
         # written one by one, so that no task runs two Python workers
-        near = materialize(_near(materialize(pairs.distinct(), "pairs"), sketches, threshold), "near")
-        return materialize(_confirmed(near, texts, threshold, shingle), "links")
-
-    found = components(links_of(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return None
+        hot = hot_of(_sizes(pairs, "a"))
+        near = materialize(_near(pairs, sketches, threshold, hot), "near")
+        return materialize(_confirmed(near, texts, threshold, shingle, hot), "links")
+
+    links = links_of(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    found = components(links if links is not None else buckets.limit(0).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     for star in range(STARS + 1):
         # members of buckets that hold several components
         placed = buckets.filter("members > 2").select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -310,10 +315,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         else:
             pairs = _rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold, shingle)
         links = links_of(pairs)
-        if links.isEmpty():
-            if star < STARS:
-                continue
+        if links is None:  # no bucket holds several components, or none of their members are alike
             break
+        if links.isEmpty():
+            continue
         # links between components, then each node's component of components
         a, b = (found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")) for c in "ab")
         between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
