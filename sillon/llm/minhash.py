@@ -47,6 +47,8 @@ STARS = 3
 BLOCK_BYTES = 1 << 20
 #: Cells of the table of members and shingles that are multiplied at once.
 CELLS = 2 << 20
+#: Rows up to which register rows (400 bytes each), and nodes with their components (16 bytes each), are broadcast.
+SKETCH_ROWS, NODE_ROWS = 50_000, 500_000
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 1 << 20
 #: Shingles that meet the bucket hashes together; their values stay in the processor's cache.
@@ -292,6 +294,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     buckets = materialize(dealt_join(bands, shared, "key", "node", held), "buckets")
     among = small_or_plain(buckets.select("node").distinct())
     sketches = materialize(nodes.join(among, "node", "left_semi"), "candidates")
+    sketched_few = small_or_plain(sketches, SKETCH_ROWS)
     texts = materialize(docs.filter("text is not null").withColumnRenamed("doc_id", "node").join(among, "node", "left_semi"), "texts")
 
     def links_of(pairs: DataFrame) -> DataFrame | None:
@@ -300,14 +303,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         if pairs.isEmpty():
             return None
         hot = hot_of(_sizes(pairs, "a"))
-        near = materialize(_near(pairs, sketches, threshold, hot), "near")
+        near = materialize(_near(pairs, sketched_few, threshold, hot), "near")
         return materialize(_confirmed(near, texts, threshold, shingle, hot), "links")
 
     links = links_of(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
     found = components(links if links is not None else buckets.limit(0).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     for star in range(STARS + 1):
         # members of buckets that hold several components
-        placed = buckets.filter("members > 2").select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = buckets.filter("members > 2").select("key", "node").join(small_or_plain(found, NODE_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), F.xxhash64("key", "node", F.lit(star))).alias("centre")).filter("low <> high")
         open_ = dealt_join(placed, mixed.select("key", "centre"), "key", "node", held)
         if star < STARS:
