@@ -61,7 +61,7 @@ def _shard_rows(shard: int, ids: list[np.ndarray], labels: list[np.ndarray], anc
     return {c: [v] * chunks for c, v in common.items()} | {"chunk": list(range(chunks)), "cells": [np.ascontiguousarray(cells[:, c * WIDTH : (c + 1) * WIDTH]).tobytes() for c in range(chunks)]}
 
 
-def shards(rows: DataFrame, scale: int) -> DataFrame:
+def shards(rows: DataFrame, scale: int, size: int = SHARD) -> DataFrame:
     """Rows (id, label, vector, anchor) packed where they are read; components become floor(scale * x)."""
     bounded_batches(rows.sparkSession)
     names = [x.split()[0] for x in _SHARDS.split(", ")]
@@ -95,7 +95,7 @@ def shards(rows: DataFrame, scale: int) -> DataFrame:
             for i in np.flatnonzero(takes):
                 for to, x in zip(held, (ids[i : i + 1], labels[i : i + 1], anchors[i : i + 1], whole[ends[i] : ends[i + 1]]), strict=True):
                     to.append(x)
-                if len(held[3]) == SHARD:
+                if len(held[3]) == size:
                     yield packed()
                     number += 1
                     held = [[], [], [], []]
@@ -105,7 +105,7 @@ def shards(rows: DataFrame, scale: int) -> DataFrame:
     return rows.mapInArrow(run, _SHARDS)
 
 
-def _anchor_rows(packed: DataFrame) -> DataFrame:
+def _anchor_rows(packed: DataFrame, size: int) -> DataFrame:
     """Each anchor's chunks: anchor (number of the row), chunk, id, label, cells."""
 
     def run(batch):
@@ -113,7 +113,7 @@ def _anchor_rows(packed: DataFrame) -> DataFrame:
         for row in batch.to_pylist():
             places = np.flatnonzero(np.frombuffer(row["anchors"], dtype=bool))
             cells = _longs(row["cells"]).reshape(-1, WIDTH)
-            out["anchor"] += (row["shard"] * SHARD + places).tolist()
+            out["anchor"] += (row["shard"] * size + places).tolist()
             out["chunk"] += [row["chunk"]] * len(places)
             out["id"] += _longs(row["ids"])[places].tolist()
             out["label"] += _longs(row["labels"])[places].tolist()
@@ -157,9 +157,9 @@ def partial_tiles(blocks: DataFrame, packed: DataFrame, n_blocks: int, n_shards:
     return met.mapInArrow(run, _PARTIALS)
 
 
-def reduce_tile(shard: int, anchors: np.ndarray, anchor_ids: np.ndarray, anchor_labels: np.ndarray, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> tuple[list[dict], np.ndarray, np.ndarray]:
+def reduce_tile(first: int, anchors: np.ndarray, anchor_ids: np.ndarray, anchor_labels: np.ndarray, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> tuple[list[dict], np.ndarray, np.ndarray]:
     """The best rows of each anchor's own label, and the places (anchor, row) of cells that a window may hold."""
-    rows = shard * SHARD + np.arange(len(ids))
+    rows = first + np.arange(len(ids))
     best: list[dict] = []
     held = np.zeros(scores.shape, dtype=bool)
     for i, (anchor, label) in enumerate(zip(anchors.tolist(), anchor_labels.tolist(), strict=True)):
@@ -177,7 +177,7 @@ def reduce_tile(shard: int, anchors: np.ndarray, anchor_ids: np.ndarray, anchor_
     return best, at, of
 
 
-def tiles(partial: DataFrame) -> DataFrame:
+def tiles(partial: DataFrame, size: int = SHARD) -> DataFrame:
     """Added tiles, reduced: best positives, and the cells that may be negatives."""
     names = [x.split()[0] for x in ("block", "best", "anchors", "scores", "ids", "rows")]
     best_type = pa.list_(pa.struct([(c, pa.int64()) for c in ("anchor", "anchor_id", "score", "id", "row")]))
@@ -191,8 +191,9 @@ def tiles(partial: DataFrame) -> DataFrame:
         for part in parts:  # not every anchor has all chunks
             mine = np.array([place[a] for a in _longs(part["anchors"].as_py()).tolist()], dtype=np.int64)
             total[mine] += _longs(part["tile"].as_py()).reshape(len(mine), len(ids))
-        best, at, of = reduce_tile(first["shard"], anchors, anchor_ids, anchor_labels, ids, labels, total)
-        values = [first["block"], best, anchors[at].tobytes(), total[at, of].tobytes(), ids[of].tobytes(), (first["shard"] * SHARD + of).astype(np.int64).tobytes()]
+        number = first["shard"] * size
+        best, at, of = reduce_tile(number, anchors, anchor_ids, anchor_labels, ids, labels, total)
+        values = [first["block"], best, anchors[at].tobytes(), total[at, of].tobytes(), ids[of].tobytes(), (number + of).astype(np.int64).tobytes()]
         return pa.table([pa.array([v], type=t) for v, t in zip(values, [pa.int64(), best_type, *[pa.binary()] * 4], strict=True)], names=names)
 
     return partial.groupBy("block", "shard").applyInArrow(run, _TILES)
@@ -213,20 +214,21 @@ def window_cells(windows: list[dict], anchors: np.ndarray, scores: np.ndarray, i
     return out
 
 
-def mine(embeddings: DataFrame, anchor: Column, vector: str = "embedding", label: str | Column = "label", key: str = "vec_id", scale: int = 256) -> DataFrame:
+def mine(embeddings: DataFrame, anchor: Column, vector: str = "embedding", label: str | Column = "label", key: str = "vec_id", scale: int = 256, size: int = SHARD) -> DataFrame:
     """Columns anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     ``anchor`` says which rows are anchors. Positives of an anchor are the ``POSITIVES`` best other rows of its label; a
     positive's negatives the ``NEGATIVES`` best rows of other labels in its window, from 4/5 of its score to its score.
+    ``size`` is the number of rows of a shard.
     """
     labelled = F.col(label) if isinstance(label, str) else label
     rows = embeddings.select(F.col(key).cast("long").alias("id"), labelled.cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
-    packed = materialize(shards(rows.filter("id is not null and label is not null and vector is not null"), scale), "shards")
+    packed = materialize(shards(rows.filter("id is not null and label is not null and vector is not null"), scale, size), "shards")
     counts = packed.filter("chunk = 0").agg(F.count(F.lit(1)).alias("shards"), F.coalesce(F.sum("n_anchors"), F.lit(0)).alias("anchors")).first()
     n_blocks = max(1, -(-counts.anchors // ANCHORS))
     members = F.sort_array(F.collect_list(F.struct("anchor", "id", "label", "cells"))).alias("members")
-    blocks = _anchor_rows(packed).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).groupBy("block", "chunk").agg(members)
-    reduced = materialize(tiles(partial_tiles(blocks, packed, n_blocks, max(1, counts.shards))), "tiles")
+    blocks = _anchor_rows(packed, size).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).groupBy("block", "chunk").agg(members)
+    reduced = materialize(tiles(partial_tiles(blocks, packed, n_blocks, max(1, counts.shards)), size), "tiles")
 
     def ranked(df: DataFrame, by: list[str], score: str, name: str, row: str, most: int) -> DataFrame:
         order = Window.partitionBy(*by).orderBy(F.desc(score), name, row)
