@@ -78,26 +78,41 @@ def second_stage(policy: Policy, columns: list[str] = ()) -> Column:
     return found
 
 
+def staged(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """``rows`` with the reasons of both stages as columns one and two; the second is empty where the first isn't."""
+    none = F.array().cast("array<string>")
+    return rows.withColumn("one", first_stage(policy)).withColumn("two", F.when(F.size("one") == 0, second_stage(policy, rows.columns)).otherwise(none))
+
+
+def repeated(passed: Column, number: Column, first: Column, unreadable: Column | None = None) -> Column:
+    """``duplicate_audio`` for a row that passed the first stage and comes after the first acceptable row of its digest."""
+    seen = passed & F.coalesce(number > first, F.lit(False))
+    if unreadable is not None:
+        seen = seen & unreadable.isNull()
+    return F.when(seen, F.array(F.lit("duplicate_audio"))).otherwise(F.array().cast("array<string>"))
+
+
+def with_first(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``firsts``, one row for each key; a null is a key like any other."""
+    named = firsts.withColumnRenamed(key, "sillon_key")
+    return rows.join(named, rows[key].eqNullSafe(named["sillon_key"]), "left").drop("sillon_key")
+
+
 def judged(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """``rows`` with columns reasons and split (null where rejected).
 
     A digest counts as seen once a row with it is accepted, so a row is a duplicate only after an accepted one. The
     first acceptable row of each digest comes from a grouped minimum, which combines before the shuffle, and a join that
-    adaptive execution splits where one digest is frequent; a window would sort a digest's rows in one task.
+    adaptive execution splits where one digest is frequent; a window would sort a digest's rows in one task. Rows without
+    a digest are alike; rows that repeat a number and a digest are judged alike.
     """
-    staged = rows.withColumn("one", first_stage(policy)).withColumn("two", F.when(F.size("one") == 0, second_stage(policy, rows.columns)).otherwise(F.array().cast("array<string>")))
+    both = staged(rows, policy)
     fine = (F.size("one") == 0) & (F.size("two") == 0)
-    first = staged.filter(fine).groupBy("sha256").agg(F.min("rn").alias("first_rn"))
-    # only the narrow part of a row goes through the join by digest; duplicates then find their rows by rn
-    again_rn = staged.filter(F.size("one") == 0).select("rn", "sha256").join(first, "sha256").filter(F.col("rn") > F.col("first_rn")).select("rn", F.lit(True).alias("again"))
-    met = staged.join(again_rn, "rn", "left")
-    seen = F.col("again").isNotNull()
-    if "audio_error" in rows.columns:
-        seen = seen & F.col("audio_error").isNull()
-    again = F.when(seen, F.array(F.lit("duplicate_audio"))).otherwise(F.array().cast("array<string>"))
+    met = with_first(both, both.filter(fine).groupBy("sha256").agg(F.min("rn").alias("sillon_first")), "sha256")
+    again = repeated(F.size("one") == 0, F.col("rn"), F.col("sillon_first"), F.col("audio_error") if "audio_error" in rows.columns else None)
     out = met.withColumn("reasons", F.concat("one", again, "two"))
     key = F.col("speaker") if policy.split_by_speaker else F.col("sha256")
-    return out.withColumn("split", F.when(F.size("reasons") == 0, assign_split(key, F.col("training_only"), policy.fixed_split))).drop("one", "two", "again")
+    return out.withColumn("split", F.when(F.size("reasons") == 0, assign_split(key, F.col("training_only"), policy.fixed_split))).drop("one", "two", "sillon_first")
 
 
 def accepted(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -106,9 +121,9 @@ def accepted(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Whether each row repeats the ``key`` of an earlier one: column repeats."""
-    first = rows.groupBy(key).agg(F.min(order).alias("first_of_key"))
-    return rows.join(first, key).withColumn("repeats", F.col(order) > F.col("first_of_key")).drop("first_of_key")
+    """Whether each row repeats the ``key`` of an earlier one: column repeats. Rows without a key are alike."""
+    met = with_first(rows, rows.groupBy(key).agg(F.min(order).alias("sillon_first")), key)
+    return met.withColumn("repeats", F.col(order) > F.col("sillon_first")).drop("sillon_first")
 
 
 #: Characters of all fields of all rows up to which a fingerprint is taken from one row.

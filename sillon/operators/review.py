@@ -97,10 +97,11 @@ def approved_labels(items: DataFrame) -> DataFrame:
 
 
 def admitted(new: DataFrame, stored: DataFrame, order: str = "seq", digest: str = "sha256") -> DataFrame:
-    """New items whose digest isn't stored yet, the first of each digest."""
-    fresh = new.join(stored.select(digest).distinct(), digest, "left_anti")
-    first = fresh.groupBy(digest).agg(F.min(order).alias(order))
-    return fresh.join(first, [digest, order], "left_semi")
+    """New items whose digest isn't stored yet, the first of each digest. Items without a digest are alike."""
+    old = stored.select(F.col(digest).alias("sillon_digest")).distinct()
+    fresh = new.join(old, new[digest].eqNullSafe(old["sillon_digest"]), "left_anti")
+    first = fresh.groupBy(F.col(digest).alias("sillon_digest")).agg(F.min(order).alias("sillon_order"))
+    return fresh.join(first, fresh[digest].eqNullSafe(first["sillon_digest"]) & fresh[order].eqNullSafe(first["sillon_order"]), "left_semi")
 
 
 def item(items: DataFrame, key: str, value: str) -> DataFrame:

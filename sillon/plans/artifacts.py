@@ -360,14 +360,14 @@ def model_ids(spark, sf_dir):
 
 
 def streamed_ingest(spark, sf_dir):
-    """Rows that arrive as a stream: accepted ones and a journal of the others, each batch written once."""
+    """Rows that arrive as a stream in several batches, in another order than their numbers: each row's reasons, none for accepted ones."""
     base = folder(spark, "stream")
     rows = manifest(spark, sf_dir)
-    rows.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
-    ingest.ingest(stream, compiler.judged, f"{base}/accepted", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
-    kept = spark.read.parquet(f"{base}/accepted").select("rn", F.lit("").alias("reasons"))
-    return kept.unionByName(files.jsonl(spark, f"{base}/rejected/*", "rn long, reasons array<string>", ["rn"]).select("rn", F.array_join("reasons", ",").alias("reasons")))
+    rows.repartition(12, F.xxhash64("rn")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    landing = ingest.Landing(base)
+    ingest.ingest(stream, compiler.staged, landing).awaitTermination()
+    return ingest.outcomes(spark, landing).select("rn", F.array_join("reasons", ",").alias("reasons"))
 
 
 QUERIES = {f.__name__: f for f in (
