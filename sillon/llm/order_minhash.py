@@ -57,21 +57,24 @@ def _runs(kmers: Column) -> Column:
 
 
 def _sample(kmers: Column, runs: Column) -> Column:
-    """The least hashes of pairs of k-mer and number, in the order of the text: position above identity."""
+    """Identities (hashes) of the selected pairs of k-mer and number, in the order of the text."""
 
-    def numbered(begin: Column, j: Column) -> Column:
-        last = F.coalesce(F.get(runs, j + 1), F.size(kmers)) - begin - 1
-        return F.transform(F.sequence(F.lit(0), last), lambda n: _packed(F.xxhash64(F.shiftright(F.get(kmers, begin), POSITION), n), _low(F.get(kmers, begin + n), POSITION)))
-
-    least = F.slice(F.sort_array(F.flatten(F.transform(runs, numbered))), 1, SAMPLE)
-    return F.sort_array(F.transform(least, lambda x: F.shiftleft(_low(x, POSITION), IDENTITY).bitwiseOR(F.shiftrightunsigned(x, 64 - IDENTITY))))
+    valued = lambda i, begin, n: _packed(F.xxhash64(F.shiftright(F.get(kmers, begin), POSITION), n), _low(F.get(kmers, i), POSITION))
+    end = lambda j: F.coalesce(F.get(runs, j + 1), F.size(kmers))
+    # first occurrences one by one, the others by runs: most runs have no others
+    first = F.transform(runs, lambda begin: valued(begin, begin, F.lit(0)))
+    longer = F.filter(F.transform(runs, lambda begin, j: F.when(end(j) > begin + 1, F.struct(begin.alias("begin"), (end(j) - begin - 1).alias("last")))), lambda run: run.isNotNull())
+    others = F.flatten(F.transform(longer, lambda run: F.transform(F.sequence(F.lit(1), run["last"]), lambda n: valued(run["begin"] + n, run["begin"], n))))
+    least = F.slice(F.sort_array(F.concat(first, others)), 1, SAMPLE)
+    placed = F.sort_array(F.transform(least, lambda x: F.shiftleft(_low(x, POSITION), IDENTITY).bitwiseOR(F.shiftrightunsigned(x, 64 - IDENTITY))))
+    return F.transform(placed, lambda x: _low(x, IDENTITY))
 
 
 def _tuples(sample: Column) -> Column:
     """For each hash function the hash of its least pairs, in the order of the text."""
-    ranked = lambda i: F.slice(F.sort_array(F.transform(sample, lambda x, j: _packed(F.xxhash64(_low(x, IDENTITY), i), j))), 1, LENGTH)
+    ranked = lambda i: F.slice(F.sort_array(F.transform(sample, lambda x, j: _packed(F.xxhash64(x, i), j))), 1, LENGTH)
     placed = F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), lambda i: F.sort_array(F.transform(ranked(i), lambda y: _low(y, POSITION))))
-    return F.transform(placed, lambda places: _low(F.xxhash64(F.transform(places, lambda j: _low(F.get(sample, j.cast("int")), IDENTITY))), 32))
+    return F.transform(placed, lambda places: _low(F.xxhash64(F.transform(places, lambda j: F.get(sample, j.cast("int")))), 32))
 
 
 def signatures(df: DataFrame, texts: dict[str, str]) -> DataFrame:
