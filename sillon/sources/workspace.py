@@ -23,6 +23,13 @@ def folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: the lineage ends there and survives lost executors."""
+    path = folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_file(rows: DataFrame, line: str, order: str, path: str, head: str = "") -> None:
     """Writes a small table (one row of memory) as one text file of lines in order, after a head."""
     whole = rows.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))).alias("all"))

@@ -1,5 +1,7 @@
 import hashlib
 import io
+import math
+import random
 import wave
 
 import numpy as np
@@ -271,3 +273,46 @@ def test_turns_stream(spark, tmp_path):
     q = turns.turns_stream(stream).writeStream.format("memory").queryName("turns_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r.outcome for r in spark.sql("SELECT * FROM turns_out ORDER BY seq").collect()] == OUTCOMES
+
+
+def quantile(values, share):
+    ordered = sorted(values)
+    at = (len(ordered) - 1) * share
+    low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+    return low if at == math.floor(at) else low + (high - low) * (at - math.floor(at))
+
+
+def test_percentiles_of_ties_and_large_groups(spark, monkeypatch):
+    rng = random.Random(7)
+    groups = {
+        "ties": [5.0] * 3000 + [rng.random() for _ in range(40)] + [9.0] * 20,
+        "edge": [1.0] * 500 + [2.0] * 500,
+        "wide": [10 ** rng.uniform(-200, 200) for _ in range(4000)],
+        "even": [float(i % 977) for i in range(5000)],
+        "odd": [float("inf"), float("-inf"), -0.0, 0.0] + [rng.gauss(0, 1) for _ in range(2000)],
+        "one": [4.0],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r.g: r.p for r in speech.percentiles(df, ["g"], "x", shares).collect()}
+    monkeypatch.setattr(speech, "DIRECT_ROWS", 10)
+    narrowed = {r.g: r.p for r in speech.percentiles(df, ["g"], "x", shares).collect()}
+    assert set(got) == set(narrowed) == {*groups, None}
+    for g, vs in groups.items():
+        expected = [quantile(vs, s) for s in shares]
+        assert got[g] == pytest.approx(expected) and narrowed[g] == pytest.approx(expected)
+    assert speech.percentiles(df.filter("g = 'nowhere'"), ["g"], "x", shares).collect() == []
+
+
+def test_percentiles_of_a_million_equal_values(spark):
+    df = spark.range(1_000_000).select(F.lit("a").alias("g"), F.when(F.col("id") < 10, F.col("id").cast("double")).otherwise(F.lit(7.5)).alias("x"))
+    assert speech.percentiles(df, ["g"], "x", [0.0, 0.5, 0.95]).first().p == [0.0, 7.5, 7.5]
+
+
+def test_null_digests_are_alike(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a"), (5, "b"), (6, "b")], "seq long, sha256 string")
+    assert {r.seq: r.repeats for r in compiler.first_wins(rows, "sha256", "seq").collect()} == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
+    stored = spark.createDataFrame([(9, "b")], "seq long, sha256 string")
+    assert sorted(r.seq for r in review.admitted(rows, stored).collect()) == [1, 2]
+    assert sorted(r.seq for r in review.admitted(rows, spark.createDataFrame([(9, None)], "seq long, sha256 string")).collect()) == [1, 5]
