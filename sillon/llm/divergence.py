@@ -99,29 +99,29 @@ def priced_against(probs: np.ndarray, counts: np.ndarray, floors: np.ndarray) ->
     return (n[at] * floors - s[at]) + (s[-1] - s[at]) - (n[-1] - n[at]) * floors
 
 
-def overlap_corrections(xs: list[dict], ys: list[dict]) -> dict[tuple[str, str], int]:
+def overlap_corrections(xs: pa.StructArray, ys: pa.StructArray) -> dict[tuple[str, str], int]:
     """For pairs (lesser, greater) of sources of two posting blocks: what shared terms cost, less what they were priced at."""
-    terms = {t: i for i, t in enumerate(sorted({x["term"] for x in xs} & {y["term"] for y in ys}))}
-
-    def dense(rows: list[dict]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        sources = sorted({r["source"] for r in rows})
-        place = {s: i for i, s in enumerate(sources)}
-        probs, floors = np.zeros((len(sources), len(terms)), dtype=np.int64), np.zeros(len(sources), dtype=np.int64)
-        for r in rows:
-            floors[place[r["source"]]] = r["floor"]
-            if (t := terms.get(r["term"])) is not None:
-                probs[place[r["source"]], t] = r["p"]  # never 0 for a term that is held
-        return sources, probs, floors
-
-    (a, p, u), (b, q, v) = dense(xs), dense(ys)
+    terms = pa.concat_arrays([xs.field("term"), ys.field("term")]).dictionary_encode()
+    codes = terms.indices.to_numpy(zero_copy_only=False)
+
+    def dense(rows: pa.StructArray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        sources = rows.field("source").dictionary_encode()
+        place = sources.indices.to_numpy(zero_copy_only=False)
+        probs, floors = np.zeros((len(sources.dictionary), len(terms.dictionary)), dtype=np.int64), np.zeros(len(sources.dictionary), dtype=np.int64)
+        probs[place, at] = rows.field("p").to_numpy(zero_copy_only=False)  # never 0 for a term that is held
+        floors[place] = rows.field("floor").to_numpy(zero_copy_only=False)
+        return sources.dictionary.to_pylist(), probs, floors
+
+    (a, p, u), (b, q, v) = dense(xs, codes[: len(xs)]), dense(ys, codes[len(xs) :])
     out: dict[tuple[str, str], int] = {}
     for i, one in enumerate(a):
         has = np.flatnonzero(p[i])
         mine, theirs = p[i, has][None, :], q[:, has]
         cost = np.abs(mine - theirs) - np.abs(mine - v[:, None]) - np.abs(theirs - u[i]) + np.abs(u[i] - v)[:, None]
-        for j, s in enumerate(np.where(theirs > 0, cost, 0).sum(axis=1).tolist()):
-            if one != b[j] and (theirs[j] > 0).any():
-                out[min(one, b[j]), max(one, b[j])] = s
+        shared = theirs > 0
+        for other, s, any_shared in zip(b, np.where(shared, cost, 0).sum(axis=1).tolist(), shared.any(axis=1).tolist(), strict=True):
+            if any_shared and one != other:
+                out[min(one, other), max(one, other)] = s
     return out
 
 
@@ -163,10 +163,9 @@ def _pair_values(groups: DataFrame, priced: DataFrame) -> DataFrame:
 
     def shared(batch):
         out: dict[str, list] = {"lang": [], "a": [], "b": [], "value": []}
-        for r in zip(*(batch.column(c) for c in ("lang", "xs", "ys")), strict=True):
-            lang, xs, ys = (x.as_py() for x in r)
-            for (a, b), value in overlap_corrections(xs, ys).items():
-                for c, v in (("lang", lang), ("a", a), ("b", b), ("value", value)):
+        for lang, xs, ys in zip(*(batch.column(c) for c in ("lang", "xs", "ys")), strict=True):
+            for (a, b), value in overlap_corrections(xs.values, ys.values).items():
+                for c, v in (("lang", lang.as_py()), ("a", a), ("b", b), ("value", value)):
                     out[c].append(v)
         return out
 
