@@ -56,18 +56,23 @@ def _runs(kmers: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(kmers) - 1), lambda i: (i == 0) | (kmer(i) != kmer(i - 1)))
 
 
-def _sample(kmers: Column, runs: Column) -> Column:
-    """Identities (hashes) of the selected pairs of k-mer and number, in the order of the text."""
-
-    valued = lambda i, begin, n: _packed(F.xxhash64(F.shiftright(F.get(kmers, begin), POSITION), n), _low(F.get(kmers, i), POSITION))
+def _least(kmers: Column, runs: Column) -> Column:
+    """The least hashes of pairs of k-mer and number, each above its position."""
+    # never null, since Spark sorts arrays that hold no nulls as plain longs
+    at = lambda i: F.coalesce(F.get(kmers, i), F.lit(0).cast("long"))
+    valued = lambda i, begin, n: _packed(F.xxhash64(F.shiftright(at(begin), POSITION), n), _low(at(i), POSITION))
     end = lambda j: F.coalesce(F.get(runs, j + 1), F.size(kmers))
     # first occurrences one by one, the others by runs: most runs have no others
     first = F.transform(runs, lambda begin: valued(begin, begin, F.lit(0)))
     longer = F.filter(F.transform(runs, lambda begin, j: F.when(end(j) > begin + 1, F.struct(begin.alias("begin"), (end(j) - begin - 1).alias("last")))), lambda run: run.isNotNull())
     others = F.flatten(F.transform(longer, lambda run: F.transform(F.sequence(F.lit(1), run["last"]), lambda n: valued(run["begin"] + n, run["begin"], n))))
-    least = F.slice(F.sort_array(F.concat(first, others)), 1, SAMPLE)
-    placed = F.sort_array(F.transform(least, lambda x: F.shiftleft(_low(x, POSITION), IDENTITY).bitwiseOR(F.shiftrightunsigned(x, 64 - IDENTITY))))
-    return F.transform(placed, lambda x: _low(x, IDENTITY))
+    return F.slice(F.sort_array(F.concat(first, others)), 1, SAMPLE)
+
+
+def _placed(least: Column) -> Column:
+    """Identities (hashes) of the selected pairs, in the order of the text."""
+    turned = lambda x: F.shiftleft(_low(x, POSITION), IDENTITY).bitwiseOR(F.shiftrightunsigned(x, 64 - IDENTITY))
+    return F.transform(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(least) - 1), lambda i: turned(F.get(least, i)))), lambda x: _low(x, IDENTITY))
 
 
 def _tuples(sample: Column) -> Column:
@@ -80,16 +85,19 @@ def _tuples(sample: Column) -> Column:
 def signatures(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     """``df`` with an array of ``TUPLES`` 32-bit hashes for each text column; ``texts`` leads from new names to texts.
 
-    Each step is a projection of its own, since a lambda reads its arrays anew for each element.
+    Each step is a projection of its own that uses the last one's arrays twice, so that Spark keeps the steps apart: a
+    lambda reads its arrays anew for each element, and what stands inside a lambda's argument is interpreted.
     """
     own = fresh(df.columns)
     kept = [F.col(c) for c in df.columns if c.lower() not in {n.lower() for n in texts}]
     cut = rf"[^\s{UNSPACED}]{{1,{LETTER}}}|[{UNSPACED}]"
-    letters = {n: F.regexp_extract_all(F.coalesce(F.col(t), F.lit("")), F.lit(cut), F.lit(0)) for n, t in texts.items()}
-    step = df.select(*kept, *[_kmers(x).alias(f"{own}k_{n}") for n, x in letters.items()])
-    step = step.select("*", *[_runs(F.col(f"{own}k_{n}")).alias(f"{own}r_{n}") for n in texts])
-    step = step.select(*kept, *[_sample(F.col(f"{own}k_{n}"), F.col(f"{own}r_{n}")).alias(f"{own}s_{n}") for n in texts])
-    return step.select(*kept, *[_tuples(F.col(f"{own}s_{n}")).alias(n) for n in texts])
+    column = lambda step, n: F.col(f"{own}{step}_{n}")
+    step = df.select(*kept, *[F.regexp_extract_all(F.coalesce(F.col(t), F.lit("")), F.lit(cut), F.lit(0)).alias(f"{own}w_{n}") for n, t in texts.items()])
+    step = step.select(*kept, *[_kmers(column("w", n)).alias(f"{own}k_{n}") for n in texts])
+    step = step.select("*", *[_runs(column("k", n)).alias(f"{own}r_{n}") for n in texts])
+    step = step.select(*kept, *[_least(column("k", n), column("r", n)).alias(f"{own}l_{n}") for n in texts])
+    step = step.select(*kept, *[_placed(column("l", n)).alias(f"{own}s_{n}") for n in texts])
+    return step.select(*kept, *[_tuples(column("s", n)).alias(n) for n in texts])
 
 
 def written(signature: Column) -> Column:
