@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import fold, fold_stream
+from .folds import fold, fold_stream, states
 
 DRAFT, FIRST, SECOND, APPROVED, REJECTED = "machine_draft", "reviewer_1_complete", "reviewer_2_complete", "approved", "rejected"
 SCHEMA = "item_id string, seq long, action string, actor string, accepted boolean, error string, state string, text string"
@@ -68,9 +68,14 @@ def audit(events: DataFrame) -> DataFrame:
     return fold(events, "item_id", ["seq"], step, SCHEMA)
 
 
-def audit_stream(events: DataFrame) -> DataFrame:
-    """As ``audit``, for a stream."""
-    return fold_stream(events, "item_id", ["seq"], step, SCHEMA)
+def audit_stream(events: DataFrame, number: str = "seq", begin: DataFrame | None = None) -> DataFrame:
+    """As ``audit``, for a stream whose ``number`` counts an item's events from 1, or on from where ``begin`` (``workflow_states``) ends."""
+    return fold_stream(events, "item_id", number, step, SCHEMA, begin=begin)
+
+
+def workflow_states(events: DataFrame, number: str = "seq") -> DataFrame:
+    """Where the items stand after these events: item_id, number of the next event, state."""
+    return states(events, "item_id", [number], number, step)
 
 
 def final_states(events: DataFrame) -> DataFrame:

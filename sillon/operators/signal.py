@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StringType, StructField, StructType
 
 from sillon.operators.compiler import suspicious
+from sillon.operators.folds import Step, fold, fold_stream
 
 #: Fixed values of the segmentation: frame, silence that ends a region, longest and shortest region, padding, in seconds.
 FRAME, SILENCE, LONGEST, SHORTEST, PAD = 0.02, 0.45, 20.0, 0.6, 0.08
@@ -279,3 +280,47 @@ def gap_segments(events: DataFrame, key: str, at: str, gap: float) -> DataFrame:
     marked = events.withColumn("fresh", F.when(F.coalesce(F.col(at) - F.lag(at).over(w) >= gap, F.lit(True)), 1).otherwise(0))
     numbered = marked.withColumn("segment", F.sum("fresh").over(w) - 1)
     return numbered.groupBy(key, "segment").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def gap_step(gap: float, most: float) -> Step:
+    """A step on events of key and at: the number of the segment that each belongs to. A gap ends a segment, so does its greatest length."""
+
+    def step(state: dict | None, event: dict) -> tuple[dict, dict]:
+        at = event["at"]
+        if state is None:
+            now = {"segment": 0, "start": at, "last": at}
+        elif at - state["last"] >= gap or at - state["start"] >= most:
+            now = {"segment": state["segment"] + 1, "start": at, "last": at}
+        else:
+            now = state | {"last": at}
+        return now, {"key": event["key"], "at": at, "segment": now["segment"]}
+
+    return step
+
+
+GAPS = "key long, at long, segment long"
+
+
+def labelled(events: DataFrame, gap: float, most: float) -> DataFrame:
+    """The segment of every event (key, at)."""
+    return fold(events, "key", ["at"], gap_step(gap, most), GAPS)
+
+
+def labelled_stream(events: DataFrame, gap: float, most: float, number: str, idle: int | None = None) -> DataFrame:
+    """As ``labelled``, for a stream whose ``number`` counts a key's events from 1 in the order of time."""
+    return fold_stream(events, "key", number, gap_step(gap, most), GAPS, idle=idle)
+
+
+def measured(labels: DataFrame) -> DataFrame:
+    """Segments of labelled events: key, segment, start, end, n."""
+    return labels.groupBy("key", "segment").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def sessions(events: DataFrame, key: str, at: str, gap: str, delay: str) -> DataFrame:
+    """Runs of events that no gap parts, in batch or as a stream that gives a run once the watermark has passed its gap: start, end, n.
+
+    In a stream, rows that come more than ``delay`` after later ones may find their run given already; Spark then drops
+    them. State holds the runs that are open.
+    """
+    runs = events.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("run"))
+    return runs.agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n")).drop("run")

@@ -52,6 +52,6 @@ def turns(frames: DataFrame, most: float = MOST_SECONDS) -> DataFrame:
     return fold(frames, "conn_id", ["seq"], stepper(most), SCHEMA)
 
 
-def turns_stream(frames: DataFrame, most: float = MOST_SECONDS) -> DataFrame:
-    """As ``turns``, for a stream."""
-    return fold_stream(frames, "conn_id", ["seq"], stepper(most), SCHEMA)
+def turns_stream(frames: DataFrame, most: float = MOST_SECONDS, number: str = "seq", idle: int | None = None) -> DataFrame:
+    """As ``turns``, for a stream whose ``number`` counts a connection's frames from 1; a connection is forgotten after ``idle`` milliseconds."""
+    return fold_stream(frames, "conn_id", number, stepper(most), SCHEMA, idle=idle)

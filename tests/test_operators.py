@@ -2,6 +2,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import wave
 
 import numpy as np
@@ -266,13 +267,51 @@ def test_turns(spark):
     assert (got[7].n_bytes, got[7].seconds) == (64000, 2.0)
 
 
+def stream_of(spark, path, rows, schema, files, per_batch):
+    """A stream of files that are written one after the other, in the order given."""
+    for k in range(files):
+        spark.createDataFrame(rows[k::files], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def collected(df, path):
+    df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out").collect()
+
+
+FRAME = "conn_id string, seq long, kind string, sample_rate int, n_bytes long"
+
+
 def test_turns_stream(spark, tmp_path):
-    schema = "conn_id string, seq long, kind string, sample_rate int, n_bytes long"
-    spark.createDataFrame(FRAMES, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = turns.turns_stream(stream).writeStream.format("memory").queryName("turns_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [r.outcome for r in spark.sql("SELECT * FROM turns_out ORDER BY seq").collect()] == OUTCOMES
+    rows = FRAMES + [("other", *f[1:]) for f in FRAMES] + [FRAMES[4], FRAMES[5]]  # two frames are delivered twice
+    random.Random(2).shuffle(rows)
+    got = collected(turns.turns_stream(stream_of(spark, str(tmp_path / "in"), rows, FRAME, 6, 1)), tmp_path)
+    for conn in ("c", "other"):
+        assert [r.outcome for r in sorted(got, key=lambda r: r.seq) if r.conn_id == conn] == OUTCOMES
+
+
+def test_idle_connections_are_forgotten(spark, tmp_path):
+    rows = [("c", 1, "start", 16000, None), ("c", 2, "audio", None, 10), ("c", 4, "commit", None, None)]  # the third is lost
+    frames = stream_of(spark, str(tmp_path / "in"), rows, FRAME, 1, 1)
+    q = turns.turns_stream(frames, idle=200).writeStream.format("memory").queryName("idle_turns").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    until = time.time() + 60
+    while spark.table("idle_turns").count() < 3 and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    assert [r.outcome for r in spark.table("idle_turns").orderBy("seq").collect()] == ["started", "buffered", "committed"]
+
+
+def test_reviews_stream_from_where_a_batch_ends(spark, tmp_path):
+    rng = random.Random(8)
+    events = [(f"i{k}", n, rng.choice(["draft", "review_1", "review_2", "approve", "reject"]), rng.choice(["ann", "bob", "cat"]), f"text {n}", "why") for k in range(12) for n in range(1, 15)]
+    schema = "item_id string, seq long, action string, actor string, text string, reason string"
+    expected = sorted(map(tuple, review.audit(spark.createDataFrame(events, schema)).collect()))
+    before, after = [e for e in events if e[1] <= 5], [e for e in events if e[1] > 5]
+    begin = review.workflow_states(spark.createDataFrame(before, schema))
+    assert {r.number for r in begin.collect()} == {6}
+    rng.shuffle(after)
+    got = collected(review.audit_stream(stream_of(spark, str(tmp_path / "in"), after, schema, 5, 2), begin=begin), tmp_path)
+    assert sorted(map(tuple, [*review.audit(spark.createDataFrame(before, schema)).collect(), *got])) == expected
 
 
 def quantile(values, share):
