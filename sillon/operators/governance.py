@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillon.functions.text import WHITE, present, visible
+from sillon.sources.workspace import materialize
 
 #: Fixed value: uses from the freest to the narrowest.
 USAGE_RANK = {"production": 0, "evaluation": 1, "research": 2}
@@ -152,9 +153,14 @@ def capped(rows: DataFrame, source: str, index: str, digest: str, fine: Column,
     return met.withColumn("outcome", F.when(F.col("good"), "imported").otherwise("skipped")).drop("fine", "first", "good")
 
 
-def acquired(outcomes: DataFrame, source: str) -> DataFrame:
-    """Imported and skipped rows of each source."""
-    return outcomes.groupBy(source).agg(F.count_if(F.expr("outcome = 'imported'")).alias("imported"), F.count_if(F.expr("outcome = 'skipped'")).alias("skipped"))
+def acquired(outcomes: DataFrame, source: str, duration: str | None = None) -> DataFrame:
+    """Imported and skipped rows of each source, and the hours of imported ones where ``duration`` (seconds) is given."""
+    imported = F.col("outcome") == "imported"
+    totals = [F.count_if(imported).alias("imported"), F.count_if(F.col("outcome") == "skipped").alias("skipped")]
+    if duration:
+        seconds = F.coalesce(F.sum(F.when(imported, F.col(duration).cast("decimal(18,6)"))), F.lit(0))
+        totals.append(F.round(seconds.cast("double") / 3600, 6).alias("hours"))
+    return outcomes.groupBy(source).agg(*totals)
 
 
 def import_outcome(consent: Column, exists: Column, several_speakers: Column) -> Column:
@@ -163,9 +169,30 @@ def import_outcome(consent: Column, exists: Column, several_speakers: Column) ->
 
 
 def pointer_history(events: DataFrame, keys: list[str], model: str, order: list[str]) -> DataFrame:
-    """Each pointer's predecessor under its keys, and whether it is the latest."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("previous_model_id", F.lag(model).over(w)).withColumn("latest", F.lead(model).over(w).isNull())
+    """Each pointer's predecessor under its keys, and whether it is the latest.
+
+    Rows are ranged over tasks by key and order, so a frequent key fills several of them; windows lead from row to row
+    within a range, and the border rows of each range, one for a key that goes on, hand the model over to the next.
+    """
+    own = events.columns
+    spark = events.sparkSession
+    rows = events.withColumn("sillon_key", F.struct(*[F.col(k) for k in keys]))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialize(rows.repartitionByRange(parts, *keys, *order).withColumn("sillon_part", F.spark_partition_id()), "ranged")
+    at = F.struct(*[F.col(o) for o in order])
+    borders = ranged.groupBy("sillon_key", "sillon_part").agg(F.min_by(F.struct(model), at).alias("first"), F.max_by(F.struct(model), at).alias("last"))
+    over = Window.partitionBy("sillon_key").orderBy("sillon_part")
+    borders = borders.select("sillon_key", "sillon_part", F.lag("last").over(over).alias("sillon_before"), F.lead("first").over(over).alias("sillon_after"))
+    w = Window.partitionBy("sillon_key", "sillon_part").orderBy(*order)
+    inside = ranged.withColumns({"sillon_lag": F.lag(F.struct(model)).over(w), "sillon_lead": F.lead(F.struct(model)).over(w)})
+    met = inside.join(borders, ["sillon_key", "sillon_part"])
+    return met.select(*own, F.coalesce("sillon_lag", "sillon_before")[model].alias("previous_model_id"), F.coalesce("sillon_lead", "sillon_after").isNull().alias("latest"))
+
+
+def roll_backs(history: DataFrame, cards: DataFrame, keys: list[str], model: str = "model_id") -> DataFrame:
+    """Where each key's latest pointer rolls back to: its predecessor, joined with that model's card. Pointers without one are left out."""
+    latest = history.filter(F.col("latest") & F.col("previous_model_id").isNotNull())
+    return deployed(latest.select(*keys, F.col(model).alias("rolled_back"), F.col("previous_model_id").alias(model)), cards, keys, model)
 
 
 def latest_pointers(events: DataFrame, keys: list[str], model: str, order: list[str]) -> DataFrame:

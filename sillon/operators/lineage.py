@@ -8,7 +8,7 @@ import json
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillon.sources.sinks import json_report
@@ -34,6 +34,45 @@ def tree_digest(files: DataFrame, root: str, ignored: str = "model_card.json") -
     return hashlib.sha256(compact(found)).hexdigest(), found
 
 
+def json_text(text: Column) -> Column:
+    """Text as JSON of ASCII characters alone, in quotes."""
+    short = {0x22: '\\"', 0x5C: "\\\\", 0x08: "\\b", 0x09: "\\t", 0x0A: "\\n", 0x0C: "\\f", 0x0D: "\\r"}
+    unit = lambda x: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(x), 4, "0")))
+
+    def one(char: Column) -> Column:
+        code = F.ascii(char)
+        out = F.when((code >= 0x20) & (code < 0x80), char)
+        for k, v in short.items():
+            out = F.when(code == k, F.lit(v)).otherwise(out)
+        above = code - 0x10000
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)), unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
+        return F.coalesce(out, F.when(code >= 0x10000, pair).otherwise(unit(code)))
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), ""), F.lit('"'))
+
+
+def tree_digests(files: DataFrame, tree: str, ignored: str = "model_card.json") -> DataFrame:
+    """``tree``, files and sha256: the digest of each tree's files (relative path, bytes, sha256), by the compact JSON of their list.
+
+    The list is in the order of paths, part by part. It is one value: a tree has as many files as a model has.
+    """
+    kept = files.filter(F.substring_index("path", "/", -1) != ignored)
+    line = F.concat(F.lit('{"bytes":'), F.col("bytes").cast("string"), F.lit(',"path":'), json_text(F.col("path")), F.lit(',"sha256":"'), "sha256", F.lit('"}'))
+    rows = kept.groupBy(tree).agg(F.array_sort(F.collect_list(F.struct(F.split("path", "/").alias("parts"), line.alias("line")))).alias("all"))
+    return rows.select(tree, F.size("all").cast("long").alias("files"), F.sha2(F.concat(F.lit("["), F.array_join(F.transform("all", lambda r: r["line"]), ","), F.lit("]")), 256).alias("sha256"))
+
+
+def model_ids(trees: DataFrame, language: str, task: str, digest: str = "sha256") -> DataFrame:
+    """``trees`` with column model_id: language, task and twelve digits of the tree's digest."""
+    return trees.withColumn("model_id", F.concat(language, F.lit("-"), task, F.lit("-"), F.left(F.col(digest), F.lit(12))))
+
+
+def experiment_digest(fields: list[str]) -> Column:
+    """Twelve digits of the digest of compact JSON of the fields of a plan, all text, by their names."""
+    parts = F.array(*[F.concat(F.lit(json.dumps(f) + ":"), F.coalesce(json_text(F.col(f)), F.lit("null"))) for f in sorted(fields)])
+    return F.left(F.sha2(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")), 256), F.lit(12))
+
+
 def model_id(language: str, task: str, digest: str) -> str:
     return f"{language}-{task}-{digest[:12]}"
 

@@ -111,7 +111,7 @@ def acquire_capped(spark, sf_dir):
 
 
 def acquire_totals(spark, sf_dir):
-    return governance.acquired(_acquisition(spark, sf_dir), "speaker")
+    return governance.acquired(_acquisition(spark, sf_dir), "speaker", "duration")
 
 
 def importer_outcomes(spark, sf_dir):
@@ -296,7 +296,7 @@ ORACLES = {
     "catalog_plan": f"WITH {_CATALOG}, d AS (SELECT DISTINCT lang FROM documents) SELECT lang, requested, source_id, usage FROM catalog, d, (VALUES ('production'), ('evaluation'), ('research')) u(requested) WHERE list_contains(languages, CASE lang WHEN 'en' THEN 'aa' WHEN 'de' THEN 'bb' ELSE 'cc' END) AND list_contains(tasks, 'asr') AND {_RANK.format('requested')} >= {_RANK.format('usage')}",
     "adapters_union": "SELECT 'a/ ' || doc_id || '  x' AS audio, sha256(text) AS text, CASE WHEN doc_id % 3 = 0 THEN ' ' || source WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN source ELSE '' END AS speaker, CASE WHEN doc_id % 3 = 1 THEN '' ELSE lang END AS dialect, CASE doc_id % 3 WHEN 0 THEN 'aware:' || doc_id WHEN 1 THEN 'plain:' || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE CAST(doc_id AS VARCHAR) END ELSE 'client:a/ ' || doc_id || '  x' END AS source_id, NOT (doc_id % 3 = 0 OR (doc_id % 3 = 2 AND doc_id % 2 = 0)) AS training_only FROM documents",
     "acquire_capped": f"WITH {_ACQUIRED} SELECT rn, speaker, outcome FROM a",
-    "acquire_totals": f"WITH {_ACQUIRED} SELECT speaker, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'skipped') AS skipped FROM a GROUP BY speaker",
+    "acquire_totals": f"WITH {_ACQUIRED} SELECT speaker, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'skipped') AS skipped, round(sum(CAST(n_chars / 150.0::DOUBLE AS DECIMAL(18,6))) FILTER (outcome = 'imported')::DOUBLE / 3600, 6) AS hours FROM a JOIN documents ON doc_id = rn GROUP BY speaker",
     "importer_outcomes": "SELECT CASE WHEN NOT (coalesce(quality = 1, false) OR (quality IS NULL AND toxic IS NULL)) THEN 'reject:consent' WHEN d.doc_id % 11 = 0 THEN 'reject:missing_file' WHEN d.doc_id % 7 = 0 THEN 'quarantine:multi_speaker' ELSE 'import' END AS outcome, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1",
     "mos_by_model": "SELECT event_type AS model_id, count(*) AS ratings, " + ", ".join(f"round(sum((CAST(floor(value * {k}) AS BIGINT) % 5 + 1))::DOUBLE / count(*), 4) AS {m}" for k, m in enumerate(speech.METRICS, 1)) + " FROM events GROUP BY event_type",
     "assignment_buckets": "SELECT doc_id, CAST('0x' || substr(sha256(doc_id || chr(31) || source), 1, 8) AS BIGINT) % 5 AS bucket FROM documents",

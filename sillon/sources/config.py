@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import glob
 import os
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,12 +79,20 @@ def plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, PLAN_SCHEMA)
 
 
-def admissible(source: dict, language: str, task: str, role: str) -> list[str]:
-    """Why a source may not be acquired for a language, task and role; empty if it may."""
+#: Fixed value: the least sample rate of an acquisition, in hertz.
+LEAST_RATE = 8000
+
+
+def admissible(source: dict, language: str, task: str, role: str, providers: Collection[str] | None = None, max_samples: int | None = None, sample_rate: int | None = None) -> list[str]:
+    """Why a source may not be acquired for a language, task and role; empty if it may.
+
+    ``providers``, where given, are those that have a reader; ``max_samples`` and ``sample_rate`` are what is asked for.
+    """
     train = role == "train"
     rules = [
         (language in source["languages"], "language"), (task in source["tasks"], "task"),
         (not train or source["usage"] == "production", "not for production training"), (train or source["usage"] in ("evaluation", "production"), "not for evaluation"),
+        (providers is None or source["provider"] in providers, "provider"), (max_samples is None or max_samples >= 1, "max_samples"), (sample_rate is None or sample_rate >= LEAST_RATE, "sample_rate"),
     ]
     return [what for ok, what in rules if not ok]
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .landing import listed, opened, shard_report
+
 #: Columns of acquisition metadata, corpus base files, inventories and ratings, and fields of manifest and utterance lines.
 METADATA_COLUMNS = ["audio", "text", "speaker", "dialect", "source_id", "consent_attested", "transcript_reviewed", "governance_approved", "upstream_validated", "training_only", "source_license", "source_revision", "governance_basis", "source_dataset", "source_config", "source_split", "sample_rate"]
 CORPUS_COLUMNS = ["audio", "text", "speaker", "dialect", "source_id", "consent_attested", "transcript_reviewed"]
@@ -53,16 +57,20 @@ def utterances(spark: SparkSession, path: str) -> DataFrame:
     return read.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("speaker", "dialect", "noise", "code_switch")})
 
 
+#: Shards that an error about lacking columns names.
+NAMED_SHARDS = 10
+
+
 def projected_parquet(spark: SparkSession, path: str, fields: dict[str, str], semantics: list[str] | None = None) -> DataFrame:
-    """The physical columns that a mapping names, by their semantic names; a lacking column is an error. Only these are read.
+    """The physical columns that a mapping names, by their semantic names. Only these are read.
 
-    ``path`` may be a pattern; a shard without a column counts as lacking it. Of ``semantics``, if given, those that the
-    mapping leaves out are null.
+    ``path`` may be a pattern. Executors look into the footer of every shard first; a shard that lacks a column is an
+    error that names it. Of ``semantics``, if given, those that the mapping leaves out are null.
     """
+    lacking = shard_report(spark, path, sorted(set(fields.values()))).filter(F.size("missing") > 0).orderBy("shard").limit(NAMED_SHARDS).collect()
+    if lacking:
+        raise ValueError("; ".join(f"{r.shard}: missing columns {r.missing}" for r in lacking))
     read = spark.read.parquet(path)
-    missing = sorted(set(fields.values()) - set(read.columns))
-    if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
     return read.select(*[F.col(fields[s]).alias(s) if s in fields else F.lit(None).cast("string").alias(s) for s in semantics or fields])
 
 
@@ -93,6 +101,41 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def bounded_files(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """path, length and content of the files below a folder that have at most ``limit`` bytes.
+
+    The source compares lengths before it opens a file, so larger ones cost nothing but their listing. Spark's scans pass
+    over empty files.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= limit).select("path", "length", "content")
+
+
+#: Bytes of a file that are read together.
+RANGE_BYTES = 1 << 20
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and sha256 of the files below a folder, empty ones too; a task reads them in ranges, so a file of any size passes."""
+    names = [(name,) for _, name in listed(path, "*")]  # as Spark does for its sources, the driver lists
+    listing = spark.createDataFrame(names, "path string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 4)))
+
+    def digest(name: str) -> tuple[int, str]:
+        fs, inside = opened(name)
+        sums, size = hashlib.sha256(), 0
+        with fs.open_input_stream(inside) as f:
+            while chunk := f.read(RANGE_BYTES):
+                sums.update(chunk)
+                size += len(chunk)
+        return size, sums.hexdigest()
+
+    def run(batches):
+        for batch in batches:
+            found = [digest(p) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([n for n, _ in found], type=pa.int64()), pa.array([d for _, d in found], type=pa.string())], names=["path", "bytes", "sha256"])
+
+    return listing.mapInArrow(run, "path string, bytes long, sha256 string")
+
+
 def with_existing(rows: DataFrame, listing: DataFrame, audio: str = "audio") -> DataFrame:
     """``rows`` with column has_audio: whether the listing has the path."""
     known = listing.select(F.col("path").alias(audio)).distinct().withColumn("has_audio", F.lit(True))
