@@ -80,8 +80,8 @@ def acquire(spark: SparkSession, request: Request, rows: DataFrame, base: str, o
     place = "/".join((request.language, request.task, request.role, request.source_id))
     folder = f"{base}/data/{place}/{uuid.uuid4().hex}"
     outcomes = capped(rows.withColumn("sillon_source", F.lit(request.source_id)), "sillon_source", order, digest, F.coalesce(F.col(fine), F.lit(False)), request.requested_max_samples).drop("sillon_source")
-    outcomes.write.partitionBy("outcome").parquet(f"{folder}/outcomes")
-    judged = spark.read.parquet(f"{folder}/outcomes")
+    outcomes.write.parquet(f"{folder}/outcomes")
+    judged = spark.read.schema(outcomes.schema).parquet(f"{folder}/outcomes")
     judged.filter("outcome = 'imported'").drop("outcome").write.parquet(f"{folder}/metadata")
     totals = acquired(judged.withColumn("sillon_source", F.lit(request.source_id)), "sillon_source", duration).first()
     counts = {"imported": totals.imported, "skipped": totals.skipped, "hours": totals.hours} if totals else {"imported": 0, "skipped": 0, "hours": 0.0}
