@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StringType, StructField, StructType
 
 from sillon.operators.compiler import suspicious
@@ -133,6 +135,29 @@ def _decoded(content: pa.Array) -> pa.Array:
 decoded = F.arrow_udf(_decoded, StructType([StructField("samples", ArrayType(FloatType())), StructField("rate", IntegerType()), StructField("channels", IntegerType()), StructField("error", StringType())]))
 
 
+def _figures(content: pa.Array) -> pa.Array:
+    out = []
+    for x in content:
+        try:
+            samples, rate, channels = decode(x.as_py() or b"")
+        except SoundError as e:
+            out.append({"error": str(e)})
+            continue
+        one = mono(samples, channels)
+        n, wide = len(one), one.astype(np.float64)
+        found = {"rate": rate, "channels": channels, "duration": n / rate, "peak": float(np.abs(wide).max(initial=0.0))}
+        if n:
+            found |= {"rms": float(np.sqrt(wide @ wide / n)), "clipped": float((np.abs(wide) >= 0.999).mean()), "offset": float(wide.sum() / n)}
+        out.append(found)
+    return pa.array(out, _FIGURES)
+
+
+_FIGURES = pa.struct([("rate", pa.int32()), ("channels", pa.int32()), *[(c, pa.float64()) for c in ("duration", "peak", "rms", "clipped", "offset")], ("error", pa.string())])
+
+#: The figures of sound files in one pass from their bytes (rate, channels, those of ``statistics`` over the mean of the channels), or why they can't be read.
+measured_sound = F.arrow_udf(_figures, from_arrow_type(_FIGURES))
+
+
 def normalized_clips(files: DataFrame, target: int = 16000, most: float = 120.0, key: str = "path", content: str = "content") -> DataFrame:
     """Columns ``key``, wav, seconds and error of single utterances: one channel, the target rate, no segmentation."""
 
@@ -185,12 +210,22 @@ def wav(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def _lists(samples: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """Each row's samples as a view of the array's values; a row without, or with a null among them, is None."""
+    values = samples.values.cast(pa.float32())
+    holes = np.asarray(values.is_null())
+    flat, bounds, given = values.fill_null(0).to_numpy(zero_copy_only=False), samples.offsets.to_numpy(), np.asarray(samples.is_valid())
+    for i, there in enumerate(given.tolist()):
+        a, b = bounds[i], bounds[i + 1]
+        yield flat[a:b] if there and not holes[a:b].any() else None
+
+
 def _wavs(samples: pa.Array, rate: pa.Array) -> pa.Array:
-    return pa.array([None if s is None or r is None else wav(np.asarray(s, dtype=np.float32), r) for s, r in zip(samples.to_pylist(), rate.to_pylist(), strict=True)], pa.binary())
+    return pa.array([None if s is None or r is None else wav(s, r) for s, r in zip(_lists(samples), rate.to_pylist(), strict=True)], pa.binary())
 
 
 def _leveled_wavs(samples: pa.Array, rate: pa.Array) -> pa.Array:
-    return pa.array([wav(leveled(s), r) for s, r in zip(samples.to_pylist(), rate.to_pylist(), strict=True)], pa.binary())
+    return pa.array([wav(leveled(np.array([np.nan]) if s is None else s), r) for s, r in zip(_lists(samples), rate.to_pylist(), strict=True)], pa.binary())
 
 
 #: WAV files of samples, clipped at 1; and of samples brought down to 1 first.
@@ -257,21 +292,25 @@ def regions(samples: np.ndarray, rate: int) -> list[tuple[int, int]]:
 
 def segments(recordings: DataFrame, key: str = "recording", samples: str = "samples", rate: str = "rate", target: int | None = None) -> DataFrame:
     """Rows (key, segment, start, end in seconds, wav) of the voiced regions of each recording, padded; one recording at a time, at the target rate if one is given."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for k, s, r in zip(pdf[key], pdf[samples], pdf[rate], strict=True):
-                s = np.asarray(s, dtype=np.float32)
+    schema = StructType([recordings.schema[key], *StructType.fromDDL("segment string, start double, end double, wav binary").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows: list[list] = [[] for _ in arrow]
+            for k, s, r in zip(batch.column(key).to_pylist(), _lists(batch.column(samples)), batch.column(rate).to_pylist(), strict=True):
+                if s is None or r is None:
+                    continue
                 if target and target != r:
                     s, r = resampled(s, r, target), target
                 frame, pad = max(1, round(FRAME * r)), round(PAD * r)
                 for i, (a, b) in enumerate(regions(s, r)):
                     a, b = max(0, a * frame - pad), min(len(s), b * frame + pad)
-                    rows.append((k, f"{k}#segment-{i:04d}", a / r, b / r, wav(s[a:b], r)))
-            yield pd.DataFrame(rows, columns=[key, "segment", "start", "end", "wav"])
+                    for to, x in zip(rows, (k, f"{k}#segment-{i:04d}", a / r, b / r, wav(s[a:b], r)), strict=True):
+                        to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(rows, arrow, strict=True)], schema=arrow)
 
-    return recordings.select(key, samples, rate).mapInPandas(run, f"{key} {dict(recordings.dtypes)[key]}, segment string, start double, end double, wav binary")
+    return recordings.select(key, samples, rate).mapInArrow(run, schema)
 
 
 def gap_segments(events: DataFrame, key: str, at: str, gap: float) -> DataFrame:

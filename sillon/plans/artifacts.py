@@ -8,7 +8,7 @@ from sillon.functions import text as T
 from sillon.operators import compiler, governance, quality, review, signal, speech
 from sillon.sources import config, files, sinks
 from sillon.sources.tables import table
-from sillon.sources.workspace import folder, text_file
+from sillon.sources.workspace import folder, materialize, text_file
 from sillon.streaming import ingest
 
 from .corpus import ALPHABET
@@ -301,20 +301,20 @@ def pcm_files(spark, sf_dir):
 
 
 def sound_errors(spark, sf_dir):
-    """The reasons of rows whose sounds can't be read, are too short, or are fine."""
+    """The reasons of rows whose sounds can't be read, are too short, or are fine; sounds are measured once and the figures written."""
     m = manifest(spark, sf_dir).drop("channels", "duration", "sha256", "rate", "rms", "clipped", "offset")
-    tone = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: (F.lit(0.1) * (F.pmod(i, F.lit(2)) * 2 - 1)).cast("float"))
+    tone = F.flatten(F.array_repeat(F.array(F.lit(0.1).cast("float"), F.lit(-0.1).cast("float")), 1000))
     content = F.when(F.pmod("rn", F.lit(7)) == 0, F.lit(b"")).when(F.pmod("rn", F.lit(7)) == 1, F.encode(F.lit("no sound at all"), "UTF-8")).otherwise(signal.wav_of_samples(tone, F.when(F.pmod("rn", F.lit(2)) == 0, 2000).otherwise(8000)))
     given = F.struct(content.alias("bytes"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<double>").alias("array"), F.lit(None).cast("int").alias("sampling_rate"))
-    s = m.withColumn("content", signal.payload(given, F.lit(None).cast("binary"))).withColumn("sound", signal.decoded("content"))
-    found = signal.statistics(F.col("sound.samples"), F.col("sound.rate"))
-    ready = s.select(*m.columns, F.sha2(F.concat("content", F.encode(F.col("rn").cast("string"), "UTF-8")), 256).alias("sha256"), F.col("sound.channels").alias("channels"), F.col("sound.error").alias("audio_error"), *[found[k].alias(k) for k in ("duration", "rms", "clipped", "offset")])
-    return compiler.judged(ready).select("rn", F.array_join("reasons", ",").alias("reasons"))
+    s = m.withColumn("content", signal.payload(given, F.lit(None).cast("binary"))).withColumn("sound", signal.measured_sound("content"))
+    figures = [F.col("sound.error").alias("audio_error"), *[F.col(f"sound.{k}").alias(k) for k in ("channels", "duration", "rms", "clipped", "offset")]]
+    ready = s.select(*m.columns, F.sha2(F.concat("content", F.encode(F.col("rn").cast("string"), "UTF-8")), 256).alias("sha256"), *figures)
+    return compiler.judged(materialize(ready, "measured")).select("rn", F.array_join("reasons", ",").alias("reasons"))
 
 
 def single_clips(spark, sf_dir):
-    """Single utterances at 8 kHz, brought to 16 kHz under a cap of 0.4 s."""
-    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.least(F.octet_length("text"), F.lit(4000)).alias("n"))
+    """Single utterances at 8 kHz, brought to 16 kHz under a cap of 0.4 s: a sound of as many samples as each text has bytes."""
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.octet_length("text").alias("n"))
     files_ = d.withColumn("content", signal.wav_of_samples(F.array_repeat(F.lit(0.25).cast("float"), F.col("n")), F.lit(8000)))
     return signal.normalized_clips(files_, 16000, 0.4, key="doc_id").select("doc_id", F.octet_length("wav").cast("long").alias("bytes"), "seconds", "error")
 
@@ -422,7 +422,7 @@ ORACLES = {
     "wav_files": "WITH s AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda x: trunc(least(greatest((x * 4)::FLOAT, -1::FLOAT), 1::FLOAT) * 32767::FLOAT)::INTEGER) AS vs FROM embeddings), h AS (SELECT vec_id, n, array_to_string(list_transform(vs, lambda v: printf('%02x%02x', v & 255, (v >> 8) & 255)), '') AS data FROM s), w AS (SELECT vec_id, n, '52494646' || " + _le4("36 + 2 * n") + " || '57415645666d74201000000001000100803e0000007d00000200100064617461' || " + _le4("2 * n") + " || data AS hex FROM h) SELECT vec_id, sha256(unhex(hex)) AS clipped, 44 + 2 * n AS bytes FROM w",
     "pcm_files": "SELECT doc_id, strlen(text) // 2 AS samples, (strlen(text) // 2) / 8000.0::DOUBLE AS seconds, 1 AS channels, NULL::VARCHAR AS error FROM documents WHERE text IS NOT NULL",
     "sound_errors": f"WITH {MANIFEST}, f AS (SELECT rn, list_filter({FIRST_RULES}, lambda x: x IS NOT NULL) AS one FROM manifest) SELECT rn, CASE WHEN len(one) > 0 THEN array_to_string(one, ',') WHEN rn % 7 = 0 THEN 'audio_error:audio is empty' WHEN rn % 7 = 1 THEN 'audio_error:audio can''t be read: file does not start with RIFF id' WHEN rn % 2 = 1 THEN 'too_short,quality_flag' ELSE '' END AS reasons FROM f",
-    "single_clips": "SELECT doc_id, CASE WHEN n <= 3600 THEN 44 + 4 * n END AS bytes, CASE WHEN n <= 3600 THEN n / 8000.0::DOUBLE END AS seconds, CASE WHEN n > 3600 THEN 'recording exceeds maximum duration of 0.4s' END AS error FROM (SELECT doc_id, least(strlen(text), 4000) AS n FROM documents WHERE text IS NOT NULL)",
+    "single_clips": "SELECT doc_id, CASE WHEN n <= 3600 THEN 44 + 4 * n END AS bytes, CASE WHEN n <= 3600 THEN n / 8000.0::DOUBLE END AS seconds, CASE WHEN n > 3600 THEN 'recording exceeds maximum duration of 0.4s' END AS error FROM (SELECT doc_id, strlen(text) AS n FROM documents WHERE text IS NOT NULL)",
     "reference_clips": "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'not mono' WHEN n_chars / 150.0::DOUBLE < 1 THEN 'too short' WHEN n_chars / 150.0::DOUBLE > 30 THEN 'too long' ELSE 'fine' END AS fault FROM documents",
     "receipt_reuse": "SELECT source AS source_id, length(source) <> 4 AND count(*) FILTER (source = 'web' AND doc_id <= 100) = 0 AS reusable FROM documents GROUP BY source",
     "resume_lineage": "WITH m AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1), v AS (SELECT user_id, " + ", ".join(f"nullif(e % {k + 2}, 1) AS a{k}, nullif((e + {2 * k}) % {k + 2}, 1) AS b{k}" for k in range(6)) + " FROM m) SELECT user_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN a{k} IS DISTINCT FROM b{k} THEN '{f}' END" for k, f in enumerate(_LINEAGE)) + "], lambda x: x IS NOT NULL), ',') AS fields FROM v",

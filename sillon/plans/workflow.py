@@ -173,10 +173,10 @@ NORMALIZERS = {"en": "orthography", "fr": "orthography", "de": "transcript"}
 
 def segment_recording(spark, sf_dir):
     """Voiced regions of documents as recordings: 50 samples a second, one for each character, by blocks of 30 either voiced or silent."""
-    d = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.split("text", "").alias("chars"))
-    block = lambda i: F.floor(i / 30).cast("int")
-    voiced = lambda i: F.pmod(F.ascii(F.element_at("chars", block(i) * 30 + 1)) + block(i), F.lit(3)) > 0
-    samples = F.transform(F.sequence(F.lit(0), F.size("chars") - 1), lambda i: F.when(voiced(i), 0.2 + F.pmod(i, F.lit(5)) * 0.01).otherwise(0.0).cast("float"))
+    d = table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.char_length("text").alias("n"), F.split("text", "").alias("chars"))
+    voiced, silent = (F.array(*[F.lit((0.2 + j % 5 * 0.01) * on).cast("float") for j in range(30)]) for on in (1, 0))
+    block = lambda b: F.when(F.pmod(F.ascii(F.get("chars", b * 30)) + b, F.lit(3)) > 0, voiced).otherwise(silent)
+    samples = F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 30).cast("int")), block)), F.lit(1), F.col("n"))
     found = signal.segments(d.select("doc_id", samples.alias("samples"), F.lit(50).alias("rate")), key="doc_id")
     return found.select("doc_id", "segment", "start", "end", F.octet_length("wav").cast("long").alias("bytes"))
 
