@@ -2,9 +2,10 @@
 
 The markup is read once into a flat sequence of text blocks; block-level tags part them, inline tags don't. A block is
 described by its words and link density, those of its neighbours before and after, and where it stands: in an article
-element, in page furniture (by tag, role, class or id), in an element whose name may mean either, or elsewhere. A small
-decision tree, trained at start on the labelled table below, keeps or drops each block. Kept blocks are joined in page
-order. Reading takes time in proportion to the page, whatever tags it leaves open.
+element, in page furniture (by tag, role, class or id), in an element whose name may mean either, or elsewhere. Names
+only propose furniture: an element that holds an article, or nearly all of the page's text, is none whatever its name. A
+small decision tree, trained at start on the labelled table below, keeps or drops each block. Kept blocks are joined in
+page order. Reading takes time in proportion to the page, whatever tags it leaves open.
 
 Cases: null, empty or text-free html gives an empty text; unclosed tags, quotes, comments and scripts end where the
 page ends; character references are decoded once, after tags are taken out; white space of any kind inside a block
@@ -28,15 +29,25 @@ from .common import map_batches, texts_of
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template svg iframe textarea select button object canvas audio video head title math".split())
-FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status note".split())
+FURNITURE_TAGS = frozenset("nav header footer aside menu dialog fieldset".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status note".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Words in class and id names that mark furniture, by their beginnings or whole; words that may also name a part of an
-#: article, for which the tree decides; words that name articles.
-FURNITURE_STEMS = ("advert", "comment", "sponsor", "promo", "cookie", "breadcrumb", "recommend", "newsletter", "subscri", "disclaim", "consent", "sidebar", "navigation", "navbar", "pagination", "masthead", "disqus", "notice", "notif")
-FURNITURE_WORDS = frozenset("ad ads adv banner menu nav footer aside share sharing popup modal overlay alert gdpr widget widgets toolbar pager login signup respond hidden skip topbar bottombar".split())
-SUSPECT_WORDS = frozenset("discussion discuss header side social related search reply replies responses form forms".split())
+#: Words in class and id names that mark furniture, by their beginnings or whole; those that mark readers' comments, and
+#: lists of them; words that may also name a part of an article, for which the tree decides; words that name articles.
+FURNITURE_STEMS = ("advert", "sponsor", "promo", "cookie", "breadcrumb", "recommend", "newsletter", "subscri", "disclaim", "consent", "sidebar", "navigation", "navbar", "pagination", "masthead", "notice", "notif")
+FURNITURE_WORDS = frozenset("ad ads adv banner menu nav footer aside share sharing popup modal overlay alert gdpr widget widgets toolbar pager login signup respond skip topbar bottombar".split())
+COMMENT_STEMS = ("comment", "disqus")
+COMMENT_WORDS = frozenset(("replies",))
+COMMENT_LISTS = frozenset("reply responses discussion discuss".split())
+SUSPECT_WORDS = frozenset("discussion discuss header side social related search reply responses form forms".split())
 ARTICLE_WORDS = frozenset("article content main post entry story body text".split())
+#: Names that begin with one of the first, or end with one of the second, tell of a state or a layout and mark nothing
+#: (has-sidebar, share-enabled); names that hide their element.
+MODIFIERS = frozenset("has have no non not is with without js can use overflow show hide".split())
+STATES = frozenset("enabled disabled visible open opened closed active inactive ready loaded on off true false allowed supported present free".split())
+HIDDEN_NAMES = frozenset(("hidden", "is-hidden", "visually-hidden"))
+#: A marked element that has more than this many times the words of all the page outside of it is the page, not furniture.
+WHOLE_PAGE = 9
 #: Elements that an opening tag of the same kind closes.
 SELF_CLOSING = frozenset("p li dt dd td th tr option".split())
 
@@ -65,6 +76,7 @@ class Block:
     place: str
     heading: bool
     item: bool
+    marks: tuple[int, ...] = ()
 
     @property
     def link_density(self) -> float:
@@ -74,40 +86,79 @@ class Block:
 _NONE = Block("", 0, 0, PLAIN, False, False)
 
 
-def _place(tag: str, rest: str, outer: str) -> str:
-    """Where the text of an element stands, from its tag, its attributes and where the element stands."""
+@dataclass
+class Mark:
+    """An element that its names, or being a form, mark as furniture; what it holds may show that it is none."""
+
+    kind: str
+    words: int = 0
+    holds_article: bool = False
+
+
+def _mark(names: list[list[str]], tag: str) -> str:
+    """What the names of an element (each a list of words) mark it as: comment, name, or nothing."""
+    kind = ""
+    for words in names:
+        if len(words) > 1 and (words[0] in MODIFIERS or words[-1] in STATES):
+            continue
+        if any(w.startswith(COMMENT_STEMS) or w in COMMENT_WORDS for w in words) or tag in ("ol", "ul") and not COMMENT_LISTS.isdisjoint(words):
+            return "comment"
+        if any(w.startswith(FURNITURE_STEMS) or w in FURNITURE_WORDS for w in words):
+            kind = "name"
+    return kind
+
+
+def _place(tag: str, rest: str, outer: str) -> tuple[str, str]:
+    """Where the text of an element stands, from its tag, its attributes and where the element stands; and how it is marked."""
     if outer == FURNITURE:
-        return FURNITURE
+        return FURNITURE, ""
     marks: dict[str, str] = {}
     if rest:
         for name, *values in _ATTRIBUTE.findall(rest):
             marks[name.lower()] = "".join(values)
-    names = {x.lower() for k in ("class", "id") if k in marks for x in _NAME.findall(html.unescape(marks[k]))}
+    tokens = [t for k in ("class", "id") if k in marks for t in html.unescape(marks[k]).split()]
+    names = [words for t in tokens if (words := [x.lower() for x in _NAME.findall(t)])]
     role = marks.get("role", "").strip().lower()
     if "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", marks.get("style", ""), re.I):
-        return FURNITURE
-    marked = names & FURNITURE_WORDS or any(n.startswith(FURNITURE_STEMS) for n in names)
+        return FURNITURE, ""
+    if any(t.lower() in HIDDEN_NAMES for t in tokens):
+        return FURNITURE, ""
+    mark = _mark(names, tag)
     if role == "main" or tag in ARTICLE_TAGS:
-        return FURNITURE if marked else ARTICLE
+        return ARTICLE, mark
     if tag == "header" and outer == ARTICLE:
-        return ARTICLE
+        return ARTICLE, ""
     if tag in FURNITURE_TAGS or role in FURNITURE_ROLES:
-        return FURNITURE
+        return FURNITURE, ""
     if tag in ("body", "html") or _HEADING(tag):  # a heading's id names its section, a body's class the page
-        return outer
-    if marked:
-        return FURNITURE
-    if names & SUSPECT_WORDS and not names & ARTICLE_WORDS:
-        return SUSPECT
-    if outer == PLAIN and tag not in ("p", "li", "td", "th", "tr") and names & ARTICLE_WORDS:
-        return NAMED
-    return outer
-
-
-def _settled(blocks: list[Block]) -> list[Block]:
-    """The blocks of a page, places by name decided: an element with an article's name is the article if it holds most of the text."""
+        return outer, ""
+    if tag == "form" or role == "form":
+        mark = mark or "form"
+    found = {w for words in names for w in words}
+    if not mark and found & SUSPECT_WORDS and not found & ARTICLE_WORDS:
+        return SUSPECT, ""
+    if outer == PLAIN and tag not in ("p", "li", "td", "th", "tr") and found & ARTICLE_WORDS:
+        return NAMED, mark
+    return outer, mark
+
+
+def _settled(blocks: list[Block], marks: list[Mark]) -> list[Block]:
+    """The blocks of a page, doubtful places decided.
+
+    A marked element is furniture unless it holds an article or, comments apart, is the page; an element with an article's
+    name is the article if it holds most of the text.
+    """
+    total = 0
+    for b in blocks:
+        if b.place != FURNITURE:
+            total += b.words
+            for i in b.marks:
+                marks[i].words += b.words
+    furniture = [not m.holds_article and (m.kind == "comment" or m.words <= WHOLE_PAGE * (total - m.words)) for m in marks]
     words = dict.fromkeys((ARTICLE, PLAIN, OUTSIDE, FURNITURE, SUSPECT, NAMED), 0)
     for b in blocks:
+        if any(furniture[i] for i in b.marks):
+            b.place = FURNITURE
         words[b.place] += b.words
     by_name = words[NAMED] > max(words[ARTICLE], words[PLAIN])
     plain = OUTSIDE if words[ARTICLE] or by_name else PLAIN
@@ -120,7 +171,8 @@ def _settled(blocks: list[Block]) -> list[Block]:
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open block-level elements, and where their text stands
+    stack: list[tuple[str, str, tuple[int, ...]]] = []  # open block-level elements, where their text stands, marked elements around it
+    marks: list[Mark] = []
     parts: list[str] = []
     linked: list[str] = []
     anchors = 0
@@ -132,8 +184,9 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             words = "".join(parts).split()
             if words:
-                tags = [t for t, _ in stack[-3:]]
-                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), stack[-1][1] if stack else PLAIN, any(map(_HEADING, tags)), "li" in tags))
+                tags = [t for t, *_ in stack[-3:]]
+                _, place, around = stack[-1] if stack else ("", PLAIN, ())
+                out.append(Block(" ".join(words), len(words), min(len(words), len("".join(linked).split())), place, any(map(_HEADING, tags)), "li" in tags, around))
             parts.clear()
             linked.clear()
 
@@ -197,12 +250,20 @@ def blocks_of(page: str) -> list[Block]:
             elif tag not in VOID:
                 if stack and (tag in SELF_CLOSING and stack[-1][0] == tag or stack[-1][0] == "p"):
                     opened[stack.pop()[0]] -= 1
-                stack.append((tag, _place(tag, m["rest"], stack[-1][1] if stack else PLAIN)))
+                _, outer, around = stack[-1] if stack else ("", PLAIN, ())
+                place, mark = _place(tag, m["rest"], outer)
+                if mark:
+                    around = (*around, len(marks))
+                    marks.append(Mark(mark))
+                elif place == ARTICLE and outer != ARTICLE:
+                    for i in around:
+                        marks[i].holds_article = True
+                stack.append((tag, place, around))
                 opened[tag] += 1
     if at < len(page) and not skip_to:
         text(page[at:])
     end_block()
-    return _settled(out)
+    return _settled(out, marks)
 
 
 #: The labelled table: blocks of pages, in page order, so that neighbours are the blocks beside. A block is its place (A in

@@ -325,3 +325,27 @@ def test_pages_of_the_tables():
         article = re.search(r"<article>(.*)</article>", page, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<br>|</?[a-z]+[^>]*>", lambda m: "\n" if m[0] == "<br>" else "", b)).split()) for b in re.split(r"</?(?:h1|p)\b[^>]*>", article)]
         assert html_text.main_blocks(page) == [b for b in blocks if b]
+
+
+def test_html_names_that_only_look_like_furniture():
+    """States, layouts and wrappers don't take an article away; real furniture in them goes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    inside = f"<p>{a}</p><p>{b}</p>"
+    menu = "<nav><a href=/>Home</a></nav>"
+    for page in (
+        f'{menu}<main class="has-sidebar">{inside}</main><footer>x</footer>', f'{menu}<article class="post share-enabled">{inside}</article>', f'<form action="/x">{menu}{inside}<input></form>',
+        f'<form id=aspnetForm><div>{menu}</div><article>{inside}</article><footer>{c}</footer></form>', f'<div class="sidebar-layout"><main>{inside}</main><aside>{c}</aside></div>', f'<main class="no-comments">{inside}</main>',
+        f'<div class="modal-open">{inside}</div>', f'<body class="single sidebar-right">{inside}</body>', f'<div class="page overlay">{menu}{inside}</div>', f'<main>{inside}<ol class="replies"><li>{c}</li></ol></main>',
+        f'<article>{inside}</article><form class="search"><p>{c}</p></form>', f'<article>{inside}<div class="share-buttons">{c}</div></article>', f'<main>{inside}<section id="comments"><article class="comment-body"><p>{c}</p></article></section></main>',
+        f'<article>{inside}</article><div class="comments-area"><p>{c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c} {c}</p></div>', f'<main>{inside}<div class="is-hidden"><p>{c}</p></div></main>',
+    ):
+        assert html_text.main_blocks(page) == [a, b], page
+    assert html_text.main_blocks(f'<article><p class="overflow-hidden">{a}</p><p>{b}</p></article>') == [a, b]
+    assert html_text.main_blocks(f'<div class="comments"><p>{a}</p></div>') == []
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    page = "<article><p>" + "word " * 30 + "</p></article>"
+    rows = [(1, "u", page, 9, "x")] * 3 + [(None, None, None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 149), (1, 149), (1, 149)]
