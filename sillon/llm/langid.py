@@ -1,11 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton holds all substrings of a bounded sample of labelled text. A text is parsed
-greedily into phrases, each the longest match in the automaton; the number of phrases, times the bits of a pointer into
-the sample, is the text's description length. The language that needs fewest normalised phrases wins.
+For each language a suffix automaton holds all substrings of a bounded sample of labelled texts, each of them whole. A
+text is parsed greedily into phrases, each the longest match in the automaton; the number of phrases, times the bits of a
+pointer into the sample, is the text's description length. The language that needs fewest normalised phrases wins.
 
-Texts are lower-cased; letters map to symbols, runs of anything else to one separator. Long texts are parsed in segments
-of ``SEGMENT`` symbols whose phrase counts add up, so that thousands of segments advance together.
+Texts are lower-cased; letters map to symbols, runs of anything else to one separator. So that thousands of places advance
+together, texts are parsed in segments of ``SEGMENT`` symbols, at first as if a phrase began at each; then each segment is
+parsed again from the state in which its predecessor ends, until it meets its first parse, which mostly takes a few
+symbols. The phrases are those of a parse from the first symbol to the last, whatever the segments.
 
 Cases: a null or empty text, or one without a letter (marks alone are none), is ``und`` with score 0; so is every text where there is no
 labelled row to learn from; ties go to the language first in alphabetical order; repeated rows get equal results; an
@@ -19,6 +21,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -26,13 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, kept, texts_of
 
-#: The sample of a language: documents, characters of each, symbols in all.
+#: The sample of a language: documents and characters in all, at most. Texts are taken whole; one that doesn't fit is
+#: passed over, and where none fits the shortest is taken.
 SAMPLE_DOCS = 128
-SAMPLE_CHARS = 2048
 SAMPLE_SYMBOLS = 40_000
 #: Parts of a language's texts of which the least are found first.
 SAMPLE_PARTS = 16
+#: Symbols of a segment, and of the texts whose segments are parsed together.
 SEGMENT = 512
+TOGETHER = 2 << 20
+#: Parses that go on one by one, since so few don't pay for steps of all together.
+FEW = 32
 UNDETERMINED = "und"
 #: Letters a phrase on the average, below which no learned language explains a text; less in languages whose own texts
 #: fall short, see ``least_phrases``.
@@ -112,6 +119,15 @@ class Transitions:
             left = left[~hit & (seen >= 0)]
         return out
 
+    def next(self, key: int) -> int:
+        """``find`` for one key."""
+        slot = (key * int(_SPREAD) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while (seen := self.keys.item(slot)) != key:
+            if seen < 0:
+                return -1
+            slot = (slot + 1) & self.mask
+        return self.to.item(slot)
+
 
 @dataclass
 class Model:
@@ -130,17 +146,19 @@ class Model:
 
     def symbol_table(self) -> np.ndarray:
         """The symbol of each code point."""
-        out = np.full(0x110000, _SEPARATOR, dtype=np.int32)
-        for cp in range(0x110000):
-            if 0xD800 <= cp < 0xE000:
-                continue
-            if unicodedata.category(chr(cp))[0] in "LM":
-                out[cp] = _UNKNOWN
+        out = np.where(_categories() > 0, _UNKNOWN, _SEPARATOR).astype(np.int32)
         for letter, symbol in self.letters.items():
             out[ord(letter)] = symbol
         return out
 
 
+@lru_cache(maxsize=1)
+def _categories() -> np.ndarray:
+    """For each code point: 2 for a letter, 1 for a mark, else 0."""
+    kind = {"L": 2, "M": 1}
+    return np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), dtype=np.int8, count=0x110000)
+
+
 def _squeezed(symbols: np.ndarray) -> np.ndarray:
     """Runs of separators as one."""
     if not len(symbols):
@@ -165,9 +183,6 @@ def _model(samples: dict[str, list[str]]) -> Model:
         line: list[int] = [_SEPARATOR]
         for x in samples[language]:
             line += _squeezed(np.array([letters.get(c, _SEPARATOR) for c in x.lower() + " "], dtype=np.int32)).tolist()
-            if len(line) >= SAMPLE_SYMBOLS:
-                break
-        line = line[:SAMPLE_SYMBOLS]
         trans = suffix_automaton(line)
         fresh.append(at + len(trans))  # a last state without transitions, in which any symbol begins a phrase
         begin[:] = fresh[-1]  # a symbol that the sample lacks is a phrase of its own
@@ -212,42 +227,109 @@ class Parser:
         self.model = model
         self.symbols = model.symbol_table()
         #: Whether a code point is a letter; marks have symbols, but a text of marks alone has no letter.
-        self.is_letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), dtype=bool, count=0x110000)
+        self.is_letter = _categories() == 2
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text by language, and its letters."""
-        m = self.model
         points = [_points(x) for x in texts]
         rows = [_squeezed(self.symbols[p]) for p in points]
         letters = np.array([int(np.count_nonzero(r)) if self.is_letter[p].any() else 0 for r, p in zip(rows, points, strict=True)], dtype=np.int64)
-        owner, parts = [], []
+        counts = np.zeros((len(self.model.languages), len(texts)), dtype=np.int64)
+        at = [i for i in range(len(texts)) if letters[i]] if self.model.languages else []
+        while at:
+            n, size = 0, 0
+            while n < len(at) and (not n or size + len(rows[at[n]]) <= TOGETHER):
+                size += len(rows[at[n]])
+                n += 1
+            counts[:, at[:n]] = self._parsed([rows[i] for i in at[:n]])
+            at = at[n:]
+        return counts, letters
+
+    def _parsed(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each row of symbols by language."""
+        m = self.model
+        parts, owner = [], []
         for i, r in enumerate(rows):
-            if letters[i]:
-                for a in range(0, len(r), SEGMENT):
-                    owner.append(i)
-                    parts.append(r[a : a + SEGMENT])
-        counts = np.zeros((len(m.languages), len(texts)), dtype=np.int64)
-        if not parts or not m.languages:
-            return counts, letters
+            for a in range(0, len(r), SEGMENT):
+                owner.append(i)
+                parts.append(r[a : a + SEGMENT])
+        owner = np.array(owner)
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
-        grid = np.zeros((len(parts), int(lengths.max())), dtype=np.int32)
+        place = np.empty(len(parts), dtype=np.int64)
+        place[order] = np.arange(len(parts))
+        lengths = lengths[order]
+        grid = np.zeros((len(parts), int(lengths[0])), dtype=np.int32)
         for k, i in enumerate(order):
             grid[k, : len(parts[i])] = parts[i]
         columns = np.ascontiguousarray(grid.T)
         width = m.begins.shape[1]
         state = np.repeat(m.fresh[:, None], len(parts), axis=1)
-        begun = np.zeros((len(m.languages), len(parts)), dtype=np.int32)
-        live = np.searchsorted(-lengths[order], -np.arange(columns.shape[0]), side="left")
+        counts = np.zeros(state.shape, dtype=np.int32)
+        # segments that follow another one, and the ones before them; only their first parses are kept
+        follows = np.flatnonzero(owner[1:] == owner[:-1])
+        by_place = np.argsort(place[follows + 1])
+        later, before = place[follows + 1][by_place], place[follows][by_place]
+        states = np.zeros((columns.shape[0] if len(later) else 0, len(m.languages), len(later)), dtype=np.int32)
+        begun = np.zeros(states.shape, dtype=bool)
+        live = np.searchsorted(-lengths, -np.arange(columns.shape[0]), side="left")
+        followed = np.searchsorted(later, live)
         for t in range(columns.shape[0]):
             k = live[t]
             column = columns[t, :k]
             to = m.transitions.find((state[:, :k].astype(np.int64) * width + column).ravel()).reshape(len(m.languages), k)
             ends = to < 0
-            begun[:, :k] += ends
+            counts[:, :k] += ends
             state[:, :k] = np.where(ends, m.begins[:, column], to)
-        np.add.at(counts.T, np.array(owner)[order], begun.T)
-        return counts, letters
+            if n := followed[t]:
+                states[t, :, :n], begun[t, :, :n] = state[:, later[:n]], ends[:, later[:n]]
+        entry = np.repeat(m.fresh[:, None], len(later), axis=1)
+        while True:
+            language, item = np.nonzero(entry != state[:, before])
+            if not len(item):
+                break
+            now = entry[language, item] = state[language, before[item]]
+            t = 0
+            while len(item):
+                if len(item) <= FEW:
+                    for x in zip(language.tolist(), item.tolist(), now.tolist(), strict=True):
+                        self._alone(*x, t, columns, lengths, later, counts, state, states, begun)
+                    break
+                part = later[item]
+                symbol = columns[t, part]
+                to = m.transitions.find(now.astype(np.int64) * width + symbol)
+                ends = to < 0
+                now = np.where(ends, m.begins[language, symbol], to)
+                counts[language, part] += ends.astype(np.int32) - begun[t, language, item]
+                met = now == states[t, language, item]
+                states[t, language, item], begun[t, language, item] = now, ends
+                t += 1
+                over = ~met & (lengths[part] == t)
+                state[language[over], part[over]] = now[over]
+                go = ~met & ~over
+                language, item, now = language[go], item[go], now[go]
+        out = np.zeros((len(m.languages), len(rows)), dtype=np.int64)
+        np.add.at(out.T, owner[order], counts.T)
+        return out
+
+    def _alone(self, language: int, item: int, now: int, t: int, columns, lengths, later, counts, state, states, begun) -> None:
+        """The rest of one segment's second parse, from its symbol ``t`` on."""
+        part, width = int(later[item]), self.model.begins.shape[1]
+        begins, old, was = self.model.begins[language], states[:, language, item], begun[:, language, item]
+        symbols = columns[: lengths[part], part].tolist()
+        more = 0
+        for t in range(t, len(symbols)):  # noqa: B020, PLR1704
+            to = self.model.transitions.next(now * width + symbols[t])
+            ends = to < 0
+            now = begins.item(symbols[t]) if ends else to
+            more += ends - was.item(t)
+            if now == old.item(t):
+                was[t] = ends
+                break
+            old[t], was[t] = now, ends
+        else:
+            state[language, part] = now
+        counts[language, part] += more
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float], list[int]]:
         """Language, score, letters a phrase and letters of each text."""
@@ -268,20 +350,34 @@ class Parser:
         return names, scores, lengths, letters.tolist()
 
 
-def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """A stretch of each of ``docs`` distinct texts with letters for each language, or of all where they are fewer.
+def sample(labelled: DataFrame, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_SYMBOLS) -> dict[str, list[str]]:
+    """Distinct texts with letters for each language, whole: at most ``docs`` of them and ``chars`` characters in all.
 
-    Those with the least hashes are taken, so copies, however many, and texts without letters crowd out nothing.
+    Those with the least hashes are taken, so copies, however many, and texts without letters crowd out nothing. What the
+    driver gathers is bounded for each language, as is the model that it makes of it.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("x"))
     tie = F.xxhash64("x")
-    least = rows.select("l", F.xxhash64("x", F.lit(1)).alias("h"), tie.alias("tie")).distinct().withColumn("part", F.pmod("tie", F.lit(SAMPLE_PARTS)))
+    least = rows.select("l", F.xxhash64("x", F.lit(1)).alias("h"), tie.alias("tie"), F.char_length("x").alias("n")).distinct().withColumn("part", F.pmod("tie", F.lit(SAMPLE_PARTS)))
     for by in (("l", "part"), ("l",)):  # the least of each part first, so that a language's rows needn't meet in one task
         place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "tie"))
         least = least.withColumn("place", place).filter(F.col("place") <= docs)
-    least = least.select("l", "tie")
-    start = F.pmod(tie, F.greatest(F.lit(1), F.length("x") - chars)) + 1
-    drawn = rows.withColumn("tie", tie).join(F.broadcast(least), ["l", "tie"]).groupBy("l", "tie").agg(F.first(F.substring("x", start, F.lit(chars))).alias("x"))
+    by_language: dict[str, list] = {}
+    for r in sorted(least.select("l", "place", "tie", "n").collect(), key=lambda r: (r.l, r.place)):
+        by_language.setdefault(r.l, []).append(r)
+    chosen = []
+    for language, texts in by_language.items():
+        room = chars
+        for r in texts:
+            if r.n <= room:
+                chosen.append((language, r.tie))
+                room -= r.n
+        if room == chars:
+            chosen.append((language, min(texts, key=lambda r: r.n).tie))
+    if not chosen:
+        return {}
+    wanted = labelled.sparkSession.createDataFrame(chosen, "l string, tie long")
+    drawn = rows.withColumn("tie", tie).join(F.broadcast(wanted), ["l", "tie"]).groupBy("l", "tie").agg(F.first("x").alias("x"))
     found: dict[str, list[tuple[int, str]]] = {}
     for r in drawn.collect():
         found.setdefault(r.l, []).append((r.tie, r.x))

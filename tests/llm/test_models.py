@@ -1,6 +1,7 @@
 """Language ID, toxicity, near-duplicates, host reputation and the pipeline on small tables."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -380,3 +381,34 @@ def test_pipeline(spark, tmp_path):
     assert not kept & {500, 501, 502, 503, 504} and set(range(200)) <= kept
     assert len([i for i in range(600, 700) if i % 2 == 0 and i in kept]) >= 48 and len([i for i in range(600, 700) if i % 2 and i in kept]) <= 2
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_parses_do_not_depend_on_segments(monkeypatch):
+    """Long texts, copies of the sample, single words: as many phrases as a parse from the first symbol to the last."""
+    rng = random.Random(21)
+    samples = {k: [prose(rng, k, 300)] for k in SYLLABLES}
+    texts = [prose(rng, rng.choice(list(SYLLABLES)), n) for n in (1, 3, 60, 700)] + [samples["xx"][0] * 3, "a" * 3000, "bak", samples["yy"][0], "", "1 2"]
+    parser = langid.Parser(langid.train(samples))
+    whole = parser.phrases(texts)[0]
+    for lang, row in zip(parser.model.languages, whole.tolist(), strict=True):
+        inside = " " + samples[lang][0] + " "
+        for text, n in zip(texts, row, strict=True):
+            line = re.sub(r"[^a-z]+", " ", text)
+            at = k = 0
+            while at < len(line) and line.strip():
+                at += max(1, longest(line, at, inside))
+                k += 1
+            assert n == k
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        monkeypatch.setattr(langid, "TOGETHER", 100)
+        assert (langid.Parser(parser.model).phrases(texts)[0] == whole).all()
+
+
+def test_samples_are_whole_texts(spark):
+    rows = [("xx", "long " * 9000), ("xx", "short one"), ("xx", "another short one"), ("yy", "only " * 20_000), ("zz", "a" * 30_000), ("zz", "b" * 30_000), ("zz", "cc")]
+    got = langid.sample(spark.createDataFrame(rows, "l string, x string"), "x", "l")
+    texts = {k: {x for lang, x in rows if lang == k} for k in ("xx", "yy", "zz")}
+    assert all(set(v) <= texts[k] for k, v in got.items()) and set(got) == set(texts)
+    assert set(got["xx"]) == texts["xx"] - {"long " * 9000} and got["yy"] == ["only " * 20_000]  # where none fits, one is taken
+    assert len(got["zz"]) == 2 and "cc" in got["zz"]
