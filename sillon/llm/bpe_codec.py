@@ -3,8 +3,9 @@
 The distinct pretokens of a block of documents (``BLOCK_BYTES`` of text, or a longer document) that a worker hasn't met
 before are laid end to end as one symbol sequence. An inverted index leads from each pair of adjacent tokens that merges
 to the positions where it stands. Merges are applied in rank order, each to all its positions at once; each touches only
-its two neighbours, whose new pairs enter the index. Where two positions of one merge overlap, the left one goes first,
-as in merging word by word.
+its two neighbours, whose new pairs enter the index. The ids are those of merging word by word, the left one of the lowest
+rank first: where two positions of one merge overlap, the left one goes first, and where a merge could make a pair of
+lower rank, as files whose ranks no training gave may have it, a word's other positions wait for their turn.
 
 Cases: a null or empty text has no ids and decodes to no bytes; texts of any length are encoded whole; repeated rows
 are encoded each; an empty table gives an empty result; further columns of the input are ignored.
@@ -49,6 +50,10 @@ class Codec:
         #: Every pair of tokens that merges, sorted, and what it merges to.
         self.pair_keys = np.array(sorted(found), dtype=np.int64)
         self.pair_to = np.array([found[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        #: Whether a token is part of a pair that merges to one of lower rank.
+        self.lowers = np.zeros(self.size, dtype=bool)
+        for part in (self.pair_keys // self.size, self.pair_keys % self.size):
+            self.lowers[part[self.pair_to < part]] = True
         self.words: dict[str, tuple[int, ...]] = {}
         self.units: dict[str, tuple[int, ...]] = {}
 
@@ -73,13 +78,9 @@ class Codec:
         index: dict[int, list[np.ndarray]] = {}
         queue: list[tuple[int, int]] = []
 
-        def enter(where: np.ndarray) -> None:
-            """Puts positions into the index under the pairs that begin there."""
-            pairs = self.pairs_of(symbols[where], symbols[after[where]])
-            pair_of[where] = pairs
-            where, pairs = where[pairs >= 0], pairs[pairs >= 0]
-            if not len(where):
-                return
+        def put_back(where: np.ndarray) -> None:
+            """Puts positions whose pairs are known into the index."""
+            pairs = pair_of[where]
             order = np.argsort(pairs, kind="stable")
             where, pairs = where[order], pairs[order]
             begins = [0, *(np.flatnonzero(pairs[1:] != pairs[:-1]) + 1).tolist(), len(pairs)]
@@ -91,14 +92,32 @@ class Codec:
                     index[pair] = [where[a:b]]
                     heapq.heappush(queue, (int(self.pair_to[pair]), pair))
 
+        def enter(where: np.ndarray) -> None:
+            """Puts positions into the index under the pairs that begin there."""
+            pairs = self.pairs_of(symbols[where], symbols[after[where]])
+            pair_of[where] = pairs
+            where = where[pairs >= 0]
+            if len(where):
+                put_back(where)
+
         enter(np.flatnonzero(after < n))
         while queue:
             token, pair = heapq.heappop(queue)  # ranks are ids of what pairs merge to
             parts = index.pop(pair)
+            while queue and queue[0][0] == token:  # other pairs that merge to it: places count, not pairs
+                parts += index.pop(heapq.heappop(queue)[1])
             i = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
-            i = i[pair_of[i] == pair]
+            i = i[pair_of[i] >= 0]
+            i = i[self.pair_to[pair_of[i]] == token]
             if not len(i):
                 continue
+            if len(i) > 1 and self.lowers[token]:
+                # a merge may make a pair that goes before the word's other positions: one position of each word at a time
+                word = np.searchsorted(ends, i, side="right")
+                again = np.concatenate(([False], word[1:] == word[:-1]))
+                if again.any():
+                    put_back(i[again])
+                    i = i[~again]
             j = after[i]
             if len(i) > 1 and (j[:-1] == i[1:]).any():  # overlapping positions: the left one first
                 keep, last = [], -1

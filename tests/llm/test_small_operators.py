@@ -349,3 +349,30 @@ def test_html_repeated_rows_and_clashing_columns(spark):
     rows = [(1, "u", page, 9, "x")] * 3 + [(None, None, None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 149), (1, 149), (1, 149)]
+
+
+def naive_merges(word, ranks):
+    parts = [bytes([b]) for b in word]
+    while len(parts) > 1:
+        rank, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return tuple(ranks[p] for p in parts)
+
+
+def test_replay_equals_naive_merging_for_any_ranks(tmp_path):
+    """Files whose ranks no training gave: tokens in any order, several ways to make one."""
+    rng = random.Random(17)
+    path = tmp_path / "ranks"
+    for n in range(60):
+        tokens = list({bytes(rng.choices(b"abc"[: rng.randint(2, 3)], k=rng.randint(2, 6))) for _ in range(rng.randint(5, 60))})
+        rng.shuffle(tokens)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+        words = [bytes(rng.choices(b"abc", k=rng.randint(1, 25))) for _ in range(400)]
+        assert bpe_codec.Codec(str(path)).replay(words) == [naive_merges(w, ranks) for w in words], n
+    letters = {b"ca": 256, b"aa": 257, b"aaca": 258, b"ba": 259, b"aabaa": 263, b"aab": 268}
+    ranks = {bytes([b]): b for b in range(256)} | letters
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    assert bpe_codec.Codec(str(path)).replay([b"aaaabaabc"]) == [(257, 263, 98, 99)]
