@@ -60,6 +60,8 @@ class Codec:
     def pairs_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The places in ``pair_keys`` of pairs, -1 where they don't merge."""
         key = a * self.size + b
+        if not len(self.pair_keys):
+            return np.full(len(key), -1)
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, at, -1)
 

@@ -372,6 +372,8 @@ def test_replay_equals_naive_merging_for_any_ranks(tmp_path):
         path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
         words = [bytes(rng.choices(b"abc", k=rng.randint(1, 25))) for _ in range(400)]
         assert bpe_codec.Codec(str(path)).replay(words) == [naive_merges(w, ranks) for w in words], n
+    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % b for b in range(256)))
+    assert bpe_codec.Codec(str(path)).replay([b"ab", b"", b"c"]) == [(97, 98), (), (99,)]  # nothing merges
     letters = {b"ca": 256, b"aa": 257, b"aaca": 258, b"ba": 259, b"aabaa": 263, b"aab": 268}
     ranks = {bytes([b]): b for b in range(256)} | letters
     path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
