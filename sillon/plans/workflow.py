@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillon.functions.text import assignment_bucket, hash32, normalized
-from sillon.operators import governance, review, signal, speech, turns
+from sillon.operators import governance, lineage, review, routing, signal, speech, turns
 from sillon.sources.tables import table
 
 from . import corpus
@@ -70,13 +70,24 @@ def latency_histogram(spark, sf_dir):
     return speech.histogram(latencies(spark, sf_dir), ["dialect"], "latency_seconds", 50.0)
 
 
+def _by_code(spark, sf_dir):
+    """Documents of each language of the catalogue."""
+    code = F.when(F.col("lang") == "en", "aa").when(F.col("lang") == "de", "bb").otherwise("cc")
+    return table(spark, sf_dir, "documents").groupBy(code.alias("language")).agg(F.count(F.lit(1)).alias("documents"))
+
+
 def source_plan(spark, sf_dir):
-    return governance.resolved(spark.createDataFrame(PLAN, governance.PLAN_SCHEMA), _catalog(spark)).select("language", "task", "role", F.col("position").cast("long").alias("position"), "source_id", "license", "usage")
+    """The plan's sources, and how many documents their languages have."""
+    plan = governance.resolved(spark.createDataFrame(PLAN, governance.PLAN_SCHEMA), _catalog(spark)).join(_by_code(spark, sf_dir), "language", "left")
+    return plan.select("language", "task", "role", F.col("position").cast("long").alias("position"), "source_id", "license", "usage", "documents")
 
 
 def usage_matrix(spark, sf_dir):
-    uses = spark.createDataFrame([(u,) for u in governance.USAGE_RANK], "requested string")
-    return _catalog(spark).select("source_id", "usage").crossJoin(uses).select("source_id", "requested", governance.allows(F.col("usage"), F.col("requested")).alias("allowed"))  # catalogue by three uses
+    """Which uses each source allows, and how many documents its languages have."""
+    uses = F.explode(F.array(*map(F.lit, governance.USAGE_RANK))).alias("requested")
+    each = _catalog(spark).select("source_id", "usage", "languages", uses).withColumn("allowed", governance.allows(F.col("usage"), F.col("requested")))
+    counted = each.withColumn("language", F.explode("languages")).join(_by_code(spark, sf_dir), "language", "left")
+    return counted.groupBy("source_id", "requested", "allowed").agg(F.sum("documents").alias("documents"))
 
 
 def catalog_plan(spark, sf_dir):
@@ -149,8 +160,20 @@ def latest_checkpoint(spark, sf_dir):
 
 def model_routes(spark, sf_dir):
     """The recognition route of each document's language: its own model where it has one, else the shared one."""
-    routes = F.create_map(*[F.lit(x) for kv in {"fr": "custom:fr", "de": "custom:de"}.items() for x in kv])
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce(F.try_element_at(routes, F.col("lang")), F.lit("shared")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    registry = spark.createDataFrame([(x, x, "custom" if x in ("fr", "de") else None, f"custom:{x}", "remote", None) for x in ("de", "en", "es", "fr")], routing.REGISTRY)
+    routes = routing.routed(table(spark, sf_dir, "documents").select(F.col("lang").alias("language")), registry)
+    return routes.groupBy(F.col("engine").alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Languages by how they are routed: a deployed model, one that isn't deployed, a hint of its own, and nothing known.
+REGISTRY = [("en", "English", "custom", "models/en", None, None), ("de", "Deutsch", "custom", "models/de", "local", "german"), ("fr", "Français", "shared", None, None, "french")]
+
+
+def language_routes(spark, sf_dir):
+    """How requests in the documents' languages are routed over a registry; every ninth names no language."""
+    d = table(spark, sf_dir, "documents").select(F.when(F.pmod("doc_id", F.lit(9)) > 0, F.col("lang")).alias("language"))
+    deployed = spark.createDataFrame([("models/en",)], "model string")
+    return routing.routed(d, spark.createDataFrame(REGISTRY, routing.REGISTRY), deployed).groupBy("language", "engine", "hint", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def array_quality(spark, sf_dir):
@@ -210,15 +233,15 @@ def voice_normalizers(spark, sf_dir):
 
 
 def experiment_ids(spark, sf_dir):
-    """Ids of plans: twelve digits of the hash of compact JSON with sorted keys."""
+    """Ids of plans: twelve digits of the digest of their compact JSON."""
     d = table(spark, sf_dir, "documents").select("source", "lang").distinct()
-    text = F.concat(F.lit('{"dataset":"'), "source", F.lit('","language":"'), "lang", F.lit('","task":"asr"}'))
-    return d.select("source", "lang", F.concat("lang", F.lit("-asr-"), F.left(F.sha2(text, 256), F.lit(12))).alias("experiment_id"), hash32(F.col("source")).alias("seed"))
+    plans = d.select("source", "lang", F.col("source").alias("dataset"), F.col("lang").alias("language"), F.lit("asr").alias("task"))
+    return plans.select("source", "lang", F.concat("lang", F.lit("-asr-"), lineage.experiment_digest(["dataset", "language", "task"])).alias("experiment_id"), hash32(F.col("source")).alias("seed"))
 
 
 QUERIES = {f.__name__: f for f in (
     error_rate_rows, wer_global, wer_slices, wer_by_dialect, latency_percentiles, latency_slices, rtf, benchmark_gates, latency_histogram, source_plan, usage_matrix, catalog_plan, adapters_union,
-    acquire_capped, acquire_totals, importer_outcomes, mos_by_model, assignment_buckets, pointer_history, latest_pointers, latest_checkpoint, model_routes, array_quality, pcm_duration, gap_segments,
+    acquire_capped, acquire_totals, importer_outcomes, mos_by_model, assignment_buckets, pointer_history, latest_pointers, latest_checkpoint, model_routes, language_routes, array_quality, pcm_duration, gap_segments,
     segment_recording, review_audit, review_final_state, review_queue, store_admission, turn_buffers, voice_normalizers, experiment_ids,
 )}
 
@@ -227,6 +250,7 @@ _SLICE = "SELECT '{0}' AS attribute, coalesce(nullif({0}, ''), 'unknown') AS val
 _LATENCY = "count(*) AS n, sum(latency_seconds::DECIMAL(18,6))::DOUBLE / count(latency_seconds) AS mean, round(quantile_cont(latency_seconds, 0.5), 6) AS p50, round(quantile_cont(latency_seconds, 0.95), 6) AS p95"
 _RTF = "sum(greatest(latency_seconds, 0)::DECIMAL(18,6))::DOUBLE / nullif(sum(greatest(audio_seconds, 0)::DECIMAL(18,6))::DOUBLE, 0) AS rtf"
 _CATALOG = "catalog(source_id, license, usage, languages, tasks) AS (VALUES " + ", ".join(f"('{c[0]}', '{c[5]}', '{c[4]}', {c[2]}, {c[3]})" for c in CATALOG) + ")"
+_BY_CODE = "dl AS (SELECT CASE lang WHEN 'en' THEN 'aa' WHEN 'de' THEN 'bb' ELSE 'cc' END AS language, count(*) AS documents FROM documents GROUP BY 1)"
 _RANK = "CASE {0} WHEN 'production' THEN 0 WHEN 'evaluation' THEN 1 ELSE 2 END"
 _ACQUIRED = """m AS (SELECT doc_id AS rn, source AS speaker, sha256(text) AS sha256, n_chars / 150.0::DOUBLE <= 20.0 AS fine FROM documents),
 g AS (SELECT *, fine AND rn = min(rn) FILTER (fine) OVER (PARTITION BY speaker, sha256) AS good FROM m),
@@ -291,8 +315,8 @@ ORACLES = {
     "rtf": f"WITH {LATENCIES} SELECT {_RTF} FROM latencies",
     "benchmark_gates": f"WITH {UTTERANCES}, {LATENCIES}, f AS (SELECT (SELECT sum(word_errors)::DOUBLE / sum(reference_words) FROM counted) AS wer, (SELECT sum(char_errors)::DOUBLE / sum(reference_chars) FROM counted) AS cer, (SELECT round(quantile_cont(latency_seconds, 0.95), 6) FROM latencies) AS p95, (SELECT {_RTF.replace(' AS rtf', '')} FROM latencies) AS rtf) SELECT gate, value, most, value <= most AS passed FROM (SELECT 'wer' AS gate, wer AS value, 0.20::DOUBLE AS most FROM f UNION ALL SELECT 'cer', cer, 0.10 FROM f UNION ALL SELECT 'p95', p95, 2.0 FROM f UNION ALL SELECT 'rtf', rtf, 0.60 FROM f)",
     "latency_histogram": f"WITH {LATENCIES} SELECT dialect, CAST(floor(latency_seconds / 50.0::DOUBLE) AS BIGINT) AS bucket, count(*) AS n FROM latencies GROUP BY 1, 2",
-    "source_plan": f"WITH {_CATALOG}, plan(language, task, role, position, source_id) AS (VALUES {', '.join(str(p) for p in PLAN)}) SELECT language, task, role, CAST(position AS BIGINT) AS position, source_id, license, usage FROM plan JOIN catalog USING (source_id)",
-    "usage_matrix": f"WITH {_CATALOG}, u(requested) AS (VALUES ('production'), ('evaluation'), ('research')) SELECT source_id, requested, {_RANK.format('requested')} >= {_RANK.format('usage')} AS allowed FROM catalog, u",
+    "source_plan": f"WITH {_CATALOG}, {_BY_CODE}, plan(language, task, role, position, source_id) AS (VALUES {', '.join(str(p) for p in PLAN)}) SELECT language, task, role, CAST(position AS BIGINT) AS position, source_id, license, usage, documents FROM plan JOIN catalog USING (source_id) LEFT JOIN dl USING (language)",
+    "usage_matrix": f"WITH {_CATALOG}, {_BY_CODE}, u(requested) AS (VALUES ('production'), ('evaluation'), ('research')), e AS (SELECT source_id, usage, unnest(languages) AS language FROM catalog) SELECT source_id, requested, {_RANK.format('requested')} >= {_RANK.format('usage')} AS allowed, CAST(sum(documents) AS BIGINT) AS documents FROM e LEFT JOIN dl USING (language), u GROUP BY source_id, usage, requested",
     "catalog_plan": f"WITH {_CATALOG}, d AS (SELECT DISTINCT lang FROM documents) SELECT lang, requested, source_id, usage FROM catalog, d, (VALUES ('production'), ('evaluation'), ('research')) u(requested) WHERE list_contains(languages, CASE lang WHEN 'en' THEN 'aa' WHEN 'de' THEN 'bb' ELSE 'cc' END) AND list_contains(tasks, 'asr') AND {_RANK.format('requested')} >= {_RANK.format('usage')}",
     "adapters_union": "SELECT 'a/ ' || doc_id || '  x' AS audio, sha256(text) AS text, CASE WHEN doc_id % 3 = 0 THEN ' ' || source WHEN doc_id % 3 = 2 AND doc_id % 2 = 0 THEN source ELSE '' END AS speaker, CASE WHEN doc_id % 3 = 1 THEN '' ELSE lang END AS dialect, CASE doc_id % 3 WHEN 0 THEN 'aware:' || doc_id WHEN 1 THEN 'plain:' || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE CAST(doc_id AS VARCHAR) END ELSE 'client:a/ ' || doc_id || '  x' END AS source_id, NOT (doc_id % 3 = 0 OR (doc_id % 3 = 2 AND doc_id % 2 = 0)) AS training_only FROM documents",
     "acquire_capped": f"WITH {_ACQUIRED} SELECT rn, speaker, outcome FROM a",
@@ -304,6 +328,8 @@ ORACLES = {
     "latest_pointers": f"WITH {_POINTERS} SELECT task, stage, arg_max(model_id, updated) AS model_id FROM p GROUP BY task, stage",
     "latest_checkpoint": "SELECT 'run/checkpoint-' || max(event_id) AS path, max(event_id) AS step FROM events WHERE event_type <> 'error'",
     "model_routes": "SELECT CASE WHEN lang IN ('fr', 'de') THEN 'custom:' || lang ELSE 'shared' END AS route, count(*) AS n FROM documents GROUP BY 1",
+    "language_routes": """SELECT language, CASE WHEN language = 'en' THEN 'models/en' WHEN language IS NULL OR language = 'fr' THEN 'shared' END AS engine, CASE language WHEN 'fr' THEN 'french' END AS hint,
+  CASE language WHEN 'de' THEN 'not deployed: models/de' WHEN 'es' THEN 'unknown language es' END AS error, count(*) AS n FROM (SELECT CASE WHEN doc_id % 9 > 0 THEN lang END AS language FROM documents) GROUP BY language""",
     "array_quality": "SELECT vec_id, duration, peak, round(rms, 9) AS rms, clipped, round(o, 9) AS offset, duration < 0.35 OR duration > 30 OR rms < 1e-4 OR clipped > 0.005 OR abs(o) > 0.05 AS suspicious FROM (SELECT vec_id, len(embedding) / 16.0::DOUBLE AS duration, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) AS rms, len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= 0.999)) / len(embedding)::DOUBLE AS clipped, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS o FROM embeddings)",
     "pcm_duration": "SELECT event_id AS seq, CAST(floor(value * 1000) AS BIGINT) / 32000.0::DOUBLE AS seconds FROM events",
     "gap_segments": "WITH e AS (SELECT user_id, epoch_us(ts) AS micros FROM events), f AS (SELECT *, CASE WHEN coalesce(micros - lag(micros) OVER (PARTITION BY user_id ORDER BY micros) >= 3600000000, true) THEN 1 ELSE 0 END AS fresh FROM e), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY micros) - 1 AS BIGINT) AS segment FROM f) SELECT user_id, segment, min(micros) AS start, max(micros) AS \"end\", count(*) AS n FROM s GROUP BY user_id, segment",

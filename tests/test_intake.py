@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sillon.operators import acquisition, compiler, governance, metrics
+from sillon.operators import acquisition, compiler, governance, metrics, routing
 from sillon.sources import config
 
 SOURCE = {"languages": ["aa"], "tasks": ["asr"], "usage": "production", "provider": "landing"}
@@ -122,3 +122,17 @@ def test_repeated_numbers_are_judged_alike(spark):
     row = lambda rn, sha: (rn, "t", "s", "d", "a:1", sha, 1.0, 1, True, True, False, False, False, True)
     got = compiler.judged(spark.createDataFrame([row(1, "x"), row(2, "x"), row(2, "x"), row(2, "y"), row(3, None), row(4, None)], schema)).collect()
     assert sorted((r.rn, r.sha256 or "", tuple(r.reasons)) for r in got) == [(1, "x", ()), (2, "x", ("duplicate_audio",)), (2, "x", ("duplicate_audio",)), (2, "y", ()), (3, "", ()), (4, "", ("duplicate_audio",))]
+
+
+def test_routes(spark):
+    registry = spark.createDataFrame([
+        ("aa", "Aa", "custom", "m/aa", "local", None), ("bb", "Bb", "custom", " m/bb ", None, "b"), ("cc", "Cc", None, None, None, None), ("dd", "Dd", "shared", None, None, "d"), ("ee", "Ee", "custom", " ", None, None),
+        ("ff", "Ff", "odd", None, None, None), ("gg", "Gg", "custom", "m/gg", "remote", "g"), ("hh", "Hh", "custom", "m/hh", "magic", None),
+    ], routing.REGISTRY)
+    asked = spark.createDataFrame([(None,), ("zz",), *[(f"{c}{c}",) for c in "abcdefgh"]], "language string")
+    got = {r.language: (r.engine, r.hint, r.error) for r in routing.routed(asked, registry, spark.createDataFrame([("m/bb",), ("m/hh",)], "model string")).collect()}
+    assert got == {
+        None: ("shared", None, None), "zz": (None, None, "unknown language zz"), "aa": (None, None, "not deployed: m/aa"), "bb": ("m/bb", "b", None), "cc": ("shared", "cc", None), "dd": ("shared", "d", None),
+        "ee": (None, None, "no model"), "ff": (None, None, "unknown mode odd"), "gg": ("m/gg", "g", None), "hh": (None, None, "unknown kind magic"),
+    }
+    assert routing.routed(asked, registry).filter("engine = 'm/aa'").count() == 1  # nothing is said about deployment
