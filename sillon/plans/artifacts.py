@@ -74,14 +74,14 @@ def split_line_counts(spark, sf_dir):
     path = folder(spark, "splits")
     a = compiler.accepted(manifest(spark, sf_dir)).filter("split <> 'validation'")
     sinks.split_files(a.withColumn("audio_filepath", F.col("source_id")), path)
-    return spark.createDataFrame([(s, files.count_lines(spark, f"{path}/{s}")) for s in sinks.SPLITS], "split string, n long")
+    return files.line_counts(spark, path, sinks.SPLITS, folders=True)
 
 
 def split_predicate_counts(spark, sf_dir):
     """The lines of one file by split."""
     path = folder(spark, "audit")
     sinks.audit_lines(compiler.accepted(manifest(spark, sf_dir)).select("text", "split"), path)
-    return spark.createDataFrame([(s, files.count_lines(spark, path, s)) for s in sinks.SPLITS], "split string, n long")
+    return files.line_counts(spark, path, sinks.SPLITS, folders=False)
 
 
 def utterance_lines(spark, sf_dir):
