@@ -121,11 +121,25 @@ def roll_back_targets(spark, sf_dir):
     return governance.roll_backs(governance.pointer_history(pointers, ["task", "stage"], "model_id", ["updated"]), cards, ["task", "stage"])
 
 
-QUERIES = {f.__name__: f for f in (zone_rows, zone_stream_rows, shard_columns, resumed_acquisition, tree_digests, bounded_uploads, observed_outcomes, observed_timings, roll_back_targets)}
+def faulty_lines(spark, sf_dir):
+    """The numbers of broken lines of one file: every 13th is cut short, every 17th lacks its text, every 7th before it is blank."""
+    path = folder(spark, "lines")
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    whole = F.to_json(F.struct("doc_id", F.when(F.pmod("doc_id", F.lit(17)) > 0, F.col("text")).alias("text")))
+    line = F.when(F.pmod("doc_id", F.lit(13)) == 0, F.expr("left(l, length(l) - 1)")).otherwise(F.col("l"))
+    lines = d.withColumn("l", whole).withColumn("l", F.concat(F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("\n")).otherwise(""), line))
+    lines.orderBy("doc_id").select("l").coalesce(1).write.text(path)
+    return files.faulty_lines(spark, path, "doc_id long, text string", ["text"]).select("line", F.sha2("value", 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (faulty_lines, zone_rows, zone_stream_rows, shard_columns, resumed_acquisition, tree_digests, bounded_uploads, observed_outcomes, observed_timings, roll_back_targets)}
 
 _ZONE = "SELECT doc_id AS id, sha256(text) AS words, lang AS language FROM documents"
 
 ORACLES = {
+    "faulty_lines": """WITH l AS (SELECT doc_id, '{"doc_id":' || doc_id || CASE WHEN doc_id % 17 > 0 THEN ',"text":' || to_json(text) ELSE '' END || '}' AS l FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN l[:-2] ELSE l END AS value, sum(1 + CAST(doc_id % 7 = 0 AS INTEGER)) OVER (ORDER BY doc_id) AS line FROM l)
+SELECT CAST(line AS BIGINT) AS line, sha256(value) AS sha256 FROM n WHERE doc_id % 13 = 0 OR doc_id % 17 = 0""",
     "zone_rows": _ZONE,
     "zone_stream_rows": _ZONE,
     "shard_columns": "SELECT 'shard-' || (doc_id % 3) AS shard, count(*) AS n_rows, CASE WHEN doc_id % 3 = 2 THEN 'lang' ELSE '' END AS missing FROM documents GROUP BY doc_id % 3",

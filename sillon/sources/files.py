@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Collection
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,17 +40,38 @@ def ratings(spark: SparkSession, path: str) -> DataFrame:
     return read.select("model_id", *[F.nullif(F.trim(c), F.lit("")).cast("double").alias(c) for c in RATING_COLUMNS[1:]])
 
 
-def jsonl(spark: SparkSession, path: str, schema: str, required: list[str] = ()) -> DataFrame:
-    """JSON lines; blank lines are skipped, anything but an object, or a lacking required field, is an error."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
-    parsed = lines.select("value", "file", F.from_json("value", StructType.fromDDL(schema).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+def _parsed(lines: DataFrame, schema: str, required: Collection[str]) -> DataFrame:
+    """``lines`` with the object of each (column r) and whether it is none, or lacks a required field (column bad)."""
+    full = StructType.fromDDL(schema).add("_bad", "string")
+    parsed = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.ltrim("value").startswith("{")
     for c in required:
         bad = bad | F.col(f"r.{c}").isNull()
-    checked = parsed.select(F.when(~bad, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid line in "), "file", F.lit(": "), F.left("value", F.lit(200))))).alias("r"))
+    return parsed.withColumn("bad", bad)
+
+
+def jsonl(spark: SparkSession, path: str, schema: str, required: Collection[str] = ()) -> DataFrame:
+    """JSON lines; blank lines are skipped, anything but an object, or a lacking required field, is an error; ``faulty_lines`` gives their numbers."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    parsed = _parsed(lines, schema, required)
+    checked = parsed.select(F.when(~F.col("bad"), F.col("r")).otherwise(F.raise_error(F.concat(F.lit("invalid line in "), "file", F.lit(": "), F.left("value", F.lit(200))))).alias("r"))
     return checked.select("r.*").drop("_bad")
 
 
+def faulty_lines(spark: SparkSession, path: str, schema: str, required: Collection[str] = ()) -> DataFrame:
+    """file, line (from 1, blank ones counted) and value of the lines that ``jsonl`` refuses.
+
+    Tasks read parts of files and number the lines of each part; the lines of the parts before it, one count a part, are
+    added. So files of any size are read in parallel and lines still have their numbers.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bad = _parsed(lines, schema, required).filter((F.trim("value") != "") & F.col("bad")).select("value", "file", "part", "at")
+    met = bad.join(parts.withColumn("before", before), ["file", "part"])
+    return met.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def utterances(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark utterances; empty slice labels are null."""
     read = jsonl(spark, path, UTTERANCE_SCHEMA, ["reference", "hypothesis", "audio_seconds", "latency_seconds"])

@@ -89,3 +89,22 @@ def test_large_files_are_not_read(spark, tmp_path):
         assert [len(r.content) for r in files.bounded_files(spark, str(tmp_path), 10).collect()] == [10]
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_numbers_of_faulty_lines(spark, tmp_path):
+    """Numbers hold when a file is read in many parts, and blank lines count."""
+    texts = {"a.json": [json.dumps({"k": i, "t": "x" * (i % 50)}) for i in range(3000)], "b.json": ["", "{}", '{"k": 1}', "[1]", "null", " ", '{"k": 2, "t": "y"}', "{"]}
+    for i in (0, 1, 777, 2999):
+        texts["a.json"][i] = texts["a.json"][i][:-1]
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            read = files.faulty_lines(spark, str(tmp_path), "k long, t string", ["k"])
+            assert size == before or read.rdd.getNumPartitions() > 3
+            got = sorted((r.file.rsplit("/", 1)[1], r.line) for r in read.collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == [("a.json", n) for n in (1, 2, 778, 3000)] + [("b.json", n) for n in (2, 4, 5, 8)]
