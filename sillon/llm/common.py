@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -45,6 +46,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
             out = fn(batch, state) if start else fn(batch)
             columns = [x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -84,7 +86,18 @@ def give_up() -> None:
             _state[1].release()
         _state.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        trim()
+
+
+def trim() -> None:
+    """Returns what this worker has freed to the system, where its allocators can: idle workers count against an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+#: The allocator of the C library, if Python is linked against one.
+_LIBC = ctypes.CDLL(None) if os.name == "posix" else None
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
