@@ -68,7 +68,7 @@ def shards(rows: DataFrame, scale: int, size: int = SHARD) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
-        number = TaskContext.get().partitionId() << 32  # a shard's number is its task's and its place in the task
+        number = TaskContext.get().partitionId() << 24  # a shard's number is its task's and its place in the task
 
         def packed() -> pa.RecordBatch:
             columns = _shard_rows(number, *held)
