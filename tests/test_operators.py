@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import io
 import math
@@ -355,3 +356,24 @@ def test_null_digests_are_alike(spark):
     stored = spark.createDataFrame([(9, "b")], "seq long, sha256 string")
     assert sorted(r.seq for r in review.admitted(rows, stored).collect()) == [1, 2]
     assert sorted(r.seq for r in review.admitted(rows, spark.createDataFrame([(9, None)], "seq long, sha256 string")).collect()) == [1, 5]
+
+
+def test_sessions_and_late_rows(spark, tmp_path):
+    """Runs are given once the watermark is past them; rows that come after that, by two batches here, are dropped, earlier ones join their run."""
+    schema = "user string, ts timestamp"
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    batches = [[("a", at(0)), ("a", at(5)), ("b", at(3))], [("a", at(12)), ("a", at(200))], [("a", at(209))], [("a", at(9)), ("a", at(191)), ("b", at(4))], [(None, at(9000))]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(signal.sessions(stream, "user", "ts", "10 minutes", "30 minutes"), tmp_path)
+    assert sorted((r.user, r.start, r.end, r.n) for r in got if r.user) == [("a", at(0), at(12), 3), ("a", at(191), at(209), 3), ("b", at(3), at(3), 1)]
+    whole = signal.sessions(spark.createDataFrame([r for b in batches[:4] for r in b], schema), "user", "ts", "10 minutes", "30 minutes")
+    assert sorted((r.user, r.n) for r in whole.collect()) == [("a", 3), ("a", 4), ("b", 2)]
+
+
+def test_segments_of_greatest_length(spark):
+    rows = [(1, t) for t in (0, 4, 8, 12, 16, 40, 44)] + [(2, 7)]
+    labels = signal.labelled(spark.createDataFrame(rows, "key long, at long"), 10, 12)
+    got = sorted(tuple(r) for r in signal.measured(labels).select("key", "segment", "start", "end", "n").collect())
+    assert got == [(1, 0, 0, 8, 3), (1, 1, 12, 16, 2), (1, 2, 40, 44, 2), (2, 0, 7, 7, 1)]
