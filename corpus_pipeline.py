@@ -20,8 +20,9 @@ from sillon.llm.common import fold, fresh, materialize
 from sillon.sources.tables import table
 
 
-#: Entries of the codec's caches: executors still hold what the stages before have grown.
-CODEC_ENTRIES = 100_000
+#: Entries of the codec's caches, and bytes of text that it works on together: executors still hold what the stages before
+#: have grown.
+CODEC_ENTRIES, CODEC_BLOCK = 60_000, 1 << 18
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded bytes of each document."""
-    return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), entries=CODEC_ENTRIES)
+    return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), entries=CODEC_ENTRIES, block=CODEC_BLOCK)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -222,18 +222,32 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id")
     return map_batches(encoded.select(key, ids), run, f"{key} {dict(encoded.dtypes)[key]}, bytes binary", lambda: codec(path))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", entries: int = CACHE_ENTRIES) -> DataFrame:
-    """Encodes each text, decodes the ids, and returns number of ids and digests of both."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", entries: int = CACHE_ENTRIES, block: int | None = None) -> DataFrame:
+    """Encodes each text, decodes the ids, and returns number of ids and digests of both.
+
+    ``entries`` and ``block`` bound a worker's caches and the bytes of text (beside a longer document) whose new pretokens
+    it replays together, where memory is short; the ids are the same.
+    """
     schema = f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+    def parts(texts: list[str]) -> Iterator[list[str]]:
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or block is None or size + len(texts[to]) <= block):
+                size += len(texts[to])
+                to += 1
+            yield texts[at:to]
+            at = to
+
     def run(batch, c):
-        encoded = c.encode_block(texts_of(batch, text))
         name = c.text_of.__getitem__
-        return {
-            key: batch.column(key),
-            "n_tokens": [len(x) for x in encoded],
-            "ids_sha256": [hashlib.sha256(" ".join(map(name, x)).encode()).hexdigest() for x in encoded],
-            "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in encoded],
-        }
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for part in parts(texts_of(batch, text)):
+            for x in c.encode_block(part):
+                out["n_tokens"].append(len(x))
+                out["ids_sha256"].append(hashlib.sha256(" ".join(map(name, x)).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(c.decode(x)).hexdigest())
+        return {key: batch.column(key)} | out
 
     return map_batches(docs.select(key, text), run, schema, lambda: codec(path, entries), blocks)

@@ -230,3 +230,14 @@ def test_pipeline_of_empty_tables(spark, small_tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, small_tables[0], name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_codec_blocks_give_the_same_ids(spark):
+    from sillon.llm import bpe_codec
+
+    rng = random.Random(31)
+    rows = [(i, prose(rng, rng.choice([0, 3, 80]))) for i in range(60)] + [(60, None), (61, "word " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = P.path("byte_bpe_50k.tiktoken")
+    got = [sorted(map(tuple, bpe_codec.round_trip(docs, path, **kw).collect())) for kw in ({}, {"block": 50}, {"block": 2000, "entries": 20})]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 62
