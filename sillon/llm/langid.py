@@ -37,7 +37,7 @@ SAMPLE_SYMBOLS = 40_000
 SAMPLE_PARTS = 16
 #: Symbols of a segment, and of the texts whose segments are parsed together.
 SEGMENT = 512
-TOGETHER = 2 << 20
+TOGETHER = 1 << 19
 #: Parses that go on one by one, since so few don't pay for steps of all together.
 FEW = 32
 UNDETERMINED = "und"
