@@ -7,12 +7,18 @@ have rms, clipped and offset these count as well, and so does audio_error, why t
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sillon.functions import digests
 from sillon.functions.text import assign_split, present, visible
+from sillon.sources.workspace import folder, materialize
 
 
 @dataclass(frozen=True)
@@ -126,20 +132,21 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return met.withColumn("repeats", F.col(order) > F.col("sillon_first")).drop("sillon_first")
 
 
-#: Characters of all fields of all rows up to which a fingerprint is taken from one row.
-FINGERPRINT_CHARS = 64 << 20
+#: Characters of all fields of all rows up to which a fingerprint is taken from one row, and characters of a part beyond.
+FINGERPRINT_CHARS, PART_CHARS = 64 << 20, 128 << 20
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """One row: fingerprint (SHA-256 over the sorted, joined fields of all rows) and n.
 
     A digest over all rows in order needs them one after the other. A small manifest is put into one row; a larger one
-    is sorted across the cluster and streamed through the driver, one partition at a time, by ``fingerprint_of_large``.
+    goes part by part through tasks that hand on the digest's state (``fingerprint_of_large``).
     """
-    size = rows.select(_identity().alias("r")).agg(F.sum(F.length(F.concat_ws("", *[F.col("r")[c] for c in _IDENTITY]))).alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    kept = materialize(rows.select(_identity().alias("r")).select("r.*"), "identities")
+    size = kept.agg(F.sum(_chars()).alias("chars"), F.count(F.lit(1)).alias("n")).first()
     if (size.chars or 0) > FINGERPRINT_CHARS:
-        return rows.sparkSession.createDataFrame([(fingerprint_of_large(rows), size.n)], "fingerprint string, n long")
-    return rows.agg(F.sort_array(F.collect_list(_identity())).alias("all"), F.count(F.lit(1)).alias("n")).select(
+        return rows.sparkSession.createDataFrame([(_chained(kept, size.chars), size.n)], "fingerprint string, n long")
+    return kept.agg(F.sort_array(F.collect_list(F.struct(*_IDENTITY))).alias("all"), F.count(F.lit(1)).alias("n")).select(
         F.sha2(F.concat_ws("", F.transform("all", lambda r: F.concat(F.concat_ws("\x1f", *[r[c] for c in _IDENTITY]), F.lit("\n")))), 256).alias("fingerprint"), "n"
     )
 
@@ -152,11 +159,47 @@ def _identity() -> Column:
     return F.struct(*[only if c == "only" else F.coalesce(F.col(c), F.lit("")).alias(c) for c in _IDENTITY])
 
 
+def _chars() -> Column:
+    return reduce(lambda a, b: a + b, [F.length(c) for c in _IDENTITY])
+
+
 def fingerprint_of_large(rows: DataFrame) -> str:
-    """The digest of ``fingerprint`` with bounded memory: a global sort, streamed partition by partition."""
-    import hashlib
+    """The digest of ``fingerprint`` with bounded memory.
 
-    digest = hashlib.sha256()
-    for r in rows.select(_identity().alias("r")).select("r.*").orderBy(*_IDENTITY).toLocalIterator():
-        digest.update("\x1f".join(r).encode() + b"\n")
-    return digest.hexdigest()
+    Rows are ranged over parts of about ``PART_CHARS`` characters. One task a part, in their order, sorts its rows and takes
+    the digest on from the state that the part before left; the driver sees these states (112 bytes) alone. Only where
+    the crypto library can't hand on a state, the rows are streamed through the driver, partition by partition.
+    """
+    kept = materialize(rows.select(_identity().alias("r")).select("r.*"), "identities")
+    return _chained(kept, kept.agg(F.sum(_chars())).first()[0] or 0)
+
+
+def _chained(kept: DataFrame, chars: int) -> str:
+    if not digests.resumable():
+        whole = hashlib.sha256()
+        for r in kept.orderBy(*_IDENTITY).toLocalIterator():
+            whole.update("\x1f".join(r).encode() + b"\n")
+        return whole.hexdigest()
+    parts, path = max(1, -(-chars // PART_CHARS)), folder(kept.sparkSession, "ranges")
+    kept.repartitionByRange(parts, *_IDENTITY).withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(path)
+    ranged = kept.sparkSession.read.schema(f"{', '.join(f'{c} string' for c in _IDENTITY)}, part int").parquet(path)
+    line = F.concat(F.concat_ws("\x1f", *_IDENTITY), F.lit("\n")).cast("binary").alias("line")
+    state = digests.Sha256().state()
+    for part in range(parts):
+        ordered = ranged.filter(F.col("part") == part).repartition(1).sortWithinPartitions(*_IDENTITY).select(line)
+        found = ordered.mapInArrow(_step(state), "state binary").collect()
+        state = bytes(found[0].state) if found else state
+    return digests.Sha256(state).hexdigest()
+
+
+def _step(state: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes a digest on by the lines of a task."""
+
+    def run(batches):
+        digest = digests.Sha256(state)
+        for batch in batches:
+            for line in batch.column("line"):
+                digest.update(line.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.state()], type=pa.binary())], names=["state"])
+
+    return run

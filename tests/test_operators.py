@@ -53,6 +53,21 @@ def test_fingerprint(spark):
         assert compiler.fingerprint(df).first().fingerprint == want.hexdigest() == compiler.fingerprint_of_large(df)
 
 
+def test_fingerprint_in_parts(spark, monkeypatch):
+    """A large manifest goes through tasks that hand on the digest's state, not through the driver."""
+    schema = "sha256 string, text string, speaker string, dialect string, source_id string, source_license string, source_revision string, training_only boolean, split string"
+    df = spark.range(500).selectExpr("sha2(string(id % 400), 256) AS sha256", "repeat(string(id), int(id % 90)) || 'é' AS text", "CAST(NULL AS string) AS speaker", "'d' AS dialect", "string(id % 3) AS source_id", "'l' AS source_license", "'r' AS source_revision", "id % 2 = 0 AS training_only", "'train' AS split")
+    want = hashlib.sha256()
+    for r in sorted([r.sha256, r.text, "", "d", r.source_id, "l", "r", "training-only" if r.training_only else "split-eligible", "train"] for r in df.collect()):
+        want.update("\x1f".join(r).encode() + b"\n")
+    monkeypatch.setattr(compiler, "FINGERPRINT_CHARS", 100)
+    monkeypatch.setattr(compiler, "PART_CHARS", 20_000)
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *a, **k: pytest.fail("rows go through the driver"))
+    got = compiler.fingerprint(df.repartition(7)).first()
+    assert (got.fingerprint, got.n) == (want.hexdigest(), 500)
+    assert compiler.fingerprint_of_large(spark.createDataFrame([], schema)) == hashlib.sha256().hexdigest()
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("s", "train", "d", 150, 150), ("s", "test", "d", 300, 150), ("t", None, None, 150, 150)], "speaker string, split string, dialect string, frames long, rate int")
     assert {r.split: (r.rows, r.hours) for r in quality.by_split(df).collect()} == {"train": (1, 1 / 3600), "test": (1, 2 / 3600), "unknown": (1, 1 / 3600)}
