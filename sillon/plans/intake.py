@@ -122,14 +122,14 @@ def roll_back_targets(spark, sf_dir):
 
 
 def faulty_lines(spark, sf_dir):
-    """The numbers of broken lines of one file: every 13th is cut short, every 17th lacks its text, every 7th before it is blank."""
+    """The numbers of broken lines of a text in ordered parts: every 13th is cut short, every 17th lacks its text, every 7th before it is blank."""
     path = folder(spark, "lines")
     d = table(spark, sf_dir, "documents").filter("text is not null")
     whole = F.to_json(F.struct("doc_id", F.when(F.pmod("doc_id", F.lit(17)) > 0, F.col("text")).alias("text")))
     line = F.when(F.pmod("doc_id", F.lit(13)) == 0, F.expr("left(l, length(l) - 1)")).otherwise(F.col("l"))
     lines = d.withColumn("l", whole).withColumn("l", F.concat(F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit("\n")).otherwise(""), line))
-    lines.orderBy("doc_id").select("l").coalesce(1).write.text(path)
-    return files.faulty_lines(spark, path, "doc_id long, text string", ["text"]).select("line", F.sha2("value", 256).alias("sha256"))
+    lines.orderBy("doc_id").select("l").write.text(path)
+    return files.faulty_lines(spark, path, "doc_id long, text string", ["text"], whole=True).select("line", F.sha2("value", 256).alias("sha256"))
 
 
 QUERIES = {f.__name__: f for f in (faulty_lines, zone_rows, zone_stream_rows, shard_columns, resumed_acquisition, tree_digests, bounded_uploads, observed_outcomes, observed_timings, roll_back_targets)}

@@ -58,15 +58,18 @@ def jsonl(spark: SparkSession, path: str, schema: str, required: Collection[str]
     return checked.select("r.*").drop("_bad")
 
 
-def faulty_lines(spark: SparkSession, path: str, schema: str, required: Collection[str] = ()) -> DataFrame:
+def faulty_lines(spark: SparkSession, path: str, schema: str, required: Collection[str] = (), whole: bool = False) -> DataFrame:
     """file, line (from 1, blank ones counted) and value of the lines that ``jsonl`` refuses.
 
+    With ``whole``, the files are one text in the order of their names, and lines are numbered through all of them.
+
     Tasks read parts of files and number the lines of each part; the lines of the parts before it, one count a part, are
     added. So files of any size are read in parallel and lines still have their numbers.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
     parts = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.orderBy("file", "part") if whole else Window.partitionBy("file").orderBy("part")  # of parts, not of lines
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bad = _parsed(lines, schema, required).filter((F.trim("value") != "") & F.col("bad")).select("value", "file", "part", "at")
     met = bad.join(parts.withColumn("before", before), ["file", "part"])
     return met.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
