@@ -18,10 +18,10 @@ _ROWS = "id long, words string, language string"
 
 
 def _shards(spark, sf_dir, base, numbers, revision="r1"):
-    """Documents as shards of a revision, one folder each; those of shard 2 are without their language."""
+    """Documents as shards of a revision, a folder of files each, written in parallel; those of shard 2 are without their language."""
     d = table(spark, sf_dir, "documents").withColumn("shard", F.pmod("doc_id", F.lit(3)))
     for k in numbers:
-        d.filter(F.col("shard") == k).drop("shard", *(["lang"] if k == 2 and revision == "r2" else [])).coalesce(1).write.parquet(f"{base}/{revision}/shard-{k}")
+        d.filter(F.col("shard") == k).drop("shard", *(["lang"] if k == 2 and revision == "r2" else [])).write.parquet(f"{base}/{revision}/shard-{k}")
 
 
 def zone_rows(spark, sf_dir):
@@ -46,8 +46,9 @@ def shard_columns(spark, sf_dir):
     """Rows and lacking columns of each shard of a revision in which one has no language."""
     base = folder(spark, "zone")
     _shards(spark, sf_dir, base, (0, 1, 2), "r2")
-    report = landing.shard_report(spark, f"{base}/r2/*", ["doc_id", "text", "lang"])
-    return report.select(F.regexp_extract("shard", r"/(shard-\d)/", 1).alias("shard"), "n_rows", F.array_join("missing", ",").alias("missing"))
+    report = landing.shard_report(spark, f"{base}/r2/*", ["doc_id", "text", "lang"]).filter("n_rows > 0")
+    by = F.regexp_extract("shard", r"/(shard-\d)/", 1).alias("shard"), F.array_join("missing", ",").alias("missing")
+    return report.groupBy(*by).agg(F.sum("n_rows").alias("n_rows")).select("shard", "n_rows", "missing")
 
 
 def resumed_acquisition(spark, sf_dir):

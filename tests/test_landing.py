@@ -108,3 +108,42 @@ def test_numbers_of_faulty_lines(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         assert got == [("a.json", n) for n in (1, 2, 778, 3000)] + [("b.json", n) for n in (2, 4, 5, 8)]
+
+
+def test_large_shards_are_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    ids = list(range(2000))
+    pq.write_table(pa.table({"doc_id": ids, "text": [f"text {i}" for i in ids]}), tmp_path / "r1" / "a.parquet", row_group_size=100)
+    rows = landing.zone(spark, str(tmp_path), "id long, words string", FIELDS, revision="r1", split=4000)
+    assert rows.rdd.getNumPartitions() > 3
+    assert sorted(map(tuple, rows.collect())) == [(i, f"text {i}") for i in ids]
+    assert 1 < rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+@pytest.mark.parametrize("name", ["zone_rows", "zone_stream_rows", "shard_columns", "faulty_lines"])
+def test_queries_write_shards_in_parallel(spark, tmp_path, monkeypatch, name):
+    """No shard or text is written by one task alone."""
+    from sillon.plans import intake
+
+    rows = spark.range(0, 600, 1, 6).selectExpr("id AS doc_id", "concat('words ', id) AS text", "'en' AS lang")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(intake, "folder", lambda _, what: f"{tmp_path}/{what}")
+    try:
+        got = intake.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = list(tmp_path.glob("lines/part-*" if name == "faulty_lines" else "zone/*/shard-0/part-*"))
+    assert len(parts) > 1
+    if name == "shard_columns":
+        assert sorted(map(tuple, got)) == [("shard-0", 200, ""), ("shard-1", 200, ""), ("shard-2", 200, "lang")]
+    elif name == "faulty_lines":
+        line, want = 0, []
+        for i in range(600):
+            line += 1 + (i % 7 == 0)
+            want += [line] * (i % 13 == 0 or i % 17 == 0)
+        assert sorted(r.line for r in got) == want
+    else:
+        assert sorted(r.id for r in got) == list(range(600))
