@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sillon.operators import acquisition, compiler, governance, lineage, metrics
-from sillon.sources import files, landing
+from sillon.sources import files, landing, sinks
 from sillon.sources.tables import table
 from sillon.sources.workspace import folder
 
@@ -73,19 +73,19 @@ def tree_digests(spark, sf_dir):
     """Model trees of text files, one tree a nation: their digests and ids."""
     base = folder(spark, "trees")
     s = table(spark, sf_dir, "supplier")
-    name = F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("tree")
-    s.select(name, F.concat(F.lit("w"), F.col("s_suppkey").cast("string")).alias("file"), "s_name").repartition(4, "file").write.partitionBy("tree", "file").text(base)
-    parts = F.regexp_extract("path", r"/tree=([^/]*)/file=([^/]*)/part-[^/]*$", 1).alias("tree")
-    digests = files.file_digests(spark, base).filter(F.col("path").rlike("/part-[^/]*$")).select(parts, F.regexp_extract("path", r"/file=([^/]*)/", 1).alias("path"), "bytes", "sha256")
+    name = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/w"), F.col("s_suppkey").cast("string"))
+    sinks.small_files(s, name, F.col("s_name"), base)
+    parts = F.regexp_extract("path", r"/(n[^/]*)/[^/]*$", 1).alias("tree"), F.substring_index("path", "/", -1).alias("path")
+    digests = files.file_digests(spark, base).select(*parts, "bytes", "sha256")
     return lineage.model_ids(lineage.tree_digests(digests, "tree"), F.col("tree"), F.lit("asr"))
 
 
 def bounded_uploads(spark, sf_dir):
     """Files that an upload's limit lets in; the others aren't opened."""
     base = folder(spark, "uploads")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.repeat(F.lit("x"), F.pmod("s_suppkey", F.lit(40)).cast("int")).alias("value"))
-    s.repartition(4, "k").write.partitionBy("k").text(base)
-    return files.bounded_files(spark, base, 20).select(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    content = F.repeat(F.lit("x"), F.pmod("s_suppkey", F.lit(40)).cast("int"))
+    sinks.small_files(table(spark, sf_dir, "supplier"), F.concat(F.lit("k"), F.col("s_suppkey").cast("string")), content, base)
+    return files.bounded_files(spark, base, 20).select(F.regexp_extract("path", r"/k(-?\d+)$", 1).cast("long").alias("k"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 _BOUNDS = [10.0, 50.0, 200.0]

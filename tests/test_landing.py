@@ -147,3 +147,13 @@ def test_queries_write_shards_in_parallel(spark, tmp_path, monkeypatch, name):
         assert sorted(r.line for r in got) == want
     else:
         assert sorted(r.id for r in got) == list(range(600))
+
+
+def test_small_files_come_from_several_tasks(spark, tmp_path, monkeypatch):
+    from sillon.sources import sinks
+
+    monkeypatch.setattr(sinks, "FILES_PER_TASK", 10)
+    rows = spark.createDataFrame([(i, None if i == 5 else f"é{i}") for i in range(60)], "i int, t string").coalesce(1)
+    sinks.small_files(rows, F.concat(F.lit("d"), (F.col("i") % 3).cast("string"), F.lit("/f"), F.col("i").cast("string")), F.col("t"), f"file://{tmp_path}/out")
+    found = {p.relative_to(tmp_path / "out").as_posix(): p.read_text(encoding="utf-8") for p in (tmp_path / "out").rglob("f*")}
+    assert found == {f"d{i % 3}/f{i}": "\n" if i == 5 else f"é{i}\n" for i in range(60)}
