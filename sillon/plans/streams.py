@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillon.operators import review, signal, turns
 from sillon.sources.tables import table
-from sillon.sources.workspace import folder
+from sillon.sources.workspace import folder, materialize
 
 from .views import review_events, turn_frames
 from .workflow import ORACLES as BATCH
@@ -28,6 +30,22 @@ def _drained(stream: DataFrame, base: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _streamed(rows: DataFrame, batch: Column, n: int, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``of`` makes of a stream whose batches (0 to n - 1, as ``batch`` deals the rows) are written one after the other.
+
+    Many tasks write a batch's files; after each the stream takes them as one batch and ends, and the next run goes on
+    from its offsets and state.
+    """
+    spark = rows.sparkSession
+    base = folder(spark, "stream")
+    dealt = materialize(rows.withColumn("batch", batch), "batches")
+    for k in range(n):
+        dealt.filter(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{base}/in")
+        stream = of(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def _numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
 
@@ -35,16 +53,16 @@ def _numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
 def streamed_turns(spark, sf_dir):
     """Frames of connections that come in three batches, most of them before their predecessors."""
     frames = _numbered(turn_frames(spark, sf_dir), "conn_id", "seq")
-    stream, base = _landing(frames, F.pmod(F.lit(5) - F.col("number"), F.lit(6)), 6, 2)
-    return _drained(turns.turns_stream(stream, 10.0, number="number"), base)
+    batch = F.floor(F.pmod(F.lit(5) - F.col("number"), F.lit(6)) / 2)
+    return _streamed(frames, batch, 3, lambda stream: turns.turns_stream(stream, 10.0, number="number"))
 
 
 def streamed_reviews(spark, sf_dir):
     """The first ten events of every item in batch, the others as a stream that goes on from there."""
     events = _numbered(review_events(spark, sf_dir), "item_id", "seq")
     before = events.filter("number <= 10")
-    stream, base = _landing(events.filter("number > 10"), F.pmod(F.xxhash64("seq"), F.lit(4)), 4, 2)
-    later = _drained(review.audit_stream(stream, number="number", begin=review.workflow_states(before, "number")), base)
+    begin = materialize(review.workflow_states(before, "number"), "states")
+    later = _streamed(events.filter("number > 10"), F.pmod(F.xxhash64("seq"), F.lit(2)), 2, lambda stream: review.audit_stream(stream, number="number", begin=begin))
     return review.audit(before).unionByName(later).drop("text")
 
 
@@ -64,8 +82,7 @@ def streamed_gaps(spark, sf_dir):
 def cut_gaps(spark, sf_dir):
     """Runs that a gap of six hours or a length of two days ends, as a stream of events in any order."""
     e = _moments(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros("ts").alias("at"))
-    stream, base = _landing(_numbered(e, "key", "at"), F.pmod(F.xxhash64("at"), F.lit(4)), 4, 2)
-    return signal.measured(_drained(signal.labelled_stream(stream, _GAP, _MOST, "number"), base))
+    return signal.measured(_streamed(_numbered(e, "key", "at"), F.pmod(F.xxhash64("at"), F.lit(2)), 2, lambda stream: signal.labelled_stream(stream, _GAP, _MOST, "number")))
 
 
 _GAP, _MOST = 6 * 3_600_000_000, 48 * 3_600_000_000

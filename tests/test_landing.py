@@ -157,3 +157,13 @@ def test_small_files_come_from_several_tasks(spark, tmp_path, monkeypatch):
     sinks.small_files(rows, F.concat(F.lit("d"), (F.col("i") % 3).cast("string"), F.lit("/f"), F.col("i").cast("string")), F.col("t"), f"file://{tmp_path}/out")
     found = {p.relative_to(tmp_path / "out").as_posix(): p.read_text(encoding="utf-8") for p in (tmp_path / "out").rglob("f*")}
     assert found == {f"d{i % 3}/f{i}": "\n" if i == 5 else f"é{i}\n" for i in range(60)}
+
+
+def test_batches_of_streams_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from sillon.plans import streams
+
+    monkeypatch.setattr(streams, "folder", lambda _, what: f"{tmp_path}/{what}")
+    monkeypatch.setattr(streams, "materialize", lambda df, what: df)
+    got = streams._streamed(spark.range(0, 60, 1, 3), F.col("id") % 2, 2, lambda stream: stream)
+    assert sorted(r.id for r in got.collect()) == list(range(60))
+    assert len(list((tmp_path / "stream" / "in").glob("part-*"))) == 6
