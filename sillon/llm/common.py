@@ -129,6 +129,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that a task should write at least.
+TASK_ROWS = 20_000
+
+
+def packed(df: DataFrame, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more partitions than these fill, however many a shuffle has left."""
+    return df.coalesce(max(1, -(-rows // task_rows)))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id modulo ``folds``; null where doc_id is null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

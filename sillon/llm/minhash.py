@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, fresh, hot_of, map_batches, materialize, small_or_plain, texts_of
+from .common import HOT_ROWS, dealt_join, fresh, hot_of, map_batches, materialize, packed, small_or_plain, texts_of
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -43,6 +43,10 @@ THRESHOLD = 80
 MARGIN = 0.18
 #: Further stars before what remains is compared block by block.
 STARS = 3
+#: A star that confirms fewer links than one for so many of its pairs is the last one.
+STAR_PAIRS = 100
+#: Pairs of texts, and bucket members with the place of their vector, that a task should compare at least.
+TASK_PAIRS = 500
 #: Bytes of shingle hashes of a bucket's members that are held together to be compared.
 BLOCK_BYTES = 1 << 20
 #: Cells of the table of members and shingles that are multiplied at once.
@@ -188,8 +192,8 @@ def _sizes(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, threshold: int, hot: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is near the threshold or above. ``hot`` has each ``a`` of many pairs."""
+def _near(pairs: DataFrame, sketches: DataFrame, threshold: int, few: bool) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is near the threshold or above. ``few`` sketches are broadcast."""
 
     def run(batch):
         n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "m"))
@@ -199,12 +203,13 @@ def _near(pairs: DataFrame, sketches: DataFrame, threshold: int, hot: DataFrame
 
     a = sketches.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("registers").alias("x"))
     b = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("registers").alias("y"))
-    sized = dealt_join(pairs, a, "a", "b", hot).join(b, "b").filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
+    met = pairs.join(F.broadcast(a), "a").join(F.broadcast(b), "b") if few else dealt_join(pairs, a, "a", "b", hot_of(_sizes(pairs, "a"))).join(b, "b")
+    sized = met.filter((100 * F.least("n", "m") >= threshold * F.greatest("n", "m")))
     return map_batches(sized.select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int, hot: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``hot`` has each ``a`` of many pairs."""
+def _confirmed(pairs: DataFrame, n: int, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """The pairs (a, b), ``n`` of them, whose full sets are similar enough. Only the texts that they ask for are shuffled."""
 
     def run(batch):
         out: dict[str, list] = {"a": [], "b": []}
@@ -217,9 +222,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, shingle: int,
                 out["b"].append(b)
         return out
 
+    asked = packed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
+    if 2 * n <= NODE_ROWS:
+        asked = F.broadcast(asked)
+    texts = materialize(texts.join(asked, "node", "left_semi"), "asked")
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    met = dealt_join(pairs.join(b, "b"), a, "a", "b", hot)
-    return map_batches(met.select("a", "b", "x", "y"), run, "a long, b long")
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    met = dealt_join(packed(pairs.join(b, "b"), n, TASK_PAIRS), a, "a", "b", hot_of(packed(hubs, n)) if n > HOT_ROWS else None)
+    return map_batches(packed(met.select("a", "b", "x", "y"), n, TASK_PAIRS), run, "a long, b long")
 
 
 def _vectors(texts: DataFrame, shingle: int) -> DataFrame:
@@ -254,17 +264,20 @@ def block_links(xs: list[dict], ys: list[dict], threshold: int = THRESHOLD) -> l
     return list(out.values())
 
 
-def _rest(members: DataFrame, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
-    """Links (a, b) among bucket members (key, node, component) of different components; the main component's members aren't compared with each other."""
-    among = small_or_plain(members.select("node").distinct())
+def _rest(members: DataFrame, n: int, texts: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """Links (a, b) among ``n`` bucket members (key, node, component) of different components; the main component's members aren't compared with each other."""
+    among = small_or_plain(materialize(packed(members.select("node").distinct(), n), "nodes"))
     # written first, so that no task runs two Python workers
     vectors = materialize(_vectors(texts.join(among, "node", "left_semi"), shingle), "vectors")
-    sized = materialize(members.join(vectors.select("node", F.length("vector").cast("long").alias("bytes")), "node"), "sized")
-    spread = sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    lengths = small_or_plain(materialize(vectors.select("node", F.length("vector").cast("long").alias("bytes")), "lengths"), NODE_ROWS)
+    sized = materialize(packed(members.join(lengths, "node"), n), "sized")
+    spread = packed(sized.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), n)
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES))
     by_key = spread.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "bytes"), F.struct("n", "component")).alias("main"))
-    plan = materialize(by_key.select("key", F.col("main.component").alias("main"), blocks(F.col("bytes")).alias("blocks"), blocks(F.col("bytes") - F.col("main.bytes")).alias("others")), "plan")
-    rows = materialize(dealt_join(sized.drop("bytes"), plan, "key", "node", hot_of(_sizes(sized, "key"))), "rows")
+    plan = by_key.select("key", F.col("main.component").alias("main"), blocks(F.col("bytes")).alias("blocks"), blocks(F.col("bytes") - F.col("main.bytes")).alias("others"))
+    plan = materialize(packed(plan, n), "plan")
+    planned = sized.drop("bytes").join(F.broadcast(plan), "key") if plan.count() <= NODE_ROWS else dealt_join(sized.drop("bytes"), plan, "key", "node", hot_of(_sizes(sized, "key")))
+    rows = materialize(packed(planned, n), "rows")
 
     def gathered(part: DataFrame, number: str, name: str) -> DataFrame:
         dealt = part.withColumn("block", F.pmod(F.xxhash64("node"), number)).join(vectors, "node")
@@ -284,51 +297,70 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     """Columns doc_id, n_shingles, component_id (least doc_id of all that links reach), kept: one row for each row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = materialize(signatures(docs, shingle=shingle), "sketches")
+    most = sketched.count()
     grouped = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    sets = materialize(grouped, "sets")
+    sets = materialize(packed(grouped, most), "sets")
     nodes = sets.filter("node is not null")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
-    bands = nodes.select("node", "n", F.explode(keys).alias("key"))
-    shared = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1"), "shared")
-    held = hot_of(shared.select("key", F.col("members").alias("n")))
-    buckets = materialize(dealt_join(bands, shared, "key", "node", held), "buckets")
-    among = small_or_plain(buckets.select("node").distinct())
-    sketches = materialize(nodes.join(among, "node", "left_semi"), "candidates")
-    sketched_few = small_or_plain(sketches, SKETCH_ROWS)
-    texts = materialize(docs.filter("text is not null").withColumnRenamed("doc_id", "node").join(among, "node", "left_semi"), "texts")
-
-    def links_of(pairs: DataFrame) -> DataFrame | None:
+    bands = nodes.select("node", F.explode(keys).alias("key"))
+    shared = materialize(packed(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1"), BANDS * most), "shared")
+    held = None
+    if shared.count() <= NODE_ROWS:
+        buckets = bands.join(F.broadcast(shared), "key")
+    else:
+        held = hot_of(shared.select("key", F.col("members").alias("n")))
+        buckets = dealt_join(bands, shared, "key", "node", held)
+    buckets = materialize(buckets, "buckets")
+    rows = buckets.count()
+    among = materialize(packed(buckets.select("node").distinct(), rows), "among")
+    found_by = small_or_plain(among)
+    sketches = materialize(nodes.join(found_by, "node", "left_semi"), "candidates")
+    few = among.count() <= SKETCH_ROWS
+    texts = materialize(docs.filter("text is not null").withColumnRenamed("doc_id", "node").join(found_by, "node", "left_semi"), "texts")
+
+    def links_of(pairs: DataFrame, most: int) -> tuple[DataFrame, int, int]:
+        """The links among at most so many pairs, their number and that of the pairs."""
         # written one by one, so that no task runs two Python workers
-        pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return None
-        hot = hot_of(_sizes(pairs, "a"))
-        near = materialize(_near(pairs, sketched_few, threshold, hot), "near")
-        return materialize(_confirmed(near, texts, threshold, shingle, hot), "links")
-
-    links = links_of(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    found = components(links if links is not None else buckets.limit(0).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    for star in range(STARS + 1):
-        # members of buckets that hold several components
-        placed = buckets.filter("members > 2").select("key", "node").join(small_or_plain(found, NODE_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), F.xxhash64("key", "node", F.lit(star))).alias("centre")).filter("low <> high")
-        open_ = dealt_join(placed, mixed.select("key", "centre"), "key", "node", held)
-        if star < STARS:
-            pairs = open_.filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
-        else:
-            pairs = _rest(materialize(open_.select("key", "node", "component"), "rest"), texts, threshold, shingle)
-        links = links_of(pairs)
-        if links is None:  # no bucket holds several components, or none of their members are alike
+        pairs = materialize(packed(pairs, most), "pairs")
+        met = pairs.count()
+        near = materialize(_near(pairs, sketches, threshold, few), "near") if met else pairs
+        n = near.count() if met else 0
+        links = materialize(_confirmed(near, n, texts, threshold, shingle), "links") if n else near
+        return links, links.count() if n else 0, met
+
+    # first each node with its least hub, one pair a node
+    links, linked_pairs, _ = links_of(buckets.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b")), rows)
+    found = components(links, linked_pairs) if linked_pairs else buckets.limit(0).select("node", F.col("hub").alias("component"))
+    open_ = buckets.select("key", "node")
+    star = 0
+    while star <= STARS + 1:
+        # members of buckets that hold several components; all of a bucket's have met its hub by the second star
+        placed = open_.select("key", "node").join(small_or_plain(found, NODE_ROWS), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), F.min_by(F.struct("node", "component"), F.xxhash64("key", "node", F.lit(star)) if star else F.col("node")).alias("centre"))
+        mixed = materialize(packed(mixed.filter(F.col("low") != F.col("high")).filter(F.lit(not star) | (F.col("members") > 2)).select("key", "centre"), rows), "mixed")
+        n = mixed.count()
+        if not n:
             break
-        if links.isEmpty():
+        met = placed.join(F.broadcast(mixed), "key") if n <= NODE_ROWS else dealt_join(placed, mixed, "key", "node", held if held is not None else hot_of(_sizes(placed, "key")))
+        open_ = materialize(packed(met, rows), "open")
+        rows = open_.count()
+        if star <= STARS:
+            pairs = open_.filter("component <> centre.component").select(F.col("centre.node").alias("a"), F.col("node").alias("b"))
+        else:
+            pairs = _rest(open_.select("key", "node", "component"), rows, texts, threshold, shingle)
+        links, linked_pairs, n = links_of(pairs.distinct(), rows)
+        # further stars would find as little: what is left is compared at once
+        star = max(star + 1, STARS + 1) if star and STAR_PAIRS * linked_pairs < n else star + 1
+        if not linked_pairs:
             continue
         # links between components, then each node's component of components
-        a, b = (found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")) for c in "ab")
+        of = small_or_plain(found, NODE_ROWS)
+        a, b = (of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")) for c in "ab")
         between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
-        above = components(between).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        above = small_or_plain(components(between, linked_pairs).select(F.col("node").alias("component"), F.col("component").alias("top")))
         old = found.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         new = above.select(F.col("component").alias("node"), F.col("top").alias("component"))
-        found = materialize(old.unionByName(new), "components")
+        found = materialize(packed(old.unionByName(new), among.count()), "components")
     sets_of = sets.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sketched.join(sets_of, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

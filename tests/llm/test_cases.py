@@ -117,6 +117,29 @@ def test_hot_hubs_and_blocks_change_nothing(spark, monkeypatch):
     assert plain == brute_components(rows, 2)
 
 
+def test_near_copies_are_handed_on_once(spark, monkeypatch):
+    """A large group of near copies: no more pairs in the first star than documents, and no texts that no pair asks for."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(60)] + [(100 + i, f"alone {i} " + " ".join(f"y{i}{j}" for j in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+
+    def counted(df, what, f=minhash.materialize):
+        out = f(df, what)
+        made.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = minhash.classes(docs, shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == brute_components(rows, 2)
+    assert 0 < next(n for what, n in made if what == "pairs") < 60
+    monkeypatch.setattr(minhash, "NODE_ROWS", 0)
+    monkeypatch.setattr(minhash, "SKETCH_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 2)
+    assert sorted(minhash.classes(docs, shingle=2).collect()) == sorted(got)  # with every side shuffled and dealt
+
+
 def brute_components(rows, size):
     sets = [minhash.shingles_of(t or "", size) for _, t in rows]
     root = list(range(len(rows)))
