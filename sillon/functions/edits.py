@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .text import bounded_batches
+
 
 def distance(a: Sequence, b: Sequence) -> int:
     """The Levenshtein distance of two sequences of hashable symbols."""
@@ -48,6 +50,7 @@ def _list_distance(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def token_distance(a: Column, b: Column) -> Column:
     """The Levenshtein distance of two arrays of tokens."""
+    bounded_batches()
     return _list_distance(a, b)
 
 
@@ -73,5 +76,6 @@ def _counts(r: pa.Array, h: pa.Array) -> pa.Array:
 
 def error_counts(r: Column, h: Column) -> dict[str, Column]:
     """Edits and reference lengths, in words and in characters other than spaces, of a normalised reference and hypothesis."""
+    bounded_batches()
     found = _counts(r, h)
     return {f.name: found[f.name] for f in _COUNTS}
