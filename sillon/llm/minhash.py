@@ -6,8 +6,8 @@ leading zeros and ten mantissa bits after the first one. Bands of registers lead
 estimated from equal registers, less the share that would agree by chance at ten mantissa bits; candidates within
 ``MARGIN`` of the threshold are confirmed on full sets.
 
-Documents with equal sets form one class, found by a digest, and are never paired. In each band bucket every class is
-compared with the bucket's least class, a star of as many pairs as members, never all pairs. Linked classes become
+Documents with equal sets form one class, found by a digest, and are never paired. Every class is first compared with the
+least class of all its band buckets; then, in each bucket that still holds several components, with the bucket's own, a star of as many pairs as members, never all pairs. Linked classes become
 components; buckets that still hold several components get further stars around other members. Members that then remain
 outside their bucket's main component are compared with its other members on full sets, block by block of about
 ``BLOCK_BYTES`` of shingle hashes (a longer text is a block of its own), and each block gives at most one link between a
@@ -53,6 +53,8 @@ BLOCK_BYTES = 1 << 20
 CELLS = 2 << 20
 #: Rows up to which register rows (400 bytes each), and nodes with their components (16 bytes each), are broadcast.
 SKETCH_ROWS, NODE_ROWS = 50_000, 500_000
+#: Rows up to which buckets, and nodes that pairs ask for, are broadcast: the driver holds each such table for a while.
+BUCKET_ROWS = 100_000
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 1 << 20
 #: Shingles that meet the bucket hashes together; their values stay in the processor's cache.
@@ -223,7 +225,7 @@ def _confirmed(pairs: DataFrame, n: int, texts: DataFrame, threshold: int, shing
         return out
 
     asked = packed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
-    if 2 * n <= NODE_ROWS:
+    if 2 * n <= BUCKET_ROWS:
         asked = F.broadcast(asked)
     texts = materialize(texts.join(asked, "node", "left_semi"), "asked")
     a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
@@ -276,7 +278,7 @@ def _rest(members: DataFrame, n: int, texts: DataFrame, threshold: int, shingle:
     by_key = spread.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "bytes"), F.struct("n", "component")).alias("main"))
     plan = by_key.select("key", F.col("main.component").alias("main"), blocks(F.col("bytes")).alias("blocks"), blocks(F.col("bytes") - F.col("main.bytes")).alias("others"))
     plan = materialize(packed(plan, n), "plan")
-    planned = sized.drop("bytes").join(F.broadcast(plan), "key") if plan.count() <= NODE_ROWS else dealt_join(sized.drop("bytes"), plan, "key", "node", hot_of(_sizes(sized, "key")))
+    planned = sized.drop("bytes").join(F.broadcast(plan), "key") if plan.count() <= BUCKET_ROWS else dealt_join(sized.drop("bytes"), plan, "key", "node", hot_of(_sizes(sized, "key")))
     rows = materialize(packed(planned, n), "rows")
 
     def gathered(part: DataFrame, number: str, name: str) -> DataFrame:
@@ -305,7 +307,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     bands = nodes.select("node", F.explode(keys).alias("key"))
     shared = materialize(packed(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).filter("members > 1"), BANDS * most), "shared")
     held = None
-    if shared.count() <= NODE_ROWS:
+    if shared.count() <= BUCKET_ROWS:
         buckets = bands.join(F.broadcast(shared), "key")
     else:
         held = hot_of(shared.select("key", F.col("members").alias("n")))
@@ -341,7 +343,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         n = mixed.count()
         if not n:
             break
-        met = placed.join(F.broadcast(mixed), "key") if n <= NODE_ROWS else dealt_join(placed, mixed, "key", "node", held if held is not None else hot_of(_sizes(placed, "key")))
+        met = placed.join(F.broadcast(mixed), "key") if n <= BUCKET_ROWS else dealt_join(placed, mixed, "key", "node", held if held is not None else hot_of(_sizes(placed, "key")))
         open_ = materialize(packed(met, rows), "open")
         rows = open_.count()
         if star <= STARS:
@@ -357,7 +359,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         of = small_or_plain(found, NODE_ROWS)
         a, b = (of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")) for c in "ab")
         between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
-        above = small_or_plain(components(between, linked_pairs).select(F.col("node").alias("component"), F.col("component").alias("top")))
+        above = small_or_plain(components(between, linked_pairs).select(F.col("node").alias("component"), F.col("component").alias("top")), NODE_ROWS)
         old = found.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         new = above.select(F.col("component").alias("node"), F.col("top").alias("component"))
         found = materialize(packed(old.unionByName(new), among.count()), "components")

@@ -134,6 +134,7 @@ def test_near_copies_are_handed_on_once(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in got) == brute_components(rows, 2)
     assert 0 < next(n for what, n in made if what == "pairs") < 60
     monkeypatch.setattr(minhash, "NODE_ROWS", 0)
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", 0)
     monkeypatch.setattr(minhash, "SKETCH_ROWS", 0)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
     monkeypatch.setattr(minhash, "HOT_ROWS", 2)
